@@ -4,12 +4,14 @@
    hashings, the low bits of the minima packed into longs, and a hash for each band of minima. Documents of equal sets
    are one node from here on, so thousands of copies cost one row.
 2. Candidates: nodes that share a band. In each band's bucket the members are first compared with one of them, its centre, so a bucket of m
-   members gives m - 1 pairs. The packed low bits give a similarity, corrected for chance collisions, by XOR and bit counts;
-   pairs far below the threshold (by more than SLACK, over five standard errors) go.
-3. The others are confirmed on the full sets. Confirmed links are joined into components.
-4. Where members of a bucket are then in different components, all pairs across these components are candidates too. They are
-   made in blocks of at most BLOCK x BLOCK members, so a large bucket is spread over many tasks. After this round
-   every pair of a bucket is either in one component or has been compared: no link is lost, and no group is written out as all its pairs.
+   members gives m - 1 pairs. The sizes of the sets must allow the threshold, and the packed low bits give a similarity, corrected for
+   chance collisions, by XOR and bit counts; pairs far below the threshold (by more than SLACK, 4.5 standard errors) go.
+3. The others are confirmed on the full sets. Confirmed links are joined into components. Steps 2 and 3 are repeated
+   with other centres, for members that are not in their centre's component yet, while that still joins anything much.
+4. Nodes that comparisons with centres tie together, confirmed or not, are a family. In families that still have several components,
+   all pairs across components are compared by wider signatures (WIDE minima), in cells of at most BLOCK x BLOCK nodes, so a large family
+   is spread over many tasks, and only the few pairs near the threshold leave a cell. Pairs of a bucket in different families are compared
+   as well. Then every pair of a bucket is either in one component or has been compared: no link is lost, and no group is written out as all its pairs.
 
 With 32 bands of four, a pair of similarity 0.75 shares no band with probability 5e-6.
 
@@ -32,11 +34,15 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, words_of, written
 
 WORDS, THRESHOLD = 5, 75
-PERMUTATIONS, BANDS, BITS = 128, 32, 2
+PERMUTATIONS, BANDS, BITS = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
 LONGS = PERMUTATIONS * BITS // 64
-SLACK = 0.25
+SLACK = 0.18
 BLOCK = 256
+#: Minima of the wider signatures, and what they allow under the threshold (4.5 standard errors).
+WIDE, WIDE_SLACK = 2048, 0.045
+#: Rounds with centres at most; orders of the members by which the buckets of a round choose their centres.
+STAR_ROUNDS, ORDERS = 6, 3
 U = np.uint64
 
 
@@ -71,27 +77,47 @@ def shingles(words: list[bytes], size: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-@lru_cache(1)
-def hashings() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    draw = rng.integers(0, 1 << 32, (2, PERMUTATIONS, 1), dtype=np.uint32)
+@lru_cache(2)
+def hashings(count: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(count).integers(0, 1 << 32, (2, count, 1), dtype=np.uint32)
     return draw[0] | np.uint32(1), draw[1]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    a, b = hashings()
-    low, out = (hashes >> U(32)).astype(np.uint32), np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 1024):
-        np.minimum(out, (low[at : at + 1024] * a + b).min(axis=1), out=out)
+def minima(hashes: np.ndarray, count: int = PERMUTATIONS) -> np.ndarray:
+    a, b = hashings(count)
+    low, out, step = (hashes >> U(32)).astype(np.uint32), np.full(count, 0xFFFFFFFF, np.uint32), max(64, (1 << 17) // count)
+    for at in range(0, len(low), step):
+        np.minimum(out, (low[at : at + step] * a + b).min(axis=1), out=out)
     return out
 
 
 def packed(minimum: np.ndarray) -> np.ndarray:
     """The low BITS of each minimum, in longs."""
-    low = (minimum & np.uint32((1 << BITS) - 1)).astype(U).reshape(LONGS, -1)
+    low = (minimum & np.uint32((1 << BITS) - 1)).astype(U).reshape(-1, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(low.shape[1], dtype=U) * U(BITS)), axis=1).view(np.int64)
 
 
+def near_in_cell(cell: pa.Table, threshold: int) -> pa.Table:
+    """Pairs (a, b) across labels whose wide signatures come near the threshold; of one block with itself, or of two blocks."""
+    node, label, n, own, i, j = (cell.column(c).to_numpy() for c in ("node", "label", "n", "own", "i", "j"))
+    wide = np.stack([np.frombuffer(w.as_py(), U) for w in cell.column("wide")])
+    left, right = (np.flatnonzero(own == k[0]) for k in (i, j))
+    slots, out, least = U(sum(1 << (BITS * k) for k in range(64 // BITS))), [], threshold / 100 - WIDE_SLACK
+    chance = 2.0**-BITS
+    for x in left:
+        ys = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
+        ys = ys[node[ys] > node[x]] if i[0] == j[0] else ys
+        if len(ys):
+            d = wide[ys] ^ wide[x]
+            k = 1
+            while k < BITS:
+                d, k = d | (d >> U(k)), 2 * k
+            equal = 1 - np.bitwise_count(d & slots).sum(axis=1) / WIDE
+            out += [(node[x], node[y]) for y in ys[(equal - chance) / (1 - chance) >= least]]
+    a, b = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1).T
+    return pa.table({"a": a, "b": b})
+
+
 def band_hashes(minimum: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=U)
     for k in range(ROWS):
@@ -106,7 +132,10 @@ def similarity(a: Column, b: Column) -> Column:
     differ = None
     for i in range(LONGS):
         x = a[i].bitwiseXOR(b[i])
-        x = F.bit_count((x if BITS == 1 else x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(slots)))
+        k = 1
+        while k < BITS:  # any bit of a slot that differs, into its lowest
+            x, k = x.bitwiseOR(F.shiftrightunsigned(x, k)), 2 * k
+        x = F.bit_count(x.bitwiseAND(F.lit(slots)))
         differ = x if differ is None else differ + x
     chance = 2.0**-BITS
     return (1 - differ / PERMUTATIONS - chance) / (1 - chance)
@@ -180,38 +209,71 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    sketch = sketches(docs, id_col, text_col)
+    spark, sketch = docs.sparkSession, sketches(docs, id_col, text_col)
     some = sketch.where(F.col("node").isNotNull())
     nodes = written(some.groupBy("node").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")), "nodes")
-    heads = sketch.select("uid", "sig", "bands").join(nodes.select("uid", "node"), "uid")
-    sigs = written(heads.select("node", "sig"), "sigs")
+    heads = sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid")
+    sigs = written(heads.select("node", "sig", "n"), "sigs")
     bands = heads.select("node", F.explode("bands").alias("bucket"))
-    centres = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    members = written(bands.join(centres, "bucket"), "members")
-    near = (threshold / 100) - SLACK
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return written(both.where(similarity(F.col("sa"), F.col("sb")) >= near).select("a", "b"), "pairs")
-
-    stars = likely(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    links = confirmed(stars, nodes, sketch, threshold)
-    labels = components(links)
-
-    # Round two: members of one bucket that are still apart.
-    placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("bucket", "size")
-    # The centre has met every member already.
-    rest = placed.where("node != centre").select("bucket", "node", "label").join(apart, "bucket").join(sigs, "node")
-    rest = written(rest.select("bucket", "node", "label", "sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "rest")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = [F.col("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    left = spread.where("own <= other").select(*cell, F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-    right = spread.where("own >= other").select(*cell, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"))
-    across = left.join(right, ["bucket", "i", "j"]).where(F.col("la") != F.col("lb")).where(similarity(F.col("sa"), F.col("sb")) >= near)
-    more = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    labels = components(links.union(confirmed(more, nodes, sketch, threshold)))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    members = written(bands.join(shared, "bucket"), "members")
+
+    def near(a: str, b: str) -> Column:
+        sizes = 100 * F.least(f"n{a}", f"n{b}") >= threshold * F.greatest(f"n{a}", f"n{b}")
+        return sizes & (similarity(F.col(f"s{a}"), F.col(f"s{b}")) >= threshold / 100 - SLACK)
+
+    def side(x: str) -> DataFrame:
+        return sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    done = links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, label long")
+    for k in range(STAR_ROUNDS):
+        placed = written(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)), F.lit(k)).alias("rank")), "placed")
+        centres = placed.groupBy("bucket").agg(F.min(F.struct("rank", "node", "label")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("theirs"))
+        pairs = placed.join(centres, "bucket").where("label != theirs").select(*ordered("node", "centre")).distinct().join(done, ["a", "b"], "left_anti")
+        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b"), "pairs")
+        new = confirmed(pairs, nodes, sketch, threshold)
+        done, links = done.union(pairs), links.union(new)
+        found, tried = new.count(), pairs.count()
+        if found:
+            labels = components(links)
+        if found * 20 < tried or not found:
+            break
+
+    families = components(done).withColumnRenamed("label", "family")
+    placed = members.join(labels, "node", "left").join(families, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("family", "node").alias("family"))
+    apart = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rest = written(placed.join(apart, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "rest")
+    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+
+    single = rest.select("node", "label", "family").distinct()
+    mixed = single.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    known = written(single.join(mixed, "family").join(nodes.select("node", "uid"), "node"), "known")
+
+    def widen(batches):
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            wide = [packed(minima(shingles(expand.decompress(b).split(b" ")), WIDE)).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["uid", "wide"])
+
+    wide = sketch.select("uid", "body").join(known.select("uid"), "uid").mapInArrow(widen, "uid long, wide binary")
+    wide = written(known.join(wide, "uid").join(sigs.select("node", "n"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "wide")
+    cells = wide.select("*", others).select("family", *cell, "own", "node", "label", "n", "wide")
+    within = cells.groupBy("family", "i", "j").applyInArrow(lambda t: near_in_cell(t, threshold), "a long, b long")
+
+    spread = rest.select("*", others)
+    x = spread.where("own <= other").select("bucket", *cell, F.col("node").alias("x"), F.col("family").alias("fx"))
+    y = spread.where("own >= other").select("bucket", *cell, F.col("node").alias("y"), F.col("family").alias("fy"))
+    strangers = x.join(y, ["bucket", "i", "j"]).where((F.col("fx") != F.col("fy")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))).select(*ordered("x", "y")).distinct()
+    strangers = strangers.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b")
+    more = written(within.union(strangers).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    new = confirmed(more, nodes, sketch, threshold)
+    if not new.isEmpty():
+        labels = components(links.union(new))
 
     own = nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     named = own.join(own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("node", "component_id")
