@@ -1,4 +1,6 @@
-"""Binds the operators to the tables: one query for each."""
+"""All queries of the library but those of the text operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import ingest, relational, waves  # noqa: F401  (they register themselves)
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
