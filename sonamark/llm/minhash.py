@@ -265,11 +265,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = wide.select("*", others).select("family", *cell, "own", "node", "label", "n", "wide")
     within = cells.groupBy("family", "i", "j").applyInArrow(lambda t: near_in_cell(t, threshold), "a long, b long")
 
-    spread = rest.select("*", others)
-    x = spread.where("own <= other").select("bucket", *cell, F.col("node").alias("x"), F.col("family").alias("fx"))
-    y = spread.where("own >= other").select("bucket", *cell, F.col("node").alias("y"), F.col("family").alias("fy"))
-    strangers = x.join(y, ["bucket", "i", "j"]).where((F.col("fx") != F.col("fy")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))).select(*ordered("x", "y")).distinct()
-    strangers = strangers.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b")
+    mixed = rest.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("bucket")
+    spread = rest.join(mixed, "bucket").join(sigs, "node").select("*", others)
+    x = spread.where("own <= other").select("bucket", *cell, *(F.col(c).alias(f"{k}x") for c, k in (("node", ""), ("family", "f"), ("sig", "s"), ("n", "n"))))
+    y = spread.where("own >= other").select("bucket", *cell, *(F.col(c).alias(f"{k}y") for c, k in (("node", ""), ("family", "f"), ("sig", "s"), ("n", "n"))))
+    once = (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
+    strangers = x.join(y, ["bucket", "i", "j"]).where((F.col("fx") != F.col("fy")) & once & near("x", "y")).select(*ordered("x", "y"))
     more = written(within.union(strangers).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     new = confirmed(more, nodes, sketch, threshold)
     if not new.isEmpty():
