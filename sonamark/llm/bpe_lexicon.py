@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, tokenizer_path
+from .common import arrow_rows, most_frequent, tokenizer_path, written
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words in the lexicon, and their longest; together they bound what is broadcast.
@@ -240,7 +240,7 @@ def coder(path: str, block: bytes) -> tuple[WordBpe, Memo, list[str]]:
 
 
 def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, ties by the word; none longer than LONGEST bytes."""
+    """The most frequent words of all documents, at most so many; none longer than LONGEST bytes."""
 
     def count(batches):
         bpe, seen = word_bpe(path), Counter()
@@ -258,8 +258,8 @@ def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> li
         yield rows()
 
     counts = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(count, "word binary, n long")
-    top = counts.where(F.octet_length("word").between(1, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(r.word).decode("utf-8", "surrogateescape") for r in top.select("word").collect()]
+    counts = written(counts.where(F.octet_length("word").between(1, LONGEST)).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return [bytes(r.word).decode("utf-8", "surrogateescape") for r in most_frequent(counts, "n", words).select("word").collect()]
 
 
 def lexicon_for(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:

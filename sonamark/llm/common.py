@@ -57,3 +57,17 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """At most limit rows: those with the highest counts, as many whole steps of an eighth of a doubling as fit. The steps are counted first (a few
+    hundred rows), so no task sends more rows to the driver than the result has."""
+    step = F.floor(F.log2(F.col(count)) * 8)
+    sizes = counts.where(F.col(count) > 0).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    least, total = None, 0
+    for r in sorted(sizes, reverse=True):
+        total += r.n
+        if total > limit:
+            break
+        least = r.step
+    return counts.where((F.col(count) > 0) & (step >= least)) if least is not None else counts.where(F.lit(False))

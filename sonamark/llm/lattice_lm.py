@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_lexicon import VOCABULARY, byte_chars
-from .common import arrow_rows, crc_mod, tokenizer_path, words_of, written
+from .common import arrow_rows, crc_mod, most_frequent, tokenizer_path, words_of, written
 
 MODULUS, HELD_OUT = 7, 2
 #: Classes at most; rarer labels share the last.
@@ -250,7 +250,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doubles = ", ".join(f"{x} double" for x in lps)
     scored = written(words.select("word", *own).mapInArrow(score, f"word binary, c long, base double, {doubles}"), "scored")
     arrow_rows(spark)
-    top = scored.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(HOT).toPandas()
+    top = most_frequent(scored.where(F.octet_length("word") <= HOT_BYTES), "c", HOT).toPandas()
     hot = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, np.column_stack([top["c"] > 0, top["base"], *(top[x] for x in lps)]).astype(float)))
 
     def sums(batches):
