@@ -23,7 +23,8 @@ def test_stages(spark):
     for i, t in texts.items():
         groups.setdefault(t.translate({c: c + 32 for c in range(65, 91)}), []).append(i)
     assert ids[1] == {max(v) for v in groups.values()}
-    sets = {i: {tuple((w := words_of(texts[i]))[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in ids[1]}
+    words = {i: words_of(texts[i]) for i in ids[1]}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
     near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
     assert not any(near(a, b) for a in ids[2] for b in ids[2] if a < b)
     assert all(any(near(a, b) for b in ids[1] if b != a) for a in ids[1] - ids[2])
