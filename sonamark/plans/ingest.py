@@ -1 +1,168 @@
+"""Queries of the sources, sinks, stream and catalogue. Texts to parse are rendered from the tables by Spark."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import names as N
+from ..operators import ranking, statistics, waveform
+from ..operators.offsets import prefix_sums
+from ..sources import captures, store
+from ..streaming.incremental import incremental
+from .registry import DEVICES, SHOTS, devices, query, rounded, shots, table
+from .waves import DT, LONG, records
+
+LABELS = ["_EVENT_", "_MFGR_", "_SUPPRESSOR_", "_CAL_", "_CART_", "PkPr", "dB", "PkPr", "shots", "weight", "len", "maxdia"]
+MICS = ["", "", "", "", "", "ML", "ML", "SE", "", "", "", ""]
+
+
+@query("S01_summary", f"""with r as (select *, run % 9 = 0 hole from {DEVICES}), u as (select run, maker, model, host, weight, 'ML' mic, 'peak_pressure_pa' metric, price as value from r union all select run, maker, model, host, weight, 'ML', 'peak_db', case when hole then null else sem end from r union all select run, maker, model, host, weight, 'SE', 'peak_pressure_pa', weight from r)
+    select run::varchar as "event", maker, model device, '.30' caliber, host cartridge, mic, metric, round(value, 6) as value, 5.0::double shots, weight, null::double len, 1.5::double maxdia from u""")
+def s01(s, d):
+    text = [F.col("run").cast("string"), "maker", "model", F.lit(".30"), "host", F.col("price").cast("string"), F.when(F.col("run") % 9 == 0, "1d").otherwise(F.col("sem").cast("string")), F.col("weight").cast("string"), F.lit("5"), F.col("weight").cast("string"), F.lit("0.0"), F.lit("1.5")]
+    return rounded(captures.parse_summary(devices(s, d).select(F.array(*text).alias("cells")), "cells", MICS, LABELS), "value")
+
+
+def exports(s, d):
+    """A capture export for each record, with a damaged token in some and an undefined tail in others."""
+    tail = F.when(F.col("label") == 3, 70).otherwise(0)
+    rows = F.transform("samples", lambda p, i: F.concat_ws("\t", (i + 1).cast("string"), F.format_string("  %.10e", (i * DT)), F.when((F.col("label") == 4) & (i == 7), "bad").otherwise(F.concat(F.lit(" "), F.round(p, 3).cast("string")))))
+    more = F.transform(F.sequence(F.lit(1), F.greatest(tail, F.lit(1))), lambda k: F.concat_ws("\t", (k + 64).cast("string"), F.lit("0"), F.lit("Undefined")))
+    data = F.when(tail > 0, F.concat(rows, more)).otherwise(rows)
+    head = F.array(F.lit("X-Axis size:\t64\t "), F.lit("X-Axis delta:\t2.5e-05"), F.lit("X-Axis first value:\t \t0"), F.lit("dBReference:\t2e-05"), F.lit("Date:\t3/7/2024"), F.lit("Time:\t10:11:12:345"))
+    foot = F.array(F.lit("TagsBegin:"), F.lit("OverLoad:\t \tFalse"), F.lit("TagsEnd:"))
+    return records(s, d).select(F.col("id").cast("string").alias("path"), F.array_join(F.concat(head, data, foot), "\r\n").alias("text"))
+
+
+@query("S03_captures", """select vec_id::varchar path, 64::int n, case when label = 3 then 70 else 0 end::int dropped_tail, label = 3 short_capture, false truncated, false index_inconsistent, case when label = 4 then 1 else 0 end::int defects, 40000.0::double sample_rate_hz, false overload, timestamp '2024-03-07 10:11:12.345' captured_at from embeddings""")
+def s03(s, d):
+    return captures.parse_captures(exports(s, d)).select("path", F.size("samples").alias("n"), "dropped_tail", "short_capture", "truncated", "index_inconsistent", F.size("defects").alias("defects"), F.round("sample_rate_hz", 6).alias("sample_rate_hz"), "overload", "captured_at")
+
+
+@query("S05_amplitudes", f"select id::varchar path, i, round(p, 3) p from {LONG} where not (label = 4 and i = 7)")
+def s05(s, d):
+    x = captures.parse_captures(exports(s, d)).select("path", F.posexplode("samples").alias("i", "p")).where(~F.isnan("p"))
+    return x.select("path", F.col("i").cast("long").alias("i"), F.round(F.col("p").cast("double"), 3).alias("p"))
+
+
+PATHS = f"(select run, '20240' || (101 + run % 9) || '/' || maker || '/' || model || ' (.30 on ' || host || ')/Shot ' || (run % 5 + 1) || '/Time Group_Expanded Time(Mil Left) - Input' || case when run % 4 = 0 then '.x' else '.txt' end path from {DEVICES})"
+
+
+def paths(s, d):
+    return devices(s, d).select("run", "maker", "model", "host", F.concat(F.lit("20240"), (101 + F.col("run") % 9).cast("string"), F.lit("/"), "maker", F.lit("/"), "model", F.lit(" (.30 on "), "host", F.lit(")/Shot "), (F.col("run") % 5 + 1).cast("string"), F.lit("/Time Group_Expanded Time(Mil Left) - Input"), F.when(F.col("run") % 4 == 0, ".x").otherwise(".txt")).alias("path"))
+
+
+@query("S09_member_paths", f"select run, (run % 5 + 1)::int shot, 'Time Group_Expanded Time(Mil Left) - Input' || case when run % 4 = 0 then '.x' else '.txt' end file from {DEVICES}")
+def s09(s, d):
+    p = N.member_parts("path")
+    return paths(s, d).select("run", p["shot"].alias("shot"), p["file"].alias("file"))
+
+
+@query("S10_run_dirs", f"select run, maker, model device, '.30' caliber, host cartridge, make_date(2024, 1, (1 + run % 9)::int) event_date from {DEVICES}")
+def s10(s, d):
+    x = paths(s, d).select("run", N.member_parts("path")["run_dir"].alias("dir"))
+    x = x.select("run", *(c.alias(k) for k, c in N.run_dir_parts("dir").items()))
+    return x.select("run", "maker", "device", "caliber", "cartridge", N.event_date("event").alias("event_date"))
+
+
+@query("S11_capture_files", f"select run, 'Mil Left' signal, 'ML' mic, case when run % 4 = 0 then 'x' else 'txt' end suffix, run % 4 = 0 excluded from {DEVICES}")
+def s11(s, d):
+    x = paths(s, d).select("run", N.member_parts("path")["file"].alias("file"))
+    return x.select("run", *(c.alias(k) for k, c in N.capture_file("file").items()))
+
+
+@query("S12_spec_files", f"select run::varchar path, model as name, nullif(weight, 11) length_in, price weight_oz, host caliber, 1.5::double max_diameter_in from {DEVICES}")
+def s12(s, d):
+    text = F.concat_ws("\r\n", "model", F.when(F.col("weight") == 11, "n/a").otherwise(F.col("weight").cast("string")), F.col("price").cast("string"), "host", F.lit("1.5"))
+    return captures.parse_specs(devices(s, d).select(F.col("run").cast("string").alias("path"), text.alias("text")))
+
+
+@query("S13_file_kinds", f"select case run % 4 when 0 then 'capture' when 1 then 'specs' when 2 then 'ignored' else 'unrecognised' end kind, count(*) n from {DEVICES} group by 1")
+def s13(s, d):
+    k = F.col("run") % 4
+    name = F.when(k == 0, "Time Group_Expanded Time(Mil Left) - Input.3").when(k == 1, "DNR Specs.txt").when(k == 2, ".DS_Store").otherwise(F.col("model"))
+    return devices(s, d).select(N.file_kind(name, F.lit("Shot 1")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("S14_aliases", f"select host target, list_sort(list(run)) aliases from {DEVICES} where run % 50 = 0 group by 1")
+def s14(s, d):
+    return devices(s, d).where("run % 50 = 0").groupBy(F.col("host").alias("target")).agg(F.array_sort(F.collect_list("run")).alias("aliases"))
+
+
+@query("S15_load_years", "select year(o_orderdate)::int as year, count(*) n from orders where o_orderkey % 2 = 0 or year(o_orderdate) = 1996 group by 1")
+def s15(s, d):
+    from .registry import tests
+
+    path, rows = store.fresh_folder(s, "years"), tests(s, d).select("run", "year", "value")
+    store.load_years(rows.where("run % 2 = 0"), path)
+    store.load_years(rows.where("year = 1996"), path, replace=True)
+    return s.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
+
+
+@query("S16_summary_only_runs", f"select run, run % 3 = 0 in_summary from {DEVICES}")
+def s16(s, d):
+    rows = devices(s, d).select("run", "maker")
+    return store.with_unmatched(rows.where("run % 3 <> 0"), rows, "run").select("run", "in_summary")
+
+
+@query("S17_view_export", f"select run, maker, price from {DEVICES}")
+def s17(s, d):
+    path = store.fresh_folder(s, "export") + ".csv"
+    store.export(devices(s, d).select("run", "maker", "price"), "v_run", path)
+    return s.read.option("header", True).schema("run long, maker string, price double").csv(path)
+
+
+@query("S18_sample_export", f"select id, round(0.001 + i * 0.000025, 9)::double time_s, round(p, 6) pressure_pa from {LONG}")
+def s18(s, d):
+    return rounded(store.sample_rows(records(s, d), "id", "samples", 0.001, DT).withColumn("time_s", F.round("time_s", 9)), "pressure_pa")
+
+
+@query("S19_content_version")
+def s19(s, d):
+    return store.version(devices(s, d), ["run", "maker", "price"])
+
+
+@query("S20_spectra")
+def s20(s, d):
+    return waveform.third_octaves(records(s, d), ["id"], "samples", DT).select("id", store.spectra_json(F.col("levels")).alias("spectrum"))
+
+
+@query("S21_provenance")
+def s21(s, d):
+    return store.provenance(s, f"{d}/embeddings.parquet")
+
+
+@query("R01_incremental_metrics")
+def r01(s, d):
+    raw = table(s, d, "embeddings")
+    source = s.readStream.schema(raw.schema).parquet(f"{d}/embeddings.parquet*")
+    stream = source.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 500).alias("samples"))
+    job = lambda b: waveform.shot_metrics(b, ["id"], "samples", DT, 40 * DT, 20 * DT, 8 * DT)
+    target, first, second = (store.fresh_folder(s, x) for x in ("metrics", "progress", "progress"))
+    incremental(s, stream, "id", job, target, first)
+    return incremental(s, stream, "id", job, target, second).select("id", "peak_pa", "peak_db")  # a second run adds nothing
+
+
+CATALOGUE = f"""with st as (select run, mic, count(value) n, avg(value) mean, stddev_samp(value) / sqrt(count(value)) se from {SHOTS} where not excluded group by all)
+    select p.run, maker || ' ' || model as name, host, round(max(mean) filter (mic = 'click'), 6) click, round(max(se) filter (mic = 'click'), 6) click_sem, round(max(mean) filter (mic = 'view'), 6) "view", rnk "rank" from (select *, row_number() over (partition by host order by price, run) rnk from {DEVICES}) p left join st using (run) group by p.run, maker, model, host, rnk"""
+
+
+@query("X01_catalogue", CATALOGUE)
+def x01(s, d):
+    st = statistics.run_statistics(shots(s, d), ["run", "mic"])
+    pick = lambda mic, c: F.max(F.when(F.col("mic") == mic, F.col(c)))
+    wide = st.groupBy("run").agg(pick("click", "mean").alias("click"), pick("click", "sem").alias("click_sem"), pick("view", "mean").alias("view"))
+    runs = ranking.rank_order(devices(s, d), ["host"], "price", "run")
+    out = runs.join(wide, "run", "left").select("run", N.full_name("maker", "model").alias("name"), "host", "click", "click_sem", "view", "rank")
+    return rounded(out, "click", "click_sem", "view")
+
+
+@query("X02_shot_table", f"select event_id, run, mic, shot, value from {SHOTS} where not excluded")
+def x02(s, d):
+    return shots(s, d).where("not excluded").select("event_id", "run", "mic", "shot", "value")
+
+
+@query("X03_waveform_index", """select vec_id id, 40 envelope_bytes, (coalesce(sum(20 + len(embedding) * 2) over (order by vec_id rows between unbounded preceding and 1 preceding), 0))::bigint "offset", 20 + len(embedding) * 2 frame_bytes from embeddings""")
+def x03(s, d):
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(40).alias("envelope_bytes"), (20 + F.size("embedding") * 2).cast("long").alias("frame_bytes"))
+    return prefix_sums(rows, "id", "frame_bytes", "offset")
