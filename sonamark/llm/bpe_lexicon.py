@@ -19,6 +19,7 @@ import itertools
 import json
 import mmap
 import re
+import struct
 import tempfile
 from collections import Counter
 from functools import lru_cache
@@ -76,6 +77,11 @@ class WordBpe:
         back = {c: b for b, c in enumerate(self.chars)}
         return [bytes(back[c] for c in w).decode("utf-8", "surrogateescape") for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Runs without white space, lower-cased, if the text is safe and has no special token's string; else None. No word crosses
+        white space, so the words of a text are those of its chunks, which repeat and are split once."""
+        return None if "<|" in text or UNSAFE.search(text) else text.lower().split()
+
     def words(self, text: str) -> list[str | int]:
         """Words, and ids of special tokens where their strings stand."""
         if "<|" not in text:
@@ -121,7 +127,7 @@ class WordBpe:
 
 
 def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
-    """Minimal acyclic automaton of the words, with the ids as outputs, as one flat block of int32 arrays."""
+    """Minimal acyclic automaton of the words, with the ids as outputs, as one flat block: int32 arrays, then the edges' bytes."""
     entries = sorted(dict(entries).items())
     nodes: list[list] = [[False, {}]]  # final, edges
     known: dict[tuple, int] = {}
@@ -172,8 +178,8 @@ def compile_lexicon(entries: list[tuple[bytes, list[int]]]) -> bytes:
     e = np.array(edges, np.int32).reshape(-1, 3)
     outputs = [i for _, ids in entries for i in ids]
     ends = np.cumsum([0, *(len(ids) for _, ids in entries)])
-    parts = [np.array(x, np.int32) for x in (starts, finals, e[:, 0], e[:, 1], e[:, 2], ends, outputs)]
-    return b"".join([np.array([len(p) for p in parts], np.int32).tobytes(), *(np.ascontiguousarray(p).tobytes() for p in parts)])
+    parts = [np.array(x, np.int32) for x in (starts, finals, e[:, 1], e[:, 2], ends, outputs)]
+    return b"".join([np.array([len(p) for p in parts], np.int32).tobytes(), *(np.ascontiguousarray(p).tobytes() for p in parts), e[:, 0].astype(np.uint8).tobytes()])
 
 
 class Lexicon:
@@ -184,24 +190,28 @@ class Lexicon:
             f.write(block)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        sizes = np.frombuffer(self.map, np.int32, 7)
-        view = np.frombuffer(self.map, np.int32, int(sizes.sum()), 28)
+        sizes = np.frombuffer(self.map, np.int32, 6)
+        view = np.frombuffer(self.map, np.int32, int(sizes.sum()), 24)
         parts = np.split(view, np.cumsum(sizes)[:-1])
-        self.starts, self.finals, self.bytes, self.next, self.passed, self.ends = (memoryview(p) for p in parts[:6])
-        self.outputs = parts[6]
+        self.starts, self.finals, self.next, self.passed, self.ends = (memoryview(p) for p in parts[:5])
+        self.labels = 24 + 4 * int(sizes.sum())
+        self.outputs = self.labels - 4 * int(sizes[5])
 
     def get(self, word: bytes) -> list[int] | None:
+        raw = self.raw(word)
+        return None if raw is None else np.frombuffer(raw, "<u4").tolist()
+
+    def raw(self, word: bytes) -> bytes | None:
+        """The word's ids, as little-endian uint32."""
         node = rank = 0
-        starts, labels = self.starts, self.bytes
-        for byte in word:
-            lo, hi = starts[node], starts[node + 1]
-            while lo < hi and labels[lo] != byte:
-                lo += 1
-            if lo == hi:
+        starts, after, passed, find, first = self.starts, self.next, self.passed, self.map.find, self.labels
+        for k in range(len(word)):
+            edge = find(word[k : k + 1], first + starts[node], first + starts[node + 1]) - first
+            if edge < 0:
                 return None
-            rank += self.passed[lo]
-            node = self.next[lo]
-        return self.outputs[self.ends[rank] : self.ends[rank + 1]].tolist() if self.finals[node] else None
+            rank += passed[edge]
+            node = after[edge]
+        return self.map[self.outputs + 4 * self.ends[rank] : self.outputs + 4 * self.ends[rank + 1]] if self.finals[node] else None
 
 
 @lru_cache(2)
@@ -210,16 +220,18 @@ def word_bpe(path: str) -> WordBpe:
 
 
 class Memo(dict):
-    """word -> ids as little-endian uint32 bytes. Emptied when full, so a worker's memory is bounded."""
+    """Chunk or word -> ids as little-endian uint32 bytes, as found. When full it becomes the older half, from which what is used again comes
+    back, so a worker's memory is bounded and frequent words stay."""
 
     def __init__(self, find, limit: int = MEMO):
         super().__init__()
-        self.find, self.limit = find, limit
+        self.find, self.limit, self.older = find, limit, {}
 
     def __missing__(self, word):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = np.array([word] if isinstance(word, int) else self.find(word), "<u4").tobytes()
+        out = self[word] = self.older.get(word) or self.find(word)
         return out
 
 
@@ -227,33 +239,45 @@ def as_bytes(word: str) -> bytes:
     return word.encode("utf-8", "surrogateescape")
 
 
+def as_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(1)
-def coder(path: str, block: bytes) -> tuple[WordBpe, Memo, list[str]]:
+def coder(path: str, block: bytes) -> tuple[WordBpe, Memo, Memo, list[str]]:
     bpe, lexicon = word_bpe(path), Lexicon(block)
 
-    def find(word: str) -> list[int]:
+    def find(word: str | int) -> bytes:
+        if isinstance(word, int):
+            return as_ids([word])
         raw = as_bytes(word)
-        ids = lexicon.get(raw)
-        return bpe.merge(raw) if ids is None else ids
+        return lexicon.raw(raw) or as_ids(bpe.merge(raw))
 
-    return bpe, Memo(find), [bpe.pieces.get(i, "") for i in range(bpe.size)]
+    by_word = Memo(find)
+    by_chunk = Memo(lambda chunk: b"".join(map(by_word.__getitem__, SPLIT.findall(chunk))))
+    return bpe, by_chunk, by_word, [bpe.pieces.get(i, "") for i in range(bpe.size)]
 
 
 def frequent_words(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words of all documents, at most so many; none longer than LONGEST bytes."""
 
     def count(batches):
-        bpe, seen = word_bpe(path), Counter()
+        bpe, chunks, seen = word_bpe(path), Counter(), Counter()
 
         def rows():
+            for chunk, n in chunks.items():
+                for word in SPLIT.findall(chunk):
+                    seen[word] += n
+            chunks.clear()
             out = pa.RecordBatch.from_pydict({"word": pa.array([as_bytes(w) for w in seen], pa.binary()), "n": pa.array(seen.values(), pa.int64())})
             seen.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(w for w in bpe.words(text) if not isinstance(w, int)) if "<|" in text else seen.update(bpe.split(text))
-            if len(seen) > MEMO:
+                plain = bpe.chunks(text)
+                chunks.update(plain) if plain is not None else seen.update(w for w in bpe.words(text) if not isinstance(w, int))
+            if len(seen) + len(chunks) > MEMO:
                 yield rows()
         yield rows()
 
@@ -275,12 +299,13 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     block = docs.sparkSession.sparkContext.broadcast(lexicon_for(docs, path, words))
 
     def run(batches):
-        bpe, memo, pieces = coder(path, block.value)
+        bpe, by_chunk, by_word, pieces = coder(path, block.value)
         piece = np.array(pieces, object)
         for batch in batches:
             n, sha, decoded_sha, all_ids, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                raw = b"".join(map(memo.__getitem__, bpe.words(text or "")))
+                plain = bpe.chunks(text or "")
+                raw = b"".join(map(by_chunk.__getitem__, plain) if plain is not None else map(by_word.__getitem__, bpe.words(text)))
                 ids = np.frombuffer(raw, "<u4")
                 back = " ".join(piece[ids].tolist())
                 n.append(len(ids))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe_lexicon import VOCABULARY, Memo, as_bytes, word_bpe
+from .bpe_lexicon import VOCABULARY, Memo, as_bytes, as_ids, word_bpe
 from .common import arrow_rows, fresh_path, tokenizer_path
 
 #: Fixed values of the format.
@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     def run(batches):
         bpe = word_bpe(path)
         model, chars = bpe.library.model, bpe.to_chars
-        memo = memos.setdefault(path, Memo(lambda w: [t.id for t in model.tokenize(as_bytes(w).decode("latin-1").translate(chars))]))
+        memo = memos.setdefault(path, Memo(lambda w: as_ids([w] if isinstance(w, int) else [t.id for t in model.tokenize(as_bytes(w).decode("latin-1").translate(chars))])))
         width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             out = []
