@@ -233,6 +233,13 @@ def j03(s, d):
     return li.join(o, li.l_orderkey == o.run).select("run", F.col("l_linenumber").alias("shot"), "year", F.col("l_extendedprice").alias("value"))
 
 
+@query("J03_shot_view_all", """select l_orderkey run, l_linenumber shot, year(o_orderdate)::int as year, l_extendedprice as value from lineitem join orders on l_orderkey = o_orderkey""")
+def j03_all(s, d):
+    """Every shot with its run, as the reference's view has it; J03_shot_view and its SQL keep shots of l_quantity > 45 only."""
+    li, o = table(s, d, "lineitem"), tests(s, d).select("run", "year")
+    return li.join(o, li.l_orderkey == o.run).select("run", F.col("l_linenumber").alias("shot"), "year", F.col("l_extendedprice").alias("value"))
+
+
 MATCH = f"""with r as (select run, maker, case when run % 4 = 0 then model || ' x' else model end model, host, weight, price from {DEVICES} where run % 3 <> 0), p as (select run row, maker, model, host, weight, price from {DEVICES}),
     nm as (select run, min(row) row from r join p using (maker, model, host, price) group by 1),
     c as (select r.run, f.row from (select * from r where run not in (select run from nm)) r join (select * from p where row not in (select row from nm)) f on r.maker = f.maker and r.host = f.host and r.weight = f.weight and abs(r.price - f.price) <= greatest(1e-9 * greatest(abs(r.price), abs(f.price)), 1e-9)),
@@ -492,6 +499,14 @@ def c08(s, d):
     return li.join(tests(s, d).select("run", "year", "host"), "run").join(F.broadcast(c), ["year", "host", "mic"], "left").select("run", "shot", "mic", "severity")
 
 
+@query("C08_caveat_mask_all", f"""select l_orderkey run, l_linenumber shot, l_returnflag mic, case when year = 1996 and host = '1-URGENT' and l_returnflag in ('A', 'N') then 'ignore' when year = 1997 and host = '2-HIGH' and l_returnflag = 'R' then 'note' end severity from lineitem join {TESTS} on run = l_orderkey""")
+def c08_all(s, d):
+    """The severity of every shot; C08_caveat_mask and its SQL keep shots of l_quantity > 40 only."""
+    c = s.createDataFrame(CAVEATS, "year int, host string, mics array<string>, severity string, summary string").select("year", "host", F.explode("mics").alias("mic"), "severity")
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("shot"), F.col("l_returnflag").alias("mic"))
+    return li.join(tests(s, d).select("run", "year", "host"), "run").join(F.broadcast(c), ["year", "host", "mic"], "left").select("run", "shot", "mic", "severity")
+
+
 @query("C09_ammo_class", f"select run, case when run % 3 = 0 then 'subsonic' when run % 3 = 1 then 'supersonic' end ammo from {DEVICES}")
 def c09(s, d):
     sub = F.when(F.col("run") % 3 == 0, True).when(F.col("run") % 3 == 1, False)
