@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -53,6 +56,12 @@ def a08(s, d):
     return rows.groupBy("host").agg(*(F.count_if(F.col("year") == y).alias(f"y{y}") for y in (1995, 1996, 1997)))
 
 
+@query("A08_runs_by_host_and_year", f"""select host, year, count(*) runs from {TESTS} group by all""")
+def a08_all(s, d):
+    """Every year that is present, in long form; A08_host_by_year and its SQL have columns for 1995 to 1997 only."""
+    return tests(s, d).groupBy("host", "year").agg(F.count("*").alias("runs"))
+
+
 @query("A09_maker_catalogue", f"""select maker, count(distinct model) models, list_sort(list(distinct host)) hosts, min(weight) lightest from {DEVICES} group by 1""")
 def a09(s, d):
     return devices(s, d).groupBy("maker").agg(F.countDistinct("model").alias("models"), F.array_sort(F.collect_set("host")).alias("hosts"), F.min("weight").alias("lightest"))
@@ -429,6 +438,15 @@ def u01(s, d):
     return t.where("year = 1995").unionByName(t.where("year = 1996"))
 
 
+@query("U01_accumulate_all_years", f"""select run, year, value from {TESTS}""")
+def u01_all(s, d):
+    """Appends each year that is present, undated runs too; U01_accumulate_years and its SQL have 1995 and 1996 only."""
+    t = tests(s, d).select("run", "year", "value")
+    years = [r.year for r in t.select("year").distinct().collect()]
+    parts = [t.where(F.col("year").eqNullSafe(F.lit(y).cast("int"))) for y in sorted(years, key=lambda y: (y is None, y))]
+    return functools.reduce(DataFrame.unionByName, parts, t.limit(0))
+
+
 @query("U02_union_of_bands", f"""select mic, shot % 16 as col, min(value) lo, max(value) hi from {SHOTS} group by all""")
 def u02(s, d):
     return shots(s, d).groupBy("mic", (F.col("shot") % 16).alias("col")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))

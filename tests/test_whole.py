@@ -21,3 +21,21 @@ def test_every_shot(spark):
     runs = {r.o_orderkey for r in read(spark, "orders").where((F.year("o_orderdate") == year) & (F.col("o_orderpriority") == host)).collect()}
     want = sum(r.l_orderkey in runs and r.l_returnflag in mics for r in read(spark, "lineitem").collect())
     assert want and QUERIES["C08_caveat_mask_all"](spark, SF).where(F.col("severity") == severity).count() == want
+
+
+def test_every_year(spark):
+    orders = read(spark, "orders").select("o_orderkey", F.year("o_orderdate").alias("year")).collect()
+    years = {r.year for r in orders}
+    assert len(years) > 3
+    runs = QUERIES["A08_runs_by_host_and_year"](spark, SF).collect()
+    assert sum(r.runs for r in runs) == len(orders) and {r.year for r in runs} == years
+    got = QUERIES["U01_accumulate_all_years"](spark, SF).collect()
+    assert sorted((r.run, r.year) for r in got) == sorted(map(tuple, orders))
+
+
+def test_years_of_odd_tables(spark, tmp_path):
+    """Undated runs stay, and no runs make no rows."""
+    o = read(spark, "orders")
+    o.limit(5).withColumn("o_orderdate", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate"))).write.parquet(f"{tmp_path}/some/orders.parquet")
+    o.limit(0).write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert [QUERIES["U01_accumulate_all_years"](spark, f"{tmp_path}/{k}").count() for k in ("some", "none")] == [5, 0]
