@@ -141,9 +141,9 @@ def similarity(a: Column, b: Column) -> Column:
     return (1 - differ / PERMUTATIONS - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, id, n_shingles, node, sig, bands, body): node names the set of shingles, body is the compressed words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def sketches(docs: DataFrame, id_col: str, text_col: str, uid_col: str | None = None) -> DataFrame:
+    """(uid, id, n_shingles, node, sig, bands, body): uid names the row, node the set of shingles; body is the compressed words."""
+    rows = docs.select((F.col(uid_col) if uid_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -207,10 +207,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
-    spark, sketch = docs.sparkSession, sketches(docs, id_col, text_col)
-    some = sketch.where(F.col("node").isNotNull())
+def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(node, least_id, label): label names the component of each node."""
+    spark, some = sketch.sparkSession, sketch.where(F.col("node").isNotNull())
     nodes = written(some.groupBy("node").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")), "nodes")
     heads = sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid")
     sigs = written(heads.select("node", "sig", "n"), "sigs")
@@ -276,7 +275,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not new.isEmpty():
         labels = components(links.union(new))
 
-    own = nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+    return nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    sketch = sketches(docs, id_col, text_col)
+    own, some = labelled(sketch, threshold), sketch.where(F.col("node").isNotNull())
     named = own.join(own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("node", "component_id")
     full = some.select("id", "n_shingles", "node").join(named, "node").select("id", "n_shingles", "component_id")
     out = full.union(sketch.where(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
@@ -284,7 +289,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, its columns unchanged."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_null")).distinct()
-    rows = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
-    return rows.join(kept, ["_key", "_null"], "left_semi").select(*docs.columns)
+    """docs with one row of each component, its columns unchanged: the one with the smallest id, whatever rows share that id; a null id stays only
+    where there is no other. Rows are told apart by a number that is written with them."""
+    rows = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
+    sketch = sketches(rows, "doc_id", "text", "_uid")
+    best = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
+    stay = best.join(labelled(sketch), "node").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("_uid"))
+    stay = stay.union(sketch.where(F.col("node").isNull()).select("uid"))
+    return rows.join(stay, "_uid", "left_semi").select(*docs.columns)
