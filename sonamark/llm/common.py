@@ -71,3 +71,28 @@ def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
             break
         least = r.step
     return counts.where((F.col(count) > 0) & (step >= least)) if least is not None else counts.where(F.lit(False))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Keys with more than this share of the rows of a join are split, so at most so many are.
+PIECES = 2000
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, like: DataFrame | None = None) -> DataFrame:
+    """rows joined with table, which has one row for each key. A key that many rows share is split by a hash of column `by` over as many
+    tasks as it has 1/PIECES of the rows; its row of the table goes to each. Split are fewer than PIECES keys, so their list is broadcast, and the
+    table gets fewer than 2 * PIECES rows more. Keys are counted in `like` (rows with the same keys, less wide), else in rows; pass written tables."""
+    keys = like if like is not None else rows
+    share = F.col("_n") * PIECES / F.lit(max(1, keys.count()))
+    hot = keys.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1000) & (share > 1) & F.col(key).isNotNull()).select(key, F.ceil(share).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
+    right = table.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")

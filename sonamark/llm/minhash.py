@@ -3,17 +3,18 @@
 1. One pass over the texts makes, for each document, its set of distinct word shingles (64-bit hashes), minima under PERMUTATIONS
    hashings, the low bits of the minima packed into longs, and a hash for each band of minima. Documents of equal sets
    are one node from here on, so thousands of copies cost one row.
-2. Candidates: nodes that share a band. In each band's bucket the members are first compared with one of them, its centre, so a bucket of m
-   members gives m - 1 pairs. The sizes of the sets must allow the threshold, and the packed low bits give a similarity, corrected for
-   chance collisions, by XOR and bit counts; pairs far below the threshold (by more than SLACK, 4.5 standard errors) go.
-3. The others are confirmed on the full sets. Confirmed links are joined into components. Steps 2 and 3 are repeated
-   with other centres, for members that are not in their centre's component yet, while that still joins anything much.
-4. Nodes that comparisons with centres tie together, confirmed or not, are a family. In families that still have several components,
-   all pairs across components are compared by wider signatures (WIDE minima), in cells of at most BLOCK x BLOCK nodes, so a large family
-   is spread over many tasks, and only the few pairs near the threshold leave a cell. Pairs of a bucket in different families are compared
-   as well. Then every pair of a bucket is either in one component or has been compared: no link is lost, and no group is written out as all its pairs.
-
-With 32 bands of four, a pair of similarity 0.75 shares no band with probability 5e-6.
+2. Candidates: nodes that share a band. The members of a band's bucket are compared with its centre, the member that shares most
+   and largest buckets, so m members give m - 1 pairs, and the buckets of one group choose the same centre. The sizes of the sets must allow
+   the threshold, and the packed low bits give a similarity, corrected for chance collisions, by XOR and bit counts; pairs far below the
+   threshold (by more than SLACK, 4.5 standard errors) go. The others are confirmed on the full sets, and confirmed links are joined into components.
+3. Nodes whose buckets still hold several components are compared across components by their rarest shingles. Two sets that are near enough
+   share one of the first shingles in the order of rarity (how many of these nodes have it, then the hash), and their places in the order bound how
+   much they can share. Shingles are paired only where the sizes fall into two given classes, since the sizes decide how far the order must be read. A
+   shingle that one component alone has makes no pair, and members of the component that most of a shingle's nodes belong to aren't paired among
+   themselves. This finds every link that the centres missed, whatever the size of a bucket; pairs are estimated and confirmed as in 2.
+
+With 32 bands of four, a pair of similarity 0.75 shares no band with probability 5e-6. Joins on a key that many rows may share (a group's centre, a
+component, a common shingle) are salted for the keys that have more than 1/PIECES of the rows.
 
 Nulls and texts without words have the empty set: n_shingles 0, linked with nothing, their own component. Fewer words than a
 shingle make one shingle of all of them. Null ids take part in links but name no component unless a component has no other id. Repeated
@@ -22,6 +23,7 @@ rows are copies of one another. Empty tables give empty results; columns other t
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -29,20 +31,18 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, words_of, written
+from .common import arrow_rows, fresh, split_join, words_of, written
 
 WORDS, THRESHOLD = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 4
 ROWS = PERMUTATIONS // BANDS
 LONGS = PERMUTATIONS * BITS // 64
 SLACK = 0.18
-BLOCK = 256
-#: Minima of the wider signatures, and what they allow under the threshold (4.5 standard errors).
-WIDE, WIDE_SLACK = 2048, 0.045
-#: Rounds with centres at most; orders of the members by which the buckets of a round choose their centres.
-STAR_ROUNDS, ORDERS = 6, 3
+#: Sizes of sets are classed by powers of this.
+CLASS = 1.05
 U = np.uint64
 
 
@@ -97,27 +97,6 @@ def packed(minimum: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(low.shape[1], dtype=U) * U(BITS)), axis=1).view(np.int64)
 
 
-def near_in_cell(cell: pa.Table, threshold: int) -> pa.Table:
-    """Pairs (a, b) across labels whose wide signatures come near the threshold; of one block with itself, or of two blocks."""
-    node, label, n, own, i, j = (cell.column(c).to_numpy() for c in ("node", "label", "n", "own", "i", "j"))
-    wide = np.stack([np.frombuffer(w.as_py(), U) for w in cell.column("wide")])
-    left, right = (np.flatnonzero(own == k[0]) for k in (i, j))
-    slots, out, least = U(sum(1 << (BITS * k) for k in range(64 // BITS))), [], threshold / 100 - WIDE_SLACK
-    chance = 2.0**-BITS
-    for x in left:
-        ys = right[(label[right] != label[x]) & (100 * np.minimum(n[right], n[x]) >= threshold * np.maximum(n[right], n[x]))]
-        ys = ys[node[ys] > node[x]] if i[0] == j[0] else ys
-        if len(ys):
-            d = wide[ys] ^ wide[x]
-            k = 1
-            while k < BITS:
-                d, k = d | (d >> U(k)), 2 * k
-            equal = 1 - np.bitwise_count(d & slots).sum(axis=1) / WIDE
-            out += [(node[x], node[y]) for y in ys[(equal - chance) / (1 - chance) >= least]]
-    a, b = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1).T
-    return pa.table({"a": a, "b": b})
-
-
 def band_hashes(minimum: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=U)
     for k in range(ROWS):
@@ -175,7 +154,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold:
     """Those pairs (a, b) whose full sets have 100 * intersection >= threshold * union; written."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "uid"), "node")
     bodies = written(sketch.select("uid", "body").join(wanted, "uid").select("node", "body"), "bodies")
-    both = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a").join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    both = split_join(pairs, bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a", "b")
+    both = split_join(both, bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b", "a", like=pairs)
 
     def run(batches):
         expand = zstandard.ZstdDecompressor()
@@ -197,103 +177,104 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(most_rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        stepped = labels.join(near, "node").select("node", F.least("label", "other").alias("step"), F.col("label").alias("was"))
+        near = split_join(edges, labels.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
+        stepped = written(labels.join(near, "node").select("node", F.least("label", "other").alias("step"), F.col("label").alias("was")), "stepped")
         jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
-        after = written(stepped.join(jump, "step", "left").select("node", F.least("step", "far").alias("label"), (F.least("step", "far") < F.col("was")).alias("moved")), "labels")
+        after = split_join(stepped, jump, "step", "node")
+        after = written(after.select("node", F.least("step", "far").alias("label"), (F.least("step", "far") < F.col("was")).alias("moved")), "labels")
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
 
+def size_class(n: Column) -> Column:
+    return F.floor(F.ln(n.cast("double")) / math.log(CLASS) + 1e-9).cast("int")
+
+
+def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of rest (node, label, n) of different labels that can have 100 * intersection >= threshold * union, by their rarest shingles."""
+
+    def unpack(batches):
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            sets = [shingles(expand.decompress(b).split(b" ")).view(np.int64) for b in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "n", "h"])
+
+    bodies = sketch.select("uid", "body").join(rest.join(nodes.select("node", "uid"), "node"), "uid").select("node", "label", "n", "body")
+    rows = written(bodies.mapInArrow(unpack, "node long, label long, n long, h array<long>"), "sets").select("node", "label", "n", F.explode("h").alias("h"))
+    rarity = written(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rarity")
+    # Shingles of one node only come first in its order, and make no pair.
+    own = W.partitionBy("node")
+    ranked = split_join(rows, rarity, "h", "node").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1)
+    # The set may have n * threshold / 100 to n * 100 / threshold shingles in common with others of such sizes: one row for each class of sizes.
+    least, most = F.ceil(F.col("n") * threshold / 100), F.floor(F.col("n") * 100 / threshold)
+    other = ranked.where(F.col("at") <= F.col("n") * (100 - threshold) / 100).withColumns({"c": size_class(F.col("n")), "o": F.explode(F.sequence(size_class(least), size_class(most)))})
+    smallest = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("o"))))
+    read = F.col("n") - F.ceil(threshold * (F.col("n") + smallest) / (100 + threshold))
+    key = ["h", "lo", "hi"]
+    firsts = written(other.where(F.col("at") <= read).select("h", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("larger"), "node", "label"), "firsts")
+    main = firsts.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    placed = written(firsts.join(main.drop("labels"), key).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+    x = placed.where("not is_main").select(*key, F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx"))
+    y = placed.select(*key, F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
+    sides = ((F.col("lo") == F.col("hi")) | (F.col("gx") != F.col("gy"))) & (F.col("is_main") | (F.col("x") < F.col("y")))
+    return x.join(y, key).where((F.col("lx") != F.col("ly")) & sides).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, least_id, label): label names the component of each node."""
-    spark, some = sketch.sparkSession, sketch.where(F.col("node").isNotNull())
+    some = sketch.where(F.col("node").isNotNull())
     nodes = written(some.groupBy("node").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")), "nodes")
     heads = sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid")
     sigs = written(heads.select("node", "sig", "n"), "sigs")
-    bands = heads.select("node", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = written(bands.join(shared, "bucket"), "members")
-
-    def near(a: str, b: str) -> Column:
-        sizes = 100 * F.least(f"n{a}", f"n{b}") >= threshold * F.greatest(f"n{a}", f"n{b}")
-        return sizes & (similarity(F.col(f"s{a}"), F.col(f"s{b}")) >= threshold / 100 - SLACK)
-
-    def side(x: str) -> DataFrame:
-        return sigs.select(F.col("node").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-
-    def ordered(a: str, b: str) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    done = links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
-    for k in range(STAR_ROUNDS):
-        placed = written(members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS)), F.lit(k)).alias("rank")), "placed")
-        centres = placed.groupBy("bucket").agg(F.min(F.struct("rank", "node", "label")).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.label").alias("theirs"))
-        pairs = placed.join(centres, "bucket").where("label != theirs").select(*ordered("node", "centre")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b"), "pairs")
-        new = confirmed(pairs, nodes, sketch, threshold)
-        done, links = done.union(pairs), links.union(new)
-        found, tried = new.count(), pairs.count()
-        if found:
-            labels = components(links)
-        if found * 20 < tried or not found:
-            break
-
-    families = components(done).withColumnRenamed("label", "family")
-    placed = members.join(labels, "node", "left").join(families, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"), F.coalesce("family", "node").alias("family"))
-    apart = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = written(placed.join(apart, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "rest")
-    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-
-    single = rest.select("node", "label", "family").distinct()
-    mixed = single.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("family", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    known = written(single.join(mixed, "family").join(nodes.select("node", "uid"), "node"), "known")
-
-    def widen(batches):
-        expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            wide = [packed(minima(shingles(expand.decompress(b).split(b" ")), WIDE)).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], names=["uid", "wide"])
-
-    wide = sketch.select("uid", "body").join(known.select("uid"), "uid").mapInArrow(widen, "uid long, wide binary")
-    wide = written(known.join(wide, "uid").join(sigs.select("node", "n"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "wide")
-    cells = wide.select("*", others).select("family", *cell, "own", "node", "label", "n", "wide")
-    within = cells.groupBy("family", "i", "j").applyInArrow(lambda t: near_in_cell(t, threshold), "a long, b long")
-
-    mixed = rest.groupBy("bucket").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo < hi").select("bucket")
-    spread = rest.join(mixed, "bucket").join(sigs, "node").select("*", others)
-    x = spread.where("own <= other").select("bucket", *cell, *(F.col(c).alias(f"{k}x") for c, k in (("node", ""), ("family", "f"), ("sig", "s"), ("n", "n"))))
-    y = spread.where("own >= other").select("bucket", *cell, *(F.col(c).alias(f"{k}y") for c, k in (("node", ""), ("family", "f"), ("sig", "s"), ("n", "n"))))
-    once = (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
-    strangers = x.join(y, ["bucket", "i", "j"]).where((F.col("fx") != F.col("fy")) & once & near("x", "y")).select(*ordered("x", "y"))
-    more = written(within.union(strangers).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    bands = written(heads.select("node", F.explode("bands").alias("bucket")), "bands")
+    shared = written(bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    members = written(split_join(bands, shared, "bucket", "node"), "members")
+
+    def estimated(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose sizes and packed low bits allow the threshold; written."""
+        pairs = written(pairs, f"{name}-all")
+        for k, x, other in (("a", "x", "b"), ("b", "y", "a")):
+            pairs = split_join(pairs, sigs.select(F.col("node").alias(k), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")), k, other)
+        sizes = 100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
+        return written(pairs.where(sizes & (similarity(F.col("sx"), F.col("sy")) >= threshold / 100 - SLACK)).select("a", "b"), name)
+
+    common = written(members.groupBy("node").agg(F.struct(F.sum(F.ln("m")).alias("weight"), "node").alias("rank")), "common")
+    placed = written(members.join(common, "node").select("bucket", "node", "rank"), "ranked")
+    centres = placed.groupBy("bucket").agg(F.max("rank").alias("c")).select("bucket", F.col("c.node").alias("centre"))
+    stars = split_join(placed.select("bucket", "node"), centres, "bucket", "node").where("node != centre")
+    pairs = estimated(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    links = confirmed(pairs, nodes, sketch, threshold)
+    labels = components(links)
+
+    owned = written(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "owned")
+    mixed = owned.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    rest = split_join(owned, mixed, "bucket", "node").select("node", "label").distinct().join(sigs.select("node", "n"), "node")
+    more = estimated(across(written(rest, "rest"), nodes, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
     new = confirmed(more, nodes, sketch, threshold)
     if not new.isEmpty():
         labels = components(links.union(new))
-
-    return nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
+    return written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     sketch = sketches(docs, id_col, text_col)
-    own, some = labelled(sketch, threshold), sketch.where(F.col("node").isNotNull())
-    named = own.join(own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label").select("node", "component_id")
-    full = some.select("id", "n_shingles", "node").join(named, "node").select("id", "n_shingles", "component_id")
+    own, some = labelled(sketch, threshold), sketch.where(F.col("node").isNotNull()).select("id", "n_shingles", "node")
+    named = split_join(own, own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label", "node").select("node", "component_id")
+    full = split_join(some, named, "node", "id").select("id", "n_shingles", "component_id")
     out = full.union(sketch.where(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its columns unchanged: the one with the smallest id, whatever rows share that id; a null id stays only
-    where there is no other. Rows are told apart by a number that is written with them."""
-    rows = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
-    sketch = sketches(rows, "doc_id", "text", "_uid")
+    where there is no other. Rows are told apart by a number that is written with them, in a column whose name no column of docs has."""
+    number = fresh(docs, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    sketch = sketches(rows, "doc_id", "text", number)
     best = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
-    stay = best.join(labelled(sketch), "node").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.uid").alias("_uid"))
+    stay = best.join(labelled(sketch), "node").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.uid").alias(number))
     stay = stay.union(sketch.where(F.col("node").isNull()).select("uid"))
-    return rows.join(stay, "_uid", "left_semi").select(*docs.columns)
+    return rows.join(stay, number, "left_semi").select(*docs.columns)
