@@ -11,7 +11,9 @@
    share one of the first shingles in the order of rarity (how many of these nodes have it, then the hash), and their places in the order bound how
    much they can share. Shingles are paired only where the sizes fall into two given classes, since the sizes decide how far the order must be read. A
    shingle that one component alone has makes no pair, and members of the component that most of a shingle's nodes belong to aren't paired among
-   themselves. This finds every link that the centres missed, whatever the size of a bucket; pairs are estimated and confirmed as in 2.
+   themselves; pairs are estimated and confirmed as in 2. Where more than FEW members of that component have the shingle, its other nodes are not paired with
+   each of them either: a node and the component become one row, and the node's full set meets the members' full sets in cells of at most CELL
+   shingles a side, which put out links only. This finds every link that the centres missed, whatever the size of a bucket.
 
 With 32 bands of four, a pair of similarity 0.75 shares no band with probability 5e-6. Joins on a key that many rows may share (a group's centre, a
 component, a common shingle) are salted for the keys that have more than 1/PIECES of the rows.
@@ -43,6 +45,8 @@ LONGS = PERMUTATIONS * BITS // 64
 SLACK = 0.18
 #: Sizes of sets are classed by powers of this.
 CLASS = 1.05
+#: Members of one component that a shingle may pair one by one; shingles on either side of a cell (a set alone may have more).
+FEW, CELL = 32, 2_000_000
 U = np.uint64
 
 
@@ -192,8 +196,29 @@ def size_class(n: Column) -> Column:
     return F.floor(F.ln(n.cast("double")) / math.log(CLASS) + 1e-9).cast("int")
 
 
-def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of rest (node, label, n) of different labels that can have 100 * intersection >= threshold * union, by their rarest shingles."""
+def in_cell(x: pa.Table, y: pa.Table, threshold: int) -> pa.Table:
+    """Pairs (a, b) of a node of x and one of y whose full sets are near enough, by an index of y's shingles."""
+    out = []
+    if x.num_rows and y.num_rows:
+        sets = [v.values.to_numpy() for v in y.column("g")]
+        n, nodes = np.array([len(v) for v in sets]), y.column("node").to_numpy()
+        all_of, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(all_of, kind="stable")
+        all_of, owner = all_of[order], owner[order]
+        for node, own in zip(x.column("node").to_pylist(), (v.values.to_numpy() for v in x.column("h"))):
+            first, last = np.searchsorted(all_of, own), np.searchsorted(all_of, own, "right")
+            size = last - first
+            at = np.repeat(last - np.cumsum(size), size) + np.arange(size.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            near = 100 * shared >= threshold * (len(own) + n - shared)
+            out += [(min(node, other), max(node, other)) for other in nodes[near].tolist()]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.table({"a": a, "b": b})
+
+
+def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int, few: int = FEW, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """For rest (node, label, n): pairs (a, b) of different labels that can have 100 * intersection >= threshold * union, by their rarest shingles; and
+    links (a, b) that do have it, between nodes and large labels. Together no link is missing."""
 
     def unpack(batches):
         expand = zstandard.ZstdDecompressor()
@@ -202,11 +227,13 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "label", "n", "h"])
 
     bodies = sketch.select("uid", "body").join(rest.join(nodes.select("node", "uid"), "node"), "uid").select("node", "label", "n", "body")
-    rows = written(bodies.mapInArrow(unpack, "node long, label long, n long, h array<long>"), "sets").select("node", "label", "n", F.explode("h").alias("h"))
+    sets = written(bodies.mapInArrow(unpack, "node long, label long, n long, h array<long>"), "sets")
+    rows = sets.select("node", "label", "n", F.explode("h").alias("h"))
     rarity = written(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "rarity")
     # Shingles of one node only come first in its order, and make no pair.
     own = W.partitionBy("node")
-    ranked = split_join(rows, rarity, "h", "node").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1)
+    common = split_join(rows, rarity, "h", "node", sizes=rarity.select("h", F.col("df").alias("_n")))
+    ranked = common.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")) - 1)
     # The set may have n * threshold / 100 to n * 100 / threshold shingles in common with others of such sizes: one row for each class of sizes.
     least, most = F.ceil(F.col("n") * threshold / 100), F.floor(F.col("n") * 100 / threshold)
     other = ranked.where(F.col("at") <= F.col("n") * (100 - threshold) / 100).withColumns({"c": size_class(F.col("n")), "o": F.explode(F.sequence(size_class(least), size_class(most)))})
@@ -214,12 +241,26 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int)
     read = F.col("n") - F.ceil(threshold * (F.col("n") + smallest) / (100 + threshold))
     key = ["h", "lo", "hi"]
     firsts = written(other.where(F.col("at") <= read).select("h", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("larger"), "node", "label"), "firsts")
-    main = firsts.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    placed = written(firsts.join(main.drop("labels"), key).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+    main = firsts.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    main = main.select(*key, F.col("top.label").alias("main"), (F.col("top.m") > few).alias("large"))
+    placed = written(firsts.join(main, key).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+
     x = placed.where("not is_main").select(*key, F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx"))
-    y = placed.select(*key, F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
+    y = placed.where("not (is_main and large)").select(*key, F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
     sides = ((F.col("lo") == F.col("hi")) | (F.col("gx") != F.col("gy"))) & (F.col("is_main") | (F.col("x") < F.col("y")))
-    return x.join(y, key).where((F.col("lx") != F.col("ly")) & sides).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = x.join(y, key).where((F.col("lx") != F.col("ly")) & sides).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    asked = written(placed.where("large and not is_main").select("node", F.col("main").alias("label")).distinct().join(rest.select("node", "n"), "node"), "asked")
+    blocks = lambda df, name: df.groupBy("label").agg(F.ceil(F.sum("n") / cell).cast("int").alias(name))
+    cells = written(blocks(asked, "bx").join(blocks(rest, "by"), "label"), "cells")
+    piece = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = split_join(asked, cells, "label", "node").select("node", "label", piece("bx").alias("i"), each("by").alias("j"))
+    right = split_join(rest, cells, "label", "node").select("node", "label", each("bx").alias("i"), piece("by").alias("j"))
+    full = [sets.select(F.col("node").alias("node"), F.col("h").alias(h)) for h in "hg"]  # of two names, since the sides are one table
+    grouped = [df.join(f, "node").select(*(F.col(c).alias(c) for c in ("label", "i", "j", "node")), F.col(f.columns[1])).groupBy("label", "i", "j") for df, f in zip((left, right), full)]
+    links = grouped[0].cogroup(grouped[1]).applyInArrow(lambda a, b: in_cell(a, b, threshold), "a long, b long").distinct()
+    return pairs, links
 
 
 def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -251,8 +292,10 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     owned = written(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "owned")
     mixed = owned.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rest = split_join(owned, mixed, "bucket", "node").select("node", "label").distinct().join(sigs.select("node", "n"), "node")
-    more = estimated(across(written(rest, "rest"), nodes, sketch, threshold).join(pairs, ["a", "b"], "left_anti"), "more")
-    new = confirmed(more, nodes, sketch, threshold)
+    pairs_left, found = across(written(rest, "rest"), nodes, sketch, threshold)
+    found = written(found, "found")
+    more = estimated(pairs_left.join(pairs, ["a", "b"], "left_anti"), "more")
+    new = confirmed(more, nodes, sketch, threshold).union(found)
     if not new.isEmpty():
         labels = components(links.union(new))
     return written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
