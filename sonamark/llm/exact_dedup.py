@@ -1,61 +1,76 @@
 """Exact dedup: tree merge of sorted digest runs, in DataFrame operations only.
 
-Every row gets a run number. Level 0 reduces each run to one entry for each digest; then runs meet in rounds, as in a
-binomial tree but `fan_in` at a time: round k groups entries whose run numbers agree after division by fan_in**k. A merged
-entry keeps the identifier that stays and the number of rows behind it. An entry is merged only with entries that agree in
-SHA-256 and, as a check on it, in byte length and xxhash64. So a text with millions of copies reaches the last round as at most
-`fan_in` entries: no group of copies is ever gathered in one task.
+Every row gets a run number, that of its partition. Level 0 reduces each run, within its partition, to one entry for each digest. Then runs meet in
+rounds, as in a binomial tree but `fan_in` at a time: round k brings the runs together whose numbers agree after division by fan_in**k, sorts
+their entries by digest, and merges neighbours of one digest. A run is cut into segments by the leading bits of the digest, and segments are merged by
+tasks of their own, so the last round has as many tasks as the first. A merged entry keeps the identifier that stays and the number of
+rows behind it. Entries merge only where they agree in SHA-256 and, as a check on it, in byte length and xxhash64. A text with millions of
+copies is `fan_in` entries in a round at most: no group of copies is ever gathered in one task. When rows meet their groups
+again, digests of many rows are salted.
 
 Nulls: a null text counts as empty. A null id stays only where its group has no other id; it then stands for the group.
-Repeated rows (same id, same text) count in group_size and share `kept`. Empty tables give empty results. Input columns
+Repeated rows (same id, same text) count in group_size and share `kept`. Very long texts are only hashed. Empty tables give empty results. Input columns
 other than the two named are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lower_ascii, written
+from .common import fresh, lower_ascii, split_join, written
 
 KEY = ["sha", "n_bytes", "xx"]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sha, n_bytes, xx) of the normalised text of each row."""
-    norm = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    return norm.select("id", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), F.octet_length("t").alias("n_bytes"), F.xxhash64("t").alias("xx"))
+def digests(docs: DataFrame, best: Column, text: Column) -> DataFrame:
+    """(best, sha, n_bytes, xx) of the normalised text of each row; best orders the rows of a group."""
+    norm = docs.select(best.alias("best"), lower_ascii(F.coalesce(text, F.lit(""))).alias("t"))
+    return norm.select("best", F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha"), F.octet_length("t").alias("n_bytes"), F.xxhash64("t").alias("xx"))
 
 
-def merge_runs(rows: DataFrame, runs: int, fan_in: int = 8, keep: str = "max") -> DataFrame:
-    """rows (id, KEY) -> one row (KEY, keep_id, group_size) for each distinct text, merged level by level."""
-    best = F.max if keep == "max" else F.min
-    level = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs))).groupBy("run", *KEY).agg(best("id").alias("keep_id"), F.count("*").alias("group_size"))
+def merge_runs(rows: DataFrame, runs: int, segments: int, fan_in: int = 8, keep: str = "max") -> DataFrame:
+    """rows (best, KEY) -> one row (KEY, best, group_size) for each distinct text, merged level by level."""
+    segment = F.shiftright(F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long") * segments, 32).cast("int")
+    level = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(runs))).groupBy("run", *KEY).agg((F.max if keep == "max" else F.min)("best").alias("best"), F.count("*").alias("group_size"))
+    level = level.withColumn("segment", segment)
     while runs > 1:
         runs = -(-runs // fan_in)
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return level.drop("run")
+        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).repartition(segments, "run", "segment")
+        same = W.partitionBy("run", "segment", *KEY)
+        first = F.row_number().over(same.orderBy(F.desc_nulls_last("best") if keep == "max" else F.asc_nulls_last("best")))
+        level = level.sortWithinPartitions("run", "segment", *KEY).withColumns({"first": first, "group_size": F.sum("group_size").over(same)}).where("first = 1").drop("first")
+    return level.drop("run", "segment")
+
+
+def grouped(rows: DataFrame, fan_in: int = 8, keep: str = "max") -> DataFrame:
+    """merge_runs of written rows; the table is written."""
+    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return written(merge_runs(rows, max(2, min(fan_in**2, partitions)), partitions, fan_in, keep), "merged")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 8) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (of the text with A-Z lower-cased)."""
-    spark = docs.sparkSession
-    rows = written(digests(docs, id_col, text_col), "digests")
-    runs = max(1, min(fan_in**2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = merge_runs(rows, runs, fan_in, keep).withColumnRenamed("n_bytes", "nb").withColumnRenamed("xx", "x")
-    # A group of copies may hold a third of the rows, all on one key of this join. Its side is split by Spark (AQE); the other has one row.
-    out = rows.join(merged, "sha").where((F.col("nb") == F.col("n_bytes")) & (F.col("x") == F.col("xx")))
+    rows = written(digests(docs, F.col(id_col), F.col(text_col)).withColumnRenamed("best", "id"), "digests")
+    merged = grouped(rows.withColumnRenamed("id", "best"), fan_in, keep).select("sha", F.col("n_bytes").alias("nb"), F.col("xx").alias("x"), F.col("best").alias("keep_id"), "group_size")
+    out = split_join(rows, merged, "sha", "id", sizes=merged.select("sha", F.col("group_size").alias("_n"))).where((F.col("nb") == F.col("n_bytes")) & (F.col("x") == F.col("xx")))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_exact(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """docs with one row of each group of equal texts, its columns unchanged. Repeated ids of equal texts leave one row."""
-    kept = exact_duplicates(docs, keep=keep).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_null"), F.unhex("text_sha256").alias("_sha")).distinct()
-    return keep_rows(docs, kept)
+def hashable(field: T.StructField) -> Column:
+    """The column, as JSON where it may hold maps, which have no hash."""
+    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(f"`{field.name}`")
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs that kept (_key, _null, _sha) names, one for each of its rows."""
-    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull(), "_sha": F.unhex(F.sha2(text.cast("binary"), 256))})
-    return rows.join(kept, ["_key", "_null", "_sha"], "left_semi").dropDuplicates(["_key", "_null", "_sha"]).select(*docs.columns)
+def drop_exact(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of equal texts, its columns unchanged: the one with the largest id (a null id only where there is no other).
+    Of rows that repeat both, the one with the largest hash of all columns stays, so runs agree. Rows are told apart by a
+    number that is written with them, in a column whose name no column of docs has."""
+    number = fresh(docs, "row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    order = F.col(id_col) if keep == "max" else -F.col(id_col)
+    best = F.struct(F.col(id_col).isNotNull().alias("has_id"), order.alias("id"), F.xxhash64(*map(hashable, docs.schema.fields)).alias("whole"), F.col(number).alias("number"))
+    stay = grouped(written(digests(rows, best, F.col(text_col)), "digests")).select(F.col("best.number").alias(number))
+    return rows.join(stay, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
