@@ -9,7 +9,8 @@ Documents are dealt at random (by hash) to groups of about GROUP rows, whatever
 task of its own; a hot source is spread over all groups. Packing loses at most a partly filled bin tail for each group.
 
 A null text has no tokens and still gets a place. A null source conflicts with nothing. Repeated rows are of one cluster, so
-they are in different bins. Ties of size go by id, then cluster. Input columns other than those named are not read.
+they are in different bins. Ties of size go by id (nulls last), then cluster. A very long text fills bins of its own. An empty table gives no rows. Input
+columns other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,27 +28,54 @@ CAPACITY, GROUP = 4096, 4000
 
 
 class Bins:
+    """Bins by their residual room, those of one room in the order they were opened. Each room knows how many of its bins hold a source or a cluster, so
+    a room whose bins all conflict is passed over at once."""
+
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.order: list[tuple[int, int]] = []  # (residual, bin), ascending
-        self.sources: list[int] = []
-        self.clusters: list[int] = []
+        self.rooms: list[int] = []  # with a bin, ascending
+        self.of_room: dict[int, list[int]] = {}
+        self.holding: dict[tuple[int, str, int], int] = {}  # (room, kind, bit) -> bins
+        self.bits: list[dict[str, int]] = []  # the two bitmaps of each bin
+        self.items: list[list[tuple[str, int]]] = []  # what each bin's bitmaps are made of
+
+    def fits(self, b: int, own: list[tuple[str, int]]) -> bool:
+        return not any(self.bits[b][kind] & bit for kind, bit in own)
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
-        """Puts an item (its bits) into the tightest bin that fits and has no conflict: (bin, offset in it)."""
-        at = bisect_left(self.order, (size, -1))
-        while at < len(self.order) and (self.sources[b := self.order[at][1]] & source or self.clusters[b] & cluster):
-            at += 1
-        room, b = self.order.pop(at) if at < len(self.order) else (self.capacity, self.open())
-        self.sources[b] |= source
-        self.clusters[b] |= cluster
-        insort(self.order, (room - size, b))
+        """Puts an item (its bits, 0 for none) into the tightest bin that fits and has no conflict: (bin, offset in it)."""
+        own = [x for x in (("source", source), ("cluster", cluster)) if x[1]]
+        for room in self.rooms[bisect_left(self.rooms, size) :]:
+            bins = self.of_room[room]
+            if any(self.holding.get((room, *x), 0) == len(bins) for x in own):
+                continue
+            b = next((b for b in bins if self.fits(b, own)), None)
+            if b is not None:
+                self.move(b, room, -1)
+                break
+        else:
+            b, room = len(self.bits), self.capacity
+            self.bits.append({"source": 0, "cluster": 0})
+            self.items.append([])
+        for kind, bit in own:
+            self.bits[b][kind] |= bit
+        self.items[b] += own
+        self.move(b, room - size, 1)
         return b, self.capacity - room
 
-    def open(self) -> int:
-        self.sources.append(0)
-        self.clusters.append(0)
-        return len(self.sources) - 1
+    def move(self, b: int, room: int, step: int) -> None:
+        """Puts a bin to those of a room (1), or takes it away (-1)."""
+        bins = self.of_room.setdefault(room, [])
+        if step > 0:
+            if not bins:
+                insort(self.rooms, room)
+            insort(bins, b)
+        else:
+            del bins[bisect_left(bins, b)]
+            if not bins:
+                del self.rooms[bisect_left(self.rooms, room)]
+        for x in self.items[b]:
+            self.holding[room, *x] = self.holding.get((room, *x), 0) + step
 
 
 def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
