@@ -4,11 +4,13 @@ Each byte is looked up in an input table for the three gates; a forward and a ba
 a softmax over both layers' states labels every position. A text is cut into pieces of STEPS bytes, all of them are read, and
 the document's probabilities are the mean over its positions. A padding byte holds the update gate shut, so it changes no state.
 
-Fitting uses a bounded sample: about PER_LABEL windows of STEPS characters for each label, from documents chosen by a hash of
-the id, at a place chosen by another hash. Labels are counted over all documents. The weights are some thousands of numbers, so they are sent to all tasks.
+Fitting uses a bounded sample: about PER_LABEL windows of STEPS characters for each label, fewer where all labels together would pass MOST windows, from
+documents chosen by a hash of the id, at a place chosen by another hash. Labels are counted over all documents, and every label that has one is learned (the
+column holds names of languages, so there are some hundreds at most). The weights are some thousands of numbers, so they are sent to all tasks.
 
 Null texts, empty ones and those without a letter are `und` with score 0; so is everything if there is nothing to learn from.
-Rows with a null label teach nothing. A null id takes the fold of the empty string.
+Rows with a null label teach nothing. A null id takes the fold of the empty string. Repeated rows are predicted each. A very long text is read whole, LANES
+pieces at a time. Empty tables give empty results. Other columns are not read; where all columns are kept, new ones get names that no column has.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_mod
+from .common import arrow_rows, crc_mod, fresh
 
 HIDDEN, STEPS, LANES, PAD = 8, 64, 2048, 256
-PER_LABEL, LABELS, EPOCHS, BATCH, RATE = 800, 64, 14, 96, 0.01
+PER_LABEL, MOST, EPOCHS, BATCH, RATE = 800, 50_000, 14, 96, 0.01
 MODULUS, HELD_OUT = 5, 0
 NONE = "und"
 
@@ -147,11 +149,12 @@ class BiGru:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, modulus: int, held_out: int) -> list:
-    """About per_label rows (label, window) for each of the most frequent labels, from training documents; bounded by LABELS * per_label * 1.5."""
+    """About per_label rows (label, window) for each label of training documents, MOST * 1.5 in all at most."""
     train = docs.where(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (crc_mod(F.col(id_col), modulus) != held_out))
-    counts = train.groupBy(F.col(label_col).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
+    counts = train.groupBy(F.col(label_col).cast("string").alias("label")).count().orderBy("label").collect()
     if not counts:
         return []
+    per_label = min(per_label, -(-MOST // len(counts)))
     share = F.create_map(*(x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, 1.2 * per_label / r["count"])))))
     chance = F.pmod(F.xxhash64(F.lit(1), F.col(id_col).cast("string")), F.lit(1_000_000)) / 1_000_000
     label = F.col(label_col).cast("string")
@@ -204,14 +207,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(rows, model).drop("text")
 
 
-#: A document whose best language has less than this mean probability is in none of the languages learned.
-LEAST_SCORE = 0.3
+#: A document is of a language learned if its mean probability is this much of the way from that of a guess among the labels to certainty.
+MARGIN = 0.15
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language is recognised, with the columns unchanged; `und` and scores under `least` go."""
-    fresh = {"a": "_lang_pred", "b": "_lang_score"}
-    while any(x in docs.columns for x in fresh.values()):
-        fresh = {k: v + "_" for k, v in fresh.items()}
-    out = predict(docs, learn(docs), label=fresh["a"], score=fresh["b"])
-    return out.where((F.col(fresh["a"]) != NONE) & (F.col(fresh["b"]) >= least)).drop(*fresh.values())
+def least_score(labels: int, margin: float = MARGIN) -> float:
+    return 1 / labels + margin * (1 - 1 / labels)
+
+
+def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """docs whose language is recognised, with the columns unchanged; `und` goes, and what is hardly better than a guess. With nothing to learn from, all go."""
+    model = learn(docs)
+    pred = fresh(docs, "lang_pred")
+    score = fresh(docs, "lang_score")
+    out = predict(docs, model, label=pred, score=score)
+    least = least_score(len(model.labels), margin) if model else 1.0
+    return out.where((F.col(f"`{pred}`") != NONE) & (F.col(f"`{score}`") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
