@@ -1,17 +1,19 @@
 """LM scoring by a subword lattice.
 
 The pieces are an existing vocabulary's; no piece is added. A word's probability is the sum over all its segmentations into
-pieces of the product of the pieces' unigram probabilities, by a forward recursion in log space over the byte positions. The
-pieces' probabilities come from the vocabulary's rank order, then from one round of expected counts over all training words
-(forward and backward). A training word is an edge over the whole lattice as well: with c occurrences of N its weight is c,
-against `alpha` for the segmentations (alpha: words seen once, the Good-Turing count of new words), so that
+pieces of the product of the pieces' unigram probabilities, by a forward recursion in log space over the byte positions. The vocabularies at hand
+state no probabilities, so those of the pieces are estimated: first from their ranks, then by one round of expected counts over all training words
+(forward and backward). `lattice_score` is the document's probability by these segmentations alone.
+
+`score` adds to it what a lattice of pieces can't know, how often whole words come: a training word is an edge over the whole lattice. With c occurrences
+of N its weight is c, against `alpha` for the segmentations (alpha: words seen once, the Good-Turing count of new words), so that
 
     p(word) = (c + alpha * lattice(word)) / (N + alpha)
 
 is a proper distribution over all words. The end of a document is a token with a fixed small share of the lattice's mass.
 
 A text is in one language, and most words are in few. So there is such a distribution for each class k of training documents (the
-most frequent values of a label column), which falls back on p with its own count of new words: p_k = (c_k + b_k * p) / (N_k + b_k).
+values of a label column such as `lang`, which has some tens of them: each is a column here; null is one more), which falls back on p with its own count of new words: p_k = (c_k + b_k * p) / (N_k + b_k).
 A document's probability is the sum over the classes, each with its share of the training documents, of the product
 of its tokens' p_k: the marginal over classes and over all segmentations. No label is read when a text is scored.
 
@@ -20,7 +22,8 @@ Each distinct word goes through the lattice once. The HOT most frequent words of
 and scored where the text is read; the rest, each rare by then, meets the word table in a join.
 
 Nulls count as the empty text: one token, the end. A null id takes the fold of the empty string. Repeated rows are scored
-each. With no training rows at all the lattice keeps the vocabulary's own scores. Other columns are not read.
+each. A very long text is counted word by word, a very long word goes through the recursion alone. With no training rows at all the pieces keep the estimate
+from their ranks. Empty tables give empty results. Other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -38,8 +41,6 @@ from .bpe_lexicon import VOCABULARY, byte_chars
 from .common import arrow_rows, crc_mod, most_frequent, tokenizer_path, words_of, written
 
 MODULUS, HELD_OUT = 7, 2
-#: Classes at most; rarer labels share the last.
-CLASSES = 8
 HOT, HOT_BYTES = 65_536, 64
 END_SHARE = 1e-3
 #: Longer words go through the recursion one by one, position by position.
@@ -184,11 +185,10 @@ def word_counts(docs: DataFrame, classes: int) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, class_col: str | None) -> list[str]:
-    """The most frequent labels of training documents, as many as there may be classes."""
+    """The labels of training documents."""
     if class_col is None:
         return []
-    top = docs.where(~F.col("held_out") & F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(CLASSES - 1)
-    return [r.label for r in top.collect()]
+    return sorted(r.label for r in docs.where(~F.col("held_out") & F.col("label").isNotNull()).select("label").distinct().collect())
 
 
 def piece_scores(words: DataFrame, path: str) -> bytes:
@@ -212,12 +212,12 @@ def piece_scores(words: DataFrame, path: str) -> bytes:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", path: str | None = None, modulus: int = MODULUS, held_out: int = HELD_OUT) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score."""
     spark, path = docs.sparkSession, path or tokenizer_path(VOCABULARY)
     class_col = class_col if class_col in docs.columns else None
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col), modulus) == held_out).alias("held_out"), F.col(class_col).cast("string").alias("label") if class_col else F.lit(None).cast("string").alias("label"))
     labels = classes_of(docs, class_col)
-    m = len(labels) + 1  # the last for rarer labels and none
+    m = len(labels) + 1  # the last for no label
     number = F.lit(m - 1)
     for k, label in enumerate(labels):
         number = F.when(F.col("label") == label, k).otherwise(number)
@@ -244,14 +244,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ln = np.logaddexp(np.log(c.sum(axis=1)), np.log(alpha) + free) - np.log(n + alpha)
                 lp = (np.logaddexp(np.log(c), np.log(beta) + ln[:, None]) - np.log(n_k + beta)) / np.log(10)
             seen = c.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.astype(np.int64)), pa.array(np.log10((seen + 1) / (n + v + 1))), *(pa.array(x) for x in lp.T)], names=["word", "c", "base", *lps])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen.astype(np.int64)), pa.array(np.log10((seen + 1) / (n + v + 1))), pa.array(free / np.log(10)), *(pa.array(x) for x in lp.T)], names=["word", "c", "base", "lattice", *lps])
 
     lps = [f"lp{k}" for k in range(m)]
     doubles = ", ".join(f"{x} double" for x in lps)
-    scored = written(words.select("word", *own).mapInArrow(score, f"word binary, c long, base double, {doubles}"), "scored")
+    scored = written(words.select("word", *own).mapInArrow(score, f"word binary, c long, base double, lattice double, {doubles}"), "scored")
     arrow_rows(spark)
     top = most_frequent(scored.where(F.octet_length("word") <= HOT_BYTES), "c", HOT).toPandas()
-    hot = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, np.column_stack([top["c"] > 0, top["base"], *(top[x] for x in lps)]).astype(float)))
+    hot = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(top["word"])}, np.column_stack([top["c"] > 0, top["base"], top["lattice"], *(top[x] for x in lps)]).astype(float)))
 
     def sums(batches):
         """A row with the sums over frequent words for each document, and a row for each other word in it."""
@@ -270,17 +270,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_tokens += [count.total(), *[None] * len(rare)]
                 totals += [(k[at_np >= 0] @ table[at_np[at_np >= 0]]).tolist(), *[none] * len(rare)]
             arrays = [pa.array(uids, pa.int64()), pa.array(words, pa.binary()), pa.array(ks, pa.int64()), pa.array(n_tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.float64()) for x in zip(*totals))], names=["uid", "word", "k", "n_tokens", "seen", "base", *lps])
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, pa.float64()) for x in zip(*totals))], names=["uid", "word", "k", "n_tokens", "seen", "base", "lattice", *lps])
 
-    none = [None] * (m + 2)
+    none = [None] * (m + 3)
     named = docs.withColumn("uid", F.monotonically_increasing_id())
     ids = written(named.select("uid", "doc_id", "held_out"), "ids")
-    parts = written(named.select("uid", "text").mapInArrow(sums, f"uid long, word binary, k long, n_tokens long, seen double, base double, {doubles}"), "parts")
+    parts = written(named.select("uid", "text").mapInArrow(sums, f"uid long, word binary, k long, n_tokens long, seen double, base double, lattice double, {doubles}"), "parts")
     rare = parts.where("word is not null").select("uid", "word", "k").join(scored, "word")
-    rare = rare.select("uid", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).cast("double").alias("seen"), *((F.col("k") * F.col(x)).alias(x) for x in ("base", *lps)))
-    heads = parts.where("word is null").select("uid", "n_tokens", "seen", "base", *lps)
-    out = heads.union(rare).groupBy("uid").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "seen", "base", *lps)))
+    rare = rare.select("uid", F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("k")).otherwise(0).cast("double").alias("seen"), *((F.col("k") * F.col(x)).alias(x) for x in ("base", "lattice", *lps)))
+    heads = parts.where("word is null").select("uid", "n_tokens", "seen", "base", "lattice", *lps)
+    out = heads.union(rare).groupBy("uid").agg(*(F.sum(x).alias(x) for x in ("n_tokens", "seen", "base", "lattice", *lps)))
     joint = F.array(*(F.col(x) + p for x, p in zip(lps, prior)))
     most = F.array_max(joint)
     score = most + F.log10(F.aggregate(joint, F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - most)))
-    return ids.join(out, "uid").select("doc_id", "held_out", "n_tokens", F.col("seen").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+    return ids.join(out, "uid").select("doc_id", "held_out", "n_tokens", F.col("seen").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"), F.col("lattice").alias("lattice_score"))
