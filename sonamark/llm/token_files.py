@@ -5,10 +5,12 @@ A record is: length of the payload (uint64), masked CRC-32 of those eight bytes
 ids as uint16, or as uint32 if the vocabulary has more than 65,536 entries (one byte: 2 or 4). The mask rotates the sum right by
 15 bits and adds a constant, so that a sum stored among the data doesn't pass for data. Spark's own text writer puts the records out (its line
 separator is the record's last byte), so a task that fails or an executor that is lost leaves no half-written file, and any
-store that Spark reaches will do. The files, by name, hold the documents in ascending id order (nulls first, then ties by a hash of the
-text). The index (Parquet) has a row for each record: file, offset, size.
+store that Spark reaches will do. The files, by the number of their task and then of the file within it, hold the documents in ascending id order (nulls
+first, then ties by a hash of the text); repeated rows are written each. The index (Parquet) has a row for each record: file, offset, size. Texts are split
+into words by the vocabulary's own rule (bpe_lexicon) and the library's model encodes each word once; tests hold the ids to those of whole texts.
 
-Null texts count as empty; each document ends with the end id. An empty table writes no records and gives an empty index.
+Null texts count as empty; each document ends with the end id. An empty table writes no records and gives an empty index. A very long text is one record
+of a row of its own. Columns other than the two named are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import arrow_rows, fresh_path, tokenizer_path
 #: Fixed values of the format.
 MASK = 0xA282EAD8
 HEAD, IDS = struct.Struct("<QI"), struct.Struct("<BqB")
-RECORDS_PER_FILE = 20_000
+#: The writer's rows hold whole records up to this many bytes (or one that is longer), and a file has so many rows at most: no file is read as a whole that
+#: has more than ROWS_PER_FILE * (ROW_BYTES + its longest record) bytes.
+ROW_BYTES, ROWS_PER_FILE = 8 << 20, 8
 
 
 def masked(data: bytes) -> int:
@@ -82,15 +86,22 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         model, chars = bpe.library.model, bpe.to_chars
         memo = memos.setdefault(path, Memo(lambda w: as_ids([w] if isinstance(w, int) else [t.id for t in model.tokenize(as_bytes(w).decode("latin-1").translate(chars))])))
         width = 2 if max(bpe.size, end_id + 1) <= 1 << 16 else 4
+        row = lambda own: pa.RecordBatch.from_pydict({"frame": pa.array([b"\n".join(own)], pa.binary())})
+        held, size = [], 0
         for batch in batches:
-            out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.frombuffer(b"".join(map(memo.__getitem__, bpe.words(text))), "<u4")
-                out.append(frame(pack(doc_id, np.append(ids, np.uint32(end_id)), width)))
-            yield pa.RecordBatch.from_pydict({"frame": pa.array(out, pa.binary())})
+                record = frame(pack(doc_id, np.append(ids, np.uint32(end_id)), width))
+                if held and size + len(record) > ROW_BYTES:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield row(held)
 
     frames = rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").text(folder)
+    frames.write.option("maxRecordsPerFile", ROWS_PER_FILE).option("lineSep", "\n").text(folder)
 
 
 memos: dict[str, Memo] = {}
@@ -118,19 +129,25 @@ def build_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+def files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([*paths]).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """index with start: ids of all documents before this one. Only one row for each file is ordered as a whole."""
+    """index with start: ids of all documents before this one. Only one row for each file is ordered as a whole, by the numbers of its task and of the file
+    within it, which have no fixed width."""
     sums = index.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    before = sums.select("file", F.coalesce(F.sum("in_file").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    order = [F.regexp_extract("file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)[^-]*$")]
+    before = sums.select("file", F.coalesce(F.sum("in_file").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return index.join(before, "file").withColumn("start", F.col("before") + F.col("start_in_file")).drop("before")
 
 
 def read_indexed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """Token ids of the index rows in wanted, in any order or selection: (doc_id, file, offset, ids). Only wanted slices are decoded."""
+    """Token ids of the index rows in wanted, in any order or selection: (doc_id, file, offset, ids). Only files that have a wanted row are opened (their names
+    come to the driver, which lists a folder's files anyway), and only wanted slices are decoded."""
+    names = [f"{folder}/{r.file}" for r in wanted.select("file").distinct().collect()]
+    if not names:
+        return spark.createDataFrame([], "doc_id long, file string, offset long, ids array<long>")
 
     def cut(rows: pa.Table, content: pa.Table) -> pa.Table:
         data = content.column("content")[0].as_py() if content.num_rows else b""
@@ -138,7 +155,7 @@ def read_indexed(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
         got = [unpack(next(records(data[r["offset"] : r["offset"] + r["size"]]))[2]) for r in at]
         return pa.table({"doc_id": pa.array([g[0] for g in got], pa.int64()), "file": rows.column("file"), "offset": rows.column("offset"), "ids": pa.array([g[1].tolist() for g in got], pa.list_(pa.int64()))})
 
-    return wanted.groupBy("file").cogroup(files(spark, folder).groupBy("file")).applyInArrow(cut, "doc_id long, file string, offset long, ids array<long>")
+    return wanted.groupBy("file").cogroup(files(spark, *names).groupBy("file")).applyInArrow(cut, "doc_id long, file string, offset long, ids array<long>")
 
 
 def token_files(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 2) -> DataFrame:
