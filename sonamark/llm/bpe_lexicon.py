@@ -8,7 +8,8 @@ flat file that each Python worker maps into memory. Words outside the lexicon ar
 Results equal those of the tokenizers library for a file of this kind (NFC, white space runs, lower case, word split, byte
 level, end-of-word suffix) with add_special_tokens=False. Nulls count as the empty text: no ids. A text with a character
 outside a safe set of Latin and punctuation is split by the library's own normalizer and pre-tokenizer, since Unicode tables
-differ between libraries; one with a special token's string is cut at it first.
+differ between libraries; one with a special token's string is cut at it first. Null ids are passed on, repeated rows are encoded each, a very long text is one
+row of ids, an empty table gives no rows. Columns other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Known are the texts in KNOWN, those with a customary title line or with bullets
 without its title, and with and without what follows its terms (how to apply it).
 
 A null text counts as empty, and matches nothing. If two known texts have one form, the smaller name wins, so no document is
-returned twice. Ids are passed on as they are; repeated rows are looked up each.
+returned twice. Ids, null ones too, are passed on as they are; repeated rows are looked up each. A very long text is brought to its form as a whole. An
+empty table gives no rows. Columns other than those named are not read, so their names can't clash.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ the tokens that greedy longest match is sure to have put out by then. A word the
 that begin a word start with the mark U+2581, the others continue one. A character that no piece is costs its UTF-8 bytes, as
 byte fallback does.
 
-Null texts count as empty: no words, no tokens. Words are maximal runs of anything but ASCII white space, of any length.
+Null texts count as empty: no words, no tokens. Words are maximal runs of anything but ASCII white space, of any length; a very long text or word costs time in
+proportion. Null ids are passed on, repeated rows are counted each, an empty table gives no rows. Columns other than those named are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations

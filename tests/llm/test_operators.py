@@ -7,9 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonamark.llm import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, token_counts, token_files
-from sonamark.llm.common import tokenizer_path, words_of
+from sonamark.llm.common import split_join, tokenizer_path, words_of, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, label string, key string, uid long"
 WORDS = "the of and nature light where können größe été señor river stone <|endoftext|> it's 42 ½ ſ İstanbul ΣΑΣ 日本語 don't !!! 𝔘 naïve".split()
@@ -79,19 +80,77 @@ def test_near(docs, empty):
     assert minhash.drop_near(df).columns == df.columns
 
 
-def test_cells_lose_nothing():
+def test_rarest_shingles_lose_nothing(spark):
+    """across() on sets near the threshold, each of its own component: every true link is among its pairs, and few others are."""
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
-    import pyarrow as pa
-
-    sets = [np.unique(np.concatenate((base[: 400 - k], rng.integers(0, 1 << 63, k).astype(np.uint64)))) for k in (0, 20, 40, 60, 120, 200)]
-    wide = [minhash.packed(minhash.minima(x, minhash.WIDE)).tobytes() for x in sets]
-    cell = pa.table({"node": list(range(6)), "label": list(range(6)), "n": [len(x) for x in sets], "own": [0] * 6, "i": [0] * 6, "j": [0] * 6, "wide": wide})
-    got = {(r["a"], r["b"]) for r in minhash.near_in_cell(cell, 75).to_pylist()}
-    for a, b in combinations(range(6), 2):
-        j = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
-        assert j < 0.75 or (a, b) in got
-        assert j > 0.6 or (a, b) not in got
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(60 + 50 * family)]
+        for v in range(14):
+            w = base[: len(base) - int(rng.integers(0, len(base) // 3))]
+            for at in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+                w[at] = f"x{family}v{v}a{at}"
+            rows.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(rows))), "doc_id long, text string")
+    sketch = minhash.sketches(df, "doc_id", "text")
+    nodes = sketch.groupBy("node").agg(F.min("uid").alias("uid"))
+    rest = sketch.select("node", F.col("node").alias("label"), F.col("n_shingles").alias("n"))
+    name = {r.node: r.id for r in sketch.select("node", "id").collect()}
+    got, none = ({tuple(sorted((name[r.a], name[r.b]))) for r in df.collect()} for df in minhash.across(written(rest, "rest"), nodes, sketch, 75))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words_of(t) for t in dict.fromkeys(rows))]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(sets)), 2)}
+    true = {p for p, j in like.items() if j >= 0.75}
+    assert len(true) > 20 and true <= got and not none
+    assert not any(like[p] == 0 or 4 * min(map(len, (sets[p[0]], sets[p[1]]))) < 2.8 * max(map(len, (sets[p[0]], sets[p[1]]))) for p in got)
+    same = {p for p in true if p[0] % 3 == p[1] % 3}  # three components: pairs within one are not made
+    thirds = sketch.select("node", F.pmod("id", F.lit(3)).alias("label"), F.col("n_shingles").alias("n"))
+    for few, cell in ((1 << 20, 1), (0, 1 << 20), (1, 400)):  # all in pairs, the largest label in one cell, in several
+        got, links = ({tuple(sorted((name[r.a], name[r.b]))) for r in df.collect()} for df in minhash.across(written(thirds, "thirds"), nodes, sketch, 75, few, cell))
+        assert true - same <= got | links and not any(a % 3 == b % 3 for a, b in got | links)
+        assert links <= true and bool(links) == (few < 1 << 20)
+
+
+def test_hot_keys_are_split(spark):
+    """A key with a third of the rows is dealt to many tasks, with the same rows as a plain join; null keys drop out."""
+    rows = written(spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("k")), "rows")
+    table = written(spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "table")
+    plain = sorted(map(tuple, rows.join(table, "k").select("id", "k", "v").collect()))
+    split = split_join(rows, table, "k", "id")
+    assert sorted(map(tuple, split.select("id", "k", "v").collect())) == plain and split.columns == ["k", "id", "v"]
+    sizes = rows.groupBy("k").agg(F.count("*").alias("_n"))
+    assert split_join(rows, table, "k", "id", sizes=sizes).count() == len(plain)
+    assert split_join(rows.limit(0), table, "k", "id").count() == 0
+
+
+def test_merge_of_runs(spark):
+    """Half of the rows are one text; segments, several rounds, the smallest or largest identifier."""
+    texts = ["hot" if i % 2 else f"t{i % 97}" for i in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    for keep, pick in (("max", max), ("min", min)):
+        rows = written(exact_dedup.digests(df, F.col("doc_id"), F.col("text")), "digests")
+        merged = exact_dedup.merge_runs(rows, 12, 5, 3, keep)
+        groups = {}
+        for i, t in enumerate(texts):
+            groups.setdefault(hashlib.sha256(t.encode()).digest(), []).append(i)
+        assert {bytes(r.sha): (r.best, r.group_size) for r in merged.collect()} == {k: (pick(v), len(v)) for k, v in groups.items()}
+        assert merged.count() == len(groups)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Sort" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_names_of_dedup(spark):
+    """Columns that are named like helpers, in any case, come back as they were; repeated rows leave one, whatever the partitions."""
+    rows = [(1, "The river runs", "a", True, "s", 5, {"m": 1}), (1, "the RIVER runs", "b", False, "t", 6, {"m": 2}), (2, "other", "c", None, "u", 7, None), (None, "other", "d", True, "v", 8, None), (None, None, "e", True, "w", 9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _null boolean, Row string, row_ int, m map<string,int>")
+    for drop in (exact_dedup.drop_exact, minhash.drop_near):
+        seen = set()
+        for parts in (1, 3):
+            got = drop(df.repartition(parts))
+            assert got.columns == df.columns
+            out = [tuple(r) for r in got.collect()]
+            assert all(r in rows for r in out) and len(out) == 3 and sum(r[0] == 1 for r in out) == 1
+            seen.add(tuple(sorted(map(str, out))))
+        assert len(seen) == 1 or drop is minhash.drop_near
 
 
 def test_token_files_and_encoding(spark, docs, empty, tmp_path):
