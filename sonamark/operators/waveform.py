@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Sample step in s, windows in s, reference pressure and trigger in Pa, longest gap that is filled.
+#: Sample step in s, start and the two ends of the analysis window in s, reference pressure and trigger in Pa, longest gap that is filled.
 DT = 3.8146973e-6
 WINDOW_LONG, WINDOW_SHORT, WINDOW_START = 0.125, 0.100, 0.001
 PEAK_S, LEQ_SEARCH_S, TAU_S = 0.075, 0.025, 0.010
@@ -26,13 +26,17 @@ def short_window(cartridge: Column, year: Column) -> Column:
     return cartridge.startswith(".22") & (year.isNull() | (year >= 2024))
 
 
-def bounds(dt: float, seconds: float, start: float = WINDOW_START) -> tuple[int, int]:
-    """1-based first and last sample of the analysis window, halves rounded away from zero."""
-    half = lambda x: int(np.floor(x + 0.5))
-    return half(start / dt), half((start + seconds) / dt)
+def half_away(x: float) -> int:
+    return int(np.floor(x + 0.5) if x >= 0 else np.ceil(x - 0.5))
+
+
+def bounds(dt: float, stop: float, start: float = WINDOW_START) -> tuple[int, int]:
+    """1-based first and last sample of the analysis window between two times, halves rounded away from zero."""
+    return max(1, half_away(start / dt)), half_away(stop / dt)
 
 
 def analysis_window(samples: Column, dt: float, short: Column) -> Column:
+    """The samples from WINDOW_START to WINDOW_LONG, or to WINDOW_SHORT where `short` holds; a shorter record gives what it has."""
     (a, b), (c, d) = bounds(dt, WINDOW_LONG), bounds(dt, WINDOW_SHORT)
     return F.when(short, F.slice(samples, c, d - c + 1)).otherwise(F.slice(samples, a, b - a + 1))
 
@@ -73,114 +77,160 @@ def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def running_level(x: np.ndarray, width: int) -> np.ndarray:
-    """Running mean of squares over width samples, circular: before the start stands the end. Rows are records."""
+    """Running RMS over width samples, circular: before the start stands the end. Rows are records, none shorter than width."""
     squares = x * x
-    if width >= x.shape[1]:
-        return np.sqrt(np.repeat(squares.mean(axis=1, keepdims=True), x.shape[1], axis=1))
-    total = np.cumsum(np.concatenate((squares[:, -width:], squares), axis=1), axis=1)
+    total = np.cumsum(np.concatenate((squares[:, x.shape[1] - width :], squares), axis=1), axis=1)
     return np.sqrt(np.maximum(0, (total[:, width:] - total[:, :-width]) / width))
 
 
-def metrics_of(x: np.ndarray, dt: float, peak_n: int, leq_n: int, tau_n: int) -> list[dict]:
-    """Peak, A-weighted peak, impulse (Pa ms), peak running level and their places, for records of one length."""
-    b, a = a_weighting(1 / dt)
+def metrics_of(x: np.ndarray, dt: float, rate: float, peak_n: int, leq_n: int, tau_n: int) -> list[dict]:
+    """Peak, A-weighted peak, impulse (Pa ms), peak running level and their places, for windows of one length. The trough is where the running
+    integral is least within the first peak_n samples, the impulse the most it reaches up to there."""
+    b, a = a_weighting(rate)
     weighted = filtered(b, a, x)
     leq = running_level(weighted, tau_n)
     integral = np.concatenate((np.zeros((len(x), 1)), np.cumsum((x[:, 1:] + x[:, :-1]) / 2, axis=1)), axis=1) * dt * 1000
     out = []
     for row, w, level, whole in zip(x, weighted, leq, integral):
         head = row[:peak_n]
-        trough = int(head.argmin())
+        trough = int(whole[:peak_n].argmin())
         impulse_at = int(whole[: trough + 1].argmax())
         over = np.flatnonzero(row > TRIGGER_PA)
-        got = {"peak_pa": float(head.max()), "peak_index": int(head.argmax()), "trough_index": trough, "impulse_pa_ms": float(max(0.0, whole[impulse_at])), "impulse_index": impulse_at, "peak_a_pa": float(np.abs(w[:peak_n]).max()), "triggered": bool(len(over))}
+        got = {"peak_pa": float(head.max()), "peak_index": int(head.argmax()), "trough_index": trough, "impulse_pa_ms": float(whole[impulse_at]), "impulse_index": impulse_at, "peak_a_pa": float(w[:peak_n].max()), "triggered": bool(len(over))}
         if len(over):
             part = level[over[0] : over[0] + leq_n + 1]
-            got |= {"leq_start": int(over[0]), "leq_index": int(over[0] + part.argmax()), "peak_leq_pa": float(part.max())}
+            got |= {"leq_start": int(over[0]), "leq_stop": int(min(over[0] + leq_n, len(row) - 1)), "leq_index": int(over[0] + part.argmax()), "peak_leq_pa": float(part.max())}
         else:
             got["error"] = "no sample above the trigger"
         out.append(got)
     return out
 
 
-SHOT_SCHEMA = "peak_pa double, peak_a_pa double, impulse_pa_ms double, peak_leq_pa double, peak_index int, trough_index int, impulse_index int, leq_start int, leq_index int, triggered boolean, error string"
+SHOT_SCHEMA = "peak_pa double, peak_a_pa double, impulse_pa_ms double, peak_leq_pa double, peak_index int, trough_index int, impulse_index int, leq_start int, leq_stop int, leq_index int, triggered boolean, error string"
+INDICES = ("peak_index", "trough_index", "impulse_index", "leq_start", "leq_stop", "leq_index")
 
 
-def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples", dt: float = DT, peak_s: float = PEAK_S, leq_s: float = LEQ_SEARCH_S, tau_s: float = TAU_S) -> DataFrame:
-    """keys, the metrics and their levels for each record. A record that can't be analysed has its reason in error and nulls."""
-    peak_n, leq_n, tau_n = (max(1, int(np.floor(s / dt + 0.5))) for s in (peak_s, leq_s, tau_s))
-    names = [f.split()[0] for f in SHOT_SCHEMA.split(", ")]
-    records.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
+def per_record(records: DataFrame, keys: list[str], samples: Column, run, schema: str) -> DataFrame:
+    """run over Arrow batches of keys and _samples; RECORDS of them at a time, whatever the session's batch size."""
 
-    def run(batches):
+    def few(batches):
         for pdf in batches:
-            out: list[dict | None] = [None] * len(pdf)
-            by_length: dict[int, list] = {}
-            for k, x in enumerate(pdf["_samples"]):
-                try:
-                    if x is None or not len(x):
-                        raise ValueError("no samples")
-                    by_length.setdefault(len(x), []).append((k, filled(np.asarray(x, float))))
-                except ValueError as e:
-                    out[k] = {"error": str(e)}
-            for own in by_length.values():
-                for (k, _), m in zip(own, metrics_of(np.stack([x for _, x in own]), dt, peak_n, leq_n, tau_n)):
-                    out[k] = m
-            got = pd.DataFrame(out, columns=names)
-            for c in ("peak_index", "trough_index", "impulse_index", "leq_start", "leq_index"):
-                got[c] = got[c].astype("Int32")
-            got["triggered"] = got["triggered"].astype("boolean")
-            got["error"] = pd.Series([None if m is None else m.get("error") for m in out], dtype=object)
-            yield pd.concat([pdf[keys].reset_index(drop=True), got], axis=1)
-
-    kinds = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in keys)
-    found = records.select(*keys, F.col(samples).alias("_samples")).mapInPandas(run, f"{kinds}, {SHOT_SCHEMA}")
+            for at in range(0, len(pdf), RECORDS):
+                yield from run(pdf.iloc[at : at + RECORDS].reset_index(drop=True))
+
+    kinds = ", ".join(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys)
+    return records.select(*keys, samples.alias("_samples")).mapInPandas(few, f"{kinds}, {schema}")
+
+
+def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples", dt: float = DT, rate: float | None = None, short: Column | None = None, window: bool = True, peak_s: float = PEAK_S, leq_s: float = LEQ_SEARCH_S, tau_s: float = TAU_S) -> DataFrame:
+    """keys, the metrics and their levels for each record, over its analysis window (the short one where `short` holds), or over the whole record
+    if window is False. rate is that of the filter and the search widths, 1 / dt unless it is given. A record that can't be analysed has its reason in
+    error, and nulls for what could not be found."""
+    rate = rate or 1 / dt
+    peak_n, leq_n, tau_n = half_away(peak_s * rate), half_away(leq_s * rate), int(np.floor(tau_s * rate * (1 + 1e-12)))
+    names = [f.split()[0] for f in SHOT_SCHEMA.split(", ")]
+
+    def run(pdf):
+        out: list[dict | None] = [None] * len(pdf)
+        by_length: dict[int, list] = {}
+        for k, x in enumerate(pdf["_samples"]):
+            try:
+                if x is None or len(x) < 2:
+                    raise ValueError("no samples")
+                if len(x) < tau_n:
+                    raise ValueError("the record is shorter than the integration time")
+                whole = filled(np.asarray(x, float))
+                by_length.setdefault(len(whole), []).append((k, whole))
+            except ValueError as e:
+                out[k] = {"error": str(e)}
+        for own in by_length.values():
+            for (k, _), m in zip(own, metrics_of(np.stack([x for _, x in own]), dt, rate, peak_n, leq_n, tau_n)):
+                out[k] = m
+        got = pd.DataFrame(out, columns=names)
+        for c in INDICES:
+            got[c] = got[c].astype("Int32")
+        got["triggered"] = got["triggered"].astype("boolean")
+        got["error"] = pd.Series([None if m is None else m.get("error") for m in out], dtype=object)
+        yield pd.concat([pdf[keys], got], axis=1)
+
+    x = analysis_window(F.col(samples), dt, F.lit(False) if short is None else F.coalesce(short, F.lit(False))) if window else F.col(samples)
+    found = per_record(records, keys, x, run, SHOT_SCHEMA)
     level = lambda c: F.when(F.col(c) > 0, 20 * F.log10(F.col(c) / P0))
     return found.withColumns({"peak_db": level("peak_pa"), "peak_dba": level("peak_a_pa"), "impulse_db_ms": level("impulse_pa_ms"), "peak_leq10ms_dba": level("peak_leq_pa")})
 
 
+def round_trip_errors(records: DataFrame, keys: list[str], samples: str, dt: float = DT, short: Column | None = None) -> DataFrame:
+    """(quantiser, the worst error in dB of each metric): the analysis window as 16 or 24 bits or as half precision, put back into the record."""
+    short = F.lit(False) if short is None else F.coalesce(short, F.lit(False))
+    whole, part = F.col(samples), analysis_window(F.col(samples), dt, short)
+    start = bounds(dt, WINDOW_LONG)[0]
+    before = F.slice(whole, F.lit(1), F.lit(start - 1)) if start > 1 else F.slice(whole, 1, 0)
+    after = F.slice(whole, F.lit(start) + F.size(part), F.size(whole))
+
+    def restored_from(bits: int) -> Column:
+        scale, q = quantised(part, bits)
+        return F.transform(q, lambda v: v * scale)
+
+    coded = {"int16": restored_from(16), "int24": restored_from(24), "float16": half_precision(part)}
+    names = ["peak_db", "peak_dba", "impulse_db_ms", "peak_leq10ms_dba"]
+    one = records.withColumn("_short", short)
+    own = shot_metrics(one, keys, samples, dt, short=F.col("_short")).select(*keys, *names)
+    back = one.select(*keys, "_short", F.explode(F.array(*(F.struct(F.lit(k).alias("quantiser"), F.concat(before, c, after).alias("restored")) for k, c in coded.items()))).alias("x")).select(*keys, "_short", "x.*")
+    got = shot_metrics(back, [*keys, "quantiser"], "restored", dt, short=F.col("_short")).select(*keys, "quantiser", *(F.col(c).alias(f"_{c}") for c in names))
+    return got.join(own, keys).groupBy("quantiser").agg(*(F.max(F.abs(F.col(c) - F.col(f"_{c}"))).alias(c) for c in names))
+
+
+def half_precision(samples: Column) -> Column:
+    """Each sample rounded, half to even, to a float of 11 significant bits, as half precision has."""
+
+    def one(x):
+        x = x.cast("double")
+        ulp = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(-14)) - 10)
+        return F.when(x == 0, x).otherwise(F.rint(x / ulp) * ulp)
+
+    return F.transform(samples, one)
+
+
 def third_octaves(records: DataFrame, keys: list[str], samples: str, dt: float, lo: int = -16, hi: int = 13) -> DataFrame:
     """levels (array of float) of the bands around 1000 * 10**(n / 10): sums of FFT power from centre / 2**(1/6) up to, not including,
     centre * 2**(1/6). Neighbouring bands overlap slightly. Null where a band has no power."""
     centre = 1000 * 10 ** (np.arange(lo, hi + 1) / 10)
-    records.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x in pdf["_samples"]:
-                if x is None or not len(x) or np.isnan(np.asarray(x, float)).any():
-                    out.append(None)
-                    continue
-                n = len(x)
-                power = np.abs(np.fft.rfft(np.asarray(x, float))) ** 2 * 2 / n**2
-                power[0] /= 2
-                if n % 2 == 0:
-                    power[-1] /= 2
-                total = np.concatenate(([0], np.cumsum(power)))
-                f = np.arange(len(power)) / (n * dt)
-                a, b = np.searchsorted(f, centre / 2 ** (1 / 6)), np.searchsorted(f, centre * 2 ** (1 / 6))
-                p = np.array([power[i:j].sum() for i, j in zip(a, b)])
-                out.append([float(10 * np.log10(v / P0**2)) if v > 0 else None for v in p])
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame({"levels": out})], axis=1)
-
-    kinds = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in keys)
-    return records.select(*keys, F.col(samples).alias("_samples")).mapInPandas(run, f"{kinds}, levels array<double>")
+    def run(pdf):
+        out = []
+        for x in pdf["_samples"]:
+            if x is None or not len(x) or np.isnan(np.asarray(x, float)).any():
+                out.append(None)
+                continue
+            n = len(x)
+            power = np.abs(np.fft.rfft(np.asarray(x, float))) ** 2 * 2 / n**2
+            power[0] /= 2
+            if n % 2 == 0:
+                power[-1] /= 2
+            f = np.arange(len(power)) / (n * dt)
+            a, b = np.searchsorted(f, centre / 2 ** (1 / 6)), np.searchsorted(f, centre * 2 ** (1 / 6))
+            p = np.array([power[i:j].sum() for i, j in zip(a, b)])
+            out.append([float(10 * np.log10(v / P0**2)) if v > 0 else None for v in p])
+        yield pd.concat([pdf[keys], pd.DataFrame({"levels": out})], axis=1)
+
+    return per_record(records, keys, F.col(samples), run, "levels array<double>")
+
+
+def lowpass(factor: int = 5, taps: int = 63) -> np.ndarray:
+    at = np.arange(taps) - taps // 2
+    h = np.sinc(0.8 / factor * at) * np.blackman(taps)
+    return h / h.sum()
 
 
 def downsampled(records: DataFrame, keys: list[str], samples: str, factor: int = 5, taps: int = 63) -> DataFrame:
     """Every factor-th sample after a Blackman-windowed sinc with its cutoff at 0.8 of the new Nyquist frequency; edges count as zeros."""
-    at = np.arange(taps) - taps // 2
-    h = np.sinc(0.8 / factor * at) * np.blackman(taps)
-    h /= h.sum()
+    h = lowpass(factor, taps)
 
-    def run(batches):
-        for pdf in batches:
-            low = [None if x is None else np.convolve(np.asarray(x, float), h)[taps // 2 :][: len(x)][::factor].tolist() for x in pdf["_samples"]]
-            yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame({"samples": low})], axis=1)
+    def run(pdf):
+        low = [None if x is None else np.convolve(np.asarray(x, float), h)[taps // 2 :][: len(x)][::factor].tolist() for x in pdf["_samples"]]
+        yield pd.concat([pdf[keys], pd.DataFrame({"samples": low})], axis=1)
 
-    kinds = ", ".join(f"{k} {records.schema[k].dataType.simpleString()}" for k in keys)
-    return records.select(*keys, F.col(samples).alias("_samples")).mapInPandas(run, f"{kinds}, samples array<double>")
+    return per_record(records, keys, F.col(samples), run, "samples array<double>")
 
 
 def long_form(records: DataFrame, keys: list[str], samples: str) -> DataFrame:
@@ -243,17 +293,24 @@ def rice_bits(rows: DataFrame, keys: list[str], value: str = "q", block: int = 4
 
 
 def envelope(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """(lo, hi) of each of the buckets that tile a record unevenly: bucket ceil((i + 1) * buckets / n) - 1."""
+    """(lo, hi) of each of the buckets that tile a record unevenly: bucket ceil((i + 1) * buckets / n) - 1. A record with fewer samples is an error."""
     n = rows.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
-    bucket = (F.ceil((F.col("i") + 1) * buckets / F.col("n")) - 1).cast("long")
+    bucket = F.when(F.col("n") >= buckets, (F.ceil((F.col("i") + 1) * buckets / F.col("n")) - 1).cast("long")).otherwise(F.raise_error(F.lit("a record shorter than its buckets")))
     return rows.join(n, keys).groupBy(*keys, bucket.alias("bucket")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
 
 
-def decimated(rows: DataFrame, keys: list[str], t0: float, t1: float, cols: int, dt: float) -> DataFrame:
-    """(lo, hi) of each of cols columns between two times; a sample counts in every column that its interval touches."""
-    width = (t1 - t0) / cols
-    a, b = F.floor((F.col("i") * dt - t0) / width), F.floor(((F.col("i") + 1) * dt - t0) / width)
-    x = rows.where((F.col("i") * dt < t1) & ((F.col("i") + 1) * dt > t0)).withColumn("col", F.explode(F.sequence(F.greatest(a, F.lit(0)), F.least(b, F.lit(cols - 1)))))
+def decimated(rows: DataFrame, keys: list[str], t0: float, t1: float, cols: int, dt: float, start: float = 0.0) -> DataFrame:
+    """(lo, hi) of each of cols columns between two times. A column takes the samples from floor to ceil (not included) of its edges in samples, at
+    least one; a sample that only touches an edge is in one column. Columns with no samples under them have no row."""
+    n = rows.groupBy(*keys).agg((F.max("i") + 1).alias("_n"))
+    step = (t1 - t0) / cols
+    edge = rows.sparkSession.range(cols).select(F.col("id").alias("col"), F.floor((t0 + F.col("id") * step - start) / dt).alias("_a"), F.ceil((t0 + F.col("id") * step + step - start) / dt).alias("_b"))
+    # Which columns may hold sample i follows from i, so no sample meets all columns; the exact edges decide.
+    near = F.floor((start + F.col("i") * dt - t0) / step)
+    reach = max(1, int(np.ceil(dt / step)))
+    x = rows.join(n, keys).withColumn("col", F.explode(F.sequence(near - 1, near + reach + 1))).where(F.col("col").between(0, cols - 1)).join(F.broadcast(edge), "col")
+    first, last = F.greatest(F.col("_a"), F.lit(0)), F.greatest(F.col("_b"), F.greatest(F.col("_a"), F.lit(0)) + 1)
+    x = x.where((F.col("_b") > 0) & (F.col("_a") < F.col("_n")) & (F.col("i") >= first) & (F.col("i") < last) & F.col("p").isNotNull() & ~F.isnan("p"))
     return x.groupBy(*keys, "col").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
 
 
@@ -261,8 +318,48 @@ def triggers(rows: DataFrame, keys: list[str], above: float = TRIGGER_PA) -> Dat
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("p") > above, F.col("i"))).cast("long").alias("trigger"))
 
 
-def auto_window(found: DataFrame, run: str, t0: float, t1: float, dt: float, before: float = 0.0015, span: float = 0.024) -> DataFrame:
-    """View of each run: from a little before its earliest trigger, a fixed span long, kept within the record."""
-    first = found.groupBy(run).agg((F.min("trigger") * dt).alias("t"))
-    start = F.least(F.greatest(F.coalesce(F.col("t") - before, F.lit(t0)), F.lit(t0)), F.greatest(F.lit(t0), F.lit(t1 - span)))
-    return first.select(run, start.alias("from"), F.least(start + span, F.lit(t1)).alias("to"))
+def envelope_triggers(buckets: DataFrame, keys: list[str], above: float = TRIGGER_PA, share: float = 0.2) -> DataFrame:
+    """trigger: the first bucket (of keys, bucket, lo, hi) whose hi passes `above`, or a share of the peak in a record too quiet for that; null
+    where nothing is above zero."""
+    peak = buckets.groupBy(*keys).agg(F.max("hi").alias("_peak"))
+    over = F.when((F.col("_peak") > 0) & (F.col("hi") > F.least(F.lit(above), F.col("_peak") * share)), F.col("bucket"))
+    return buckets.join(peak, keys).groupBy(*keys).agg(F.min(over).cast("long").alias("trigger"))
+
+
+def auto_window(found: DataFrame, run: str, trigger: str = "trigger", lo: str = "lo", hi: str = "hi", lead: float = 0.0015, span: float = 0.024) -> DataFrame:
+    """(run, from, to): from a little before the run's earliest trigger (a time), a fixed span long, within the span of all its records; that
+    whole span where nothing triggered."""
+    x = found.groupBy(run).agg(F.min(trigger).alias("t"), F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    start = F.greatest(F.col("lo"), F.col("t") - lead)
+    return x.select(run, F.coalesce(start, "lo").alias("from"), F.coalesce(F.least(F.col("hi"), start + span), "hi").alias("to"), F.col("lo").alias("full_from"), F.col("hi").alias("full_to"))
+
+
+def widened(views: DataFrame, marks: DataFrame, run: str, time: str, margin: float = 0.002, least: float = 0.00005) -> DataFrame:
+    """views (run, from, to, full_from, full_to) stretched to reach marks (run, time) with a margin, then held inside the full span."""
+    reach = marks.where(F.col(time).isNotNull() & ~F.isnan(time)).groupBy(run).agg((F.min(time) - margin).alias("_a"), (F.max(time) + margin).alias("_b"))
+    x = views.join(reach, run, "left").withColumns({"_a": F.least("from", "_a"), "_b": F.greatest("to", "_b")})
+    length = F.least(F.greatest(F.col("_b") - F.col("_a"), F.lit(least)), F.col("full_to") - F.col("full_from"))
+    start = F.least(F.greatest("_a", "full_from"), F.col("full_to") - length)
+    return x.select(run, start.alias("from"), (start + length).alias("to"))
+
+
+def shared_gain(records: DataFrame, keys: list[str], group: list[str], samples: str, top: float = 0.5) -> DataFrame:
+    """(keys, gain): one gain for all records of a group, so that its loudest sample becomes `top`."""
+    m = records.select(*keys, *group, F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double")))).alias("_m"))
+    loudest = m.groupBy(*group).agg(F.max("_m").alias("_t"))
+    return m.join(loudest, group).select(*keys, (top / F.when(F.col("_t") > 0, F.col("_t")).otherwise(1.0)).alias("gain"))
+
+
+def faded(samples: Column, n: int) -> Column:
+    """The first and last n samples on a linear ramp from and to silence."""
+    size = F.size(samples)
+    return F.transform(samples, lambda x, i: x * F.least(F.lit(1.0), i / F.lit(float(n)), (size - 1 - i) / F.lit(float(n))))
+
+
+def binned(bins: DataFrame, keys: list[str], bands: DataFrame, step_hz: float) -> DataFrame:
+    """(keys, b, bins, total): the bins (i, p) of frequency i * step_hz within each band (b, c), from centre / 2**(1/6) up to, not including, centre * 2**(1/6).
+    bands has some tens of rows. Which bins a band has is worked out once for each bin number, then joined."""
+    numbers = bins.select("i").distinct()
+    f = F.col("i") * step_hz
+    inside = numbers.join(F.broadcast(bands), (f >= F.col("c") / 2 ** (1 / 6)) & (f < F.col("c") * 2 ** (1 / 6))).select("i", "b")
+    return bins.join(inside, "i").groupBy(*keys, "b").agg(F.count("*").alias("bins"), F.sum("p").alias("total"))

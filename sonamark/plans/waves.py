@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import levels as L
@@ -21,10 +22,15 @@ def long(s, d):
     return waveform.long_form(records(s, d), ["id", "label"], "samples")
 
 
-@query("F10_analysis_window", """select vec_id id, [round(x::double * 500, 6) for x in embedding[5:(case when label % 2 = 0 then 20 else 40 end)]] w from embeddings""")
+#: A sample step at which the window of 64 samples is 1 to 63, or to 50 where it is short, so both ends cut and a half is rounded.
+WIDE_DT, SHORT = 0.002, "label % 2 = 0"
+WINDOW = f"(select * from {LONG} where i < case when {SHORT} then 50 else 63 end)"
+
+
+@query("F10_analysis_window", f"""select id, list(round(p, 6) order by i) w from {WINDOW} group by 1""")
 def f10(s, d):
-    short = F.col("label") % 2 == 0
-    return records(s, d).select("id", F.transform(F.slice("samples", F.lit(5), F.when(short, 16).otherwise(36)), lambda x: F.round(x, 6)).alias("w"))
+    w = waveform.analysis_window(F.col("samples"), WIDE_DT, F.expr(SHORT))
+    return records(s, d).select("id", F.transform(w, lambda x: F.round(x, 6)).alias("w"))
 
 
 @query("F12_instantaneous_level", f"select id, i, round(20 * log10(abs(nullif(p, 0)) / 2e-5), 6) db from {LONG}")
@@ -46,10 +52,11 @@ def c15(s, d):
     return records(s, d).select("id", F.transform(L.per_hertz("samples", L.centres(-40, 23)), lambda x: F.round(x, 6)).alias("hz"))
 
 
-@query("C16_band_centres", "select n, round(1000 * pow(10.0, (n - 17) / 10.0), 6) centre from (select distinct i + 1 n from (select unnest(range(0, len(embedding))) i from embeddings) where i < 30)")
+@query("C16_band_centres", f"select id, i n, round(1000 * pow(10.0, (i - 16) / 10.0), 4) centre, round(p, 5) as level from {LONG} where i < 30")
 def c16(s, d):
-    n = table(s, d, "embeddings").select(F.explode(F.sequence(F.lit(1), F.least(F.size("embedding"), F.lit(30)))).alias("n")).distinct().select(F.col("n").cast("long").alias("n"))
-    return n.select("n", F.round(F.element_at(L.centres(), F.col("n").cast("int")), 6).alias("centre"))
+    """The first levels of every record beside the centres of their bands."""
+    pairs = F.posexplode(F.arrays_zip(L.centres().alias("c"), F.slice("samples", 1, 30).alias("l")))
+    return records(s, d).select("id", pairs.alias("n", "x")).select("id", F.col("n").cast("long").alias("n"), F.round("x.c", 4).alias("centre"), F.round("x.l", 5).alias("level"))
 
 
 DFT = f"""(select id, k, (case when k in (0, 32) then 1 else 2 end) * (pow(sum(p * cos(2 * pi() * k * i / 64)), 2) + pow(sum(p * sin(2 * pi() * k * i / 64)), 2)) / 4096 w from {LONG}, (select unnest(range(0, 33)) k) group by id, k)"""
@@ -62,12 +69,11 @@ def p03(s, d):
     return out.where("db is not null").select("id", (F.col("b") - 4).cast("long").alias("b"), F.round("db", 5).alias("db"))
 
 
-@query("J14_bins_in_bands", f"""select b, k from (select unnest(range(0, 33)) k) join (select b, 1000 * pow(10.0, b / 10.0) c from (select unnest(range(-4, 14)) b)) on k * {RATE} / 64 >= c / pow(2, 1 / 6.0::double) and k * {RATE} / 64 < c * pow(2, 1 / 6.0::double) where k < (select max(len(embedding)) from embeddings)""")
+@query("J14_bins_in_bands", f"""select id, b, count(*) bins, round(sum(p), 4) total from {LONG} join (select b, 1000 * pow(10.0, b / 10.0) c from (select unnest(range(-4, 14)) b)) on i <= 32 and i * {RATE} / 64 >= c / pow(2, 1 / 6.0::double) and i * {RATE} / 64 < c * pow(2, 1 / 6.0::double) group by all""")
 def j14(s, d):
-    bins = table(s, d, "embeddings").select(F.explode(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int"))).alias("k")).distinct().select(F.col("k").cast("long").alias("k"))
+    """The bins of every record, summed into the bands they fall in; a bin between two centres is in both."""
     bands = s.range(-4, 14).select(F.col("id").alias("b"), (1000 * F.pow(F.lit(10.0), F.col("id") / 10)).alias("c"))
-    f = F.col("k") * RATE / 64
-    return bins.join(F.broadcast(bands), (f >= F.col("c") / 2 ** (1 / 6)) & (f < F.col("c") * 2 ** (1 / 6))).select("b", "k")
+    return rounded(waveform.binned(long(s, d).where("i <= 32"), ["id"], bands, RATE / 64), "total", to=4)
 
 
 @query("W08_running_integral", f"select id, i, round(sum(coalesce((p + q) / 2, 0)) over (partition by id order by i), 5) integral from (select id, i, p, lag(p) over (partition by id order by i) q from {LONG})")
@@ -136,20 +142,60 @@ def p07(s, d):
     return rounded(waveform.envelope(long(s, d), ["id"], 10), "lo", "hi")
 
 
-@query("P08_decimated", f"""with c as (select unnest(range(0, 7)) col) select id, col, round(min(p), 6) lo, round(max(p), 6) hi from {LONG}, c where i < 42 and i + 1 > 5 and col between floor((i - 5) / (37 / 7.0::double)) and floor((i + 1 - 5) / (37 / 7.0::double)) group by all""")
+DECIMATED = """with c as (select col, greatest(floor({t0} + col * {step}), 0) a, ceil({t0} + (col + 1) * {step}) b from (select unnest(range(0, {cols})) col))
+    select id, col, round(min(p), 6) lo, round(max(p), 6) hi from {long}, c where b > 0 and floor({t0} + col * {step}) < 64 and i >= a and i < greatest(b, a + 1) group by all"""
+
+
+@query("P08_decimated", DECIMATED.format(t0=5, step="(37 / 7.0::double)", cols=7, long=LONG))
 def p08(s, d):
     return rounded(waveform.decimated(long(s, d), ["id"], 5.0, 42.0, 7, 1.0), "lo", "hi")
 
 
+@query("P08_decimated_aligned", DECIMATED.format(t0=-8, step="8.0::double", cols=12, long=LONG))
+def p08b(s, d):
+    """Columns of eight whole samples, the first before the record and the last ones after it."""
+    return rounded(waveform.decimated(long(s, d), ["id"], -8.0, 88.0, 12, 1.0), "lo", "hi")
+
+
 @query("P09_triggers", f"select id, min(i) filter (p > 80) as trigger from {LONG} group by 1")
 def p09(s, d):
     return waveform.triggers(long(s, d), ["id"], 80.0)
 
 
-@query("P10_auto_window", f"""with t as (select label, min(i) * 0.001::double t from {LONG} where p > 80 group by 1), a as (select distinct label from {LONG}), w as (select label, least(greatest(coalesce(t - 0.0015::double, 0), 0), 0.04::double) f from a left join t using (label)) select label, round(f, 6) "from", round(least(f + 0.024::double, 0.064::double), 6) "to" from w""")
+ENVELOPE = f"(select id, label, (((i + 1) * 10 + 63) // 64 - 1) bucket, max(p) hi from {LONG} group by all)"
+FIRST_BUCKET = f"(select id, label, min(bucket) filter (hi > least(80, peak / 5)) as trigger from (select *, max(hi) over (partition by id) peak from {ENVELOPE}) group by all)"
+
+
+def envelope_triggers(s, d):
+    return waveform.envelope_triggers(waveform.envelope(long(s, d), ["id", "label"], 10), ["id", "label"], 80.0)
+
+
+@query("P09_envelope_triggers", f"select id, trigger from {FIRST_BUCKET}")
+def p09b(s, d):
+    return envelope_triggers(s, d).select("id", "trigger")
+
+
+VIEWS = f"""(with t as (select label, min(trigger * 0.0064::double + 0.001::double) t, 0.001::double lo, 0.065::double hi from {FIRST_BUCKET} group by 1)
+    select label, coalesce(greatest(lo, t - 0.0015::double), lo) a, coalesce(least(hi, greatest(lo, t - 0.0015::double) + 0.024::double), hi) b, lo, hi from t)"""
+
+
+def views(s, d):
+    at = envelope_triggers(s, d).select("label", (F.col("trigger") * 0.0064 + 0.001).alias("trigger"), F.lit(0.001).alias("lo"), F.lit(0.065).alias("hi"))
+    return waveform.auto_window(at, "label")
+
+
+@query("P10_auto_window", f"""select label, round(a, 6) "from", round(b, 6) "to" from {VIEWS}""")
 def p10(s, d):
-    found = waveform.triggers(long(s, d), ["id", "label"], 80.0)
-    return rounded(waveform.auto_window(found, "label", 0.0, 0.064, 0.001), "from", "to")
+    return rounded(views(s, d), "from", "to").select("label", "from", "to")
+
+
+@query("P10_widened_view", f"""with m as (select label, min(arg_max) - 0.002 a, max(arg_max) + 0.002 b from (select id, label, arg_max(i, p) * 0.001::double + 0.001::double arg_max from {LONG} group by all) group by 1),
+    v as (select label, least(v.a, m.a) a, greatest(v.b, m.b) b, lo, hi from {VIEWS} v join m using (label)), l as (select *, least(greatest(b - a, 0.00005), hi - lo) n from v)
+    select label, round(least(greatest(a, lo), hi - n), 6) "from", round(least(greatest(a, lo), hi - n) + n, 6) "to" from l""")
+def p10b(s, d):
+    """The view reaches the peak of each record."""
+    marks = long(s, d).groupBy("id", "label").agg((F.max_by("i", F.struct("p", -F.col("i"))) * 0.001 + 0.001).alias("time"))
+    return rounded(waveform.widened(views(s, d), marks, "label", "time"), "from", "to")
 
 
 @query("P12_aligned_overlay", f"""with t as (select id, min(i) k from {LONG} where p > 80 group by 1) select id, i - k as "at", round(p, 6) p from {LONG} join t using (id) where i - k between -2 and 10""")
@@ -161,38 +207,78 @@ def p12(s, d):
 
 @query("P14_set_gain", f"select id, round(0.5 / max(m) over (partition by label), 9) gain from (select id, label, max(abs(p)) m from {LONG} group by all)")
 def p14(s, d):
-    top = records(s, d).select("id", "label", F.array_max(F.transform("samples", F.abs)).alias("m"))
-    return top.join(top.groupBy("label").agg(F.max("m").alias("t")), "label").select("id", F.round(0.5 / F.col("t"), 9).alias("gain"))
+    return rounded(waveform.shared_gain(records(s, d), ["id"], ["label"], "samples"), "gain", to=9)
 
 
-@query("P01_shot_metrics")
+@query("P14_faded", f"select id, list(round(p * least(1, i / 8.0::double, (63 - i) / 8.0::double), 6) order by i) samples from {LONG} group by 1")
+def p14b(s, d):
+    return records(s, d).select("id", F.transform(waveform.faded(F.col("samples"), 8), lambda x: F.round(x, 6)).alias("samples"))
+
+
+def response(n: int = 64) -> list[float]:
+    """The filter's answer to a single one, from which SQL gets the weighted record by convolution."""
+    return waveform.filtered(*waveform.a_weighting(1 / WIDE_DT), np.eye(1, n))[0].tolist()
+
+
+def curves(rows: str) -> str:
+    """CTEs: w, the windowed records with their running integral, weighted samples and running level; m, one row of metrics for each id. At 500 Hz the
+    peak is sought in 38 samples and the level in 13 more, and the level runs over 5."""
+    h = ", ".join(f"({k}, {v!r}::double)" for k, v in enumerate(response()))
+    return f"""with recursive h(k, v) as (values {h}), x as (select id, i, p, max(i) over (partition by id) + 1 n, sum(coalesce((p + q) / 2, 0)) over (partition by id order by i) * 2 integral from (select id, i, p, lag(p) over (partition by id order by i) q from {rows})),
+    y as (select a.id, a.i, sum(v * b.p) y from x a join h on k <= a.i join x b on b.id = a.id and b.i = a.i - k group by all),
+    l as (select id, i, sqrt(avg(y * y) over (partition by id order by i rows between 4 preceding and current row)) level from (select id, i, y from y union all select id, i - n, y from y join (select distinct id, n from x) using (id) where i >= n - 4) qualify i >= 0),
+    w as (select * from x join y using (id, i) join l using (id, i)),
+    t as (select id, any_value(n) n, max(p) filter (i < 38) peak_pa, arg_max(i, p) filter (i < 38) peak_index, arg_min(i, integral) filter (i < 38) trough_index, max(y) filter (i < 38) peak_a_pa, min(i) filter (p > 1) leq_start from w group by 1),
+    m as (select id, peak_pa, peak_a_pa, max(integral) filter (i <= trough_index) impulse_pa_ms, max(level) filter (i between leq_start and leq_start + 13) peak_leq_pa, any_value(peak_index) peak_index, any_value(trough_index) trough_index, arg_max(i, integral) filter (i <= trough_index) impulse_index, any_value(leq_start) leq_start, least(any_value(leq_start) + 13, any_value(t.n) - 1) leq_stop, arg_max(i, level) filter (i between leq_start and leq_start + 13) leq_index from w join t using (id) group by id, peak_pa, peak_a_pa)"""
+
+
+LEVELS = {"peak_db": "peak_pa", "peak_dba": "peak_a_pa", "impulse_db_ms": "impulse_pa_ms", "peak_leq10ms_dba": "peak_leq_pa"}
+
+
+def db(x: str) -> str:
+    return f"case when {x} > 0 then 20 * log10({x} / 2e-5) end"
+
+
+def metrics(s, d):
+    return waveform.shot_metrics(records(s, d), ["id"], "samples", WIDE_DT, short=F.expr(SHORT))
+
+
+@query("P01_shot_metrics", f"{curves(WINDOW)} select id, {', '.join(f'round({x}, 5) {x}' for x in LEVELS.values())}, {', '.join(f'round({db(x)}, 4) {k}' for k, x in LEVELS.items())} from m")
 def p01(s, d):
-    return waveform.shot_metrics(records(s, d), ["id"], "samples", DT, 40 * DT, 20 * DT, 8 * DT)
+    out = metrics(s, d).select("id", *LEVELS.values(), *LEVELS)
+    return rounded(rounded(out, *LEVELS.values(), to=5), *LEVELS, to=4)
 
 
-@query("P02_a_weighted_peak")
+@query("P02_a_weighted", f"{curves(WINDOW)} select id, round(peak_a_pa, 5) peak_a_pa, round({db('peak_a_pa')}, 4) peak_dba from m")
 def p02(s, d):
-    return waveform.shot_metrics(records(s, d), ["id"], "samples", DT, 64 * DT, 20 * DT, 8 * DT).select("id", F.round("peak_dba", 3).alias("peak_dba"))
+    return rounded(rounded(metrics(s, d).select("id", "peak_a_pa", "peak_dba"), "peak_a_pa", to=5), "peak_dba", to=4)
 
 
-@query("P11_analysis_working")
+@query("P11_analysis_working", f"{curves(WINDOW)} select id, peak_index, trough_index, impulse_index, leq_start, leq_stop, leq_index, leq_start is not null triggered from m")
 def p11(s, d):
-    out = waveform.shot_metrics(records(s, d), ["id"], "samples", DT, 40 * DT, 20 * DT, 8 * DT)
-    return out.select("id", "peak_index", "trough_index", "impulse_index", "leq_start", "leq_index", "triggered", "error")
+    return metrics(s, d).select("id", *(F.col(c).cast("long").alias(c) for c in waveform.INDICES), "triggered")
 
 
-@query("P13_downsampled")
+@query("P13_downsampled", f"""with h(k, v) as (values {", ".join(f"({k}, {v!r}::double)" for k, v in enumerate(waveform.lowpass().tolist()))})
+    select id, o, round(sum(v * p), 6) p from {LONG} join (select unnest(range(0, 13)) o) on true join h on k = o * 5 + 31 - i group by all""")
 def p13(s, d):
-    return waveform.downsampled(records(s, d), ["id"], "samples")
+    out = waveform.downsampled(records(s, d), ["id"], "samples").select("id", F.posexplode("samples").alias("o", "p"))
+    return rounded(out.withColumn("o", F.col("o").cast("long")), "p")
+
 
+def restored_sql(kind: str) -> str:
+    top = {"int16": 32767, "int24": 8388607}.get(kind)
+    if top:
+        return f"(select id, i, label, round_even(p / s, 0) * s p from {WINDOW} join (select id, max(abs(p)) / {top} s from {WINDOW} group by 1) using (id))"
+    return f"(select id, i, label, case when p = 0 then p else round_even(p / u, 0) * u end p from (select *, pow(2.0::double, greatest(floor(log2(abs(nullif(p, 0)))), -14) - 10) u from {WINDOW}))"
 
-@query("P15_round_trip")
+
+def round_trip_sql(kind: str) -> str:
+    worst = ", ".join(f"round(max(abs({db('a.' + x)} - {db('b.' + x)})), 4) {k}" for k, x in LEVELS.items())
+    return f"select '{kind}' quantiser, {worst} from ({curves(WINDOW)} select * from m) a join ({curves(restored_sql(kind))} select * from m) b using (id)"
+
+
+@query("P15_round_trip", " union all ".join(map(round_trip_sql, ("int16", "int24", "float16"))))
 def p15(s, d):
-    """Error in dB of the metrics after 16-bit quantising."""
-    r = records(s, d)
-    scale, q = waveform.quantised(F.col("samples"))
-    back = r.select("id", F.transform(q, lambda x: x * scale).alias("samples"))
-    m = lambda x: waveform.shot_metrics(x, ["id"], "samples", DT, 40 * DT, 20 * DT, 8 * DT)
-    names = ["peak_db", "peak_dba", "impulse_db_ms", "peak_leq10ms_dba"]
-    b = m(back).select("id", *(F.col(c).alias(f"_{c}") for c in names))
-    return m(r).join(b, "id").agg(*(F.max(F.abs(F.col(c) - F.col(f"_{c}"))).alias(c) for c in names))
+    out = waveform.round_trip_errors(records(s, d), ["id"], "samples", WIDE_DT, F.expr(SHORT))
+    return rounded(out, *LEVELS, to=4)
