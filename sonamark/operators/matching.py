@@ -14,6 +14,13 @@ def close(a, b, tolerance: float = 1e-9):
     return F.abs(a - b) <= F.greatest(tolerance * F.greatest(F.abs(a), F.abs(b)), F.lit(tolerance))
 
 
+def cells(x, width: float = 1e-6, reach: float = 2e-9):
+    """(the cell of a number, the one or two cells that numbers close to it are in): on a scale on which a relative distance from 1 up, and an
+    absolute one below, has about the same length everywhere. Close numbers are within reach of one another on it."""
+    at = F.signum(col(x)) * F.ln(1 + F.abs(col(x)))
+    return F.floor(at / width), F.array_distinct(F.array(F.floor((at - reach) / width), F.floor((at + reach) / width)))
+
+
 def match_runs(runs: DataFrame, rows: DataFrame, run_id: str, row_id: str, key: list[str], loose: list[str], dims: list[str]) -> DataFrame:
     """(run_id, row_id, how): by the whole key first; then by a loose key and equal dimensions (null matches nothing), among rows that are
     not used yet, where the run has one candidate only and the row goes to the smallest run id."""
@@ -24,7 +31,10 @@ def match_runs(runs: DataFrame, rows: DataFrame, run_id: str, row_id: str, key:
     same = close(dims[0], f"_{dims[0]}")
     for d in dims[1:]:
         same = same & close(d, f"_{d}")
-    cand = left.join(free, loose).where(same).select(run_id, row_id)
+    at = [f"_cell{i}" for i in range(len(dims))]
+    for c, d in zip(at, dims):  # close values are in the same cells, so the loose key alone makes no candidates
+        left, free = left.withColumn(c, F.explode(cells(d)[1])), free.withColumn(c, cells(f"_{d}")[0])
+    cand = left.join(free, [*loose, *at]).where(same).select(run_id, row_id)
     cand = cand.withColumns({"n": F.count("*").over(W.partitionBy(run_id)), "first": F.row_number().over(W.partitionBy(row_id).orderBy(run_id))})
     by_specs = cand.where("n = 1 and first = 1").select(run_id, row_id, F.lit("specs").alias("how"))
     return by_name.select(run_id, row_id, "how").unionByName(by_specs)

@@ -1,20 +1,49 @@
-"""Prefix sums over a global order without one task for all rows."""
+"""Running sums and minima over a global order, or that of a large group, without one task for all its rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def prefix_sums(rows: DataFrame, order: str, value: str, out: str, pieces: int | None = None) -> DataFrame:
-    """rows with the sum of value over the rows before them. The order is cut into ranges at approximate quantiles (a few numbers come to
-    the driver); sums run within ranges, and each range starts at the total of those before it."""
+def same(left: DataFrame, right: DataFrame, keys: list[str], join: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the right side's keys go."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    if not keys:
+        return left.join(F.broadcast(named), F.lit(True), join)  # one row
+    out = left.join(named, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys)), join)
+    return out.drop(*(f"_r_{k}" for k in keys)) if join not in ("left_semi", "left_anti") else out
+
+
+def ranges_of(rows: DataFrame, order: str, pieces: int | None = None) -> DataFrame:
+    """rows with _piece, the number of the range of `order` (a number or time) that each is in; nulls are in the first. The order is cut at
+    approximate quantiles: a few numbers come to the driver."""
     pieces = pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({*(rows.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)] or [0.5], 10_000)).first()[0] or [])})
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = rows.withColumn("_piece", piece)
-    totals = rows.groupBy("_piece").agg(F.sum(value).alias("_t"))
-    before = totals.select("_piece", F.coalesce(F.sum("_t").over(W.orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("_piece").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_inside", inside).join(before, "_piece").withColumn(out, F.col("_before") + F.col("_inside")).drop("_piece", "_before", "_inside")
+    piece = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    return rows.withColumn("_piece", piece)
+
+
+def running(rows: DataFrame, order: str, value: str, out: str, how=F.sum, pieces: int | None = None, tie: str | None = None, group: list[str] | None = None) -> DataFrame:
+    """rows with how (sum or min) of value over the rows before them (in their group) in the order of (order, tie); null before the first. Rows that
+    agree in both are in an arbitrary order. Windows run within ranges of the order, and each range starts from what those before it come to."""
+    group, rows = group or [], ranges_of(rows, order, pieces)
+    totals = rows.groupBy(*group, "_piece").agg(how(value).alias("_t"))
+    before = totals.select(*group, "_piece", how("_t").over(W.partitionBy(*group).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    inside = how(value).over(W.partitionBy(*group, "_piece").orderBy(order, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, -1))
+    both = F.array_compact(F.array("_before", "_inside"))
+    value_of = F.when(F.size(both) > 0, F.array_min(both) if how is F.min else F.aggregate(both, F.lit(0).cast(rows.schema[value].dataType), lambda a, x: a + x))
+    return same(rows.withColumn("_inside", inside), before, [*group, "_piece"]).withColumn(out, value_of).drop("_piece", "_before", "_inside")
+
+
+def prefix_sums(rows: DataFrame, order: str, value: str, out: str, pieces: int | None = None, tie: str | None = None, group: list[str] | None = None) -> DataFrame:
+    """running() with sums, 0 before the first row."""
+    return running(rows, order, value, out, F.sum, pieces, tie, group).withColumn(out, F.coalesce(out, F.lit(0)))
+
+
+def stride_offsets(rows: DataFrame, order: str, stride: int, out: str, tie: str | None = None) -> DataFrame:
+    """Offsets of records of one size: stride times the number of records before."""
+    return prefix_sums(rows.withColumn("_one", F.lit(stride).cast("long")), order, "_one", out, tie=tie).drop("_one")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.levels import indistinguishable
+from ..sources.store import fresh_folder
+from .offsets import prefix_sums, running, same
 
 
 def signed(column: str, better: str):
@@ -16,17 +18,20 @@ def signed(column: str, better: str):
 
 
 def rank_order(rows: DataFrame, group: list[str], column: str, run_id: str, better: str = "min") -> DataFrame:
-    """rows that have a value, with rank (best first, ties by id) and field size, within each group."""
-    w = W.partitionBy(*group)
-    return rows.where(F.col(column).isNotNull()).withColumns({"rank": F.row_number().over(w.orderBy(signed(column, better), run_id)).cast("long"), "field": F.count("*").over(w)})
+    """rows that have a value, with rank (best first, ties by id) and field size, within each group. A group's rows are counted range by range."""
+    x = rows.where(F.col(column).isNotNull()).withColumns({"_v": signed(column, better), "_one": F.lit(1).cast("long")})
+    ranked = prefix_sums(x, "_v", "_one", "rank", tie=run_id, group=group).withColumn("rank", F.col("rank") + 1)
+    return same(ranked, x.groupBy(*group).agg(F.count("*").alias("field")), group).drop("_v", "_one")
 
 
 def leader_ties(rows: DataFrame, group: list[str], column: str, sem: str, run_id: str, better: str = "min") -> DataFrame:
-    """For each group: rows tied with the first, and the last position of such a row."""
-    ranked = rank_order(rows, group, column, run_id, better)
-    lead = ranked.where("rank = 1").select(*group, F.col(column).alias("_v"), F.col(sem).alias("_s"))
-    tied = indistinguishable(column, sem, "_v", "_s", zero_sem_is_null=True) | (F.col("rank") == 1)
-    return ranked.join(lead, group).groupBy(*group).agg(F.count_if(tied).alias("tied"), F.max(F.when(tied, F.col("rank"))).alias("depth"))
+    """For each group: rows tied with the first, and the last position of such a row. Aggregates only: no row is ranked."""
+    x = rows.where(F.col(column).isNotNull()).select(*group, F.struct(signed(column, better).alias("v"), F.col(run_id).alias("id")).alias("_at"), F.col(column).alias("_value"), F.col(sem).alias("_sem"))
+    lead = x.groupBy(*group).agg(F.min(F.struct("_at", F.col("_value").alias("v"), F.col("_sem").alias("s"))).alias("_lead"))
+    both = same(x, lead, group)
+    tied = indistinguishable("_value", "_sem", F.col("_lead.v"), F.col("_lead.s"), zero_sem_is_null=True) | (F.col("_at") == F.col("_lead._at"))
+    worst = both.groupBy(*group).agg(F.count_if(tied).alias("tied"), F.max(F.when(tied, F.col("_at"))).alias("_worst"))
+    return same(x, worst, group).groupBy(*group, "tied").agg(F.count_if(F.col("_at") <= F.col("_worst")).alias("depth"))
 
 
 def tied_with(rows: DataFrame, group: list[str], column: str, sem: str, run_id: str, one: int) -> DataFrame:
@@ -36,41 +41,105 @@ def tied_with(rows: DataFrame, group: list[str], column: str, sem: str, run_id:
 
 
 def frontier2(rows: DataFrame, group: list[str], x: str, y: str, better: tuple[str, str] = ("min", "min")) -> DataFrame:
-    """Rows that no row of the group dominates in two objectives; equal rows stay. The best y at each x, then a running minimum: no pairs."""
+    """Rows that no row of the group dominates in two objectives; equal rows stay. The best y at each x, then a running minimum over ranges of x: no pairs,
+    and a large group is not in one task."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": signed(x, better[0]), "_y": signed(y, better[1])})
     least = rows.groupBy(*group, "_x").agg(F.min("_y").alias("_least"))
-    before = F.min("_least").over(W.partitionBy(*group).orderBy("_x").rowsBetween(W.unboundedPreceding, -1))
-    kept = least.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_least") < F.col("_before"))).select(*group, "_x", F.col("_least").alias("_y"))
-    return rows.join(kept, [*group, "_x", "_y"], "left_semi").drop("_x", "_y")
-
-
-def frontier(rows: DataFrame, objectives: dict[str, str], keep: list[str]) -> DataFrame:
-    """The same for any number of objectives over all rows: frontiers of partitions in tasks, then of their distinct survivors by an anti join."""
-    rows = rows.where(" and ".join(f"{k} is not null" for k in objectives)).select(*keep, *(signed(k, b).cast("double").alias(f"_{i}") for i, (k, b) in enumerate(objectives.items())))
-    cols = [f"_{i}" for i in range(len(objectives))]
+    kept = running(least, "_x", "_least", "_best", F.min, group=group).where(F.col("_best").isNull() | (F.col("_least") < F.col("_best"))).select(*group, "_x", F.col("_least").alias("_y"))
+    return same(rows, kept, [*group, "_x", "_y"], "left_semi").drop("_x", "_y")
+
+
+def skyline(points: np.ndarray, block: int = 256) -> np.ndarray:
+    """The points that no other dominates (all smaller or equal, one smaller), distinct and in order. In lexicographic order a point comes after those
+    that dominate it, so each block is compared with the frontier so far and with itself."""
+    points = np.unique(points, axis=0)
+    best, n = np.empty_like(points), 0
+    for at in range(0, len(points), block):
+        part = points[at : at + block]
+        for k in range(0, n, 4096):
+            part = part[~(best[k : min(n, k + 4096)][None] <= part[:, None]).all(2).any(1)]
+        over = (part[None] <= part[:, None]).all(2)
+        part = part[over.sum(1) == 1]  # itself
+        best[n : n + len(part)] = part
+        n += len(part)
+    return best[:n]
+
+
+#: Points of a group that one task may hold.
+FIT = 500_000
+
+
+def frontier(rows: DataFrame, objectives: dict[str, str], group: list[str] | None = None, mask: Column | None = None, fan_in: int = 8, fit: int = FIT) -> DataFrame:
+    """Rows of each group that no row of it dominates in the objectives (column -> min or max); equal rows stay, and rows with a null or NaN objective, or
+    outside the mask, are no candidates. Frontiers of partitions are found in tasks and merged, `fan_in` at a time, in rounds; each round is written. A
+    group whose merged frontiers would pass `fit` points isn't merged further: its pieces are then compared two by two, in a task for each pair."""
+    if not objectives:
+        return rows.limit(0)
+    group, cols = group or [], [f"_{i}" for i in range(len(objectives))]
+    rows = rows.where(mask) if mask is not None else rows
+    for k in objectives:
+        rows = rows.where(F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")))
+    rows = rows.withColumns({f"_{i}": signed(k, b).cast("double") for i, (k, b) in enumerate(objectives.items())})
+    kinds = ", ".join([*(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group), *(f"{c} double" for c in cols)])
+
+    def of_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = pd.DataFrame(skyline(pdf[cols].to_numpy(float)), columns=cols)
+        for at, g in enumerate(group):
+            found.insert(at, g, pd.Series([pdf[g].iloc[0]] * len(found), dtype=pdf[g].dtype))
+        return found
 
     def local(batches):
-        best = np.empty((0, len(cols)))
+        held = []
         for pdf in batches:
-            points = np.unique(pdf[cols].to_numpy(float), axis=0)
-            for part in np.array_split(points, max(1, len(points) // 4096)):
-                if len(best):
-                    part = part[~((best[None] <= part[:, None]).all(2) & (best[None] < part[:, None]).any(2)).any(1)]
-                own: list[np.ndarray] = []
-                for p in part[np.argsort(part.sum(1), kind="stable")]:  # a dominating point has the smaller sum
-                    if not own or not ((np.array(own) <= p).all(1) & (np.array(own) < p).any(1)).any():
-                        own.append(p)
-                best = np.unique(np.concatenate([best, np.array(own).reshape(-1, len(cols))]), axis=0)
-        yield pd.DataFrame(best, columns=cols)
-
-    points = rows.select(*cols).mapInPandas(local, ", ".join(f"{c} double" for c in cols)).distinct()
-    a, b = points.alias("a"), points.alias("b")
-    no_worse = [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in cols]
-    better = [F.col(f"b.{c}") < F.col(f"a.{c}") for c in cols]
-    every, some = no_worse[0], better[0]
-    for x, y in zip(no_worse[1:], better[1:]):
-        every, some = every & x, some | y
-    return rows.join(a.join(b, every & some, "left_anti"), cols, "left_semi").select(*keep)
+            held.append(pdf)
+            if sum(map(len, held)) > 100_000:
+                held = [pd.concat([of_group(g) for g in split(held)])]
+        if held:
+            yield from map(of_group, split(held))
+
+    def split(held):
+        whole = pd.concat(held)
+        return [g for _, g in whole.groupby(group, dropna=False, sort=False)] if group else [whole]
+
+    folder = lambda: fresh_folder(rows.sparkSession, "frontier")
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = folder()
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    pieces = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    points = kept(rows.select(*group, *cols).mapInPandas(local, kinds).withColumn("_piece", F.pmod(F.xxhash64(*cols), F.lit(pieces)).cast("int")))
+    while pieces > 1:
+        most = points.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+        pieces = max(-(-pieces // fan_in), -(-most // fit))
+        near = points.withColumn("_piece", F.pmod(F.xxhash64(*cols), F.lit(pieces)).cast("int"))
+        points = kept(near.groupBy(*group, "_piece").applyInPandas(lambda pdf: of_group(pdf).assign(_piece=pdf["_piece"].iloc[0]), f"{kinds}, _piece int"))
+        if most > fit and pieces == -(-most // fit):
+            break
+    if pieces > 1:
+
+        def outlived(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+            keep = own
+            if len(own) and len(other):
+                both = np.concatenate([own[cols].to_numpy(float), other[cols].to_numpy(float)])
+                left = {tuple(p) for p in skyline(both)}
+                keep = own[[tuple(p) in left for p in own[cols].to_numpy(float)]]
+            return keep[[*group, *cols]]
+
+        a = points.withColumns({"_i": F.col("_piece"), "_j": F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))})
+        b = points.withColumns({"_j": F.col("_piece"), "_i": F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))})
+        key = [*group, "_i", "_j"]
+        points = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(outlived, kinds).groupBy(*group, *cols).count().where(F.col("count") == pieces).drop("count")
+    return same(rows, points.select(*group, *cols), [*group, *cols], "left_semi").drop(*cols)
+
+
+def frontier_of_finite(rows: DataFrame, measures: dict[str, str | None], group: list[str] | None = None) -> DataFrame:
+    """The frontier over the measures that have a better side, of rows in which every measure is finite; none if no measure has a better side."""
+    ok = lambda k: F.col(k).isNotNull() & ~F.isnan(F.col(k).cast("double")) & (F.abs(F.col(k).cast("double")) != float("inf"))
+    for k in measures:
+        rows = rows.where(ok(k))
+    return frontier(rows, {k: b for k, b in measures.items() if b}, group)
 
 
 def frontier_path(front: DataFrame, group: list[str], x: str, y: str, run_id: str, better: str = "min") -> DataFrame:

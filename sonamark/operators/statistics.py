@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import level
+from .offsets import prefix_sums
 
 
 def run_statistics(shots: DataFrame, keys: list[str], value: str = "value", shot: str = "shot", excluded: str | None = "excluded") -> DataFrame:
@@ -58,3 +59,11 @@ def availability(rows: DataFrame, measures: list[str]) -> DataFrame:
 def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
     out = rows.groupBy(row).pivot(column, values).count().na.fill(0)
     return out.withColumn("total", sum((F.col(str(v)) for v in values[1:]), F.col(str(values[0]))))
+
+
+def median(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the exact median of the values that aren't null, by their ranks; no task holds them all. Null if there are none."""
+    x = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.lit(1).cast("long").alias("one"))
+    n = x.count()
+    middle = prefix_sums(x, "v", "one", "at").where(F.col("at").isin((n - 1) // 2, n // 2))
+    return middle.agg(F.avg("v").alias("median"))

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import ranking, statistics, waveform
+from ..operators import views as V
 from ..operators.offsets import prefix_sums
 from ..sources import captures, store
 from ..streaming.incremental import incremental
 from .registry import DEVICES, SHOTS, devices, query, rounded, shots, table
-from .waves import DT, LONG, records
+from .stored import TABLES, VIEW_RUN, stored
+from .waves import DT, LONG, WIDE_DT, records
 
 LABELS = ["_EVENT_", "_MFGR_", "_SUPPRESSOR_", "_CAL_", "_CART_", "PkPr", "dB", "PkPr", "shots", "weight", "len", "maxdia"]
 MICS = ["", "", "", "", "", "ML", "ML", "SE", "", "", "", ""]
@@ -52,10 +54,16 @@ def paths(s, d):
     return devices(s, d).select("run", "maker", "model", "host", F.concat(F.lit("20240"), (101 + F.col("run") % 9).cast("string"), F.lit("/"), "maker", F.lit("/"), "model", F.lit(" (.30 on "), "host", F.lit(")/Shot "), (F.col("run") % 5 + 1).cast("string"), F.lit("/Time Group_Expanded Time(Mil Left) - Input"), F.when(F.col("run") % 4 == 0, ".x").otherwise(".txt")).alias("path"))
 
 
-@query("S09_member_paths", f"select run, (run % 5 + 1)::int shot, 'Time Group_Expanded Time(Mil Left) - Input' || case when run % 4 = 0 then '.x' else '.txt' end file from {DEVICES}")
+LAYOUT = "case run % 6 when 0 then 'void' when 1 then 'flat' when 2 then 'slash' when 3 then 'shallow' else 'shot' end"
+
+
+@query("S09_member_paths", f"""select run, case when k not in ('void', 'shallow') then 'Day1/' || maker || '/' || model || ' (.30 on ' || host || ')' end run_dir, case when k in ('shot', 'slash') then (run % 5 + 1)::int end shot, case when k not in ('void', 'shallow') then 'a.txt' end file from (select *, {LAYOUT} k from {DEVICES})""")
 def s09(s, d):
-    p = N.member_parts("path")
-    return paths(s, d).select("run", p["shot"].alias("shot"), p["file"].alias("file"))
+    """With shot folders and without, under a release folder, with a leading slash; a folder of a failed shot and a shallow file are no members."""
+    run_dir, k, shot = F.concat(F.lit("Day1/"), "maker", F.lit("/"), "model", F.lit(" (.30 on "), "host", F.lit(")")), F.expr(LAYOUT), (F.col("run") % 5 + 1).cast("string")
+    in_shot = F.concat(run_dir, F.lit("/Shot "), shot, F.lit("/a.txt"))
+    path = F.when(k == "void", F.concat(run_dir, F.lit("/XX Shot 4 did not record/a.txt"))).when(k == "flat", F.concat(run_dir, F.lit("/a.txt"))).when(k == "slash", F.concat(F.lit("/"), in_shot)).when(k == "shallow", F.concat("maker", F.lit("/a.txt"))).otherwise(F.concat(F.lit("2023_SUMMIT_RELEASE_SET/"), in_shot))
+    return devices(s, d).select("run", *(c.alias(n) for n, c in N.member_parts(path).items()))
 
 
 @query("S10_run_dirs", f"select run, maker, model device, '.30' caliber, host cartridge, make_date(2024, 1, (1 + run % 9)::int) event_date from {DEVICES}")
@@ -65,10 +73,11 @@ def s10(s, d):
     return x.select("run", "maker", "device", "caliber", "cartridge", N.event_date("event").alias("event_date"))
 
 
-@query("S11_capture_files", f"select run, 'Mil Left' signal, 'ML' mic, case when run % 4 = 0 then 'x' else 'txt' end suffix, run % 4 = 0 excluded from {DEVICES}")
+@query("S11_capture_files", f"""select run, case run % 5 when 4 then null when 1 then ' Mil Left ' else 'Mil Left' end signal, case when run % 5 < 4 then 'ML' end mic, case run % 5 when 0 then 'x' when 2 then '12' when 4 then null else 'txt' end suffix, run % 5 = 0 excluded from {DEVICES}""")
 def s11(s, d):
-    x = paths(s, d).select("run", N.member_parts("path")["file"].alias("file"))
-    return x.select("run", *(c.alias(k) for k, c in N.capture_file("file").items()))
+    k, head = F.col("run") % 5, F.lit("Time Group_Expanded Time(")
+    name = F.concat(head, F.when(k == 1, " Mil Left ").otherwise("Mil Left"), F.lit(") - Input"), F.when(k == 0, ".x").when(k == 1, "").when(k == 2, ".12").when(k == 3, ".txt").otherwise(".y"))
+    return devices(s, d).select("run", *(c.alias(n) for n, c in N.capture_file(name).items()))
 
 
 @query("S12_spec_files", f"select run::varchar path, model as name, nullif(weight, 11) length_in, price weight_oz, host caliber, 1.5::double max_diameter_in from {DEVICES}")
@@ -77,26 +86,31 @@ def s12(s, d):
     return captures.parse_specs(devices(s, d).select(F.col("run").cast("string").alias("path"), text.alias("text")))
 
 
-@query("S13_file_kinds", f"select case run % 4 when 0 then 'capture' when 1 then 'specs' when 2 then 'ignored' else 'unrecognised' end kind, count(*) n from {DEVICES} group by 1")
+@query("S13_file_kinds", f"select case run % 7 when 0 then 'capture' when 1 then 'specs' when 2 then 'ignored' when 3 then 'void' when 4 then 'note' when 5 then 'void' else 'unrecognised' end kind, count(*) n from {DEVICES} group by 1")
 def s13(s, d):
-    k = F.col("run") % 4
-    name = F.when(k == 0, "Time Group_Expanded Time(Mil Left) - Input.3").when(k == 1, "DNR Specs.txt").when(k == 2, ".DS_Store").otherwise(F.col("model"))
-    return devices(s, d).select(N.file_kind(name, F.lit("Shot 1")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    k = F.col("run") % 7
+    name = F.when(k.isin(0, 3, 5), "Time Group_Expanded Time(Mil Left) - Input.3").when(k == 1, "DNR Specs.txt").when(k == 2, ".DS_Store").when(k == 4, "FIXME").otherwise(F.col("model"))
+    folder = F.when(k == 3, "Day1/a/b/XX Shot 4").when(k == 5, "Day1/a/b/Shot 4 Did Not Record").otherwise("Day1/a/b/Shot 1")
+    return devices(s, d).select(N.file_kind(name, folder).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("S14_aliases", f"select host target, list_sort(list(run)) aliases from {DEVICES} where run % 50 = 0 group by 1")
+@query("S14_aliases", f"select run, host || '/Input.txt' target, maker || '/Input.5' alias from {DEVICES} where run % 2 = 0")
 def s14(s, d):
-    return devices(s, d).where("run % 50 = 0").groupBy(F.col("host").alias("target")).agg(F.array_sort(F.collect_list("run")).alias("aliases"))
+    """A row for each link of a listing, beside the file it stands for; a popular file's aliases are rows, not one cell."""
+    rows = devices(s, d)
+    links = rows.where("run % 2 = 0").select("run", F.concat("host", F.lit("/Input.txt")).alias("target"), F.concat("maker", F.lit("/Input.5")).alias("alias"))
+    return captures.link_aliases(links, rows.select(F.concat("host", F.lit("/Input.txt")).alias("path")).distinct())
 
 
-@query("S15_load_years", "select year(o_orderdate)::int as year, count(*) n from orders where o_orderkey % 2 = 0 or year(o_orderdate) = 1996 group by 1")
+@query("S15_load_years", "select year(o_orderdate)::int as year, count(*) n, round(sum(o_totalprice + case when year(o_orderdate) = 1996 then 1 else 0 end), 2) total from orders group by 1")
 def s15(s, d):
+    """Every year is loaded, then one is replaced."""
     from .registry import tests
 
     path, rows = store.fresh_folder(s, "years"), tests(s, d).select("run", "year", "value")
-    store.load_years(rows.where("run % 2 = 0"), path)
-    store.load_years(rows.where("year = 1996"), path, replace=True)
-    return s.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"))
+    store.load_years(rows, path)
+    store.load_years(rows.where("year = 1996").withColumn("value", F.col("value") + 1), path, replace=True)
+    return s.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("S16_summary_only_runs", f"select run, run % 3 = 0 in_summary from {DEVICES}")
@@ -105,11 +119,14 @@ def s16(s, d):
     return store.with_unmatched(rows.where("run % 3 <> 0"), rows, "run").select("run", "in_summary")
 
 
-@query("S17_view_export", f"select run, maker, price from {DEVICES}")
+@query("S17_view_export", f"{TABLES}, {VIEW_RUN} select test_run_id, manufacturer, waveform_count, round(se_peak_db, 7) se_peak_db from run_view")
 def s17(s, d):
     path = store.fresh_folder(s, "export") + ".csv"
-    store.export(devices(s, d).select("run", "maker", "price"), "v_run", path)
-    return s.read.option("header", True).schema("run long, maker string, price double").csv(path)
+    view = V.v_run(stored(s, d))
+    store.export(view, "v_run", path)
+    names = {f.name: f.dataType.simpleString() for f in view.schema.fields}
+    back = s.read.option("header", True).schema(", ".join(f"{k} {v}" for k, v in names.items())).csv(path)
+    return rounded(back.select("test_run_id", "manufacturer", "waveform_count", "se_peak_db"), "se_peak_db", to=7)
 
 
 @query("S18_sample_export", f"select id, round(0.001 + i * 0.000025, 9)::double time_s, round(p, 6) pressure_pa from {LONG}")
@@ -137,7 +154,7 @@ def r01(s, d):
     raw = table(s, d, "embeddings")
     source = s.readStream.schema(raw.schema).parquet(f"{d}/embeddings.parquet*")
     stream = source.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 500).alias("samples"))
-    job = lambda b: waveform.shot_metrics(b, ["id"], "samples", DT, 40 * DT, 20 * DT, 8 * DT)
+    job = lambda b: waveform.shot_metrics(b, ["id"], "samples", WIDE_DT)
     target, first, second = (store.fresh_folder(s, x) for x in ("metrics", "progress", "progress"))
     incremental(s, stream, "id", job, target, first)
     return incremental(s, stream, "id", job, target, second).select("id", "peak_pa", "peak_db")  # a second run adds nothing

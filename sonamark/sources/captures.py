@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.levels import METRICS
@@ -70,7 +72,7 @@ def parse_specs(files: DataFrame, path: str = "path", text: str = "text") -> Dat
 KEYS = ["event", "maker", "device", "caliber", "cartridge"]
 
 
-def parse_summary(rows: DataFrame, cells: str, mics: list[str], labels: list[str]) -> DataFrame:
+def parse_summary(rows: DataFrame, cells: str, mics: list[str], labels: list[str], keep: list[str] | None = None) -> DataFrame:
     """Long rows (keys, mic, metric, value, shots, weight, len, maxdia) from cells (array of string) under two header rows. An unknown metric or missing
     trailing columns are errors; so is a row of another width. Blank rows are skipped, zero dimensions are null."""
     if labels[:5] != ["_EVENT_", "_MFGR_", "_SUPPRESSOR_", "_CAL_", "_CART_"] or labels[-4:] != ["shots", "weight", "len", "maxdia"]:
@@ -82,4 +84,32 @@ def parse_summary(rows: DataFrame, cells: str, mics: list[str], labels: list[str
     at = lambda i: F.element_at(F.col(cells), i + 1)
     values = F.array(*(F.struct(F.lit(mics[i]).alias("mic"), F.lit(METRICS[labels[i]]).alias("metric"), number(at(i)).alias("value")) for i in range(5, n - 4)))
     dims = [F.nullif(number(at(n - 4 + k)), F.lit(0.0)).alias(x) for k, x in enumerate(("shots", "weight", "len", "maxdia"))]
-    return rows.select(*(F.trim(at(i)).alias(k) for i, k in enumerate(KEYS)), *dims, F.explode(values).alias("x")).select(*KEYS, "x.*", "shots", "weight", "len", "maxdia")
+    return rows.select(*(keep or []), *(F.trim(at(i)).alias(k) for i, k in enumerate(KEYS)), *dims, F.explode(values).alias("x")).select(*(keep or []), *KEYS, "x.*", "shots", "weight", "len", "maxdia")
+
+
+def link_aliases(links: DataFrame, files: DataFrame, target: str = "target", path: str = "path") -> DataFrame:
+    """links whose target is a file that is there: a row for each alias."""
+    return links.join(files.select(F.col(path).alias(target)), target, "left_semi")
+
+
+def read_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """parse_captures of every file below a folder; the exports are latin-1. One file is one row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return parse_captures(files.select("path", F.decode("content", "ISO-8859-1").alias("text")))
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """parse_summary of published CSV files of two header rows (microphones, metrics), UTF-8 with or without a byte order mark, with the year that stands in
+    their path, null if none does. Only the two header lines come to the driver. Cells that are missing at the end of a row are empty; a row with more is an
+    error."""
+    head = [next(csv.reader([r.value.lstrip("\ufeff")])) for r in spark.read.text(path).limit(2).collect()]
+    if len(head) < 2:
+        raise ValueError("two header rows are missing")
+    mics, labels = ([x.strip() for x in row] for row in head)
+    mics += [""] * (len(labels) - len(mics))
+    names = [f"c{k}" for k in range(len(labels) + 1)]  # one more, for rows that are too wide
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path).withColumn("year", F.nullif(F.regexp_extract(F.col("_metadata.file_path"), r"(20\d{2})", 1), F.lit("")).cast("int"))
+    text = F.transform(F.array(*names), lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "^\ufeff", "")))
+    cells = rows.select("year", F.when(F.element_at(text, -1) == "", F.slice(text, 1, len(labels))).otherwise(text).alias("cells"))
+    header = F.col("cells").isin(F.array(*map(F.lit, mics)), F.array(*map(F.lit, labels)))
+    return parse_summary(cells.where(~header), "cells", mics, labels, keep=["year"])
