@@ -24,6 +24,8 @@ from .common import arrow_rows, crc_mod, fresh
 
 HIDDEN, STEPS, LANES, PAD = 8, 64, 2048, 256
 PER_LABEL, MOST, EPOCHS, BATCH, RATE = 800, 50_000, 14, 96, 0.01
+#: Steps of fitting at least: a small sample is gone through more often.
+STEPS_LEAST = 400
 MODULUS, HELD_OUT = 5, 0
 NONE = "und"
 
@@ -113,6 +115,7 @@ class BiGru:
     def fit(self, rows: np.ndarray, target: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> list[float]:
         """Adam over shuffled batches; rows (steps, samples)."""
         rng, losses, step = np.random.default_rng(seed), [], 0
+        epochs = max(epochs, -(-STEPS_LEAST // -(-len(target) // BATCH)))
         m1, m2 = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
             order, total = rng.permutation(len(target)), 0.0

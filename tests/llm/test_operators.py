@@ -277,6 +277,150 @@ def test_token_counts(docs, empty):
     assert [tiny.count(x) for x in ("abcde", "abcd", "abc", "xab", "")] == [2, 1, 2, 2, 0]  # abcd e: e costs its byte
 
 
+def brute_pack(items, capacity):
+    """Best fit by looking at every bin: (bin, offset) of each (size, source, cluster)."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fit = [(capacity - b["used"], k) for k, b in enumerate(bins) if capacity - b["used"] >= size and not (source and source in b["sources"]) and not (cluster and cluster in b["clusters"])]
+        if fit:
+            k = min(fit)[1]
+        else:
+            k = len(bins)
+            bins.append({"used": 0, "sources": set(), "clusters": set()})
+        out.append((k, bins[k]["used"]))
+        bins[k]["used"] += size
+        bins[k]["sources"].add(source)
+        bins[k]["clusters"].add(cluster)
+    return out
+
+
+def test_best_fit_against_all_bins():
+    rng = np.random.default_rng(8)
+    for hot in (0.0, 0.4, 0.9):  # one source has none, many, most of the items
+        sizes = sorted(rng.integers(0, 60, 300).tolist(), reverse=True)
+        items = [(n, 1 if rng.random() < hot else 1 << int(rng.integers(0, 12)), 1 << int(rng.integers(0, 40)) if rng.random() < 0.5 else 0) for n in sizes]
+        bins = packing.Bins(64)
+        assert [bins.place(*x) for x in items] == brute_pack(items, 64)
+
+
+def test_likeness_against_true_shares(spark):
+    """Short texts: the fingerprint holds every span and every prefix, so likeness is the larger of the true Dice share and common prefix."""
+    rng = np.random.default_rng(9)
+    base = "abcabcabdabcabcabeabcaab"
+    texts = ["", "a", base, base, base[:20] + "zz", "x" + base, *("".join(rng.choice(list("ab"), int(rng.integers(1, 32)))) for _ in range(30))]
+
+    def want(a, b):
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        x, y = ({t[k : k + 16] for k in range(max(1, len(t) - 15))} for t in (a, b))
+        same = next((k for k, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+        return max(2 * len(x & y) / (len(x) + len(y)), 2 * same / (len(a) + len(b)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in prefix_hash.fingerprint_documents(df).collect():
+        t, after = texts[r.doc_id], texts[r.doc_id - 1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert np.isclose(r.near_next, want(t, after)) and np.isclose(r.near_edited, want(t, edited)), (t, after)
+
+
+def test_lm_score_against_its_formula(spark):
+    """The sums over documents, classes and words in plain Python; the lattice has its own brute force above."""
+    rng = np.random.default_rng(11)
+    say = {"en": "the of and river light stone".split(), "de": "der und größe können stein".split(), None: "señor zzxqj the".split()}
+    rows = [(i, " ".join(rng.choice(say[k], int(rng.integers(1, 9)))), k) for i in range(60) for k in [("en", "de", None)[i % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    labels = ["de", "en"]
+    counts = [Counter() for _ in range(3)]
+    for i, t, k in rows:
+        if not held(i):
+            counts[labels.index(k) if k else 2].update([*words_of(t), b""])
+    total = sum(counts, Counter())
+    vocabulary = sorted({w for _, t, _ in rows for w in words_of(t)} | {b""})
+    words = spark.createDataFrame([(bytearray(w), total[w]) for w in vocabulary], "word binary, c long")
+    path = tokenizer_path(lattice_lm.VOCABULARY)
+    lattice = lattice_lm.lattice_of(path, lattice_lm.piece_scores(words, path))
+    free = {w: np.log(lattice_lm.END_SHARE) if w == b"" else float(lattice.forward([w])[0]) + np.log1p(-lattice_lm.END_SHARE) for w in vocabulary}
+    once = lambda c: max(1, sum(v == 1 for v in c.values()))
+    n, alpha = total.total(), once(total)
+    p = {w: (total[w] + alpha * np.exp(free[w])) / (n + alpha) for w in vocabulary}
+    share = np.array([c[b""] + 1.0 for c in counts])
+    prior = share / share.sum()
+    for r in lattice_lm.score_documents(df).collect():
+        tokens = [*words_of(rows[r.doc_id][1]), b""]
+        each = [np.log(prior[k]) + sum(np.log((c[w] + once(c) * p[w]) / (c.total() + once(c))) for w in tokens) for k, c in enumerate(counts)]
+        assert np.isclose(r.score, np.logaddexp.reduce(each) / np.log(10)) and np.isclose(r.lattice_score, sum(free[w] for w in tokens) / np.log(10))
+
+
+def test_network_against_plain_steps():
+    """Every position by scalars, in both directions, and the mean over positions."""
+    rng = np.random.default_rng(12)
+    net = gru_langid.BiGru(["a", "b", "c"], hidden=3)
+    net.p = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in net.p.items()}
+    net.shut()
+    text = bytes(rng.integers(0, 256, gru_langid.STEPS + 9).tolist())
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    rows = []
+    for at in range(0, len(text), gru_langid.STEPS):
+        piece, states = text[at : at + gru_langid.STEPS], {}
+        for d, order in (("f", range(len(piece))), ("b", range(len(piece) - 1, -1, -1))):
+            h = np.zeros(3)
+            for t in order:
+                x, u = net.p[f"x{d}"][:, piece[t]], net.p[f"u{d}"] @ h
+                z, r = sig(x[:3] + u[:3]), sig(x[3:6] + u[3:6])
+                cand = np.tanh(x[6:] + r * (u[6:] + net.p[f"c{d}"][:, 0]))
+                h = states[d, t] = (1 - z) * cand + z * h
+        for t in range(len(piece)):
+            s = net.p["w"] @ np.concatenate((states["f", t], states["b", t])) + net.p["v"][:, 0]
+            rows.append(np.exp(s) / np.exp(s).sum())
+    assert np.allclose(net.documents([text, b"x"])[0], np.mean(rows, axis=0), atol=1e-5)
+
+
+def test_every_label_is_learned(spark):
+    """More labels than any fixed number of them, within the bound on windows; the least score follows their number."""
+    rows = [(i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 8, f"l{k:02d}") for i in range(400) for k in [i % 80]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {r["label"] for r in gru_langid.windows(df, "doc_id", "text", "lang", 800, 5, 0)}
+    assert len(seen) == 80
+    assert gru_langid.least_score(2) > 0.5 and 0.25 < gru_langid.least_score(4) < 0.5
+
+
+def test_long_texts(spark):
+    """A text of some MB beside short ones, through every operator."""
+    rng = np.random.default_rng(13)
+    long = " ".join(f"w{k}" for k in rng.integers(0, 50_000, 350_000))
+    df = make(spark, [(1, long, "s"), (2, "the river", "s"), (3, long[:-9], "t"), (4, "y" * 300_000, "t")])
+    got = {r.doc_id: r for r in minhash.near_duplicates(df).collect()}
+    assert (got[1].component_id, got[3].component_id, got[4].component_id) == (1, 1, 4)
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_duplicates(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    marks = {r.doc_id: r for r in prefix_hash.fingerprint_documents(df).collect()}
+    assert marks[1].n_chars == len(long) and 0 <= marks[1].near_next <= 1
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    packed = packing.pack_documents(df).collect()
+    assert {i: sum(r.n_tokens for r in packed if r.doc_id == i) for i in counts} == counts and counts[1] > 350_000
+    ids = {r.doc_id: r.n_tokens for r in bpe_lexicon.encode_documents(df).collect()}
+    files = {r.doc_id: r.n_tokens for r in token_files.token_files(df).collect()}
+    assert {i: n + 1 for i, n in ids.items()} == files
+    assert all(r.score < 0 for r in lattice_lm.score_documents(df).collect())
+    assert {r.doc_id for r in gru_langid.identify(df).collect()} == {r.doc_id for r in licences.scan_licences(df).collect()} == {1, 2, 3, 4}
+
+
+def test_many_files_in_order(spark, tmp_path, monkeypatch):
+    """Rows of the writer hold whole records, files few rows; start follows the numbers in their names, also past five digits."""
+    monkeypatch.setattr(token_files, "ROWS_PER_FILE", 1)
+    df = make(spark, [(i, "the river " * (1 + i % 3), "s") for i in range(60)])
+    index = token_files.token_files(df.repartition(3), f"file://{tmp_path}/many")
+    rows = sorted(index.collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    names = ["part-99999-a-c000.txt", "part-100000-a-c001.txt", "part-100000-a-c1000.txt", "part-100000-a-c999.txt"]
+    fake = spark.createDataFrame([(n, 5, 0) for n in names], "file string, n_tokens long, start_in_file long")
+    assert [r.file for r in token_files.with_starts(fake).orderBy("start").collect()] == [names[0], names[1], names[3], names[2]]
+    some = token_files.read_indexed(spark, f"file://{tmp_path}/many", index.where("doc_id = 7"))
+    assert [r.doc_id for r in some.collect()] == [7] and token_files.read_indexed(spark, f"file://{tmp_path}/many", index.where("doc_id < 0")).count() == 0
+
+
 def test_packing(docs, empty):
     df, rows = docs
     got = packing.pack_documents(df, capacity=64, group=20).collect()
