@@ -1,4 +1,10 @@
-"""A corpus pipeline over `documents`: language ID, exact dedup, near dedup, packing. Each stage's rows are written and read again."""
+"""A corpus pipeline over `documents`: language ID, exact dedup, near dedup, packing. Each stage's rows are written and read again.
+
+Nulls: a null or empty text, or one without a letter, has no language, so its document goes in the first stage. A null id stays where its text has no copy
+with an id; its fragments carry a null id. A null source conflicts with nothing. Repeated rows are copies, so one of them stays. Ties follow the stages: of equal texts the
+largest id, of near ones the smallest. A very long text is worked on whole, and packed in several fragments. An empty table gives no rows. Further columns pass through all stages
+but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +36,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("packing", pack)]
 
-#: SQL has no recurrent network; tests hold run() against a plain version.
+#: SQL has no recurrent network; tests hold run() and the stages against plain versions.
 ORACLE_SQL = None
 
 
