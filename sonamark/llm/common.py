@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written as a table in the shared folder and read back: cuts the lineage, and a lost executor costs nothing. The shuffle files of the write, which
+    nothing reads again, go at its end."""
+    path, spark = fresh_path(df.sparkSession, name), df.sparkSession
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the time of a block."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of written tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        if folder := vars(table).get("folder"):
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, lower_ascii, split_join, written
+from .common import discard, fresh, lower_ascii, split_join, written
 
 KEY = ["sha", "n_bytes", "xx"]
 
@@ -72,5 +72,7 @@ def drop_exact(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     order = F.col(id_col) if keep == "max" else -F.col(id_col)
     best = F.struct(F.col(id_col).isNotNull().alias("has_id"), order.alias("id"), F.xxhash64(*map(hashable, docs.schema.fields)).alias("whole"), F.col(number).alias("number"))
-    stay = grouped(written(digests(rows, best, F.col(text_col)), "digests")).select(F.col("best.number").alias(number))
+    own = written(digests(rows, best, F.col(text_col)), "digests")
+    stay = grouped(own).select(F.col("best.number").alias(number))
+    discard(own)
     return rows.join(stay, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fresh, split_join, words_of, written
+from .common import arrow_rows, discard, fresh, split_join, words_of, written
 
 WORDS, THRESHOLD = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 4
@@ -46,7 +46,7 @@ SLACK = 0.18
 #: Sizes of sets are classed by powers of this.
 CLASS = 1.05
 #: Members of one component that a shingle may pair one by one; shingles on either side of a cell (a set alone may have more).
-FEW, CELL = 32, 2_000_000
+FEW, CELL = 32, 500_000
 U = np.uint64
 
 
@@ -172,7 +172,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold:
                 keep.append(100 * shared >= threshold * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    discard(bodies)
+    return links
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -180,14 +182,17 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     of the neighbours and then the label's own label, so long chains halve; every round is written."""
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    table = labels
     for _ in range(most_rounds):
         near = split_join(edges, labels.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
         stepped = written(labels.join(near, "node").select("node", F.least("label", "other").alias("step"), F.col("label").alias("was")), "stepped")
         jump = labels.select(F.col("node").alias("step"), F.col("label").alias("far"))
         after = split_join(stepped, jump, "step", "node")
         after = written(after.select("node", F.least("step", "far").alias("label"), (F.least("step", "far") < F.col("was")).alias("moved")), "labels")
-        labels = after.select("node", "label")
+        discard(stepped, table)
+        labels, table = after.select("node", "label"), after
         if after.where("moved").isEmpty():
+            discard(edges)
             return labels
     raise RuntimeError("components did not settle")
 
@@ -244,6 +249,7 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int,
     main = firsts.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     main = main.select(*key, F.col("top.label").alias("main"), (F.col("top.m") > few).alias("large"))
     placed = written(firsts.join(main, key).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+    discard(rarity, firsts)
 
     x = placed.where("not is_main").select(*key, F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx"))
     y = placed.where("not (is_main and large)").select(*key, F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
@@ -259,7 +265,9 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int,
     right = split_join(rest, cells, "label", "node").select("node", "label", each("bx").alias("i"), piece("by").alias("j"))
     full = [sets.select(F.col("node").alias("node"), F.col("h").alias(h)) for h in "hg"]  # of two names, since the sides are one table
     grouped = [df.join(f, "node").select(*(F.col(c).alias(c) for c in ("label", "i", "j", "node")), F.col(f.columns[1])).groupBy("label", "i", "j") for df, f in zip((left, right), full)]
-    links = grouped[0].cogroup(grouped[1]).applyInArrow(lambda a, b: in_cell(a, b, threshold), "a long, b long").distinct()
+    links = written(grouped[0].cogroup(grouped[1]).applyInArrow(lambda a, b: in_cell(a, b, threshold), "a long, b long").distinct(), "found")
+    pairs = written(pairs, "candidates")
+    discard(sets, placed, asked, cells)
     return pairs, links
 
 
@@ -267,19 +275,20 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, least_id, label): label names the component of each node."""
     some = sketch.where(F.col("node").isNotNull())
     nodes = written(some.groupBy("node").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")), "nodes")
-    heads = sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid")
-    sigs = written(heads.select("node", "sig", "n"), "sigs")
-    bands = written(heads.select("node", F.explode("bands").alias("bucket")), "bands")
+    sigs = written(sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid").select("node", "sig", "n", "bands"), "sigs")
+    bands = sigs.select("node", F.explode("bands").alias("bucket"))
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    members = written(split_join(bands, shared, "bucket", "node"), "members")
+    members = written(split_join(bands, shared, "bucket", "node", sizes=shared.select("bucket", F.col("m").alias("_n"))), "members")
 
     def estimated(pairs: DataFrame, name: str) -> DataFrame:
         """Pairs whose sizes and packed low bits allow the threshold; written."""
-        pairs = written(pairs, f"{name}-all")
+        every = pairs = written(pairs, f"{name}-all")
         for k, x, other in (("a", "x", "b"), ("b", "y", "a")):
             pairs = split_join(pairs, sigs.select(F.col("node").alias(k), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")), k, other)
         sizes = 100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
-        return written(pairs.where(sizes & (similarity(F.col("sx"), F.col("sy")) >= threshold / 100 - SLACK)).select("a", "b"), name)
+        out = written(pairs.where(sizes & (similarity(F.col("sx"), F.col("sy")) >= threshold / 100 - SLACK)).select("a", "b"), name)
+        discard(every)
+        return out
 
     common = written(members.groupBy("node").agg(F.struct(F.sum(F.ln("m")).alias("weight"), "node").alias("rank")), "common")
     placed = written(members.join(common, "node").select("bucket", "node", "rank"), "ranked")
@@ -292,13 +301,16 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     owned = written(members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "owned")
     mixed = owned.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     rest = split_join(owned, mixed, "bucket", "node").select("node", "label").distinct().join(sigs.select("node", "n"), "node")
-    pairs_left, found = across(written(rest, "rest"), nodes, sketch, threshold)
-    found = written(found, "found")
-    more = estimated(pairs_left.join(pairs, ["a", "b"], "left_anti"), "more")
+    rest = written(rest, "rest")
+    discard(shared, members, common, placed, owned)
+    candidates, found = across(rest, nodes, sketch, threshold)
+    more = estimated(candidates.join(pairs, ["a", "b"], "left_anti"), "more")
     new = confirmed(more, nodes, sketch, threshold).union(found)
     if not new.isEmpty():
         labels = components(links.union(new))
-    return written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
+    out = written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
+    discard(nodes, sigs, rest, pairs, links, candidates, more, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
