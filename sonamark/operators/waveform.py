@@ -363,3 +363,32 @@ def binned(bins: DataFrame, keys: list[str], bands: DataFrame, step_hz: float) -
     f = F.col("i") * step_hz
     inside = numbers.join(F.broadcast(bands), (f >= F.col("c") / 2 ** (1 / 6)) & (f < F.col("c") * 2 ** (1 / 6))).select("i", "b")
     return bins.join(inside, "i").groupBy(*keys, "b").agg(F.count("*").alias("bins"), F.sum("p").alias("total"))
+
+
+def encoding_costs(records: DataFrame, keys: list[str], samples: str, orders: int = 5, block: int = 4096, most_k: int = 24) -> DataFrame:
+    """(keys, encoding, order, n, blocks, bytes) of each record as 16 and 24 bits, after differences of each order from 0: Rice coding with the best
+    parameter of each block, eight bits to name it. A difference's first value counts as zero, so seeds are not in the bytes. Arrays and sums only."""
+    coded = F.array(*(F.struct(F.lit(f"int{b}").alias("encoding"), quantised(F.col(samples), b)[1].alias("q")) for b in (16, 24)))
+    x = records.where(F.size(samples) > 0).select(*keys, F.explode(coded).alias("x")).select(*keys, "x.*")
+    steps = [F.col("q")]
+    for _ in range(orders - 1):
+        d = steps[-1]
+        steps.append(F.zip_with(d, F.concat(F.slice(d, 1, 1), F.slice(d, F.lit(1), F.size(d) - 1)), lambda a, b: a - b))
+    x = x.select(*keys, "encoding", F.posexplode(F.array(*steps)).alias("order", "r"))
+    rows = x.select(*keys, "encoding", "order", F.posexplode("r").alias("i", "q"))
+    bits = rice_bits(rows, [*keys, "encoding", "order"], "q", block, most_k)
+    return bits.groupBy(*keys, "encoding", "order").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.ceil(F.sum(F.col("bits") + 8) / 8).alias("bytes"))
+
+
+def best_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of encoding_costs, the cheapest order of each record and encoding, the lower one of equals."""
+    return costs.groupBy(*keys, "encoding").agg(F.min(F.struct("bytes", "order", "n", "blocks")).alias("_b")).select(*keys, "encoding", F.col("_b.order").alias("order"), F.col("_b.n").alias("n"), F.col("_b.blocks").alias("blocks"), F.col("_b.bytes").alias("bytes"))
+
+
+#: Bytes of a frame's head and of each seed, bytes of an envelope's bucket.
+FRAME_HEAD, SEED_BYTES, BUCKET_BYTES = 20, 4, 4
+
+
+def stored_sizes(best: DataFrame, buckets: int) -> DataFrame:
+    """best_orders of one encoding with envelope_bytes and frame_bytes: head, seeds, one byte for each block's parameter, and the bits."""
+    return best.withColumns({"envelope_bytes": F.lit(buckets * BUCKET_BYTES).cast("long"), "frame_bytes": (FRAME_HEAD + SEED_BYTES * F.col("order") + F.col("bytes")).cast("long")})

@@ -12,7 +12,7 @@ from ..sources import captures, store
 from ..streaming.incremental import incremental
 from .registry import DEVICES, SHOTS, devices, query, rounded, shots, table
 from .stored import TABLES, VIEW_RUN, stored
-from .waves import DT, LONG, WIDE_DT, records
+from .waves import DT, LONG, WIDE_DT, curves, db, records
 
 LABELS = ["_EVENT_", "_MFGR_", "_SUPPRESSOR_", "_CAL_", "_CART_", "PkPr", "dB", "PkPr", "shots", "weight", "len", "maxdia"]
 MICS = ["", "", "", "", "", "ML", "ML", "SE", "", "", "", ""]
@@ -149,7 +149,7 @@ def s21(s, d):
     return store.provenance(s, f"{d}/embeddings.parquet")
 
 
-@query("R01_incremental_metrics")
+@query("R01_incremental_metrics", curves(f"(select * from {LONG} where i < 63)") + f" select id, round(peak_pa, 5) peak_pa, round({db('peak_pa')}, 4) peak_db from m")
 def r01(s, d):
     raw = table(s, d, "embeddings")
     source = s.readStream.schema(raw.schema).parquet(f"{d}/embeddings.parquet*")
@@ -157,7 +157,7 @@ def r01(s, d):
     job = lambda b: waveform.shot_metrics(b, ["id"], "samples", WIDE_DT)
     target, first, second = (store.fresh_folder(s, x) for x in ("metrics", "progress", "progress"))
     incremental(s, stream, "id", job, target, first)
-    return incremental(s, stream, "id", job, target, second).select("id", "peak_pa", "peak_db")  # a second run adds nothing
+    return incremental(s, stream, "id", job, target, second).select("id", F.round("peak_pa", 5).alias("peak_pa"), F.round("peak_db", 4).alias("peak_db"))  # a second run adds nothing
 
 
 CATALOGUE = f"""with st as (select run, mic, count(value) n, avg(value) mean, stddev_samp(value) / sqrt(count(value)) se from {SHOTS} where not excluded group by all)

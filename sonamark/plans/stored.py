@@ -201,3 +201,39 @@ def w12(s, d):
 @query("K03_search_of_devices", f"""{TABLES} select manufacturer, suppressor, count(*) runs, starts_with(lower(suppressor), 'can') or starts_with(lower(suppressor), '1') prefix from runs where not is_baseline and contains(lower(manufacturer || ' ' || suppressor), 'can') and contains(lower(manufacturer || ' ' || suppressor), '1') group by all order by prefix desc, runs desc, suppressor, manufacturer limit 8""")
 def k03(s, d):
     return V.device_search(V.runs_by_year(stored(s, d)), "Can 1", "manufacturer", "suppressor", "is_baseline")
+
+
+@query("K07_compared_on_one_host", f"""{TABLES}, {VIEW_RUN}, r as (select * from run_view where cartridge = 'BUILDING' order by test_run_id limit 4), u as ({" union all ".join(f"select '{m}' measure, test_run_id run, {m}::double as value, '{b}' better from r" for m, b in COMPARED.items())}),
+    t as (select measure, count(value) n, case any_value(better) when 'min' then min(value) else max(value) end top from u group by 1)
+    select measure, run, round(value, 7) as value, coalesce(n >= 2 and value = top, false) best, false mixed_hosts, (select count(distinct year) from r) > 1 mixed_years from u join t using (measure)""")
+def k07b(s, d):
+    some = V.v_run(stored(s, d)).where("cartridge = 'BUILDING'").orderBy("test_run_id").limit(4)
+    return rounded(V.compared(some, "test_run_id", "cartridge", "year", COMPARED), "value", to=7)
+
+
+@query("S19_published_catalogue", f"{TABLES}, {VIEW_RUN} select test_run_id, year, manufacturer, waveform_count from run_view")
+def s19(s, d):
+    """The run view written under its version twice, once with its rows dealt otherwise, and read back from the one folder."""
+    from ..sources import store
+
+    view, folder = V.v_run(stored(s, d)), store.fresh_folder(s, "published")
+    names = ["test_run_id", "year", "manufacturer", "waveform_count"]
+    first = store.publish(view, folder, "v_run", names)
+    second = store.publish(view.repartition(3), folder, "v_run", names)
+    if first != second:
+        raise ValueError("the version depends on how rows are dealt")
+    return s.read.parquet(f"{folder}/v_run-{first}").select(*names)
+
+
+@query("S20_spectra_of_runs", f"""{TABLES}, lv as (select vec_id waveform_id, unnest(range(0, 64)) k, unnest(embedding)::double * 100 l from embeddings), pw as (select test_run_id run, mic, k, avg(pow(10.0, l / 10)) p from waveform w join lv on lv.waveform_id = w.id where not excluded and mic is not null group by all)
+    select run, mic, k i, round(10 * log10(p), 1)::double as level from pw""")
+def s20(s, d):
+    """One object for each run, written as JSON and taken apart again."""
+    from ..operators import statistics
+    from ..sources import store
+
+    db = stored(s, d)
+    waves = db.waveform.where(~F.col("excluded")).select(F.col("id").alias("waveform_id"), F.col("test_run_id").alias("run"), "mic")
+    spectra = statistics.band_statistics(waves.join(db.band_level, "waveform_id"), ["run", "mic"], "levels", L.centres(-40, 23))
+    out = store.spectra_of_runs(spectra, "run", "mic", "spectrum").select("run", F.explode(F.from_json("spectra", "map<string,array<double>>")).alias("mic", "levels"))
+    return out.select("run", "mic", F.posexplode("levels").alias("i", "level")).withColumn("i", F.col("i").cast("long"))

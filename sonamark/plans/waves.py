@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import levels as L
 from ..operators import statistics, waveform
+from ..operators.offsets import prefix_sums, same
 from .registry import query, rounded, shots, table
 
 RATE, SPAN = 40_000.0, 64
@@ -137,6 +138,45 @@ def a21(s, d):
     return waveform.rice_bits(quant(s, d), ["id"], block=16).groupBy("id").agg(F.sum("bits").alias("b")).agg(F.lit("int16").alias("encoding"), F.round(F.avg("b") / 8 / 64, 6).alias("bytes_per_sample"))
 
 
+COSTS = f"""(with s as (select id, i, p, max(abs(p)) over (partition by id) m from {LONG}), e as (select id, i, 'int16' encoding, round_even(p / (m / 32767), 0)::bigint q from s union all select id, i, 'int24', round_even(p / (m / 8388607), 0)::bigint from s),
+    d0 as (select id, encoding, i, 0 o, q from e), {", ".join(f"d{o} as (select id, encoding, i, {o} o, q - coalesce(lag(q) over (partition by id, encoding order by i), q) q from d{o - 1})" for o in range(1, 5))},
+    z as (select id, encoding, o, i // 16 block, case when q >= 0 then 2 * q else -2 * q - 1 end z from ({" union all ".join(f"select * from d{o}" for o in range(5))})),
+    c as (select id, encoding, o, block, k, sum(z >> k) + count(*) * (k + 1) bits from z, (select unnest(range(0, 24))::int k) group by id, encoding, o, block, k), b as (select id, encoding, o, block, min(bits) bits from c group by all)
+    select id, encoding, o as "order", count(*) blocks, ceil(sum(bits + 8) / 8)::bigint bytes from b group by all)"""
+BEST = f"(select *, row_number() over (partition by id, encoding order by bytes, \"order\") r from {COSTS})"
+
+
+def costs(s, d):
+    return waveform.encoding_costs(records(s, d), ["id"], "samples", block=16)
+
+
+@query("P04_encoding_costs", f"""select id, encoding, "order", blocks, bytes from {COSTS}""")
+def p04b(s, d):
+    return costs(s, d).select("id", "encoding", F.col("order").cast("long").alias("order"), "blocks", "bytes")
+
+
+@query("A21_encoding_costs", f"select encoding, round(avg(bytes / 64.0), 6) bytes_per_sample, round(avg(bytes / 128.0), 6) of_raw16 from {BEST} where r = 1 group by 1 union all select 'int16 raw', 2, 1")
+def a21b(s, d):
+    best = waveform.best_orders(costs(s, d), ["id"]).groupBy("encoding").agg(F.round(F.avg(F.col("bytes") / F.col("n")), 6).alias("bytes_per_sample"), F.round(F.avg(F.col("bytes") / F.col("n") / 2), 6).alias("of_raw16"))
+    raw = records(s, d).groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.lit("int16 raw").alias("encoding"), F.lit(2.0).alias("bytes_per_sample"), F.lit(1.0).alias("of_raw16"))
+    return best.union(raw)
+
+
+@query("A21_best_orders", f"""select encoding, "order", count(*) n from {BEST} where r = 1 group by all""")
+def a21c(s, d):
+    return waveform.best_orders(costs(s, d), ["id"]).groupBy("encoding", F.col("order").cast("long").alias("order")).agg(F.count("*").alias("n"))
+
+
+@query("X03_stored_sizes", f"""with z as (select id, label, 40 envelope_bytes, 20 + 4 * "order" + bytes frame_bytes from {BEST} join (select vec_id id, label from embeddings) using (id) where r = 1 and encoding = 'int16')
+    select id, label, envelope_bytes, frame_bytes, (coalesce(sum(frame_bytes) over (order by id rows between unbounded preceding and 1 preceding), 0))::bigint "offset", (sum(frame_bytes) over ())::bigint total from z""")
+def x03b(s, d):
+    """Sizes of every record's frame, its place among all, and the sum that the places must end at."""
+    best = waveform.best_orders(costs(s, d), ["id"]).where("encoding = 'int16'")
+    sizes = waveform.stored_sizes(best, 10).select("id", "envelope_bytes", "frame_bytes").join(records(s, d).select("id", F.col("label").cast("long").alias("label")), "id")
+    total = sizes.agg(F.sum("frame_bytes").alias("total"))
+    return same(prefix_sums(sizes, "id", "frame_bytes", "offset"), total, [])
+
+
 @query("P07_envelope", f"select id, (((i + 1) * 10 + 63) // 64 - 1) bucket, round(min(p), 6) lo, round(max(p), 6) hi from {LONG} group by all")
 def p07(s, d):
     return rounded(waveform.envelope(long(s, d), ["id"], 10), "lo", "hi")

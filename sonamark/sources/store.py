@@ -64,3 +64,16 @@ def sample_rows(records: DataFrame, run: str, samples: str, t0: float, dt: float
 def spectra_json(spectrum: Column) -> Column:
     """Levels to a tenth of a decibel, NaN as null, as JSON."""
     return F.to_json(F.transform(spectrum, lambda x: F.when(~F.isnan(x), F.round(x, 1))))
+
+
+def spectra_of_runs(rows: DataFrame, run: str, mic: str, spectrum: str) -> DataFrame:
+    """(run, spectra): for each run one JSON object, microphone -> levels to a tenth of a decibel, NaN as null. A run has a few microphones."""
+    levels = F.transform(F.col(spectrum), lambda x: F.when(~F.isnan(x), F.round(x, 1)))
+    return rows.where(F.col(mic).isNotNull()).groupBy(run).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(mic), levels))))).alias("spectra"))
+
+
+def publish(df: DataFrame, folder: str, name: str, columns: list[str]) -> str:
+    """Writes a table under its content's version, which is returned: the same rows have the same folder, whatever their order, and are not written twice."""
+    found = version(df, columns).first()[0]
+    df.write.mode("overwrite").parquet(f"{folder}/{name}-{found}")
+    return found
