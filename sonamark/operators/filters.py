@@ -37,3 +37,20 @@ def years_or_all(asked: DataFrame, present: DataFrame, year: str) -> DataFrame:
     some = present.join(asked, year, "left_semi").distinct()
     rest = present.distinct().crossJoin(F.broadcast(some.agg(F.count("*").alias("_n")))).where("_n = 0").drop("_n")
     return some.unionByName(rest)
+
+
+def known_dimensions(rows: DataFrame, keys: list[str], columns: list[str], defects: DataFrame) -> DataFrame:
+    """rows with zero dimensions set to null, and those that a curated list (keys, fields) says are wrong."""
+    listed = rows.join(F.broadcast(defects.select(*keys, F.col("fields").alias("_bad"))), keys, "left")
+    bad = lambda c: F.coalesce(F.array_contains("_bad", c), F.lit(False))
+    return listed.withColumns({c: F.when(~bad(c) & (F.col(c) != 0), F.col(c)) for c in columns}).drop("_bad")
+
+
+def pseudo_random(rows: DataFrame, key: str, n: int, factor: int = 7919, modulus: int = 104_729) -> DataFrame:
+    """The n rows that come first in the order of key * factor modulo a prime: the same ones each time."""
+    return rows.orderBy(F.pmod(F.col(key) * factor, F.lit(modulus)), key).limit(n)
+
+
+def footnote_years(rows: DataFrame, year: str, where: Column) -> DataFrame:
+    """The years that a selection touches."""
+    return rows.where(where).select(year).distinct()

@@ -295,3 +295,70 @@ def violations(hosts: DataFrame, caveats: DataFrame, aliases: DataFrame, defects
         defects.join(run_keys, run_keys.columns, "left_anti").select(F.lit("defect of an unknown run"), F.concat_ws("/", *run_keys.columns)),
     ]
     return reduce(DataFrame.union, found).toDF("violation", "key").distinct()
+
+
+def with_hosts(rows: DataFrame, hosts: DataFrame, key: str, label: str) -> DataFrame:
+    """rows with the attributes of their host (a curated table, some tens of rows); an unknown host has nulls, and its code for a label."""
+    return rows.join(F.broadcast(hosts), key, "left").withColumn(label, F.coalesce(label, F.col(key).cast("string")))
+
+
+def dataset_info(rows: DataFrame, year: str, published: Column, value: str) -> DataFrame:
+    """For each year: runs, published ones, and the total of a value."""
+    return rows.groupBy(year).agg(F.count("*").alias("runs"), F.count_if(published).alias("published"), F.sum(value).alias("total"))
+
+
+def ingest_report(captures: DataFrame, kind: str, excluded: Column, run: str) -> DataFrame:
+    """For each kind of file: how many, how many are set aside, of how many runs."""
+    return captures.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(excluded).alias("excluded"), F.countDistinct(run).alias("runs"))
+
+
+def years_of(rows: DataFrame, key: str, year: str) -> DataFrame:
+    """(key, years ascending, span)."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(year)).alias("years"), (F.max(year) - F.min(year)).alias("span"))
+
+
+def spellings(rows: DataFrame, key: str, name: str, host: str) -> DataFrame:
+    """For each device: its spellings, how often it was tested, and on how many hosts."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias("spellings"), F.count("*").alias("tested"), F.countDistinct(host).alias("hosts"))
+
+
+def first_record(rows: DataFrame, keys: list[str], order: str, value: str, ok: Column) -> DataFrame:
+    """The first record of each key that is without defects."""
+    return rows.where(ok).groupBy(*keys).agg(F.min(order).alias(order), F.min_by(value, order).alias(value))
+
+
+def quietest(rows: DataFrame, level: str, run_id: str, where: Column, n: int = 10) -> DataFrame:
+    """The n lowest levels of a selection; missing ones are not ranked."""
+    return rows.where(where & F.col(level).isNotNull()).orderBy(level, run_id).limit(n)
+
+
+def runs_of_device(rows: DataFrame, device: Column, is_baseline: str, year: str, run_id: str) -> DataFrame:
+    """Runs of one device, oldest first; baselines are no results."""
+    return rows.where(device & ~F.col(is_baseline)).orderBy(year, run_id)
+
+
+def rank_fractions(ranked: DataFrame, top: float = 0.25) -> DataFrame:
+    """ranked (rank, field) with fraction, 0 for the first and 1 for the last, and whether it is in the top share."""
+    return ranked.withColumn("fraction", (F.col("rank") - 1) / F.greatest(F.lit(1), F.col("field") - 1)).withColumn("top", F.col("fraction") <= top)
+
+
+def device_page(ranked: DataFrame, device: Column, run_id: str) -> DataFrame:
+    """A device's ranked runs, by their place in the field."""
+    return ranked.where(device).orderBy(F.col("rank") / F.col("field"), run_id)
+
+
+def contiguous_index(rows: DataFrame, run: str) -> DataFrame:
+    """(run, first, n): the position of each run's first record, and its records, where records lie in the order of their runs."""
+    from .offsets import prefix_sums
+
+    return prefix_sums(rows.groupBy(run).agg(F.count("*").alias("n")), run, "n", "first").select(run, "first", "n")
+
+
+def unused_rows(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
+    """Published rows that no run was matched with."""
+    return rows.join(matched.select(key), key, "left_anti")
+
+
+def united_bands(traces: DataFrame, keys: list[str], column: Column, lo: str, hi: str) -> DataFrame:
+    """(keys, col, lo, hi) over all traces; a column that no trace has is not there."""
+    return traces.groupBy(*keys, column.alias("col")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))

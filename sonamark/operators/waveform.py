@@ -392,3 +392,9 @@ FRAME_HEAD, SEED_BYTES, BUCKET_BYTES = 20, 4, 4
 def stored_sizes(best: DataFrame, buckets: int) -> DataFrame:
     """best_orders of one encoding with envelope_bytes and frame_bytes: head, seeds, one byte for each block's parameter, and the bits."""
     return best.withColumns({"envelope_bytes": F.lit(buckets * BUCKET_BYTES).cast("long"), "frame_bytes": (FRAME_HEAD + SEED_BYTES * F.col("order") + F.col("bytes")).cast("long")})
+
+
+def aligned_overlay(rows: DataFrame, keys: list[str], found: DataFrame, before: int, after: int) -> DataFrame:
+    """Samples (keys, at, p) from `before` samples ahead of each record's trigger to `after` behind it; records without a trigger are left out."""
+    t = found.where("trigger is not null").select(*keys, "trigger")
+    return rows.join(t, keys).withColumn("at", F.col("i") - F.col("trigger")).where(F.col("at").between(-before, after)).select(*keys, "at", "p")

@@ -67,12 +67,12 @@ def a09(s, d):
 
 @query("A10_dataset_info", f"""select year, count(*) runs, count(*) filter (not is_baseline) published, round(sum(value), 2) total from {TESTS} group by 1""")
 def a10(s, d):
-    return tests(s, d).groupBy("year").agg(F.count("*").alias("runs"), F.count_if(~F.col("is_baseline")).alias("published"), F.round(F.sum("value"), 2).alias("total"))
+    return rounded(views.dataset_info(tests(s, d), "year", ~F.col("is_baseline"), "value"), "total", to=2)
 
 
 @query("A11_ingest_report", """select event_type kind, count(*) n, count(*) filter (event_id % 11 = 0) excluded, count(distinct user_id) runs from events group by 1""")
 def a11(s, d):
-    return shots(s, d).groupBy(F.col("mic").alias("kind")).agg(F.count("*").alias("n"), F.count_if("excluded").alias("excluded"), F.countDistinct("run").alias("runs"))
+    return views.ingest_report(shots(s, d), "mic", F.col("excluded"), "run")
 
 
 @query("A12_facet_counts", f"""select host, 'maker' facet, maker as value, count(*) n from {DEVICES} group by all union all select host, 'model', model, count(*) from {DEVICES} group by all""")
@@ -87,7 +87,7 @@ def a13(s, d):
 
 @query("A14_years", f"""select host, list_sort(list(distinct year)) as years, max(year) - min(year) span from {TESTS} group by 1""")
 def a14(s, d):
-    return tests(s, d).groupBy("host").agg(F.array_sort(F.collect_set("year")).alias("years"), (F.max("year") - F.min("year")).alias("span"))
+    return views.years_of(tests(s, d), "host", "year")
 
 
 @query("A15_host_tiers", f"""select client, count(*) runs, count(distinct year) as years, case when count(distinct year) > 1 then 'regular' when min(year) = 1995 then 'first year' else 'other' end tier, count(*) >= 4 rankable from {TESTS} group by 1""")
@@ -129,12 +129,12 @@ def a18(s, d):
 
 @query("A19_spellings", f"""select maker, list_sort(list(distinct model)) spellings, count(*) tested, count(distinct host) hosts from {DEVICES} group by 1""")
 def a19(s, d):
-    return devices(s, d).groupBy("maker").agg(F.array_sort(F.collect_set("model")).alias("spellings"), F.count("*").alias("tested"), F.countDistinct("host").alias("hosts"))
+    return views.spellings(devices(s, d), "maker", "model", "host")
 
 
 @query("A20_first_record", f"""select run, mic, min(shot) shot, arg_min(value, shot) as value from {SHOTS} where not excluded group by all""")
 def a20(s, d):
-    return shots(s, d).where("not excluded").groupBy("run", "mic").agg(F.min("shot").alias("shot"), F.min_by("value", "shot").alias("value"))
+    return views.first_record(shots(s, d), ["run", "mic"], "shot", "value", ~F.col("excluded"))
 
 
 @query("A22_attribute_coverage", f"""select 'price' measure, count(nullif(price % 3 < 1, true)) n from {DEVICES} union all select 'weight', count(nullif(weight, 11)) from {DEVICES}""")
@@ -194,7 +194,8 @@ def f06(s, d):
 def f07(s, d):
     rows = devices(s, d)
     bad = rows.where("run % 10 = 3").select("run", F.array(F.lit("weight")).alias("fields"))
-    return rows.join(bad, "run", "left").select("run", F.when(F.array_contains(F.coalesce("fields", F.array().cast("array<string>")), "weight"), None).otherwise(F.nullif("weight", F.lit(11.0))).alias("weight"))
+    rows = rows.withColumn("weight", F.when(F.col("weight") != 11, F.col("weight")).otherwise(0.0))
+    return filters.known_dimensions(rows, ["run"], ["weight"], bad).select("run", "weight")
 
 
 @query("F08_reference_runs", f"""select run, maker in ('Bare', 'Bare Muzzle') or lower(trim(' ' || model || ' ')) = 'hand' reference from (select run, case when run % 5 = 0 then 'Bare' else maker end maker, case when run % 7 = 0 then ' HAND' else model end model from {DEVICES})""")
@@ -211,7 +212,7 @@ def f09(s, d):
 
 @query("F11_sample", f"""select run, maker from {DEVICES} where host <> 'PROMO' order by run * 7919 % 104729, run limit 40""")
 def f11(s, d):
-    return devices(s, d).where("host <> 'PROMO'").orderBy(F.pmod(F.col("run") * 7919, F.lit(104729)), "run").limit(40).select("run", "maker")
+    return filters.pseudo_random(devices(s, d).where("host <> 'PROMO'"), "run", 40).select("run", "maker")
 
 
 @query("F13_availability", f"""select 'weight' measure, count(weight) n from {DEVICES} union all select 'price', count(price) from {DEVICES} union all select 'sem', count(nullif(sem, 0.05)) from {DEVICES}""")
@@ -337,7 +338,8 @@ def j11(s, d):
 def j12(s, d):
     hosts = table(s, d, "nation").where("n_nationkey % 5 <> 0")
     c = table(s, d, "customer")
-    return c.join(F.broadcast(hosts), c.c_nationkey == hosts.n_nationkey, "left").select(F.col("c_custkey").alias("run"), F.coalesce("n_name", F.col("c_nationkey").cast("string")).alias("label"), F.col("n_regionkey").alias("platform"))
+    hosts = hosts.select(F.col("n_nationkey").alias("host"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("platform"))
+    return views.with_hosts(c.select(F.col("c_custkey").alias("run"), F.col("c_nationkey").alias("host")), hosts, "host", "label").drop("host")
 
 
 @query("J13_with_waveforms", """select o_orderkey run from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')""")
@@ -390,8 +392,7 @@ def w04(s, d):
 
 @query("W05_rank_fraction", f"""select run, round((k - 1) / greatest(1, n - 1)::double, 6) fraction, (k - 1) / greatest(1, n - 1)::double <= 0.25 top from (select run, row_number() over (partition by host order by price, run) k, count(*) over (partition by host) n from {DEVICES})""")
 def w05(s, d):
-    r = ranking.rank_order(devices(s, d), ["host"], "price", "run").withColumn("fraction", (F.col("rank") - 1) / F.greatest(F.lit(1), F.col("field") - 1))
-    return r.select("run", F.round("fraction", 6).alias("fraction"), (F.col("fraction") <= 0.25).alias("top"))
+    return rounded(views.rank_fractions(ranking.rank_order(devices(s, d), ["host"], "price", "run")).select("run", "fraction", "top"), "fraction")
 
 
 @query("W06_offsets", """select doc_id, n_chars, (coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint "offset" from documents""")
@@ -408,19 +409,17 @@ def w06b(s, d):
 @query("W07_run_index", """select run, min(pos) first, count(*) n from (select user_id run, row_number() over (order by user_id, event_id) - 1 pos from events) group by 1""")
 def w07(s, d):
     """Position of the first record of each run, in the order of run and record."""
-    n = table(s, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"))
-    return offsets.prefix_sums(n, "run", "n", "first").select("run", "first", "n")
+    return views.contiguous_index(table(s, d, "events").select(F.col("user_id").alias("run")), "run")
 
 
 @query("W12_first_shot", f"""select run, mic, shot, value from (select *, row_number() over (partition by run, mic order by excluded, shot) r from {SHOTS}) where r = 1""")
 def w12(s, d):
-    best = F.min_by(F.struct("shot", "value"), F.struct("excluded", "shot")).alias("x")
-    return shots(s, d).groupBy("run", "mic").agg(best).select("run", "mic", "x.shot", "x.value")
+    return views.first_captures(shots(s, d), ["run", "mic"], "shot", "excluded").select("run", "mic", "shot", "value")
 
 
 @query("K01_quietest", f"""select run, price from {DEVICES} where host = 'SMALL' and price is not null order by price, run limit 10""")
 def k01(s, d):
-    return devices(s, d).where("host = 'SMALL' and price is not null").orderBy("price", "run").limit(10).select("run", "price")
+    return views.quietest(devices(s, d), "price", "run", F.col("host") == "SMALL").select("run", "price")
 
 
 @query("K02_frontier_step", f"""with f as (select * from {DEVICES} a where not exists (select 1 from {DEVICES} b where b.host = a.host and b.weight <= a.weight and b.price <= a.price and (b.weight < a.weight or b.price < a.price))),
@@ -443,13 +442,12 @@ def k04(s, d):
 
 @query("K05_runs_of_device", f"""select run, weight from {DEVICES} where maker = 'Brand#2' and model = 'red widget' and not is_baseline""")
 def k05(s, d):
-    return devices(s, d).where("maker = 'Brand#2' and model = 'red widget' and not is_baseline").select("run", "weight").orderBy("weight", "run")
+    return views.runs_of_device(devices(s, d), (F.col("maker") == "Brand#2") & (F.col("model") == "red widget"), "is_baseline", "weight", "run").select("run", "weight")
 
 
 @query("K06_device_page", f"""select run, k "rank", n field from (select *, row_number() over (partition by host order by price, run) k, count(*) over (partition by host) n from {DEVICES}) where maker = 'Brand#2'""")
 def k06(s, d):
-    r = ranking.rank_order(devices(s, d), ["host"], "price", "run").where("maker = 'Brand#2'")
-    return r.select("run", "rank", "field").orderBy(F.col("rank") / F.col("field"), "run")
+    return views.device_page(ranking.rank_order(devices(s, d), ["host"], "price", "run"), F.col("maker") == "Brand#2", "run").select("run", "rank", "field")
 
 
 @query("K07_compare", f"""with r as (select * from {DEVICES} where run in (3, 17, 29)), u as (select 'weight' measure, run, weight as value from r union all select 'price', run, price from r)
@@ -483,18 +481,18 @@ def u01_all(s, d):
 
 @query("U02_union_of_bands", f"""select mic, shot % 16 as col, min(value) lo, max(value) hi from {SHOTS} group by all""")
 def u02(s, d):
-    return shots(s, d).groupBy("mic", (F.col("shot") % 16).alias("col")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return views.united_bands(shots(s, d), ["mic"], F.col("shot") % 16, "value", "value")
 
 
 @query("U03_unused_rows", MATCH + " select row, maker from p where row not in (select row from m)")
 def u03(s, d):
     _, rows, m = matched(s, d)
-    return rows.select(F.col("run").alias("row"), "maker").join(m.select("row"), "row", "left_anti")
+    return views.unused_rows(rows.select(F.col("run").alias("row"), "maker"), m, "row")
 
 
 @query("U04_footnote_years", f"""select distinct year from {TESTS} where host = '1-URGENT' and value > 100""")
 def u04(s, d):
-    return tests(s, d).where("host = '1-URGENT' and value > 100").select("year").distinct()
+    return filters.footnote_years(tests(s, d), "year", (F.col("host") == "1-URGENT") & (F.col("value") > 100))
 
 
 SPELLED = f"(select run, case run % 4 when 0 then ' YHM ' when 1 then 'Bare' when 2 then 'C.A.T' else maker end maker, model from {DEVICES})"
@@ -559,7 +557,7 @@ def c08_all(s, d):
 @query("C09_ammo_class", f"select run, case when run % 3 = 0 then 'subsonic' when run % 3 = 1 then 'supersonic' end ammo from {DEVICES}")
 def c09(s, d):
     sub = F.when(F.col("run") % 3 == 0, True).when(F.col("run") % 3 == 1, False)
-    return devices(s, d).select("run", F.when(sub, "subsonic").when(~sub, "supersonic").alias("ammo"))
+    return devices(s, d).select("run", views.ammo(sub).alias("ammo"))
 
 
 @query("C10_volume", f"select run, round(0.785 * weight * weight * nullif(price, 900), 6) volume from {DEVICES}")

@@ -241,8 +241,7 @@ def p10b(s, d):
 @query("P12_aligned_overlay", f"""with t as (select id, min(i) k from {LONG} where p > 80 group by 1) select id, i - k as "at", round(p, 6) p from {LONG} join t using (id) where i - k between -2 and 10""")
 def p12(s, d):
     rows = long(s, d)
-    t = waveform.triggers(rows, ["id"], 80.0).where("trigger is not null")
-    return rows.join(t, "id").withColumn("at", F.col("i") - F.col("trigger")).where("at between -2 and 10").select("id", "at", F.round("p", 6).alias("p"))
+    return rounded(waveform.aligned_overlay(rows, ["id"], waveform.triggers(rows, ["id"], 80.0), 2, 10), "p")
 
 
 @query("P14_set_gain", f"select id, round(0.5 / max(m) over (partition by label), 9) gain from (select id, label, max(abs(p)) m from {LONG} group by all)")
