@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tables_as_views(spark: SparkSession, sf: str, *names: str) -> None:
+    for name in names:
+        table(spark, sf, name).createOrReplaceTempView(name)
+
+
 def rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, to) for c in cols})
 

@@ -237,3 +237,21 @@ def s20(s, d):
     spectra = statistics.band_statistics(waves.join(db.band_level, "waveform_id"), ["run", "mic"], "levels", L.centres(-40, 23))
     out = store.spectra_of_runs(spectra, "run", "mic", "spectrum").select("run", F.explode(F.from_json("spectra", "map<string,array<double>>")).alias("mic", "levels"))
     return out.select("run", "mic", F.posexplode("levels").alias("i", "level")).withColumn("i", F.col("i").cast("long"))
+
+
+HOST_TABLE = "select n_name cartridge, 'L' || (n_nationkey % 20) label, case when n_nationkey % 3 = 0 then 16 end barrel_in, case when n_nationkey % 4 = 0 then 'report' end barrel_source, case n_nationkey % 5 when 0 then 'gas' when 1 then 'steam' end cycling, case when n_nationkey % 7 = 0 then 'AK' else 'AR' end platform from nation"
+ALIAS_TABLE = "select 'a' || n_nationkey alias, case when n_nationkey % 6 = 0 then 'a' || cast(floor(n_nationkey / 2) as int) else 'M' end maker from nation"
+
+
+@query("A24_violations", f"""with h as ({HOST_TABLE}), a as ({ALIAS_TABLE}) select 'caveat of an unknown host' violation, r_name as key from region where r_name not in (select cartridge from h)
+    union select 'alias of an alias', alias from a where maker in (select alias from a) union select 'unknown cycling', cartridge from h where cycling = 'steam' union select 'unknown platform', cartridge from h where platform = 'AK'
+    union select 'barrel and source differ', cartridge from h where (barrel_in is null) <> (barrel_source is null) union select 'label of several hosts', label from h group by label having count(*) > 1
+    union select 'defect of an unknown run', s_name || '?' from supplier where s_suppkey % 10 = 0""")
+def a24(s, d):
+    from .registry import tables_as_views
+
+    tables_as_views(s, d, "nation", "region", "supplier")
+    hosts, aliases = s.sql(HOST_TABLE), s.sql(ALIAS_TABLE)
+    runs = table(s, d, "supplier").select(F.col("s_name").alias("run"))
+    defects = table(s, d, "supplier").select(F.concat("s_name", F.when(F.col("s_suppkey") % 10 == 0, "?").otherwise("")).alias("run"))
+    return V.violations(hosts, table(s, d, "region").select(F.col("r_name").alias("cartridge")), aliases, defects, runs, ["gas"], ["AR"])
