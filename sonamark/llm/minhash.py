@@ -303,13 +303,16 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = split_join(owned, mixed, "bucket", "node").select("node", "label").distinct().join(sigs.select("node", "n"), "node")
     rest = written(rest, "rest")
     discard(shared, members, common, placed, owned)
-    candidates, found = across(rest, nodes, sketch, threshold)
-    more = estimated(candidates.join(pairs, ["a", "b"], "left_anti"), "more")
-    new = confirmed(more, nodes, sketch, threshold).union(found)
-    if not new.isEmpty():
-        labels = components(links.union(new))
+    if not rest.isEmpty():
+        candidates, found = across(rest, nodes, sketch, threshold)
+        more = estimated(candidates.join(pairs, ["a", "b"], "left_anti"), "more")
+        confirmed_now = confirmed(more, nodes, sketch, threshold)
+        new = confirmed_now.union(found)
+        if not new.isEmpty():
+            labels = components(links.union(new))
+        discard(candidates, more, confirmed_now, found)
     out = written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
-    discard(nodes, sigs, rest, pairs, links, candidates, more, found)
+    discard(nodes, sigs, rest, pairs, links)
     return out
 
 
