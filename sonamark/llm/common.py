@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -123,3 +124,10 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, like: DataF
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
     right = table.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
     return left.join(right, [key, "_part"]).drop("_part")
+
+
+def row_hash(df: DataFrame, *salt: int) -> Column:
+    """A hash of all columns of a row; columns of arrays, structs and maps by their JSON, since maps have no hash."""
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    one = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(F.lit, salt), *map(one, df.schema.fields))

@@ -18,9 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import discard, fresh, lower_ascii, split_join, written
+from .common import discard, fresh, lower_ascii, row_hash, split_join, written
 
 KEY = ["sha", "n_bytes", "xx"]
 
@@ -59,20 +58,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def hashable(field: T.StructField) -> Column:
-    """The column, as JSON where it may hold maps, which have no hash."""
-    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(f"`{field.name}`")
-
-
 def drop_exact(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, its columns unchanged: the one with the largest id (a null id only where there is no other).
-    Of rows that repeat both, the one with the largest hash of all columns stays, so runs agree. Rows are told apart by a
-    number that is written with them, in a column whose name no column of docs has."""
-    number = fresh(docs, "row")
-    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    Of rows that repeat both, the one with the largest hash of all columns stays, so runs agree; of rows that are equal throughout, one. Rows are told apart by
+    digest, id and that hash, in columns whose names no column of docs has; texts are shuffled once, and by no hot key."""
+    sha, best = fresh(docs, "sha"), fresh(docs, "best")
     order = F.col(id_col) if keep == "max" else -F.col(id_col)
-    best = F.struct(F.col(id_col).isNotNull().alias("has_id"), order.alias("id"), F.xxhash64(*map(hashable, docs.schema.fields)).alias("whole"), F.col(number).alias("number"))
-    own = written(digests(rows, best, F.col(text_col)), "digests")
-    stay = grouped(own).select(F.col("best.number").alias(number))
+    which = F.struct(F.col(id_col).isNotNull().alias("has_id"), F.coalesce(order, F.lit(0)).alias("id"), row_hash(docs).alias("whole"))
+    own = written(digests(docs, which, F.col(text_col)), "digests")
+    stay = grouped(own).select(F.col("sha").alias(sha), F.col("best").alias(best))
     discard(own)
-    return rows.join(stay, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.withColumns({sha: F.unhex(F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)), best: which})
+    return rows.join(stay, [sha, best], "left_semi").dropDuplicates([sha, best]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, discard, fresh, split_join, words_of, written
+from .common import arrow_rows, discard, fresh, row_hash, split_join, words_of, written
 
 WORDS, THRESHOLD = 5, 75
 PERMUTATIONS, BANDS, BITS = 128, 32, 4
@@ -124,9 +124,11 @@ def similarity(a: Column, b: Column) -> Column:
     return (1 - differ / PERMUTATIONS - chance) / (1 - chance)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, uid_col: str | None = None) -> DataFrame:
-    """(uid, id, n_shingles, node, sig, bands, body): uid names the row, node the set of shingles; body is the compressed words."""
-    rows = docs.select((F.col(uid_col) if uid_col else F.monotonically_increasing_id()).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def sketches(docs: DataFrame, id_col: str, text_col: str, row_cols: list[str] | None = None) -> DataFrame:
+    """(uid, id, n_shingles, node, sig, bands, body, row_a, row_b): uid numbers the row, node names the set of shingles; body is the compressed words; row_a and
+    row_b are passed on from row_cols, if these are given."""
+    marks = [F.col(c) for c in row_cols] if row_cols else [F.lit(None).cast("long")] * 2
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(m.alias(n) for m, n in zip(marks, ("row_a", "row_b"))))
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -146,12 +148,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, uid_col: str | None =
                 bands.append(band_hashes(low))
                 body.append(squeeze.compress(b" ".join(words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(body, pa.binary())],
-                names=["uid", "id", "n_shingles", "node", "sig", "bands", "body"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(body, pa.binary()), batch.column(3), batch.column(4)],
+                names=["uid", "id", "n_shingles", "node", "sig", "bands", "body", "row_a", "row_b"],
             )
 
     arrow_rows(docs.sparkSession)
-    return written(rows.mapInArrow(run, "uid long, id long, n_shingles long, node long, sig array<long>, bands array<long>, body binary"), "sketches")
+    return written(rows.mapInArrow(run, "uid long, id long, n_shingles long, node long, sig array<long>, bands array<long>, body binary, row_a long, row_b long"), "sketches")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
@@ -328,11 +330,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, its columns unchanged: the one with the smallest id, whatever rows share that id; a null id stays only
-    where there is no other. Rows are told apart by a number that is written with them, in a column whose name no column of docs has."""
-    number = fresh(docs, "row")
-    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    sketch = sketches(rows, "doc_id", "text", number)
-    best = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("best"))
-    stay = best.join(labelled(sketch), "node").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.uid").alias(number))
-    stay = stay.union(sketch.where(F.col("node").isNull()).select("uid"))
-    return rows.join(stay, number, "left_semi").select(*docs.columns)
+    where there is no other. Rows are told apart by two hashes of all their columns, in columns whose names no column of docs has; of rows that are equal
+    throughout, one stays."""
+    names = [fresh(docs, "row_a"), fresh(docs, "row_b")]
+    rows = docs.withColumns({n: row_hash(docs, k) for k, n in enumerate(names)})
+    sketch = sketches(rows, "doc_id", "text", names)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")
+    best = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("best"))
+    own = labelled(sketch).select("node", "label")
+    stay = own.join(best, "node").groupBy("label").agg(F.min("best").alias("best")).select(*(F.col(f"best.{k}").alias(n) for k, n in zip(("row_a", "row_b"), names)))
+    empty = sketch.where(F.col("node").isNull()).select(*(F.col(k).alias(n) for k, n in zip(("row_a", "row_b"), names)))
+    lone = rows.join(empty, names, "left_semi")  # without words: none is a copy of another, repeated rows stay
+    return rows.join(stay, names, "left_semi").dropDuplicates(names).union(lone).select(*(F.col(f"`{c}`") for c in docs.columns))
