@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, token_counts, token_files
+from . import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, token_counts, token_files, url_filter
 from .common import LOWER, UPPER
 
 
@@ -54,8 +54,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup)
+    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup, op12_url_filter)
 }
 
 
@@ -89,4 +93,10 @@ ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": f"""
         with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') norm from documents)
         select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id = max(doc_id) over w kept, sha256(norm) text_sha256 from t window w as (partition by norm)""",
+    "op12_url_filter": f"""
+        with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) path from pages),
+        rules(verdict, host, path, rule) as (values {", ".join(f"('{v}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', '{r}')" for v, r in url_filter.RULES)}),
+        best as (select u.page_id, u.host, u.path, r.rule, r.verdict, row_number() over (partition by u.page_id, u.host, u.path order by length(r.rule) desc) k
+                 from u left join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path))
+        select page_id, host, path, rule, coalesce(verdict, '{url_filter.DEFAULT}') verdict from best where k = 1""",
 }
