@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, token_counts, token_files, url_filter
+from . import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, prefix_trie, token_counts, token_files, url_filter
 from .common import LOWER, UPPER
 
 
@@ -58,8 +58,15 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules(spark))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: crc32 of the decimal digits of conv_id, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: list_transform(range(8), lambda b: (ascii(x) >> b) & 1)))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup, op12_url_filter)
+    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup, op12_url_filter, op13_prefix_trie)
 }
 
 
@@ -99,4 +106,16 @@ ORACLE_SQL: dict[str, str] = {
         best as (select u.page_id, u.host, u.path, r.rule, r.verdict, row_number() over (partition by u.page_id, u.host, u.path order by length(r.rule) desc) k
                  from u left join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path))
         select page_id, host, path, rule, coalesce(verdict, '{url_filter.DEFAULT}') verdict from best where k = 1""",
+    "op13_prefix_trie": f"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) i, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} x from conversations where conv_id is not null),
+        own as (select conv_id, list(x order by i) xs from t group by 1),
+        built as (select o.conv_id, list_concat(coalesce(b.xs[1 : h], []), o.xs[h + 1 :]) xs from (select *, {CRC32_SQL} % 9 h from own) o left join own b on b.conv_id = o.conv_id - o.conv_id % 5),
+        paths as (select conv_id, d, xs[1 : d] k, len(xs) = d as ends from (select *, unnest(range(0, len(xs) + 1)) d from built)),
+        nodes as (select k, d, min(conv_id) conv_id, count(*) n_convs, case when d = 0 then 0 else (count(*) - 1) * strlen(k[d].t) end own, string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) ends from paths group by k, d),
+        parents as (select k, conv_id from nodes),
+        children as (select k[1 : d - 1] k, count(*) n from nodes where d > 0 group by 1),
+        each as (select k, d, own, n is null leaf from nodes left join children using (k)),
+        totals as (select up k, sum(leaf::bigint) n_leaves, sum(own) saved from (select leaf, own, k[1 : unnest(range(0, d + 1))] up from each) group by 1)
+        select n.conv_id, n.d depth, p.conv_id parent_conv_id, n.n_convs, coalesce(c.n, 0) n_children, t.n_leaves::bigint n_leaves, t.saved::bigint saved_tokens, sha256(coalesce(n.ends, '')) ends_sha256
+        from nodes n join totals t on t.k = n.k left join children c on c.k = n.k left join parents p on n.d > 0 and p.k = n.k[1 : n.d - 1]""",
 }
