@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, prefix_trie, token_counts, token_files, url_filter
+from . import ball_tree, bpe_lexicon, exact_dedup, gru_langid, lattice_lm, licences, minhash, packing, prefix_hash, prefix_trie, token_counts, token_files, url_filter
 from .common import LOWER, UPPER
 
 
@@ -54,6 +54,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules(spark))
 
@@ -66,7 +70,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: list_transform(range(8), lambda b: (ascii(x) >> b) & 1)))), lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup, op12_url_filter, op13_prefix_trie)
+    f.__name__: f for f in (op1_token_files, op2_lattice_lm, op3_prefix_hash, op4_token_counts, op5_gru_langid, op6_bpe_lexicon, op7_best_fit, op8_licences, op9_minhash, op10_exact_dedup, op11_ball_tree, op12_url_filter, op13_prefix_trie)
 }
 
 
@@ -100,6 +104,18 @@ ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": f"""
         with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') norm from documents)
         select doc_id, max(doc_id) over w keep_id, count(*) over w group_size, doc_id = max(doc_id) over w kept, sha256(norm) text_sha256 from t window w as (partition by norm)""",
+    "op11_ball_tree": rf"""
+        with d as (select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ball_tree.TERM}') ws from documents where text is not null),
+        docs as (select row_number() over () u, doc_id, ws, len(ws) n from d where len(ws) > 0),
+        whole as (select count(*)::bigint big_n, sum(n)::bigint big_l from docs),
+        items as (select row_number() over () q, item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{ball_tree.TERM}') ws from benchmark where text is not null),
+        asked as (select q, t, count(*) c from (select q, unnest(ws) t from items) group by all),
+        tf as (select u, doc_id, n, t, count(*)::bigint tf from (select u, doc_id, n, unnest(ws) t from docs) where t in (select t from asked) group by all),
+        df as (select t, count(*)::bigint df from tf group by 1),
+        parts as (select u, doc_id, tf.t, floor(1000 * ln((2 * big_n + 2)::double / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) s from tf join df using (t), whole),
+        scores as (select q, u, doc_id, sum(c * s)::bigint score from asked join parts using (t) group by all having score > 0),
+        best as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) r from scores)
+        select item_id, r::int as rank, doc_id, score from best join items using (q) where r <= 20""",
     "op12_url_filter": f"""
         with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) path from pages),
         rules(verdict, host, path, rule) as (values {", ".join(f"('{v}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', '{r}')" for v, r in url_filter.RULES)}),
