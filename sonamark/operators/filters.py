@@ -41,7 +41,7 @@ def years_or_all(asked: DataFrame, present: DataFrame, year: str) -> DataFrame:
 
 def known_dimensions(rows: DataFrame, keys: list[str], columns: list[str], defects: DataFrame) -> DataFrame:
     """rows with zero dimensions set to null, and those that a curated list (keys, fields) says are wrong."""
-    listed = rows.join(F.broadcast(defects.select(*keys, F.col("fields").alias("_bad"))), keys, "left")
+    listed = rows.join(defects.select(*keys, F.col("fields").alias("_bad")), keys, "left")
     bad = lambda c: F.coalesce(F.array_contains("_bad", c), F.lit(False))
     return listed.withColumns({c: F.when(~bad(c) & (F.col(c) != 0), F.col(c)) for c in columns}).drop("_bad")
 

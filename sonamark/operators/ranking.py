@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import indistinguishable
 from ..sources.store import fresh_folder
-from .offsets import prefix_sums, running, same
+from .offsets import numbered, running, same
 
 
 def signed(column: str, better: str):
@@ -19,9 +19,9 @@ def signed(column: str, better: str):
 
 def rank_order(rows: DataFrame, group: list[str], column: str, run_id: str, better: str = "min") -> DataFrame:
     """rows that have a value, with rank (best first, ties by id) and field size, within each group. A group's rows are counted range by range."""
-    x = rows.where(F.col(column).isNotNull()).withColumns({"_v": signed(column, better), "_one": F.lit(1).cast("long")})
-    ranked = prefix_sums(x, "_v", "_one", "rank", tie=run_id, group=group).withColumn("rank", F.col("rank") + 1)
-    return same(ranked, x.groupBy(*group).agg(F.count("*").alias("field")), group).drop("_v", "_one")
+    x = rows.where(F.col(column).isNotNull()).withColumn("_v", signed(column, better))
+    ranked = numbered(x, "_v", "rank", tie=run_id, group=group)
+    return same(ranked, x.groupBy(*group).agg(F.count("*").alias("field")), group).drop("_v")
 
 
 def leader_ties(rows: DataFrame, group: list[str], column: str, sem: str, run_id: str, better: str = "min") -> DataFrame:
@@ -35,9 +35,9 @@ def leader_ties(rows: DataFrame, group: list[str], column: str, sem: str, run_id
 
 
 def tied_with(rows: DataFrame, group: list[str], column: str, sem: str, run_id: str, one: int) -> DataFrame:
-    """Rows of the same group that can't be told from a given row."""
-    given = rows.where(F.col(run_id) == one).select(*group, F.col(column).alias("_v"), F.col(sem).alias("_s"))
-    return rows.where(F.col(run_id) != one).join(F.broadcast(given.limit(1)), group).where(indistinguishable(column, sem, "_v", "_s", zero_sem_is_null=True)).drop("_v", "_s")
+    """Rows of the same group that can't be told from a given row; of several rows with its id in a group, the one with the least value."""
+    given = rows.where(F.col(run_id) == one).groupBy(*group).agg(F.min(F.struct(F.col(column).alias("v"), F.col(sem).alias("s"))).alias("_g")).select(*group, F.col("_g.v").alias("_v"), F.col("_g.s").alias("_s"))
+    return rows.where(F.col(run_id) != one).join(given, group).where(indistinguishable(column, sem, "_v", "_s", zero_sem_is_null=True)).drop("_v", "_s")
 
 
 def frontier2(rows: DataFrame, group: list[str], x: str, y: str, better: tuple[str, str] = ("min", "min")) -> DataFrame:
@@ -45,7 +45,7 @@ def frontier2(rows: DataFrame, group: list[str], x: str, y: str, better: tuple[s
     and a large group is not in one task."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_x": signed(x, better[0]), "_y": signed(y, better[1])})
     least = rows.groupBy(*group, "_x").agg(F.min("_y").alias("_least"))
-    kept = running(least, "_x", "_least", "_best", F.min, group=group).where(F.col("_best").isNull() | (F.col("_least") < F.col("_best"))).select(*group, "_x", F.col("_least").alias("_y"))
+    kept = running(least, "_x", {"_least": "_best"}, F.min, group=group).where(F.col("_best").isNull() | (F.col("_least") < F.col("_best"))).select(*group, "_x", F.col("_least").alias("_y"))
     return same(rows, kept, [*group, "_x", "_y"], "left_semi").drop("_x", "_y")
 
 

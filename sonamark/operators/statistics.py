@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import level
-from .offsets import prefix_sums
+from .offsets import prefix_sums, same
 
 
 def run_statistics(shots: DataFrame, keys: list[str], value: str = "value", shot: str = "shot", excluded: str | None = "excluded") -> DataFrame:
@@ -62,8 +62,10 @@ def crosstab(rows: DataFrame, row: str, column: str, values: list) -> DataFrame:
 
 
 def median(rows: DataFrame, column: str) -> DataFrame:
-    """One row: the exact median of the values that aren't null, by their ranks; no task holds them all. Null if there are none."""
-    x = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"), F.lit(1).cast("long").alias("one"))
-    n = x.count()
-    middle = prefix_sums(x, "v", "one", "at").where(F.col("at").isin((n - 1) // 2, n // 2))
-    return middle.agg(F.avg("v").alias("median"))
+    """One row: the exact median of the values that aren't null, by their ranks. Equal values are one row of counts, and no task holds all values. Null if there are none."""
+    values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    x = prefix_sums(values, "v", {"n": "at"})
+    half = F.col("all") / 2
+    inside = lambda k: (F.col("at") <= k) & (k < F.col("at") + F.col("n"))
+    middle = same(x, x.agg(F.sum("n").alias("all")), []).select("v", inside(F.floor((F.col("all") - 1) / 2)).alias("lower"), inside(F.floor(half)).alias("upper"))
+    return middle.agg(((F.max(F.when(F.col("lower"), F.col("v"))) + F.max(F.when(F.col("upper"), F.col("v")))) / 2).alias("median"))

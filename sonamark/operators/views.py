@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.levels import MIC_ORDER, volume
 from . import statistics
+from .offsets import numbered, prefix_sums, same
 
 RUN = ["event_label", "event_date", "manufacturer", "suppressor", "caliber", "cartridge", "is_baseline", "shots", "weight_oz", "length_in", "max_diameter_in"]
 METRICS = ["peak_pressure_pa", "peak_db", "peak_dba", "impulse_pa_ms", "impulse_db_ms", "peak_leq10ms_dba"]
@@ -239,8 +240,6 @@ def option_search(rows: DataFrame, column: str, text: str, chosen: list[str], li
 def compared(rows: DataFrame, run: str, host: str, year: str, measures: dict[str, str]) -> DataFrame:
     """(measure, run, value, best, mixed_hosts, mixed_years) of two to four runs: the best of a measure (name -> min or max) is marked only if all runs have
     one host and at least two of them a finite value."""
-    from .offsets import same
-
     facts = rows.agg((F.countDistinct(host) > 1).alias("mixed_hosts"), (F.countDistinct(year) > 1).alias("mixed_years"))
     cell = lambda m, b: F.struct(F.lit(m).alias("measure"), F.lit(b).alias("better"), F.col(m).cast("double").alias("value"))
     long = rows.select(F.col(run).alias("run"), F.explode(F.array(*(cell(m, b) for m, b in measures.items()))).alias("x")).select("run", "x.*")
@@ -265,8 +264,6 @@ def scored_string(rows: DataFrame, run: str, shot: str, excluded: str, start: Da
 
 def error_bars(rows: DataFrame, value: str, sem: str, pad: float = 0.05) -> DataFrame:
     """rows with lo and hi, value minus and plus its error (none counts as zero), and from and to, the padded range of all of them."""
-    from .offsets import same
-
     e = F.coalesce(F.col(sem), F.lit(0.0))
     x = rows.withColumns({"lo": F.col(value) - e, "hi": F.col(value) + e})
     span = x.agg(F.min("lo").alias("_a"), F.max("hi").alias("_b"))
@@ -275,11 +272,22 @@ def error_bars(rows: DataFrame, value: str, sem: str, pad: float = 0.05) -> Data
 
 
 def display_number(x: Column, places: int = 2, sign: bool = False, minus: str = "−", missing: str = "—") -> Column:
-    """Fixed places, a true minus sign, a dash where there is no finite number, and no sign before what is printed as zero."""
-    text = F.format_string(f"%.{places}f", F.abs(x.cast("double")))
+    """Fixed places, a true minus sign, a dash where there is no finite number, and no sign before what is printed as zero. What is rounded is the number that the double
+    is, a half of it away from zero: 1.005 lies below its decimals and gives 1.00. Its product with a power of ten is taken apart into two doubles without
+    loss (up to 1e12; larger numbers are printed as they are)."""
+    x = x.cast("double")
+    size, power = F.abs(x), float(10**places)
+    high = size * 134217729.0 - (size * 134217729.0 - size)  # its upper 26 bits
+    product = size * power
+    lost = (high * power - product) + (size - high) * power
+    whole = F.floor(product)
+    units = whole + F.when((product - whole - 0.5) + lost >= 0, 1).otherwise(0)
+    digits = F.lpad((units % int(power)).cast("string"), places, "0")
+    printed = F.concat(F.floor(units / int(power)).cast("string"), F.lit("." if places else ""), digits if places else F.lit(""))
+    text = F.when(size < 1e12, printed).otherwise(F.format_string(f"%.{places}f", size))
     zero = text.cast("double") == 0
     signed = F.when((x < 0) & ~zero, F.concat(F.lit(minus), text)).when(F.lit(sign) & ~zero, F.concat(F.lit("+"), text)).otherwise(text)
-    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")), signed).otherwise(missing)
+    return F.when(x.isNotNull() & ~F.isnan(x) & (size != float("inf")), signed).otherwise(missing)
 
 
 def violations(hosts: DataFrame, caveats: DataFrame, aliases: DataFrame, defects: DataFrame, run_keys: DataFrame, cycling: list[str], platforms: list[str]) -> DataFrame:
@@ -349,9 +357,7 @@ def device_page(ranked: DataFrame, device: Column, run_id: str) -> DataFrame:
 
 def contiguous_index(rows: DataFrame, run: str) -> DataFrame:
     """(run, first, n): the position of each run's first record, and its records, where records lie in the order of their runs."""
-    from .offsets import prefix_sums
-
-    return prefix_sums(rows.groupBy(run).agg(F.count("*").alias("n")), run, "n", "first").select(run, "first", "n")
+    return prefix_sums(rows.groupBy(run).agg(F.count("*").alias("n")), run, {"n": "first"}).select(run, "first", "n")
 
 
 def unused_rows(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:

@@ -1,5 +1,5 @@
-"""Waveform jobs. A record is one row with an array of samples; its arithmetic runs in numpy over the records of an Arrow batch, its tables in
-Spark. Long-form versions of the same curves are window expressions over (record, index) rows."""
+"""Waveform jobs. A record is one row with an array of samples; its arithmetic is array expressions, or numpy over the records of an Arrow batch, so that no sample is
+shuffled. Only what is about several records (runs, sets, files) groups or joins rows."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .offsets import prefix_sums
+
 #: Sample step in s, start and the two ends of the analysis window in s, reference pressure and trigger in Pa, longest gap that is filled.
 DT = 3.8146973e-6
 WINDOW_LONG, WINDOW_SHORT, WINDOW_START = 0.125, 0.100, 0.001
@@ -223,43 +225,81 @@ def lowpass(factor: int = 5, taps: int = 63) -> np.ndarray:
 
 
 def downsampled(records: DataFrame, keys: list[str], samples: str, factor: int = 5, taps: int = 63) -> DataFrame:
-    """Every factor-th sample after a Blackman-windowed sinc with its cutoff at 0.8 of the new Nyquist frequency; edges count as zeros."""
+    """Every factor-th sample, as many as fit whole steps, after a Blackman-windowed sinc with its cutoff at 0.8 of the new Nyquist frequency; edges count as zeros."""
     h = lowpass(factor, taps)
 
     def run(pdf):
-        low = [None if x is None else np.convolve(np.asarray(x, float), h)[taps // 2 :][: len(x)][::factor].tolist() for x in pdf["_samples"]]
+        low = [None if x is None else np.convolve(np.asarray(x, float), h)[taps // 2 :][: len(x) // factor * factor : factor].tolist() for x in pdf["_samples"]]
         yield pd.concat([pdf[keys], pd.DataFrame({"samples": low})], axis=1)
 
     return per_record(records, keys, F.col(samples), run, "samples array<double>")
 
 
-def long_form(records: DataFrame, keys: list[str], samples: str) -> DataFrame:
-    return records.select(*keys, F.posexplode(samples).alias("i", "p")).withColumn("p", F.col("p").cast("double"))
+def on_records(records: DataFrame, keys: list[str], samples: Column | str, one, outputs: dict[str, str]) -> DataFrame:
+    """keys and a list for each output (name -> type of its elements): what `one` makes of a record's samples, an array of doubles with NaN where one is null. A record is
+    one row, so nothing is shuffled. NaN becomes null in a list of doubles; a null record has null lists, and so has one for which `one` gives None."""
+    n = len(keys)
+    kinds = {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def lists(parts: list, kind: str) -> pa.Array:
+        ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
+        some = [np.asarray(p) for p in parts if p is not None]
+        flat = pa.array(np.concatenate(some) if some else np.zeros(0), kinds[kind], from_pandas=True)
+        missing = pa.array([p is None for p in parts], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=missing) if len(parts) else pa.array([], pa.list_(kinds[kind]))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, RECORDS):
+                batch = whole.slice(at, RECORDS)
+                column = batch.column(n)
+                values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                got = [None if null else one(values[a:b]) for null, a, b in zip(column.is_null().to_pylist(), ends[:-1], ends[1:])]
+                parts = [[None if g is None else g[k] for g in got] for k in range(len(outputs))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *map(lists, parts, outputs.values())], names=[*keys, *outputs])
+
+    schema = ", ".join([*(f"`{k}` {records.schema[k].dataType.simpleString()}" for k in keys), *(f"`{k}` array<{t}>" for k, t in outputs.items())])
+    samples = F.col(samples) if isinstance(samples, str) else samples
+    return records.select(*keys, samples.cast("array<double>").alias("_samples")).mapInArrow(run, schema)
+
+
+def samples_of(lists: DataFrame, keys: list[str], **columns: str) -> DataFrame:
+    """(keys, i, ...): the elements of lists of one length side by side, a row for each place; columns: new name -> list."""
+    zipped = F.arrays_zip(*(F.col(c).alias(k) for k, c in columns.items()))
+    return lists.select(*keys, F.posexplode(zipped).alias("i", "_x")).select(*keys, F.col("i").cast("long").alias("i"), *(F.col(f"_x.{k}").alias(k) for k in columns))
+
+
+def running_integral(records: DataFrame, keys: list[str], samples: str, dt: float) -> DataFrame:
+    """integral: the trapezoid integral (Pa ms) up to each sample; a step that misses a sample counts as zero."""
 
+    def one(x):
+        step = np.nan_to_num((x[1:] + x[:-1]) / 2 * dt * 1000)
+        return (np.concatenate((np.zeros(min(1, len(x))), np.cumsum(step))),)
+
+    return on_records(records, keys, samples, one, {"integral": "double"})
 
-def running_integral(rows: DataFrame, keys: list[str], dt: float) -> DataFrame:
-    """Trapezoid integral (Pa ms) up to each sample."""
-    w = W.partitionBy(*keys).orderBy("i")
-    step = F.coalesce((F.col("p") + F.lag("p").over(w)) / 2 * dt * 1000, F.lit(0.0))
-    return rows.withColumn("step", step).withColumn("integral", F.sum("step").over(w)).drop("step")
 
+def running_rms(records: DataFrame, keys: list[str], samples: str, width: int) -> DataFrame:
+    """rms: the circular running RMS; before the first sample stands the last one. A record shorter than the width has none."""
+    return on_records(records, keys, samples, lambda x: (running_level(x[None], width)[0],) if len(x) >= width else None, {"rms": "double"})
 
-def running_rms(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Circular running RMS: the last width - 1 samples are put before the first."""
-    n = rows.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
-    both = rows.join(n, keys)
-    both = both.union(both.where(F.col("i") >= F.col("n") - (width - 1)).withColumn("i", F.col("i") - F.col("n")).select(*both.columns))
-    w = W.partitionBy(*keys).orderBy("i").rowsBetween(-(width - 1), 0)
-    return both.withColumn("rms", F.sqrt(F.avg(F.col("p") * F.col("p")).over(w))).where("i >= 0").drop("n")
 
+def gaps_filled(records: DataFrame, keys: list[str], samples: str, longest: int = LONGEST_GAP) -> DataFrame:
+    """filled: the samples with gaps (null or NaN) between two others filled linearly if they are short enough; others stay null."""
+
+    def one(x):
+        bad = np.isnan(x)
+        if not bad.any() or bad.all():
+            return (x,)
+        at, known = np.arange(len(x)), np.flatnonzero(~bad)
+        before, after = np.searchsorted(known, at, "right") - 1, np.searchsorted(known, at)
+        inside = bad & (before >= 0) & (after < len(known))
+        left, right = known[np.maximum(before, 0)], known[np.minimum(after, len(known) - 1)]
+        near = inside & (right - left <= longest + 1)
+        slope = (x[right] - x[left]) / np.maximum(right - left, 1)
+        return (np.where(near, x[left] + slope * (at - left), x),)
 
-def gaps_filled(rows: DataFrame, keys: list[str], longest: int = LONGEST_GAP) -> DataFrame:
-    """Null samples between two others, filled linearly if the gap is short enough; others stay null."""
-    before, after = W.partitionBy(*keys).orderBy("i"), W.partitionBy(*keys).orderBy("i").rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col("p").isNotNull(), F.struct("i", "p"))
-    x = rows.withColumns({"l": F.last(known, ignorenulls=True).over(before), "r": F.first(known, ignorenulls=True).over(after)})
-    fill = F.col("l.p") + (F.col("r.p") - F.col("l.p")) * (F.col("i") - F.col("l.i")) / (F.col("r.i") - F.col("l.i"))
-    return x.withColumn("p", F.when(F.col("p").isNull() & (F.col("r.i") - F.col("l.i") <= longest + 1), fill).otherwise(F.col("p"))).drop("l", "r")
+    return on_records(records, keys, samples, one, {"filled": "double"})
 
 
 def quantised(samples: Column, bits: int = 16) -> tuple[Column, Column]:
@@ -269,61 +309,174 @@ def quantised(samples: Column, bits: int = 16) -> tuple[Column, Column]:
     return scale, F.transform(samples, lambda x: F.rint(x.cast("double") / scale).cast("long"))
 
 
-def differences(rows: DataFrame, keys: list[str], order: int, value: str = "q") -> DataFrame:
-    """The order-th difference of each sequence; the first values seed it (what is before the start counts as zero)."""
-    w = W.partitionBy(*keys).orderBy("i")
+def differences(codes: Column, order: int) -> Column:
+    """The order-th difference of a sequence; the first values seed it (what is before the start counts as zero)."""
     for _ in range(order):
-        rows = rows.withColumn("_d", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0))).drop(value).withColumnRenamed("_d", value)
-    return rows
+        codes = F.zip_with(codes, F.concat(F.array(F.lit(0).cast("long")), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - 1, F.lit(0)))), lambda x, before: x - before)
+    return codes
 
 
-def restored(rows: DataFrame, keys: list[str], order: int, value: str = "q") -> DataFrame:
-    w = W.partitionBy(*keys).orderBy("i")
-    for _ in range(order):
-        rows = rows.withColumn(value, F.sum(value).over(w))
-    return rows
+def restored(records: DataFrame, keys: list[str], codes: str, order: int) -> DataFrame:
+    """codes: what differences() of that order was made of."""
+
+    def one(x):
+        x = x.astype(np.int64)
+        for _ in range(order):
+            x = np.cumsum(x)
+        return (x,)
+
+    return on_records(records, keys, codes, one, {"codes": "bigint"})
 
 
-def rice_bits(rows: DataFrame, keys: list[str], value: str = "q", block: int = 4096, most_k: int = 24) -> DataFrame:
-    """Exact bits of Rice coding with the best parameter of each block: sum of (zigzag >> k) + n * (k + 1)."""
-    z = F.when(F.col(value) >= 0, 2 * F.col(value)).otherwise(-2 * F.col(value) - 1)
-    per = rows.withColumns({"z": z, "block": F.floor(F.col("i") / block)}).groupBy(*keys, "block").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("z", k)).alias(f"s{k}") for k in range(most_k)))
-    cost = [F.struct((F.col(f"s{k}") + F.col("n") * (k + 1)).alias("bits"), F.lit(k).alias("k")) for k in range(most_k)]
-    return per.select(*keys, "block", "n", F.array_min(F.array(*cost)).alias("b")).select(*keys, "block", "n", "b.bits", "b.k")
+#: How far from the logarithm of a block's mean a Rice parameter is sought, the largest parameter, the longest unary run of a frame.
+BELOW, ABOVE, MOST_K, MOST_UNARY = 3, 3, 40, 64
 
 
-def envelope(rows: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """(lo, hi) of each of the buckets that tile a record unevenly: bucket ceil((i + 1) * buckets / n) - 1. A record with fewer samples is an error."""
-    n = rows.groupBy(*keys).agg((F.max("i") + 1).alias("n"))
-    bucket = F.when(F.col("n") >= buckets, (F.ceil((F.col("i") + 1) * buckets / F.col("n")) - 1).cast("long")).otherwise(F.raise_error(F.lit("a record shorter than its buckets")))
-    return rows.join(n, keys).groupBy(*keys, bucket.alias("bucket")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+def zigzag(x: np.ndarray) -> np.ndarray:
+    return np.where(x >= 0, 2 * x, -2 * x - 1)
 
 
-def decimated(rows: DataFrame, keys: list[str], t0: float, t1: float, cols: int, dt: float, start: float = 0.0) -> DataFrame:
-    """(lo, hi) of each of cols columns between two times. A column takes the samples from floor to ceil (not included) of its edges in samples, at
-    least one; a sample that only touches an edge is in one column. Columns with no samples under them have no row."""
-    n = rows.groupBy(*keys).agg((F.max("i") + 1).alias("_n"))
+def rice_blocks(x: np.ndarray, block: int, above: int = ABOVE, most_unary: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(k, bits) of each block of residuals: of the parameters around the logarithm of the block's mean, the first with the fewest bits, sum of (zigzag >> k) + n * (k + 1);
+    where unary runs are bounded, raised until the longest one fits."""
+    z, starts = zigzag(x), np.arange(0, len(x), block)
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = np.diff(np.append(starts, len(x)))
+    centre = np.floor(np.log2(np.add.reduceat(z, starts) / n + 1)).astype(np.int64)
+    low = np.maximum(centre - BELOW, 0)
+    best_k, best = low, None
+    for step in range(BELOW + above + 1):
+        k = low + step
+        bits = np.add.reduceat(z >> np.repeat(k, n), starts) + n * (k + 1)
+        better = (k <= centre + above) & (bits < best) if best is not None else np.ones(len(n), bool)
+        best_k, best = np.where(better, k, best_k), np.where(better, bits, best if best is not None else bits)
+    if most_unary is not None:
+        top = np.maximum.reduceat(z, starts)
+        for _ in range(MOST_K):
+            best_k = best_k + ((top >> best_k > most_unary) & (best_k < MOST_K))
+        best = np.add.reduceat(z >> np.repeat(best_k, n), starts) + n * (best_k + 1)
+    return best_k, best
+
+
+def rice_bits(records: DataFrame, keys: list[str], codes: str, block: int = 4096) -> DataFrame:
+    """k and bits of each block of a list of integers (see rice_blocks)."""
+    return on_records(records, keys, codes, lambda x: rice_blocks(x.astype(np.int64), block), {"k": "bigint", "bits": "bigint"})
+
+
+def coded(x: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
+    """(integers, scale) as quantised() makes them."""
+    peak = np.abs(x).max() if len(x) else 0.0
+    scale = peak / (2 ** (bits - 1) - 1) if peak > 0 else 1.0
+    return np.rint(x / scale).astype(np.int64), scale
+
+
+def encoding_costs(records: DataFrame, keys: list[str], samples: str, orders: int = 5, block: int = 4096) -> DataFrame:
+    """(keys, encoding, order, n, blocks, bytes) of each record as 16 and 24 bits, after differences of each order from 0: Rice coding of each block, eight bits to name
+    its parameter. A difference's first value counts as zero, so seeds are not in the bytes. Null and empty records have no rows."""
+
+    def one(x):
+        rows = []
+        for bits in (16, 24):
+            r = coded(x, bits)[0]
+            for order in range(orders):
+                _, cost = rice_blocks(r, block)
+                rows.append((f"int{bits}", order, len(x), len(cost), -(-int((cost + 8).sum()) // 8)))
+                r = np.diff(r, prepend=r[:1])
+        return tuple(zip(*rows)) if len(x) else None
+
+    names = {"encoding": "string", "order": "int", "n": "bigint", "blocks": "bigint", "bytes": "bigint"}
+    lists = on_records(records, keys, samples, one, names)
+    return lists.select(*keys, F.explode(F.arrays_zip(*names)).alias("_x")).select(*keys, "_x.*")
+
+
+def best_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of encoding_costs, the cheapest order of each record and encoding, the lower one of equals."""
+    return costs.groupBy(*keys, "encoding").agg(F.min(F.struct("bytes", "order", "n", "blocks")).alias("_b")).select(*keys, "encoding", F.col("_b.order").alias("order"), F.col("_b.n").alias("n"), F.col("_b.blocks").alias("blocks"), F.col("_b.bytes").alias("bytes"))
+
+
+#: Bytes of a frame's head and of each seed, bytes of an envelope's bucket, bits of an envelope's numbers; the order of the differences in a frame.
+FRAME_HEAD, SEED_BYTES, BUCKET_BYTES, ENVELOPE_BITS, FRAME_ORDER = 20, 4, 4, 16, 2
+
+
+def frame_sizes(records: DataFrame, keys: list[str], samples: str, bits: int = 16, order: int = FRAME_ORDER, block: int = 4096, buckets: int = 2048) -> DataFrame:
+    """(keys, n, blocks, frame_bytes, envelope_bytes, envelope_scale): what a record takes as a frame (head, seeds, one byte for each block's parameter, bits) and as an
+    envelope. A frame's residuals are those without the seeds, and no unary run of it is longer than MOST_UNARY. Nulls where a record is not longer than
+    the order, or has fewer samples than the envelope has buckets."""
+
+    def one(x):
+        if len(x) <= order or len(x) < buckets:
+            return None
+        _, cost = rice_blocks(np.diff(coded(x, bits)[0], n=order), block, ABOVE + 1, MOST_UNARY)
+        lo, hi = envelope_of(x, buckets)
+        scale = coded(np.concatenate((lo, hi)), ENVELOPE_BITS)[1]
+        return [len(x)], [len(cost)], [FRAME_HEAD + SEED_BYTES * order + len(cost) + -(-int(cost.sum()) // 8)], [scale]
+
+    got = on_records(records, keys, samples, one, {"n": "bigint", "blocks": "bigint", "frame_bytes": "bigint", "envelope_scale": "double"})
+    first = lambda c: F.get(c, F.lit(0)).alias(c)
+    return got.select(*keys, *map(first, ("n", "blocks", "frame_bytes")), F.when(F.size("n") > 0, buckets * BUCKET_BYTES).cast("long").alias("envelope_bytes"), first("envelope_scale"))
+
+
+def waveform_places(records: DataFrame, sizes: DataFrame, key: str, run: str, mic: str, shot: str) -> DataFrame:
+    """records (key, run, mic, shot) beside their frame_sizes and the places of their frames and envelopes in the files that hold them in the order of run, microphone and
+    shot, the run's first place in that order and how many records it has. Envelopes are of one size, so their places are numbers times it."""
+    both = records.select(key, run, mic, shot).join(sizes, key).where("frame_bytes is not null")
+    order = [run, mic, shot, key]
+    at = prefix_sums(both.withColumn("_one", F.lit(1).cast("long")), order, {"_one": "place", "frame_bytes": "frame_at"}).drop("_one")
+    runs = at.groupBy(run).agg(F.min("place").alias("run_first"), F.count("*").alias("run_count"))
+    return at.withColumn("envelope_at", F.col("place") * F.col("envelope_bytes")).join(runs, run)
+
+
+def envelope_of(x: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lo, hi) of uneven buckets that tile a record; sample i is in bucket ceil((i + 1) * buckets / n) - 1."""
+    starts = np.arange(buckets, dtype=np.int64) * len(x) // buckets
+    return np.fmin.reduceat(x, starts), np.fmax.reduceat(x, starts)
+
+
+def envelope(records: DataFrame, keys: list[str], samples: str, buckets: int) -> DataFrame:
+    """lo and hi of each bucket. A record with fewer samples than buckets is an error."""
+
+    def one(x):
+        if len(x) < buckets:
+            raise ValueError("a record shorter than its buckets")
+        return envelope_of(x, buckets)
+
+    return on_records(records, keys, samples, one, {"lo": "double", "hi": "double"})
+
+
+def decimated(records: DataFrame, keys: list[str], samples: str, t0: float, t1: float, cols: int, dt: float, start: float = 0.0) -> DataFrame:
+    """lo and hi of each of cols columns between two times. A column takes the samples from floor to ceil (not included) of its edges in samples, at
+    least one; a sample that only touches an edge is in one column. Columns with no sample under them are null."""
     step = (t1 - t0) / cols
-    edge = rows.sparkSession.range(cols).select(F.col("id").alias("col"), F.floor((t0 + F.col("id") * step - start) / dt).alias("_a"), F.ceil((t0 + F.col("id") * step + step - start) / dt).alias("_b"))
-    # Which columns may hold sample i follows from i, so no sample meets all columns; the exact edges decide.
-    near = F.floor((start + F.col("i") * dt - t0) / step)
-    reach = max(1, int(np.ceil(dt / step)))
-    x = rows.join(n, keys).withColumn("col", F.explode(F.sequence(near - 1, near + reach + 1))).where(F.col("col").between(0, cols - 1)).join(F.broadcast(edge), "col")
-    first, last = F.greatest(F.col("_a"), F.lit(0)), F.greatest(F.col("_b"), F.greatest(F.col("_a"), F.lit(0)) + 1)
-    x = x.where((F.col("_b") > 0) & (F.col("_a") < F.col("_n")) & (F.col("i") >= first) & (F.col("i") < last) & F.col("p").isNotNull() & ~F.isnan("p"))
-    return x.groupBy(*keys, "col").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    left = t0 + np.arange(cols) * step
+    a, b = np.floor((left - start) / dt).astype(np.int64), np.ceil((left + step - start) / dt).astype(np.int64)
+
+    def one(x):
+        lo, hi = np.full(cols, np.nan), np.full(cols, np.nan)
+        some = (b > 0) & (a < len(x))
+        if some.any():
+            first = np.maximum(a[some], 0)
+            last = np.minimum(np.maximum(b[some], first + 1), len(x))
+            edges = np.stack((first, last), axis=1).ravel()
+            padded = np.append(x, np.nan)  # an edge may be at the end
+            lo[some], hi[some] = np.fmin.reduceat(padded, edges)[::2], np.fmax.reduceat(padded, edges)[::2]
+        return lo, hi
 
+    return on_records(records, keys, samples, one, {"lo": "double", "hi": "double"})
 
-def triggers(rows: DataFrame, keys: list[str], above: float = TRIGGER_PA) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min(F.when(F.col("p") > above, F.col("i"))).cast("long").alias("trigger"))
 
+def trigger(samples: Column | str, above: float = TRIGGER_PA) -> Column:
+    """The place of the first sample above a pressure; null where none is."""
+    over = F.transform(samples, lambda x: F.coalesce((x > above) & ~F.isnan(x.cast("double")), F.lit(False)))
+    return F.nullif(F.array_position(over, True), F.lit(0).cast("long")) - 1
 
-def envelope_triggers(buckets: DataFrame, keys: list[str], above: float = TRIGGER_PA, share: float = 0.2) -> DataFrame:
-    """trigger: the first bucket (of keys, bucket, lo, hi) whose hi passes `above`, or a share of the peak in a record too quiet for that; null
-    where nothing is above zero."""
-    peak = buckets.groupBy(*keys).agg(F.max("hi").alias("_peak"))
-    over = F.when((F.col("_peak") > 0) & (F.col("hi") > F.least(F.lit(above), F.col("_peak") * share)), F.col("bucket"))
-    return buckets.join(peak, keys).groupBy(*keys).agg(F.min(over).cast("long").alias("trigger"))
+
+def envelope_trigger(hi: Column | str, above: float = TRIGGER_PA, share: float = 0.2) -> Column:
+    """The first bucket whose hi passes `above`, or a share of the peak in a record too quiet for that; null where nothing is above zero."""
+    hi = F.col(hi) if isinstance(hi, str) else hi
+    peak = F.array_max(hi)
+    over = F.transform(hi, lambda x: F.coalesce((peak > 0) & (x > F.least(F.lit(above), peak * share)), F.lit(False)))
+    return F.nullif(F.array_position(over, True), F.lit(0).cast("long")) - 1
 
 
 def auto_window(found: DataFrame, run: str, trigger: str = "trigger", lo: str = "lo", hi: str = "hi", lead: float = 0.0015, span: float = 0.024) -> DataFrame:
@@ -351,50 +504,26 @@ def shared_gain(records: DataFrame, keys: list[str], group: list[str], samples:
 
 
 def faded(samples: Column, n: int) -> Column:
-    """The first and last n samples on a linear ramp from and to silence."""
+    """The first and last n samples on a linear ramp from and to silence, which is 0.0 and never -0.0."""
     size = F.size(samples)
-    return F.transform(samples, lambda x, i: x * F.least(F.lit(1.0), i / F.lit(float(n)), (size - 1 - i) / F.lit(float(n))))
-
-
-def binned(bins: DataFrame, keys: list[str], bands: DataFrame, step_hz: float) -> DataFrame:
-    """(keys, b, bins, total): the bins (i, p) of frequency i * step_hz within each band (b, c), from centre / 2**(1/6) up to, not including, centre * 2**(1/6).
-    bands has some tens of rows. Which bins a band has is worked out once for each bin number, then joined."""
-    numbers = bins.select("i").distinct()
-    f = F.col("i") * step_hz
-    inside = numbers.join(F.broadcast(bands), (f >= F.col("c") / 2 ** (1 / 6)) & (f < F.col("c") * 2 ** (1 / 6))).select("i", "b")
-    return bins.join(inside, "i").groupBy(*keys, "b").agg(F.count("*").alias("bins"), F.sum("p").alias("total"))
-
+    return F.transform(samples, lambda x, i: x * F.least(F.lit(1.0), i / F.lit(float(n)), (size - 1 - i) / F.lit(float(n))) + F.lit(0.0))
 
-def encoding_costs(records: DataFrame, keys: list[str], samples: str, orders: int = 5, block: int = 4096, most_k: int = 24) -> DataFrame:
-    """(keys, encoding, order, n, blocks, bytes) of each record as 16 and 24 bits, after differences of each order from 0: Rice coding with the best
-    parameter of each block, eight bits to name it. A difference's first value counts as zero, so seeds are not in the bytes. Arrays and sums only."""
-    coded = F.array(*(F.struct(F.lit(f"int{b}").alias("encoding"), quantised(F.col(samples), b)[1].alias("q")) for b in (16, 24)))
-    x = records.where(F.size(samples) > 0).select(*keys, F.explode(coded).alias("x")).select(*keys, "x.*")
-    steps = [F.col("q")]
-    for _ in range(orders - 1):
-        d = steps[-1]
-        steps.append(F.zip_with(d, F.concat(F.slice(d, 1, 1), F.slice(d, F.lit(1), F.size(d) - 1)), lambda a, b: a - b))
-    x = x.select(*keys, "encoding", F.posexplode(F.array(*steps)).alias("order", "r"))
-    rows = x.select(*keys, "encoding", "order", F.posexplode("r").alias("i", "q"))
-    bits = rice_bits(rows, [*keys, "encoding", "order"], "q", block, most_k)
-    return bits.groupBy(*keys, "encoding", "order").agg(F.sum("n").alias("n"), F.count("*").alias("blocks"), F.ceil(F.sum(F.col("bits") + 8) / 8).alias("bytes"))
 
+def binned(records: DataFrame, keys: list[str], samples: str, centres: np.ndarray, step_hz: float) -> DataFrame:
+    """bins and total of each band: how many bins (frequency i * step_hz) are within it, and their sum, from centre / 2**(1/6) up to, not including, centre * 2**(1/6)."""
 
-def best_orders(costs: DataFrame, keys: list[str]) -> DataFrame:
-    """Of encoding_costs, the cheapest order of each record and encoding, the lower one of equals."""
-    return costs.groupBy(*keys, "encoding").agg(F.min(F.struct("bytes", "order", "n", "blocks")).alias("_b")).select(*keys, "encoding", F.col("_b.order").alias("order"), F.col("_b.n").alias("n"), F.col("_b.blocks").alias("blocks"), F.col("_b.bytes").alias("bytes"))
-
-
-#: Bytes of a frame's head and of each seed, bytes of an envelope's bucket.
-FRAME_HEAD, SEED_BYTES, BUCKET_BYTES = 20, 4, 4
-
+    def one(x):
+        f = np.arange(len(x)) * step_hz
+        a, b = np.searchsorted(f, centres / 2 ** (1 / 6)), np.searchsorted(f, centres * 2 ** (1 / 6))
+        total = np.append(0, np.cumsum(np.nan_to_num(x)))
+        return b - a, total[b] - total[a]
 
-def stored_sizes(best: DataFrame, buckets: int) -> DataFrame:
-    """best_orders of one encoding with envelope_bytes and frame_bytes: head, seeds, one byte for each block's parameter, and the bits."""
-    return best.withColumns({"envelope_bytes": F.lit(buckets * BUCKET_BYTES).cast("long"), "frame_bytes": (FRAME_HEAD + SEED_BYTES * F.col("order") + F.col("bytes")).cast("long")})
+    return on_records(records, keys, samples, one, {"bins": "bigint", "total": "double"})
 
 
-def aligned_overlay(rows: DataFrame, keys: list[str], found: DataFrame, before: int, after: int) -> DataFrame:
-    """Samples (keys, at, p) from `before` samples ahead of each record's trigger to `after` behind it; records without a trigger are left out."""
-    t = found.where("trigger is not null").select(*keys, "trigger")
-    return rows.join(t, keys).withColumn("at", F.col("i") - F.col("trigger")).where(F.col("at").between(-before, after)).select(*keys, "at", "p")
+def aligned_overlay(samples: Column | str, at: Column | str, before: int, after: int) -> Column:
+    """Structs (at, p) of the samples from `before` ahead of a place to `after` behind it; null without a place."""
+    samples, at = (F.col(c) if isinstance(c, str) else c for c in (samples, at))
+    first = F.greatest(at - before, F.lit(0)).cast("int")
+    part = F.slice(samples, first + 1, F.greatest((at + after + 1).cast("int") - first, F.lit(0)))
+    return F.transform(part, lambda p, i: F.struct((first + i - at).cast("long").alias("at"), p.cast("double").alias("p")))

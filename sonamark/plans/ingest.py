@@ -182,4 +182,4 @@ def x02(s, d):
 @query("X03_waveform_index", """select vec_id id, 40 envelope_bytes, (coalesce(sum(20 + len(embedding) * 2) over (order by vec_id rows between unbounded preceding and 1 preceding), 0))::bigint "offset", 20 + len(embedding) * 2 frame_bytes from embeddings""")
 def x03(s, d):
     rows = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(40).alias("envelope_bytes"), (20 + F.size("embedding") * 2).cast("long").alias("frame_bytes"))
-    return prefix_sums(rows, "id", "frame_bytes", "offset")
+    return prefix_sums(rows, "id", {"frame_bytes": "offset"})

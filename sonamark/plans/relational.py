@@ -397,7 +397,7 @@ def w05(s, d):
 
 @query("W06_offsets", """select doc_id, n_chars, (coalesce(sum(n_chars) over (order by doc_id rows between unbounded preceding and 1 preceding), 0))::bigint "offset" from documents""")
 def w06(s, d):
-    return offsets.prefix_sums(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "offset")
+    return offsets.prefix_sums(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id", {"n_chars": "offset"})
 
 
 @query("W06_stride_offsets", """select vec_id, 256 * (row_number() over (order by label, vec_id) - 1) "offset" from embeddings""")

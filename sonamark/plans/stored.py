@@ -166,10 +166,16 @@ def c04(s, d):
     return V.settled_names(rows, "manufacturer", "suppressor", "year", "test_run_id").select("test_run_id", "full_name")
 
 
-@query("C14_display_numbers", f"""select event_id, case when x is null then '—' when abs(x) < 0.005 then '0.00' when x < 0 then '−' || printf('%.2f', -x) else '+' || printf('%.2f', x) end as text from (select event_id, case when event_id % 7 = 0 then null when event_id % 7 = 1 then -0.001 else value - 40 + 0.001 end x from events)""")
+#: Doubles printed to two places: a double that is a multiple of an eighth may be an exact half of a hundredth, and goes up; others are printed by their exact value.
+SHOWN = "case when a * 8 = floor(a * 8) then printf('%.2f', floor(a * 100 + 0.5) / 100) else printf('%.2f', a) end"
+
+
+@query("C14_display_numbers", f"""with t as (select event_id, case event_id % 8 when 0 then null when 1 then -0.001::double when 2 then (event_id % 4001) / 1000.0::double + 0.005::double when 3 then (event_id % 500) / 8.0::double - 30 when 4 then 1.005::double when 5 then -2.675::double else value - 40 end x from events), u as (select *, abs(x) a from t)
+    select event_id, case when x is null then '—' when ({SHOWN})::double = 0 then {SHOWN} when x < 0 then '−' || ({SHOWN}) else '+' || ({SHOWN}) end as text from u""")
 def c14(s, d):
-    k = F.col("event_id") % 7
-    x = F.when(k == 0, None).when(k == 1, -0.001).otherwise(F.col("value") - 40 + 0.001)
+    """Ties of decimals that doubles miss, exact halves, what is printed as zero, and missing values."""
+    k, e = F.col("event_id") % 8, F.col("event_id")
+    x = F.when(k == 0, None).when(k == 1, -0.001).when(k == 2, (e % 4001) / 1000.0 + 0.005).when(k == 3, (e % 500) / 8.0 - 30).when(k == 4, 1.005).when(k == 5, -2.675).otherwise(F.col("value") - 40)
     return table(s, d, "events").select("event_id", V.display_number(x, 2, sign=True).alias("text"))
 
 

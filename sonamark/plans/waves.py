@@ -20,7 +20,7 @@ def records(s, d):
 
 
 def long(s, d):
-    return waveform.long_form(records(s, d), ["id", "label"], "samples")
+    return waveform.samples_of(records(s, d), ["id", "label"], p="samples")
 
 
 #: A sample step at which the window of 64 samples is 1 to 63, or to 50 where it is short, so both ends cut and a half is rounded.
@@ -73,19 +73,22 @@ def p03(s, d):
 @query("J14_bins_in_bands", f"""select id, b, count(*) bins, round(sum(p), 4) total from {LONG} join (select b, 1000 * pow(10.0, b / 10.0) c from (select unnest(range(-4, 14)) b)) on i <= 32 and i * {RATE} / 64 >= c / pow(2, 1 / 6.0::double) and i * {RATE} / 64 < c * pow(2, 1 / 6.0::double) group by all""")
 def j14(s, d):
     """The bins of every record, summed into the bands they fall in; a bin between two centres is in both."""
-    bands = s.range(-4, 14).select(F.col("id").alias("b"), (1000 * F.pow(F.lit(10.0), F.col("id") / 10)).alias("c"))
-    return rounded(waveform.binned(long(s, d).where("i <= 32"), ["id"], bands, RATE / 64), "total", to=4)
+    centres = 1000 * 10 ** (np.arange(-4, 14) / 10)
+    bands = waveform.binned(records(s, d).select("id", F.slice("samples", 1, 33).alias("samples")), ["id"], "samples", centres, RATE / 64)
+    x = waveform.samples_of(bands, ["id"], bins="bins", total="total").where("bins > 0")
+    return rounded(x.select("id", (F.col("i") - 4).alias("b"), "bins", "total"), "total", to=4)
 
 
 @query("W08_running_integral", f"select id, i, round(sum(coalesce((p + q) / 2, 0)) over (partition by id order by i), 5) integral from (select id, i, p, lag(p) over (partition by id order by i) q from {LONG})")
 def w08(s, d):
-    out = waveform.running_integral(long(s, d), ["id"], 0.001)
-    return out.select("id", F.col("i").cast("long").alias("i"), F.round("integral", 5).alias("integral"))
+    out = waveform.running_integral(records(s, d), ["id"], "samples", 0.001)
+    return rounded(waveform.samples_of(out, ["id"], integral="integral"), "integral", to=5)
 
 
 @query("W09_running_rms", f"select id, i, round(sqrt(avg(p * p) over (partition by id order by i rows between 7 preceding and current row)), 5) rms from (select id, i, p from {LONG} union all select id, i - 64, p from {LONG} where i >= 57) qualify i >= 0")
 def w09(s, d):
-    return waveform.running_rms(long(s, d).drop("label"), ["id"], 8).select("id", F.col("i").cast("long").alias("i"), F.round("rms", 5).alias("rms"))
+    out = waveform.running_rms(records(s, d), ["id"], "samples", 8)
+    return rounded(waveform.samples_of(out, ["id"], rms="rms"), "rms", to=5)
 
 
 GAPPY = f"(select id, i, case when (id + i) % 13 in (2, 3) or (id % 5 = 0 and i between 20 and 40) then null else p end p from {LONG})"
@@ -94,9 +97,9 @@ GAPPY = f"(select id, i, case when (id + i) % 13 in (2, 3) or (id % 5 = 0 and i
 @query("W10_gap_fill", f"""with g as (select id, i, p, last_value(case when p is not null then i end ignore nulls) over w a, last_value(p ignore nulls) over w pa, first_value(case when p is not null then i end ignore nulls) over v b, first_value(p ignore nulls) over v pb from {GAPPY} window w as (partition by id order by i rows between unbounded preceding and current row), v as (partition by id order by i rows between current row and unbounded following))
     select id, i, round(case when p is null and b - a <= 9 then pa + (pb - pa) * (i - a) / (b - a) else p end, 5) p from g""")
 def w10(s, d):
-    hole = ((F.col("id") + F.col("i")) % 13).isin(2, 3) | ((F.col("id") % 5 == 0) & F.col("i").between(20, 40))
-    rows = long(s, d).select("id", "i", F.when(~hole, F.col("p")).alias("p"))
-    return waveform.gaps_filled(rows, ["id"]).select("id", F.col("i").cast("long").alias("i"), F.round("p", 5).alias("p"))
+    hole = lambda i: ((F.col("id") + i) % 13).isin(2, 3) | ((F.col("id") % 5 == 0) & i.between(20, 40))
+    gappy = records(s, d).select("id", F.transform("samples", lambda p, i: F.when(~hole(i), p)).alias("samples"))
+    return rounded(waveform.samples_of(waveform.gaps_filled(gappy, ["id"], "samples"), ["id"], p="filled"), "p", to=5)
 
 
 QUANT = f"(select id, i, (round_even(p / s, 0))::bigint q, s from {LONG} join (select id, case when max(abs(p)) > 0 then max(abs(p)) / 32767 else 1 end s from {LONG} group by 1) using (id))"
@@ -104,44 +107,47 @@ QUANT = f"(select id, i, (round_even(p / s, 0))::bigint q, s from {LONG} join (s
 
 def quant(s, d):
     scale, q = waveform.quantised(F.col("samples"))
-    r = records(s, d).select("id", scale.alias("s"), q.alias("q"))
-    return r.select("id", "s", F.posexplode("q").alias("i", "q"))
+    return records(s, d).select("id", scale.alias("s"), q.alias("q"))
 
 
 @query("P06_quantised", f"select id, i, q, round(s, 9) s from {QUANT}")
 def p06(s, d):
-    return quant(s, d).select("id", F.col("i").cast("long").alias("i"), "q", F.round("s", 9).alias("s"))
+    return waveform.samples_of(quant(s, d), ["id", "s"], q="q").select("id", "i", "q", F.round("s", 9).alias("s"))
 
 
 @query("W11_differences", f"select id, i, d - coalesce(lag(d) over (partition by id order by i), 0) q from (select id, i, q - coalesce(lag(q) over (partition by id order by i), 0) d from {QUANT})")
 def w11(s, d):
-    return waveform.differences(quant(s, d).drop("s"), ["id"], 2).select("id", F.col("i").cast("long").alias("i"), "q")
+    return waveform.samples_of(quant(s, d).select("id", waveform.differences(F.col("q"), 2).alias("q")), ["id"], q="q")
 
 
 @query("W11_restored", f"select id, i, q from {QUANT}")
 def w11b(s, d):
-    r = waveform.differences(quant(s, d).drop("s"), ["id"], 2)
-    return waveform.restored(r, ["id"], 2).select("id", F.col("i").cast("long").alias("i"), "q")
+    r = quant(s, d).select("id", waveform.differences(F.col("q"), 2).alias("q"))
+    return waveform.samples_of(waveform.restored(r, ["id"], "q", 2), ["id"], q="codes")
 
 
-RICE = f"""(with z as (select id, i // 16 block, case when q >= 0 then 2 * q else -2 * q - 1 end z from {QUANT}), c as (select id, block, k, (sum(z >> k) + count(*) * (k + 1))::bigint bits from z, (select unnest(range(0, 24))::int k) group by id, block, k)
-    select id, block, arg_min(k, bits * 100 + k) k, min(bits) bits from c group by id, block)"""
+#: Parameters of a block around the logarithm of its mean.
+NEAR = "k >= greatest(0, floor(log2(m + 1)) - 3) and k <= floor(log2(m + 1)) + {above}"
+RICE = f"""(with z as (select id, i // 16 block, case when q >= 0 then 2 * q else -2 * q - 1 end z from {QUANT}), c as (select id, block, k, (sum(z >> k) + count(*) * (k + 1))::bigint bits, avg(z) m from z, (select unnest(range(0, 41))::int k) group by id, block, k)
+    select id, block, arg_min(k, bits * 100 + k) k, min(bits) bits from c where {NEAR.format(above=3)} group by id, block)"""
 
 
 @query("P04_rice_cost", f"select id, block, k, bits from {RICE}")
 def p04(s, d):
-    return waveform.rice_bits(quant(s, d), ["id"], block=16).select("id", "block", "k", "bits")
+    x = waveform.samples_of(waveform.rice_bits(quant(s, d), ["id"], "q", 16), ["id"], k="k", bits="bits")
+    return x.select("id", F.col("i").alias("block"), F.col("k").cast("int").alias("k"), "bits")
 
 
 @query("A21_encoding_cost", f"select 'int16' encoding, round(avg(b) / 8 / 64, 6) bytes_per_sample from (select id, sum(bits) b from {RICE} group by 1)")
 def a21(s, d):
-    return waveform.rice_bits(quant(s, d), ["id"], block=16).groupBy("id").agg(F.sum("bits").alias("b")).agg(F.lit("int16").alias("encoding"), F.round(F.avg("b") / 8 / 64, 6).alias("bytes_per_sample"))
+    bits = waveform.rice_bits(quant(s, d), ["id"], "q", 16).select(F.aggregate("bits", F.lit(0).cast("long"), lambda a, x: a + x).alias("b"))
+    return bits.agg(F.lit("int16").alias("encoding"), F.round(F.avg("b") / 8 / 64, 6).alias("bytes_per_sample"))
 
 
 COSTS = f"""(with s as (select id, i, p, max(abs(p)) over (partition by id) m from {LONG}), e as (select id, i, 'int16' encoding, round_even(p / (m / 32767), 0)::bigint q from s union all select id, i, 'int24', round_even(p / (m / 8388607), 0)::bigint from s),
     d0 as (select id, encoding, i, 0 o, q from e), {", ".join(f"d{o} as (select id, encoding, i, {o} o, q - coalesce(lag(q) over (partition by id, encoding order by i), q) q from d{o - 1})" for o in range(1, 5))},
     z as (select id, encoding, o, i // 16 block, case when q >= 0 then 2 * q else -2 * q - 1 end z from ({" union all ".join(f"select * from d{o}" for o in range(5))})),
-    c as (select id, encoding, o, block, k, sum(z >> k) + count(*) * (k + 1) bits from z, (select unnest(range(0, 24))::int k) group by id, encoding, o, block, k), b as (select id, encoding, o, block, min(bits) bits from c group by all)
+    c as (select id, encoding, o, block, k, sum(z >> k) + count(*) * (k + 1) bits, avg(z) m from z, (select unnest(range(0, 41))::int k) group by id, encoding, o, block, k), b as (select id, encoding, o, block, min(bits) bits from c where {NEAR.format(above=3)} group by id, encoding, o, block)
     select id, encoding, o as "order", count(*) blocks, ceil(sum(bits + 8) / 8)::bigint bytes from b group by all)"""
 BEST = f"(select *, row_number() over (partition by id, encoding order by bytes, \"order\") r from {COSTS})"
 
@@ -167,39 +173,68 @@ def a21c(s, d):
     return waveform.best_orders(costs(s, d), ["id"]).groupBy("encoding", F.col("order").cast("long").alias("order")).agg(F.count("*").alias("n"))
 
 
-@query("X03_stored_sizes", f"""with z as (select id, label, 40 envelope_bytes, 20 + 4 * "order" + bytes frame_bytes from {BEST} join (select vec_id id, label from embeddings) using (id) where r = 1 and encoding = 'int16')
-    select id, label, envelope_bytes, frame_bytes, (coalesce(sum(frame_bytes) over (order by id rows between unbounded preceding and 1 preceding), 0))::bigint "offset", (sum(frame_bytes) over ())::bigint total from z""")
+#: Records with one sharp peak each, so that the bound of the unary run matters.
+SPIKY = f"(select id, label, i, p * pow(p / 265, 8) p from {LONG})"
+FRAMES = f"""(with m as (select *, max(abs(p)) over (partition by id) top from {SPIKY}), q as (select id, i, round_even(p / case when top > 0 then top / 32767 else 1 end, 0)::bigint q from m),
+    r as (select id, i, q - 2 * lag(q) over w + lag(q, 2) over w q from q window w as (partition by id order by i) qualify i >= 2), z as (select id, (i - 2) // 32 block, case when q >= 0 then 2 * q else -2 * q - 1 end z from r),
+    c as (select id, block, k, (sum(z >> k) + count(*) * (k + 1))::bigint bits, avg(z) m, max(z >> k) longest from z, (select unnest(range(0, 41))::int k) group by id, block, k),
+    first as (select id, block, arg_min(k, bits * 100 + k) k from c where {NEAR.format(above=4)} group by id, block),
+    b as (select c.id, c.block, arg_min(c.bits, c.k) bits from c join first f on f.id = c.id and f.block = c.block and c.k >= f.k where longest <= 64 or c.k = 40 group by all),
+    e as (select id, max(greatest(abs(lo), abs(hi))) e from (select id, ((i + 1) * 10 + 63) // 64 - 1 bucket, min(p) lo, max(p) hi from {SPIKY} group by all) group by 1)
+    select id, label, 40::bigint envelope_bytes, (20 + 8 + count(*) + ceil(sum(bits) / 8))::bigint frame_bytes, case when any_value(e) > 0 then any_value(e) / 32767 else 1 end envelope_scale from b join e using (id) join (select vec_id id, label from embeddings) using (id) group by id, label)"""
+
+
+def frames(s, d):
+    spiky = records(s, d).withColumn("samples", F.transform("samples", lambda p: p * F.pow(p / 265, F.lit(8))))
+    return waveform.frame_sizes(spiky, ["id"], "samples", block=32, buckets=10)
+
+
+@query("X03_stored_sizes", f"""with z as {FRAMES} select id, label, envelope_bytes, frame_bytes, (coalesce(sum(frame_bytes) over (order by id rows between unbounded preceding and 1 preceding), 0))::bigint "offset", (sum(frame_bytes) over ())::bigint total from z""")
 def x03b(s, d):
     """Sizes of every record's frame, its place among all, and the sum that the places must end at."""
-    best = waveform.best_orders(costs(s, d), ["id"]).where("encoding = 'int16'")
-    sizes = waveform.stored_sizes(best, 10).select("id", "envelope_bytes", "frame_bytes").join(records(s, d).select("id", F.col("label").cast("long").alias("label")), "id")
+    sizes = frames(s, d).select("id", "envelope_bytes", "frame_bytes").join(records(s, d).select("id", F.col("label").cast("long").alias("label")), "id")
     total = sizes.agg(F.sum("frame_bytes").alias("total"))
-    return same(prefix_sums(sizes, "id", "frame_bytes", "offset"), total, [])
+    return same(prefix_sums(sizes, "id", {"frame_bytes": "offset"}), total, [])
+
+
+@query("X03_index_in_order", f"""with z as (select *, label::bigint run, 'mic ' || (id % 4) mic, id // 4 shot from {FRAMES}), w as (select *, row_number() over (order by run, mic, shot, id) - 1 place from z)
+    select id, run, mic, shot, 64::bigint n, round(envelope_scale, 9) envelope_scale, frame_bytes, place, place * 40 envelope_at, (coalesce(sum(frame_bytes) over (order by place rows between unbounded preceding and 1 preceding), 0))::bigint frame_at, min(place) over (partition by run) run_first, count(*) over (partition by run) run_count from w""")
+def x03c(s, d):
+    """The index of all waveforms: sizes, scales and places in the order of run, microphone and shot."""
+    rows = records(s, d).select("id", F.col("label").cast("long").alias("run"), F.concat(F.lit("mic "), (F.col("id") % 4).cast("string")).alias("mic"), F.floor(F.col("id") / 4).alias("shot"))
+    out = waveform.waveform_places(rows, frames(s, d), "id", "run", "mic", "shot")
+    return rounded(out.select("id", "run", "mic", "shot", "n", "envelope_scale", "frame_bytes", "place", "envelope_at", "frame_at", "run_first", "run_count"), "envelope_scale", to=9)
 
 
 @query("P07_envelope", f"select id, (((i + 1) * 10 + 63) // 64 - 1) bucket, round(min(p), 6) lo, round(max(p), 6) hi from {LONG} group by all")
 def p07(s, d):
-    return rounded(waveform.envelope(long(s, d), ["id"], 10), "lo", "hi")
+    x = waveform.samples_of(waveform.envelope(records(s, d), ["id"], "samples", 10), ["id"], lo="lo", hi="hi")
+    return rounded(x.withColumnRenamed("i", "bucket"), "lo", "hi")
 
 
 DECIMATED = """with c as (select col, greatest(floor({t0} + col * {step}), 0) a, ceil({t0} + (col + 1) * {step}) b from (select unnest(range(0, {cols})) col))
     select id, col, round(min(p), 6) lo, round(max(p), 6) hi from {long}, c where b > 0 and floor({t0} + col * {step}) < 64 and i >= a and i < greatest(b, a + 1) group by all"""
 
 
+def columns_of(s, d, t0, t1, cols):
+    x = waveform.samples_of(waveform.decimated(records(s, d), ["id"], "samples", t0, t1, cols, 1.0), ["id"], lo="lo", hi="hi")
+    return rounded(x.withColumnRenamed("i", "col").where("lo is not null"), "lo", "hi")
+
+
 @query("P08_decimated", DECIMATED.format(t0=5, step="(37 / 7.0::double)", cols=7, long=LONG))
 def p08(s, d):
-    return rounded(waveform.decimated(long(s, d), ["id"], 5.0, 42.0, 7, 1.0), "lo", "hi")
+    return columns_of(s, d, 5.0, 42.0, 7)
 
 
 @query("P08_decimated_aligned", DECIMATED.format(t0=-8, step="8.0::double", cols=12, long=LONG))
 def p08b(s, d):
     """Columns of eight whole samples, the first before the record and the last ones after it."""
-    return rounded(waveform.decimated(long(s, d), ["id"], -8.0, 88.0, 12, 1.0), "lo", "hi")
+    return columns_of(s, d, -8.0, 88.0, 12)
 
 
 @query("P09_triggers", f"select id, min(i) filter (p > 80) as trigger from {LONG} group by 1")
 def p09(s, d):
-    return waveform.triggers(long(s, d), ["id"], 80.0)
+    return records(s, d).select("id", waveform.trigger("samples", 80.0).alias("trigger"))
 
 
 ENVELOPE = f"(select id, label, (((i + 1) * 10 + 63) // 64 - 1) bucket, max(p) hi from {LONG} group by all)"
@@ -207,7 +242,7 @@ FIRST_BUCKET = f"(select id, label, min(bucket) filter (hi > least(80, peak / 5)
 
 
 def envelope_triggers(s, d):
-    return waveform.envelope_triggers(waveform.envelope(long(s, d), ["id", "label"], 10), ["id", "label"], 80.0)
+    return waveform.envelope(records(s, d), ["id", "label"], "samples", 10).select("id", "label", waveform.envelope_trigger("hi", 80.0).alias("trigger"))
 
 
 @query("P09_envelope_triggers", f"select id, trigger from {FIRST_BUCKET}")
@@ -240,8 +275,8 @@ def p10b(s, d):
 
 @query("P12_aligned_overlay", f"""with t as (select id, min(i) k from {LONG} where p > 80 group by 1) select id, i - k as "at", round(p, 6) p from {LONG} join t using (id) where i - k between -2 and 10""")
 def p12(s, d):
-    rows = long(s, d)
-    return rounded(waveform.aligned_overlay(rows, ["id"], waveform.triggers(rows, ["id"], 80.0), 2, 10), "p")
+    overlay = records(s, d).select("id", waveform.aligned_overlay("samples", waveform.trigger("samples", 80.0), 2, 10).alias("o"))
+    return rounded(overlay.select("id", F.inline("o")), "p")
 
 
 @query("P14_set_gain", f"select id, round(0.5 / max(m) over (partition by label), 9) gain from (select id, label, max(abs(p)) m from {LONG} group by all)")
@@ -249,7 +284,7 @@ def p14(s, d):
     return rounded(waveform.shared_gain(records(s, d), ["id"], ["label"], "samples"), "gain", to=9)
 
 
-@query("P14_faded", f"select id, list(round(p * least(1, i / 8.0::double, (63 - i) / 8.0::double), 6) order by i) samples from {LONG} group by 1")
+@query("P14_faded", f"select id, list(round(p * least(1, i / 8.0::double, (63 - i) / 8.0::double) + 0.0::double, 6) order by i) samples from {LONG} group by 1")
 def p14b(s, d):
     return records(s, d).select("id", F.transform(waveform.faded(F.col("samples"), 8), lambda x: F.round(x, 6)).alias("samples"))
 
@@ -298,11 +333,14 @@ def p11(s, d):
     return metrics(s, d).select("id", *(F.col(c).cast("long").alias(c) for c in waveform.INDICES), "triggered")
 
 
-@query("P13_downsampled", f"""with h(k, v) as (values {", ".join(f"({k}, {v!r}::double)" for k, v in enumerate(waveform.lowpass().tolist()))})
-    select id, o, round(sum(v * p), 6) p from {LONG} join (select unnest(range(0, 13)) o) on true join h on k = o * 5 + 31 - i group by all""")
+#: The low pass as arithmetic: a sinc that cuts at 0.8 of the new Nyquist frequency, under a Blackman window of 63 taps, with a sum of one.
+TAPS = """(select k, v / sum(v) over () v from (select k, (case when k = 31 then 0.16 else sin(0.16 * pi() * (k - 31)) / (pi() * (k - 31)) end) * (0.42 - 0.5 * cos(2 * pi() * k / 62) + 0.08 * cos(4 * pi() * k / 62)) v from (select unnest(range(0, 63)) k)))"""
+
+
+@query("P13_downsampled", f"""select id, o, round(sum(v * p), 6) p from {LONG} join (select unnest(range(0, 12)) o) on true join {TAPS} on k = i - o * 5 + 31 group by all""")
 def p13(s, d):
-    out = waveform.downsampled(records(s, d), ["id"], "samples").select("id", F.posexplode("samples").alias("o", "p"))
-    return rounded(out.withColumn("o", F.col("o").cast("long")), "p")
+    out = waveform.downsampled(records(s, d), ["id"], "samples")
+    return rounded(waveform.samples_of(out, ["id"], p="samples").withColumnRenamed("i", "o"), "p")
 
 
 def restored_sql(kind: str) -> str:

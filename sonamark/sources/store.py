@@ -17,6 +17,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{(root or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read back: its lineage is cut, and a lost executor costs nothing."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_years(rows: DataFrame, path: str, year: str = "year", replace: bool = False) -> None:
     """Adds rows, partitioned by year. A year that is there already is an error, unless it is to be replaced."""
     spark = rows.sparkSession
