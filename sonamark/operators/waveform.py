@@ -244,9 +244,8 @@ def on_records(records: DataFrame, keys: list[str], samples: Column | str, one,
     def lists(parts: list, kind: str) -> pa.Array:
         ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
         some = [np.asarray(p) for p in parts if p is not None]
-        flat = pa.array(np.concatenate(some) if some else np.zeros(0), kinds[kind], from_pandas=True)
-        missing = pa.array([p is None for p in parts], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=missing) if len(parts) else pa.array([], pa.list_(kinds[kind]))
+        flat = pa.array(np.concatenate(some), kinds[kind], from_pandas=True) if some else pa.array([], kinds[kind])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([p is None for p in parts], pa.bool_()))
 
     def run(batches):
         for whole in batches:
@@ -312,12 +311,12 @@ def quantised(samples: Column, bits: int = 16) -> tuple[Column, Column]:
 def differences(codes: Column, order: int) -> Column:
     """The order-th difference of a sequence; the first values seed it (what is before the start counts as zero)."""
     for _ in range(order):
-        codes = F.zip_with(codes, F.concat(F.array(F.lit(0).cast("long")), F.slice(codes, F.lit(1), F.greatest(F.size(codes) - 1, F.lit(0)))), lambda x, before: x - before)
+        codes = F.zip_with(codes, F.slice(F.concat(F.array(F.lit(0).cast("long")), codes), F.lit(1), F.size(codes)), lambda x, before: x - before)
     return codes
 
 
 def restored(records: DataFrame, keys: list[str], codes: str, order: int) -> DataFrame:
-    """codes: what differences() of that order was made of."""
+    """codes: what differences() of that order was made of, integers below 2**53."""
 
     def one(x):
         x = x.astype(np.int64)
