@@ -275,6 +275,23 @@ def j05(s, d):
     return matched(s, d)[2]
 
 
+#: Runs and rows with few specs, so that many have several candidates; sizes lie next to one another within the tolerance, two steps apart they don't.
+NEAR = "price // 150 * (1 + (run % 3) * 0.7e-9::double)"
+IN_TURN = f"""with recursive r as (select run, host, weight % 7 weight, {NEAR} size from {DEVICES} where run % 2 = 0), p as (select run row, host, weight % 7 weight, {NEAR} size from {DEVICES} where run % 20 = 1),
+    c as (select r.run, p.row from r join p on r.host = p.host and r.weight = p.weight and abs(r.size - p.size) <= greatest(1e-9::double * greatest(r.size, p.size), 1e-9::double)),
+    o as (select run, list(row) options, row_number() over (order by run) i from c group by run),
+    walk(i, used, run, row) as (select 0::bigint, []::bigint[], null::bigint, null::bigint union all
+        select i, case when len(rest) = 1 then list_append(used, rest[1]) else used end, run, case when len(rest) = 1 then rest[1] end from (select o.i, used, o.run, list_filter(options, lambda x: not list_contains(used, x)) rest from walk join o on o.i = walk.i + 1))"""
+
+
+@query("J05_match_in_turn", IN_TURN + " select run, row from walk where row is not null")
+def j05b(s, d):
+    """Runs take rows one after the other; a row taken can leave a later run with just one candidate."""
+    size = F.floor(F.col("price") / 150) * (1 + (F.col("run") % 3) * 0.7e-9)
+    specs = devices(s, d).select("run", "host", (F.col("weight") % 7).alias("weight"), size.alias("size"))
+    return matching.match_in_turn(specs.where("run % 2 = 0"), specs.where("run % 20 = 1").withColumnRenamed("run", "row"), "run", "row", ["host"], ["weight", "size"])
+
+
 @query("J06_match_report", MATCH + " select how, count(*) n from m group by 1 union all select 'unmatched run', count(*) from r where run not in (select run from m) union all select 'unmatched row', count(*) from p where row not in (select row from m)")
 def j06(s, d):
     runs, rows, m = matched(s, d)

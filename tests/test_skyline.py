@@ -48,7 +48,7 @@ def test_pieces_in_z_order(spark, group):
     assert got == want
     points = rows.select(*group, *(F.col(c).alias(f"_{k}") for k, c in enumerate("xyz")))
     cols = ["_0", "_1", "_2"]
-    cut = points.withColumn("_z", ranking.z_order(points, cols)).repartitionByRange(24, *group, "_z").withColumn("_piece", F.spark_partition_id())
+    cut = points.withColumn("_z", ranking.z_order(points, cols)).repartitionByRange(96, *group, "_z").withColumn("_piece", F.spark_partition_id())
     box = [(r[: len(group)], np.array(r[len(group) + 1 :])) for r in ranking.corners(cut, group, cols).collect()]
     meet = sum(g == h and bool((b[:3] <= a[3:]).all()) for g, a in box for h, b in box)
     assert meet < 0.6 * sum(g == h for g, _ in box for h, _ in box)
