@@ -276,7 +276,7 @@ def j05(s, d):
 
 
 #: Runs and rows with few specs, so that many have several candidates; sizes lie next to one another within the tolerance, two steps apart they don't.
-NEAR = "price // 150 * (1 + (run % 3) * 0.7e-9::double)"
+NEAR = "floor(price / 150) * (1 + (run % 3) * 0.7e-9::double)"
 IN_TURN = f"""with recursive r as (select run, host, weight % 7 weight, {NEAR} size from {DEVICES} where run % 2 = 0), p as (select run row, host, weight % 7 weight, {NEAR} size from {DEVICES} where run % 20 = 1),
     c as (select r.run, p.row from r join p on r.host = p.host and r.weight = p.weight and abs(r.size - p.size) <= greatest(1e-9::double * greatest(r.size, p.size), 1e-9::double)),
     o as (select run, list(row) options, row_number() over (order by run) i from c group by run),
