@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.levels import MIC_ORDER, volume
-from . import statistics
+from ..sources.store import kept
 from .offsets import numbered, prefix_sums, same
 
 RUN = ["event_label", "event_date", "manufacturer", "suppressor", "caliber", "cartridge", "is_baseline", "shots", "weight_oz", "length_in", "max_diameter_in"]
@@ -47,13 +47,17 @@ def v_measurement(db: Store) -> DataFrame:
     return runs_by_year(db).join(db.summary_metric.select("test_run_id", "mic", *METRICS), "test_run_id")
 
 
-def v_run(db: Store) -> DataFrame:
-    """A row for each run: the published metrics of its microphones side by side, its volume and how many waveforms it has."""
+def published_runs(db: Store) -> DataFrame:
+    """A row for each run: the published metrics of its microphones side by side, and its volume."""
     picks = [F.max(F.when(F.col("mic") == mic, F.col(m))).alias(f"{prefix}_{m}") for mic, (prefix, metrics) in PIVOT.items() for m in metrics]
     wide = db.summary_metric.where(F.col("mic").isin(*PIVOT)).groupBy("test_run_id").agg(*picks)
+    return runs_by_year(db).join(wide, "test_run_id", "left").withColumn("vol_cuin", volume("max_diameter_in", "length_in"))
+
+
+def v_run(db: Store) -> DataFrame:
+    """published_runs with the number of waveforms of each."""
     counts = db.waveform.groupBy("test_run_id").agg(F.count("*").alias("waveform_count"))
-    out = runs_by_year(db).join(wide, "test_run_id", "left").join(counts, "test_run_id", "left")
-    return out.withColumns({"vol_cuin": volume("max_diameter_in", "length_in"), "waveform_count": F.coalesce("waveform_count", F.lit(0).cast("long"))})
+    return published_runs(db).join(counts, "test_run_id", "left").withColumn("waveform_count", F.coalesce("waveform_count", F.lit(0).cast("long")))
 
 
 def v_shot(db: Store) -> DataFrame:
@@ -111,32 +115,46 @@ def with_waveforms(db: Store) -> DataFrame:
     return published.join(db.waveform.select(F.col("test_run_id").alias("id")), "id", "left_semi")
 
 
-def pivoted(rows: DataFrame, run: str, mic: str, picks: dict[str, tuple[str, str]]) -> DataFrame:
-    """run and a column for each pick: name -> (microphone, column)."""
-    return rows.groupBy(run).agg(*(F.max(F.when(F.col(mic) == m, F.col(c))).alias(name) for name, (m, c) in picks.items()))
+#: Published metrics of a run whose errors, first-round effects and reductions the catalogue has.
+SHOT_LEVELS = METRICS[1:3] + METRICS[4:]
+
+
+def shot_summaries(db: Store, centres: Column, low_hz: float = 250.0) -> DataFrame:
+    """A row for each run with a waveform: how many it has, the standard error of each level of PIVOT's microphones, the first-round effects of SE and ML, and the
+    low-frequency level and centroid of their spectra. One aggregate over waveforms, shots and spectra joined by the waveform: averages of a band over
+    waveforms, summed over bands, are averages of each waveform's sums, so no band is a row."""
+    x = db.waveform.select(F.col("id").alias("waveform_id"), "test_run_id", "mic", "shot", "excluded").join(db.shot_metric.select("waveform_id", *SHOT_LEVELS), "waveform_id", "left")
+    counted = lambda mic, c: F.when((F.col("mic") == mic) & ~F.col("excluded") & F.col(c).isNotNull(), F.col(c))
+    aggs = [F.count("*").alias("waveform_count")]
+    for mic, (prefix, metrics) in PIVOT.items():
+        aggs += [(F.stddev_samp(counted(mic, m)) / F.sqrt(F.count(counted(mic, m)))).alias(f"{prefix}_{m}_sem") for m in metrics]
+    for mic in ("SE", "ML"):
+        v, shot = counted(mic, "peak_dba"), F.when(counted(mic, "peak_dba").isNotNull(), F.col("shot"))
+        pop = F.min_by(v, shot) - (F.sum(v) - F.min_by(v, shot)) / F.when(F.count(v) >= 2, F.count(v) - 1)
+        aggs.append(F.when(F.min(shot) == 1, pop).alias(f"{mic.lower()}_first_round_pop"))
+    if db.band_level is not None:
+        pairs = F.transform(F.arrays_zip(F.col("levels").alias("l"), centres.alias("c")), lambda b: F.struct(b["c"].alias("c"), F.when(F.isnan(b["l"]) | b["l"].isNull(), 0.0).otherwise(F.pow(F.lit(10.0), b["l"] / 10)).alias("p")))
+        total = lambda f: F.aggregate("_pairs", F.lit(0.0), lambda a, b: a + f(b))
+        sums = {"low": total(lambda b: F.when(b["c"] <= low_hz, b["p"]).otherwise(0.0)), "whole": total(lambda b: b["p"]), "moment": total(lambda b: b["c"] * b["p"])}
+        x = x.join(db.band_level.withColumn("_pairs", pairs).select("waveform_id", *(c.alias(k) for k, c in sums.items())), "waveform_id", "left")
+        for mic in ("SE", "ML"):
+            low = F.avg(counted(mic, "low"))
+            aggs.append(F.when(low > 0, 10 * F.log10(low)).alias(f"{mic.lower()}_low_freq_db"))
+        aggs.append(F.try_divide(F.avg(counted("SE", "moment")), F.avg(counted("SE", "whole"))).alias("se_centroid_hz"))
+    return x.groupBy("test_run_id").agg(*aggs)
 
 
 def catalogue(db: Store, hosts: DataFrame, caveats: DataFrame, centres: Column) -> DataFrame:
     """v_run with the attributes of its host, the standard error of each published metric, the first-round effect, reductions against the baseline,
     spectral scalars, what was said against the run, and the device's key. hosts (cartridge, barrel_in, grains, cycling, platform, subsonic) and caveats
-    (year, cartridge, summary) are curated tables of some tens of rows. Everything measured is aggregated before it meets the runs."""
-    base, shots = v_run(db), v_shot(db)
-    parts = []
-    for metric in METRICS[1:3] + METRICS[4:]:
-        st = statistics.run_statistics(shots, ["test_run_id", "mic"], metric)
-        picks = {f"{prefix}_{metric}_sem": (mic, "sem") for mic, (prefix, metrics) in PIVOT.items() if metric in metrics}
-        picks |= {"se_first_round_pop": ("SE", "pop"), "ml_first_round_pop": ("ML", "pop")} if metric == "peak_dba" else {}
-        parts.append(pivoted(st, "test_run_id", "mic", picks))
-    published = v_measurement(db)
-    for metric, name in (("peak_dba", "dba"), ("peak_db", "db")):
-        reduction = statistics.net_reduction(published, ["year", "cartridge", "mic"], metric, "is_baseline", "test_run_id")
-        parts.append(pivoted(reduction, "test_run_id", "mic", {f"{m.lower()}_reduction_{name}": (m, "reduction") for m in ("SE", "ML")}))
-    if db.band_level is not None:
-        waves = db.waveform.where(~F.col("excluded")).select(F.col("id").alias("waveform_id"), "test_run_id", "mic")
-        bands = statistics.band_statistics(waves.join(db.band_level, "waveform_id"), ["test_run_id", "mic"], "levels", centres)
-        parts.append(pivoted(bands, "test_run_id", "mic", {"se_low_freq_db": ("SE", "low_db"), "ml_low_freq_db": ("ML", "low_db"), "se_centroid_hz": ("SE", "centroid_hz")}))
-    out = reduce(lambda a, b: a.join(b, "test_run_id", "left"), parts, base)
+    (year, cartridge, summary) are curated tables of some tens of rows. Everything measured is aggregated once, by run, before it meets the runs."""
+    base = kept(published_runs(db), "published")  # read twice
+    pairs = {f"{m.lower()}_reduction_{name}": f"{m.lower()}_{metric}" for metric, name in (("peak_dba", "dba"), ("peak_db", "db")) for m in ("SE", "ML")}
+    has = lambda c: F.when(F.col(c).isNotNull(), F.col("test_run_id"))
+    references = base.where("is_baseline").groupBy("year", "cartridge").agg(*(F.max_by(c, has(c)).alias(f"_{c}") for c in pairs.values()))
+    out = base.join(shot_summaries(db, centres), "test_run_id", "left").withColumn("waveform_count", F.coalesce("waveform_count", F.lit(0).cast("long")))
     known = hosts.select("cartridge", F.col("barrel_in").alias("host_barrel_in"), F.col("grains").alias("host_grains"), F.col("cycling").alias("host_cycling"), F.col("platform").alias("host_platform"), ammo(F.col("subsonic")).alias("host_ammo"))
+    out = out.join(references, ["year", "cartridge"], "left").withColumns({name: F.when(~F.col("is_baseline"), F.col(f"_{c}") - F.col(c)) for name, c in pairs.items()}).drop(*(f"_{c}" for c in pairs.values()))
     out = out.join(F.broadcast(known), "cartridge", "left").join(F.broadcast(caveat_flags(caveats)), ["year", "cartridge"], "left")
     return out.withColumn("can", N.device_key("manufacturer", "suppressor"))
 
