@@ -1,8 +1,8 @@
 """Near-duplicate groups by b-bit MinHash.
 
 1. One pass over the texts makes, for each document, its set of distinct word shingles (64-bit hashes), minima under PERMUTATIONS
-   hashings, the low bits of the minima packed into longs, and a hash for each band of minima. Documents of equal sets
-   are one node from here on, so thousands of copies cost one row.
+   hashings, the low bits of the minima packed into longs, and a hash for each band of minima. Documents of equal sets, by a hash of 128 bits,
+   are one node from here on, named by one of their rows, so thousands of copies cost one row.
 2. Candidates: nodes that share a band. The members of a band's bucket are compared with its centre, the member that shares most
    and largest buckets, so m members give m - 1 pairs, and the buckets of one group choose the same centre. The sizes of the sets must allow
    the threshold, and the packed low bits give a similarity, corrected for chance collisions, by XOR and bit counts; pairs far below the
@@ -125,35 +125,35 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, row_cols: list[str] | None = None) -> DataFrame:
-    """(uid, id, n_shingles, node, sig, bands, body, row_a, row_b): uid numbers the row, node names the set of shingles; body is the compressed words; row_a and
-    row_b are passed on from row_cols, if these are given."""
+    """(uid, id, n_shingles, same, sig, bands, body, row_a, row_b): uid numbers the row, same is a hash of 128 bits of the set of shingles, null where it is empty; body is the
+    compressed words; row_a and row_b are passed on from row_cols, if these are given."""
     marks = [F.col(c) for c in row_cols] if row_cols else [F.lit(None).cast("long")] * 2
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(m.alias(n) for m, n in zip(marks, ("row_a", "row_b"))))
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            n, node, sig, bands, body = [], [], [], [], []
+            n, same, sig, bands, body = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
                 hashes = shingles(words)
                 n.append(len(hashes))
                 if not len(hashes):
-                    for c in (node, sig, bands, body):
+                    for c in (same, sig, bands, body):
                         c.append(None)
                     continue
                 low = minima(hashes)
-                node.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))
+                same.append(xxhash.xxh3_128_digest(hashes.tobytes()))
                 sig.append(packed(low))
                 bands.append(band_hashes(low))
                 body.append(squeeze.compress(b" ".join(words)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(body, pa.binary()), batch.column(3), batch.column(4)],
-                names=["uid", "id", "n_shingles", "node", "sig", "bands", "body", "row_a", "row_b"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(body, pa.binary()), batch.column(3), batch.column(4)],
+                names=["uid", "id", "n_shingles", "same", "sig", "bands", "body", "row_a", "row_b"],
             )
 
     arrow_rows(docs.sparkSession)
-    return written(rows.mapInArrow(run, "uid long, id long, n_shingles long, node long, sig array<long>, bands array<long>, body binary, row_a long, row_b long"), "sketches")
+    return written(rows.mapInArrow(run, "uid long, id long, n_shingles long, same binary, sig array<long>, bands array<long>, body binary, row_a long, row_b long"), "sketches")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int) -> DataFrame:
@@ -246,17 +246,17 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int,
     other = ranked.where(F.col("at") <= F.col("n") * (100 - threshold) / 100).withColumns({"c": size_class(F.col("n")), "o": F.explode(F.sequence(size_class(least), size_class(most)))})
     smallest = F.greatest(least, F.floor(F.pow(F.lit(CLASS), F.col("o"))))
     read = F.col("n") - F.ceil(threshold * (F.col("n") + smallest) / (100 + threshold))
-    key = ["h", "lo", "hi"]
-    firsts = written(other.where(F.col("at") <= read).select("h", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), (F.col("c") > F.col("o")).alias("larger"), "node", "label"), "firsts")
-    main = firsts.groupBy(*key, "label").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
-    main = main.select(*key, F.col("top.label").alias("main"), (F.col("top.m") > few).alias("large"))
-    placed = written(firsts.join(main, key).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+    key = F.struct("h", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")).alias("key")
+    firsts = written(other.where(F.col("at") <= read).select(key, (F.col("c") > F.col("o")).alias("larger"), "node", "label"), "firsts")
+    main = firsts.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("_n")).where("labels > 1")
+    main = written(main.select("key", F.col("top.label").alias("main"), (F.col("top.m") > few).alias("large"), "_n"), "main")
+    placed = written(split_join(firsts, main.drop("_n"), "key", "node", sizes=main.select("key", "_n")).withColumn("is_main", F.col("label") == F.col("main")), "placed")
     discard(rarity, firsts)
 
-    x = placed.where("not is_main").select(*key, F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx"))
-    y = placed.where("not (is_main and large)").select(*key, F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
-    sides = ((F.col("lo") == F.col("hi")) | (F.col("gx") != F.col("gy"))) & (F.col("is_main") | (F.col("x") < F.col("y")))
-    pairs = x.join(y, key).where((F.col("lx") != F.col("ly")) & sides).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = written(placed.where("not is_main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx")), "apart")
+    y = placed.where("not (is_main and large)").select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("larger").alias("gy"), "is_main")
+    sides = ((F.col("key.lo") == F.col("key.hi")) | (F.col("gx") != F.col("gy"))) & (F.col("is_main") | (F.col("x") < F.col("y")))
+    pairs = split_join(x, y, "key", "x").where((F.col("lx") != F.col("ly")) & sides).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
     asked = written(placed.where("large and not is_main").select("node", F.col("main").alias("label")).distinct().join(rest.select("node", "n"), "node"), "asked")
     blocks = lambda df, name: df.groupBy("label").agg(F.ceil(F.sum("n") / cell).cast("int").alias(name))
@@ -269,14 +269,14 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int,
     grouped = [df.join(f, "node").select(*(F.col(c).alias(c) for c in ("label", "i", "j", "node")), F.col(f.columns[1])).groupBy("label", "i", "j") for df, f in zip((left, right), full)]
     links = written(grouped[0].cogroup(grouped[1]).applyInArrow(lambda a, b: in_cell(a, b, threshold), "a long, b long").distinct(), "found")
     pairs = written(pairs, "candidates")
-    discard(sets, placed, asked, cells)
+    discard(sets, main, placed, x, asked, cells)
     return pairs, links
 
 
 def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(node, least_id, label): label names the component of each node."""
-    some = sketch.where(F.col("node").isNotNull())
-    nodes = written(some.groupBy("node").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")), "nodes")
+    """(same, least_id, label): label names the component of each node. A node is called by the least uid of its rows."""
+    some = sketch.where(F.col("same").isNotNull())
+    nodes = written(some.groupBy("same").agg(F.min("uid").alias("uid"), F.min("id").alias("least_id")).withColumn("node", F.col("uid")), "nodes")
     sigs = written(sketch.select("uid", "sig", "bands", F.col("n_shingles").alias("n")).join(nodes.select("uid", "node"), "uid").select("node", "sig", "n", "bands"), "sigs")
     bands = sigs.select("node", F.explode("bands").alias("bucket"))
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "shared")
@@ -313,7 +313,7 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if not new.isEmpty():
             labels = components(links.union(new))
         discard(candidates, more, confirmed_now, found)
-    out = written(nodes.join(labels, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
+    out = written(nodes.join(labels, "node", "left").select("same", "least_id", F.coalesce("label", "node").alias("label")), "labelled")
     discard(nodes, sigs, rest, pairs, links)
     return out
 
@@ -321,10 +321,10 @@ def labelled(sketch: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     sketch = sketches(docs, id_col, text_col)
-    own, some = labelled(sketch, threshold), sketch.where(F.col("node").isNotNull()).select("id", "n_shingles", "node")
-    named = split_join(own, own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label", "node").select("node", "component_id")
-    full = split_join(some, named, "node", "id").select("id", "n_shingles", "component_id")
-    out = full.union(sketch.where(F.col("node").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
+    own, some = labelled(sketch, threshold), sketch.where(F.col("same").isNotNull()).select("id", "n_shingles", "same")
+    named = split_join(own, own.groupBy("label").agg(F.min("least_id").alias("component_id")), "label", "same").select("same", "component_id")
+    full = split_join(some, named, "same", "id").select("id", "n_shingles", "component_id")
+    out = full.union(sketch.where(F.col("same").isNull()).select("id", "n_shingles", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -336,9 +336,9 @@ def drop_near(docs: DataFrame) -> DataFrame:
     rows = docs.withColumns({n: row_hash(docs, k) for k, n in enumerate(names)})
     sketch = sketches(rows, "doc_id", "text", names)
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row_a", "row_b")
-    best = sketch.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("best"))
-    own = labelled(sketch).select("node", "label")
-    stay = own.join(best, "node").groupBy("label").agg(F.min("best").alias("best")).select(*(F.col(f"best.{k}").alias(n) for k, n in zip(("row_a", "row_b"), names)))
-    empty = sketch.where(F.col("node").isNull()).select(*(F.col(k).alias(n) for k, n in zip(("row_a", "row_b"), names)))
+    best = sketch.where(F.col("same").isNotNull()).groupBy("same").agg(F.min(key).alias("best"))
+    own = labelled(sketch).select("same", "label")
+    stay = own.join(best, "same").groupBy("label").agg(F.min("best").alias("best")).select(*(F.col(f"best.{k}").alias(n) for k, n in zip(("row_a", "row_b"), names)))
+    empty = sketch.where(F.col("same").isNull()).select(*(F.col(k).alias(n) for k, n in zip(("row_a", "row_b"), names)))
     lone = rows.join(empty, names, "left_semi")  # without words: none is a copy of another, repeated rows stay
     return rows.join(stay, names, "left_semi").dropDuplicates(names).union(lone).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -147,24 +147,26 @@ def likeness(a: str, b: str) -> float:
 
 
 def beside_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, extra, id, text), partitioned and sorted so that each row is followed by the next row in descending id order. One shuffle of the texts:
-    ids are cut into ranges, one for each partition, and the first row of a range is also sent, marked extra, to the end of the range before
-    it (that of the first range to the end of the last). Only a range's first id, not rows, comes to the driver."""
+    """(bucket, extra, id, text), partitioned and sorted so that each row is followed by the next row in descending id order, rows of one id in the order of a hash of the
+    text. One shuffle of the texts: this order is cut into ranges, one for each partition, and the first row of a range is also sent, marked extra, to the end
+    of the range before it (that of the first range to the end of the last). An id that many rows share lies in several ranges. Only numbers of ranges, not
+    rows, come to the driver."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    key = F.coalesce("id", F.lit(LEAST))
-    cuts = rows.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted({*cuts})
-    cut_array = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<long>")
-    rows = rows.withColumn("key", key).withColumn("bucket", F.size(F.filter(cut_array, lambda c: c <= F.col("key"))))
-    firsts = sorted((r.bucket, r.top) for r in rows.groupBy("bucket").agg(F.max("key").alias("top")).collect())  # a row for each range
-    after = [(top, firsts[(i + 1) % len(firsts)][0]) for i, (_, top) in enumerate(firsts)]
-    heads = spark.createDataFrame(after, "key long, target int")
-    places = F.when(F.col("target").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("extra")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("extra")), F.struct(F.col("target").alias("b"), F.lit(1).alias("extra"))))
-    rows = rows.join(F.broadcast(heads), "key", "left").select("key", "id", "text", F.explode(places).alias("place")).select("key", "id", "text", F.col("place.b").alias("bucket"), "place.extra")
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    return rows.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("key"), "tie").select("bucket", "extra", "id", "text")
+    order = lambda: (F.coalesce("id", F.lit(LEAST)).alias("key"), (-F.xxhash64("text").cast("decimal(20,0)")).alias("tie"))
+    keys = rows.select(*order())
+    cut = keys.repartitionByRange(parts, "key", "tie").withColumn("bucket", F.spark_partition_id())
+    tops = sorted((r.bucket, r.top.key, r.top.tie) for r in cut.groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("top")).collect())  # a row for each range
+    bounds = F.array(*(F.struct(F.lit(key).cast("long").alias("key"), F.lit(tie).cast("decimal(20,0)").alias("tie")) for _, key, tie in tops[:-1])) if len(tops) > 1 else F.array().cast("array<struct<key:bigint,tie:decimal(20,0)>>")
+    own = rows.select("id", "text", *order())
+    own = own.withColumn("bucket", F.size(F.filter(bounds, lambda top: top < F.struct("key", "tie"))))
+    # The first row of a range, in descending order, is its top; of rows that agree in id and text any one is it.
+    last = len(tops) - 1
+    heads = spark.createDataFrame([(key, tie, k + 1 if k < last else 0, 1) for k, (_, key, tie) in enumerate(tops)], "key long, tie decimal(20,0), target int, extra int")
+    copies = own.join(F.broadcast(heads), ["key", "tie"]).groupBy("key", "tie", "target", "extra").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    every = own.select("bucket", F.lit(0).alias("extra"), "key", "tie", "id", "text").unionByName(copies.select(F.col("target").alias("bucket"), "extra", "key", "tie", "id", "text"))
+    return every.repartitionById(max(1, len(tops)), F.col("bucket")).sortWithinPartitions("bucket", "extra", F.desc("key"), F.desc("tie")).select("bucket", "extra", "id", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
