@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .offsets import prefix_sums
@@ -67,15 +67,62 @@ def a_weighting(rate: float) -> tuple[np.ndarray, np.ndarray]:
     return np.real(gain * np.prod(c - zeros) / np.prod(c - poles)) * np.poly(zd), np.poly(pd_)
 
 
+def a_sections(rate: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The filter of a_weighting as three of second order, one after the other: in doubles, poles so near 1 as these are kept apart better than in one polynomial of sixth order,
+    which is off by some thousandths of a pascal at 262 kHz."""
+    b, _ = a_weighting(rate)
+    w, c = 2 * np.pi * np.array(A_CORNERS), 2 * rate
+    pole = (c - w) / (c + w)
+    pairs = [((-1, -1), (pole[3], pole[3])), ((1, 1), (pole[0], pole[0])), ((1, 1), (pole[1], pole[2]))]
+    sections = [(np.poly(z), np.poly(p)) for z, p in pairs]
+    return [(sections[0][0] * b[0], sections[0][1]), *sections[1:]]
+
+
+#: Samples that a filter takes at once.
+BLOCK = 64
+
+
+@lru_cache(8)
+def block_form(b: bytes, a: bytes, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of samples and the state before it make of the filter b, a, as matrices: samples to output (the impulse response, shifted), state to output, samples to the
+    state behind the block, state to that state."""
+    b, a = np.frombuffer(b), np.frombuffer(a)
+    order = len(a) - 1
+    step = np.eye(order, k=1)
+    step[:, 0] -= a[1:]
+    gain = b[1:] - a[1:] * b[0]
+    powers = [np.eye(order)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    seen = np.stack([p[0] for p in powers[:block]])
+    response = np.concatenate(([b[0]], seen[: block - 1] @ gain))
+    at = np.arange(block)
+    lag = at[:, None] - at[None]
+    return np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0), seen, np.stack([powers[block - 1 - k] @ gain for k in at], axis=1), powers[block]
+
+
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The recurrence over samples, for all records (rows) of one length at once; transposed direct form."""
-    state, out = np.zeros((len(a), len(x))), np.empty_like(x)
-    for i in range(x.shape[1]):
-        out[:, i] = y = b[0] * x[:, i] + state[0]
-        state[:-1] = state[1:]
-        state[:-2] += b[1:-1, None] * x[:, i] - a[1:-1, None] * y
-        state[-2] = b[-1] * x[:, i] - a[-1] * y
-    return out
+    """The recurrence of low order along the rows (records of one length), block by block: what each block adds to the state is one product for all blocks, the states are a
+    loop over blocks, and the output is one product again."""
+    mix, seen, enter, step = block_form(np.asarray(b, float).tobytes(), np.asarray(a, float).tobytes())
+    records, n = x.shape
+    blocks = -(-n // BLOCK)
+    part = np.zeros((records, blocks * BLOCK))
+    part[:, :n] = x
+    part = part.reshape(records, blocks, BLOCK)
+    added = part @ enter.T
+    states, state = np.empty_like(added), np.zeros((records, len(step)))
+    for k in range(blocks):
+        states[:, k] = state
+        state = state @ step.T + added[:, k]
+    return (part @ mix.T + states @ seen.T).reshape(records, -1)[:, :n]
+
+
+def weighted_by_a(x: np.ndarray, rate: float) -> np.ndarray:
+    """A-weighted rows."""
+    for b, a in a_sections(rate):
+        x = filtered(b, a, x)
+    return x
 
 
 def running_level(x: np.ndarray, width: int) -> np.ndarray:
@@ -85,13 +132,18 @@ def running_level(x: np.ndarray, width: int) -> np.ndarray:
     return np.sqrt(np.maximum(0, (total[:, width:] - total[:, :-width]) / width))
 
 
-def metrics_of(x: np.ndarray, dt: float, rate: float, peak_n: int, leq_n: int, tau_n: int) -> list[dict]:
-    """Peak, A-weighted peak, impulse (Pa ms), peak running level and their places, for windows of one length. The trough is where the running
-    integral is least within the first peak_n samples, the impulse the most it reaches up to there."""
-    b, a = a_weighting(rate)
-    weighted = filtered(b, a, x)
-    leq = running_level(weighted, tau_n)
+def working(x: np.ndarray, dt: float, rate: float, tau_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The curves that the metrics are read off, for records of one length: A-weighted pressure, running integral (Pa ms), running level of the weighted pressure."""
+    weighted = weighted_by_a(x, rate)
     integral = np.concatenate((np.zeros((len(x), 1)), np.cumsum((x[:, 1:] + x[:, :-1]) / 2, axis=1)), axis=1) * dt * 1000
+    return weighted, integral, running_level(weighted, tau_n)
+
+
+def metrics_of(x: np.ndarray, dt: float, rate: float, peak_n: int, leq_n: int, tau_n: int, anyway: bool = False) -> list[dict]:
+    """Peak, A-weighted peak, impulse (Pa ms), peak running level and their places, for windows of one length. The trough is where the running
+    integral is least within the first peak_n samples, the impulse the most it reaches up to there. A record that nothing triggers has no running level to
+    look for, and an error; with `anyway` it is looked for in the whole record."""
+    weighted, integral, leq = working(x, dt, rate, tau_n)
     out = []
     for row, w, level, whole in zip(x, weighted, leq, integral):
         head = row[:peak_n]
@@ -99,9 +151,10 @@ def metrics_of(x: np.ndarray, dt: float, rate: float, peak_n: int, leq_n: int, t
         impulse_at = int(whole[: trough + 1].argmax())
         over = np.flatnonzero(row > TRIGGER_PA)
         got = {"peak_pa": float(head.max()), "peak_index": int(head.argmax()), "trough_index": trough, "impulse_pa_ms": float(whole[impulse_at]), "impulse_index": impulse_at, "peak_a_pa": float(w[:peak_n].max()), "triggered": bool(len(over))}
-        if len(over):
-            part = level[over[0] : over[0] + leq_n + 1]
-            got |= {"leq_start": int(over[0]), "leq_stop": int(min(over[0] + leq_n, len(row) - 1)), "leq_index": int(over[0] + part.argmax()), "peak_leq_pa": float(part.max())}
+        if len(over) or anyway:
+            start, stop = (int(over[0]), int(min(over[0] + leq_n, len(row) - 1))) if len(over) else (0, len(row) - 1)
+            part = level[start : stop + 1]
+            got |= {"leq_start": start, "leq_stop": stop, "leq_index": int(start + part.argmax()), "peak_leq_pa": float(part.max())}
         else:
             got["error"] = "no sample above the trigger"
         out.append(got)
@@ -124,12 +177,12 @@ def per_record(records: DataFrame, keys: list[str], samples: Column, run, schema
     return records.select(*keys, samples.alias("_samples")).mapInPandas(few, f"{kinds}, {schema}")
 
 
-def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples", dt: float = DT, rate: float | None = None, short: Column | None = None, window: bool = True, peak_s: float = PEAK_S, leq_s: float = LEQ_SEARCH_S, tau_s: float = TAU_S) -> DataFrame:
+def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples", dt: float = DT, rate: float | None = None, short: Column | None = None, window: bool = True, peak_s: float = PEAK_S, leq_s: float = LEQ_SEARCH_S, tau_s: float = TAU_S, anyway: bool = False) -> DataFrame:
     """keys, the metrics and their levels for each record, over its analysis window (the short one where `short` holds), or over the whole record
     if window is False. rate is that of the filter and the search widths, 1 / dt unless it is given. A record that can't be analysed has its reason in
-    error, and nulls for what could not be found."""
+    error, and nulls for what could not be found. `anyway` looks for the running level in the whole record where nothing triggers."""
     rate = rate or 1 / dt
-    peak_n, leq_n, tau_n = half_away(peak_s * rate), half_away(leq_s * rate), int(np.floor(tau_s * rate * (1 + 1e-12)))
+    peak_n, leq_n, tau_n = half_away(peak_s * rate), half_away(leq_s * rate), width_of(tau_s, rate)
     names = [f.split()[0] for f in SHOT_SCHEMA.split(", ")]
 
     def run(pdf):
@@ -146,7 +199,7 @@ def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples",
             except ValueError as e:
                 out[k] = {"error": str(e)}
         for own in by_length.values():
-            for (k, _), m in zip(own, metrics_of(np.stack([x for _, x in own]), dt, rate, peak_n, leq_n, tau_n)):
+            for (k, _), m in zip(own, metrics_of(np.stack([x for _, x in own]), dt, rate, peak_n, leq_n, tau_n, anyway)):
                 out[k] = m
         got = pd.DataFrame(out, columns=names)
         for c in INDICES:
@@ -161,6 +214,47 @@ def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples",
     return found.withColumns({"peak_db": level("peak_pa"), "peak_dba": level("peak_a_pa"), "impulse_db_ms": level("impulse_pa_ms"), "peak_leq10ms_dba": level("peak_leq_pa")})
 
 
+def width_of(tau_s: float, rate: float) -> int:
+    """Whole samples of an integration time."""
+    return int(np.floor(tau_s * rate * (1 + 1e-12)))
+
+
+CURVES = ("pressure", "weighted", "integral", "running")
+
+
+def curves_of(x: np.ndarray, dt: float, rate: float, tau_s: float) -> tuple[np.ndarray, ...] | None:
+    """CURVES of one record, None where it can't be analysed: gaps that aren't filled, or shorter than the integration time."""
+    try:
+        whole = filled(np.asarray(x, float))
+    except ValueError:
+        return None
+    if len(whole) < max(2, width_of(tau_s, rate)):
+        return None
+    return whole, *(c[0] for c in working(whole[None], dt, rate, width_of(tau_s, rate)))
+
+
+def curves(records: DataFrame, keys: list[str], samples: Column | str, dt: float = DT, rate: float | None = None, tau_s: float = TAU_S) -> DataFrame:
+    """keys and the lists CURVES: the record with short gaps filled, its A-weighted pressure, running integral and running level; null lists where a record can't be analysed.
+    samples_of() makes rows of them."""
+    rate = rate or 1 / dt
+    return on_records(records, keys, samples, lambda x: curves_of(x, dt, rate, tau_s), dict.fromkeys(CURVES, "double"))
+
+
+def register_curves(spark: SparkSession, name: str = "shot_curves", tau_s: float = TAU_S) -> None:
+    """The curves for SQL: name(samples, dt) is an array of structs (i, pressure, weighted, integral, running), which `lateral view inline(...)` makes rows of; null
+    where a record can't be analysed. It runs on Arrow batches."""
+
+    def run(samples: pa.Array, dt: pa.Array) -> pa.Array:
+        got = [None if x is None or d is None else curves_of(np.array(x, float), d, 1 / d, tau_s) for x, d in zip(samples.to_pylist(), dt.to_pylist())]
+        sizes = [0 if g is None else len(g[0]) for g in got]
+        flat = [np.concatenate([g[k] for g in got if g is not None] or [np.zeros(0)]) for k in range(len(CURVES))]
+        place = np.concatenate([np.arange(n) for n in sizes] or [np.zeros(0)]).astype(np.int64)
+        structs = pa.StructArray.from_arrays([pa.array(place), *map(pa.array, flat)], names=["i", *CURVES])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), structs, mask=pa.array([g is None for g in got], pa.bool_()))
+
+    spark.udf.register(name, F.arrow_udf(run, "array<struct<i: bigint, " + ", ".join(f"{c}: double" for c in CURVES) + ">>"))
+
+
 def round_trip_errors(records: DataFrame, keys: list[str], samples: str, dt: float = DT, short: Column | None = None) -> DataFrame:
     """(quantiser, the worst error in dB of each metric): the analysis window as 16 or 24 bits or as half precision, put back into the record."""
     short = F.lit(False) if short is None else F.coalesce(short, F.lit(False))

@@ -291,19 +291,22 @@ def p14b(s, d):
 
 def response(n: int = 64) -> list[float]:
     """The filter's answer to a single one, from which SQL gets the weighted record by convolution."""
-    return waveform.filtered(*waveform.a_weighting(1 / WIDE_DT), np.eye(1, n))[0].tolist()
+    return waveform.weighted_by_a(np.eye(1, n), 1 / WIDE_DT)[0].tolist()
 
 
-def curves(rows: str) -> str:
+def curves(rows: str, anyway: bool = False) -> str:
     """CTEs: w, the windowed records with their running integral, weighted samples and running level; m, one row of metrics for each id. At 500 Hz the
-    peak is sought in 38 samples and the level in 13 more, and the level runs over 5."""
+    peak is sought in 38 samples and the level in 13 more, and the level runs over 5. Where nothing
+    triggers there is no level; with anyway it is sought in the whole record."""
+    start, stop = "min(i) filter (p > 1)", "least(min(i) filter (p > 1) + 13, any_value(n) - 1)"
+    start, stop = (f"coalesce({start}, 0)", f"case when {start} is null then any_value(n) - 1 else {stop} end") if anyway else (start, f"case when {start} is not null then {stop} end")
     h = ", ".join(f"({k}, {v!r}::double)" for k, v in enumerate(response()))
     return f"""with recursive h(k, v) as (values {h}), x as (select id, i, p, max(i) over (partition by id) + 1 n, sum(coalesce((p + q) / 2, 0)) over (partition by id order by i) * 2 integral from (select id, i, p, lag(p) over (partition by id order by i) q from {rows})),
     y as (select a.id, a.i, sum(v * b.p) y from x a join h on k <= a.i join x b on b.id = a.id and b.i = a.i - k group by all),
     l as (select id, i, sqrt(avg(y * y) over (partition by id order by i rows between 4 preceding and current row)) level from (select id, i, y from y union all select id, i - n, y from y join (select distinct id, n from x) using (id) where i >= n - 4) qualify i >= 0),
     w as (select * from x join y using (id, i) join l using (id, i)),
-    t as (select id, any_value(n) n, max(p) filter (i < 38) peak_pa, arg_max(i, p) filter (i < 38) peak_index, arg_min(i, integral) filter (i < 38) trough_index, max(y) filter (i < 38) peak_a_pa, min(i) filter (p > 1) leq_start from w group by 1),
-    m as (select id, peak_pa, peak_a_pa, max(integral) filter (i <= trough_index) impulse_pa_ms, max(level) filter (i between leq_start and leq_start + 13) peak_leq_pa, any_value(peak_index) peak_index, any_value(trough_index) trough_index, arg_max(i, integral) filter (i <= trough_index) impulse_index, any_value(leq_start) leq_start, least(any_value(leq_start) + 13, any_value(t.n) - 1) leq_stop, arg_max(i, level) filter (i between leq_start and leq_start + 13) leq_index from w join t using (id) group by id, peak_pa, peak_a_pa)"""
+    t as (select id, any_value(n) n, max(p) filter (i < 38) peak_pa, arg_max(i, p) filter (i < 38) peak_index, arg_min(i, integral) filter (i < 38) trough_index, max(y) filter (i < 38) peak_a_pa, count(*) filter (p > 1) > 0 triggered, {start} leq_start, {stop} leq_stop from w group by 1),
+    m as (select id, peak_pa, peak_a_pa, max(integral) filter (i <= trough_index) impulse_pa_ms, max(level) filter (i between leq_start and leq_stop) peak_leq_pa, any_value(peak_index) peak_index, any_value(trough_index) trough_index, arg_max(i, integral) filter (i <= trough_index) impulse_index, any_value(leq_start) leq_start, any_value(leq_stop) leq_stop, arg_max(i, level) filter (i between leq_start and leq_stop) leq_index, any_value(triggered) triggered from w join t using (id) group by id, peak_pa, peak_a_pa)"""
 
 
 LEVELS = {"peak_db": "peak_pa", "peak_dba": "peak_a_pa", "impulse_db_ms": "impulse_pa_ms", "peak_leq10ms_dba": "peak_leq_pa"}
@@ -328,9 +331,38 @@ def p02(s, d):
     return rounded(rounded(metrics(s, d).select("id", "peak_a_pa", "peak_dba"), "peak_a_pa", to=5), "peak_dba", to=4)
 
 
-@query("P11_analysis_working", f"{curves(WINDOW)} select id, peak_index, trough_index, impulse_index, leq_start, leq_stop, leq_index, leq_start is not null triggered from m")
+#: Some records are too quiet to trigger.
+QUIET = f"(select * replace (case when label = 7 then p / 300 else p end as p) from {WINDOW})"
+
+
+def quiet(s, d):
+    return records(s, d).withColumn("samples", F.when(F.col("label") == 7, F.transform("samples", lambda x: x / 300)).otherwise(F.col("samples")))
+
+
+@query("P11_analysis_working", f"{curves(QUIET, True)} select id, peak_index, trough_index, impulse_index, leq_start, leq_stop, leq_index, triggered, round(peak_leq_pa, 5) peak_leq_pa from m")
 def p11(s, d):
-    return metrics(s, d).select("id", *(F.col(c).cast("long").alias(c) for c in waveform.INDICES), "triggered")
+    found = waveform.shot_metrics(quiet(s, d), ["id"], "samples", WIDE_DT, short=F.expr(SHORT), anyway=True)
+    return rounded(found.select("id", *(F.col(c).cast("long").alias(c) for c in waveform.INDICES), "triggered", "peak_leq_pa"), "peak_leq_pa", to=5)
+
+
+CURVE_ROWS = f"{curves(WINDOW)} select id, i, round(p, 5) pressure, round(y, 5) weighted, round(integral, 5) integral, round(level, 5) running from w"
+
+
+@query("P11_curves", CURVE_ROWS)
+def p11b(s, d):
+    """The working behind the metrics, a row for each sample of each record's window."""
+    window = waveform.analysis_window(F.col("samples"), WIDE_DT, F.expr(SHORT))
+    lists = waveform.curves(records(s, d), ["id"], window, WIDE_DT)
+    return rounded(waveform.samples_of(lists, ["id"], **{c: c for c in waveform.CURVES}), *waveform.CURVES, to=5)
+
+
+@query("P11_curves_in_sql", CURVE_ROWS)
+def p11c(s, d):
+    """The same from SQL, by the registered function."""
+    waveform.register_curves(s)
+    window = waveform.analysis_window(F.col("samples"), WIDE_DT, F.expr(SHORT))
+    records(s, d).select("id", window.alias("samples")).createOrReplaceTempView("windows")
+    return rounded(s.sql(f"select id, c.* from windows lateral view inline(shot_curves(samples, {WIDE_DT}D)) c"), *waveform.CURVES, to=5)
 
 
 #: The low pass as arithmetic: a sinc that cuts at 0.8 of the new Nyquist frequency, under a Blackman window of 63 taps, with a sum of one.

@@ -133,6 +133,15 @@ def test_window(spark):
     assert [r[0] for r in rows.select(waveform.short_window(L.F.col("cartridge"), L.F.col("year"))).collect()] == [True, True, False, False]
 
 
+def recursive(b, a, x):
+    """A filter of second order, sample by sample."""
+    y = []
+    for i, v in enumerate(x):
+        at = lambda s, k: s[i - k] if i >= k else 0.0
+        y.append(b[0] * v + b[1] * at(x, 1) + b[2] * at(x, 2) - a[1] * at(y, 1) - a[2] * at(y, 2))
+    return y
+
+
 def straight(x, dt, rate, stop):
     """The metrics of one record, sample by sample."""
     half = lambda v: math.floor(v + 0.5)
@@ -143,7 +152,9 @@ def straight(x, dt, rate, stop):
         run += (p + q) / 2 * dt * 1000
         integral.append(run)
     trough = min(range(min(peak_n, len(w))), key=integral.__getitem__)
-    y = np.convolve(w, waveform.filtered(*waveform.a_weighting(rate), np.eye(1, len(w)))[0])[: len(w)]
+    y = w.tolist()
+    for b, a in waveform.a_sections(rate):
+        y = recursive(b, a, y)
     start = next((i for i, p in enumerate(w) if p > 1), None)
     level = [math.sqrt(sum(y[(i - k) % len(w)] ** 2 for k in range(tau)) / tau) for i in range(start, min(len(w), start + half(0.025 * rate) + 1))]
     return max(w[:peak_n]), max(y[:peak_n]), max(integral[: trough + 1]), max(level), trough, start

@@ -78,3 +78,36 @@ def test_printed_numbers(spark):
     exact = lambda v: str(Decimal(abs(v)).quantize(Decimal("0.01"), ROUND_HALF_UP))
     assert got == [("−" if v < 0 and float(exact(v)) else "") + exact(v) for v in values]
     assert [r.t for r in spark.createDataFrame([(2.5,), (float("inf"),), (None,)], "v double").select(views.display_number(F.col("v"), 0, sign=True).alias("t")).collect()] == ["+3", "—", "—"]
+
+
+def test_filter_in_blocks():
+    """Blocks are the recurrence, the sections are the filter."""
+    from test_queries import recursive
+
+    for rate, n in ((262144.0, 3000), (500.0, 63), (500.0, 1)):
+        x = np.random.default_rng(2).normal(0, 100, (3, n))
+        want = x.tolist()
+        for b, a in waveform.a_sections(rate):
+            want = [recursive(b, a, row) for row in want]
+        assert np.abs(waveform.weighted_by_a(x, rate) - want).max() < 1e-9
+        b, a = waveform.a_weighting(rate)
+        one, two = (np.array([1.0]), np.array([1.0]))
+        for p, q in waveform.a_sections(rate):
+            one, two = np.convolve(one, p), np.convolve(two, q)
+        assert np.allclose(one, b, rtol=1e-9, atol=1e-12) and np.allclose(two, a, rtol=1e-9, atol=1e-9)
+
+
+def test_curves(spark):
+    """Null lists for records that can't be analysed; a record that nothing triggers is searched as a whole where that is asked for."""
+    t = np.arange(200) / 2000
+    loud, quiet = (100 * np.sin(40 * t)).tolist(), (0.5 * np.sin(40 * t)).tolist()
+    rows = spark.createDataFrame([(1, loud), (2, quiet), (3, None), (4, [None] * 200), (5, [1.0])], "id int, samples array<double>")
+    got = {r.id: r for r in waveform.curves(rows, ["id"], "samples", 0.0005).collect()}
+    assert [k for k, r in got.items() if r.weighted is None] == [3, 4, 5] and got[1].pressure == loud and len(got[2].running) == 200
+    waveform.register_curves(spark)
+    rows.createOrReplaceTempView("some_records")
+    flat = spark.sql("select id, c.* from some_records lateral view inline(shot_curves(samples, 0.0005D)) c where c.i = 150").collect()
+    assert {r.id: (r.pressure, r.weighted, r.integral, r.running) for r in flat} == {k: (got[k].pressure[150], got[k].weighted[150], got[k].integral[150], got[k].running[150]) for k in (1, 2)}
+    found = {r.id: r for r in waveform.shot_metrics(rows, ["id"], dt=0.0005, window=False, anyway=True).collect()}
+    assert (found[2].triggered, found[2].leq_start, found[2].leq_stop, found[2].error is not None) == (False, 0, 199, True)
+    assert found[2].peak_leq_pa == max(got[2].running) and found[2].leq_index == int(np.argmax(got[2].running)) and found[1].triggered
