@@ -8,7 +8,7 @@ from ..functions import names as N
 from ..operators import ranking, statistics, waveform
 from ..operators import views as V
 from ..operators.offsets import prefix_sums
-from ..sources import captures, store
+from ..sources import captures, files, store
 from ..streaming.incremental import incremental
 from .registry import DEVICES, SHOTS, devices, query, rounded, shots, table
 from .stored import TABLES, VIEW_RUN, stored
@@ -41,6 +41,31 @@ def s03(s, d):
     return captures.parse_captures(exports(s, d)).select("path", F.size("samples").alias("n"), "dropped_tail", "short_capture", "truncated", "index_inconsistent", F.size("defects").alias("defects"), F.round("sample_rate_hz", 6).alias("sample_rate_hz"), "overload", "captured_at")
 
 
+@query("S01_summary_files", f"""with r as (select *, run % 9 = 0 hole from {DEVICES}), u as (select run, maker, model, host, weight, 'ML' mic, 'peak_pressure_pa' metric, price as value from r union all select run, maker, model, host, weight, 'ML', 'peak_db', case when hole then null else sem end from r union all select run, maker, model, host, weight, 'SE', 'peak_pressure_pa', weight from r)
+    select (2023 + run % 3)::int as year, run::varchar as "event", maker, model device, '.30' caliber, host cartridge, mic, metric, round(value, 6) as value, 5.0::double shots, weight, null::double len, 1.5::double maxdia from u""")
+def s01b(s, d):
+    """A CSV file for each year, with a byte order mark and two header rows, written and read."""
+    cells = [F.col("run").cast("string"), "maker", "model", F.lit(".30"), "host", F.col("price").cast("string"), F.when(F.col("run") % 9 == 0, "1d").otherwise(F.col("sem").cast("string")), F.col("weight").cast("string"), F.lit("5"), F.col("weight").cast("string"), F.lit("0.0"), F.lit("1.5")]
+    lines = devices(s, d).select((2023 + F.col("run") % 3).alias("year"), F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in cells)).alias("line"))
+    head = "\ufeff" + ",".join(MICS) + "\r\n" + ",".join(LABELS)
+    # About a thousand lines to a file, however many there are.
+    texts = lines.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(lines.count() // 3000 + 1))).groupBy("year", "part").agg(F.concat_ws("\r\n", F.lit(head), F.concat_ws("\r\n", F.collect_list("line")), F.lit("")).alias("text"))
+    folder = store.fresh_folder(s, "summaries")
+    files.write_files(texts.select(F.format_string("summit%d/all-%d.csv", "year", "part").alias("path"), "text"), folder, "utf-8")
+    return rounded(captures.read_summary(s, f"{folder}/*/*.csv"), "value")
+
+
+@query("S03_capture_files", """select case when label = 5 then vec_id || '/cut.txt' else vec_id || '/Time.txt' end path, case when label = 5 then 0 else 64 end::int n, case when label = 3 then 70 else 0 end::int dropped_tail, case when label = 4 then 1 else 0 end::int defects, case when label <> 5 then 40000.0::double end sample_rate_hz, case when label <> 5 then timestamp '2024-03-07 10:11:12.345' end captured_at, case when label = 5 then 'no samples' end error from embeddings""")
+def s03b(s, d):
+    """A file for each record, in latin-1, some of them cut off in the header; written and read by the data source."""
+    folder, cut = store.fresh_folder(s, "captures"), F.col("label") == 5
+    texts = exports(s, d).join(records(s, d).select(F.col("id").cast("string").alias("path"), "label"), "path")
+    texts = texts.select(F.concat("path", F.when(cut, "/cut.txt").otherwise("/Time.txt")).alias("path"), F.when(cut, F.lit("\u00b5Pa")).otherwise(F.col("text")).alias("text"))
+    files.write_files(texts, folder)
+    found = captures.read_captures(s, folder, partitionBytes=100_000)
+    return found.select("path", F.size("samples").alias("n"), "dropped_tail", F.size("defects").alias("defects"), F.round("sample_rate_hz", 6).alias("sample_rate_hz"), "captured_at", "error")
+
+
 @query("S05_amplitudes", f"select id::varchar path, i, round(p, 3) p from {LONG} where not (label = 4 and i = 7)")
 def s05(s, d):
     x = captures.parse_captures(exports(s, d)).select("path", F.posexplode("samples").alias("i", "p")).where(~F.isnan("p"))
@@ -80,10 +105,12 @@ def s11(s, d):
     return devices(s, d).select("run", *(c.alias(n) for n, c in N.capture_file(name).items()))
 
 
-@query("S12_spec_files", f"select run::varchar path, model as name, nullif(weight, 11) length_in, price weight_oz, host caliber, 1.5::double max_diameter_in from {DEVICES}")
+@query("S12_spec_files", f"select case when run % 3 = 0 then 'Old ' else '' end || 'Specs.txt' path, run, model as name, nullif(weight, 11) length_in, price weight_oz, host caliber, 1.5::double max_diameter_in, case when run % 3 = 0 then 'Old' else '' end note from {DEVICES}")
 def s12(s, d):
     text = F.concat_ws("\r\n", "model", F.when(F.col("weight") == 11, "n/a").otherwise(F.col("weight").cast("string")), F.col("price").cast("string"), "host", F.lit("1.5"))
-    return captures.parse_specs(devices(s, d).select(F.col("run").cast("string").alias("path"), text.alias("text")))
+    name = F.concat(F.when(F.col("run") % 3 == 0, "Old ").otherwise(""), F.lit("Specs.txt"))
+    specs = captures.parse_specs(devices(s, d).select(F.concat("run", F.lit("/"), name).alias("path"), text.alias("text")))
+    return specs.withColumns({"run": F.substring_index("path", "/", 1).cast("long"), "path": F.substring_index("path", "/", -1)})
 
 
 @query("S13_file_kinds", f"select case run % 7 when 0 then 'capture' when 1 then 'specs' when 2 then 'ignored' when 3 then 'void' when 4 then 'note' when 5 then 'void' else 'unrecognised' end kind, count(*) n from {DEVICES} group by 1")

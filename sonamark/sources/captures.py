@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.levels import METRICS
+from ..functions.names import spec_note
+from .files import read_files
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: Rows of `Undefined` at the end that make a capture short rather than damaged.
@@ -29,10 +31,11 @@ def key_values(lines: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pair, lambda p: p.k == k), -1).v))
 
 
-def parse_captures(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """One row for each export: path, header, tags, samples, defects, dropped_tail, flags and typed header fields."""
+def parse_captures(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row for each export: path, columns to keep, header, tags, samples, defects, dropped_tail, flags and typed header fields."""
     lines = F.split(F.regexp_replace(F.col(text), "\r", ""), "\n")
-    x = files.select(path, lines.alias("lines")).withColumn("is_data", F.transform("lines", lambda v: v.rlike(r"^\s*\d+\t")))
+    keep = keep or []
+    x = files.select(path, *keep, lines.alias("lines")).withColumn("is_data", F.transform("lines", lambda v: v.rlike(r"^\s*\d+\t")))
     x = x.withColumn("first", F.array_position("is_data", True).cast("int"))
     x = x.withColumns({"data": F.filter("lines", lambda v: v.rlike(r"^\s*\d+\t")), "head": F.when(F.col("first") > 0, F.slice("lines", F.lit(1), F.col("first") - 1)).otherwise(F.col("lines"))})
     x = x.withColumn("foot", F.when(F.col("first") > 0, F.filter(F.slice("lines", F.col("first"), F.size("lines")), lambda v: ~v.rlike(r"^\s*\d+\t"))).otherwise(F.array().cast("array<string>")))
@@ -45,6 +48,7 @@ def parse_captures(files: DataFrame, path: str = "path", text: str = "text") ->
     dt, rate = number(h("X-Axis delta")), number(h("InputSampleFrequency"))
     return x.select(
         path,
+        *keep,
         "header",
         "tags",
         F.transform("kept", lambda t: F.coalesce(number(t), F.lit(float("nan"))).cast("float")).alias("samples"),
@@ -64,9 +68,9 @@ def parse_captures(files: DataFrame, path: str = "path", text: str = "text") ->
 
 
 def parse_specs(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Five lines in order: name, length, weight, caliber, diameter."""
+    """Five lines in order: name, length, weight, caliber, diameter; and the note that stands before the file's name, "" if nothing does, null for other names."""
     line = lambda i: F.trim(F.get(F.split(F.regexp_replace(F.col(text), "\r", ""), "\n"), F.lit(i)))
-    return files.select(path, line(0).alias("name"), number(line(1)).alias("length_in"), number(line(2)).alias("weight_oz"), line(3).alias("caliber"), number(line(4)).alias("max_diameter_in"))
+    return files.select(path, line(0).alias("name"), number(line(1)).alias("length_in"), number(line(2)).alias("weight_oz"), line(3).alias("caliber"), number(line(4)).alias("max_diameter_in"), spec_note(F.element_at(F.split(path, "/"), -1)).alias("note"))
 
 
 KEYS = ["event", "maker", "device", "caliber", "cartridge"]
@@ -92,10 +96,11 @@ def link_aliases(links: DataFrame, files: DataFrame, target: str = "target", pat
     return links.join(files.select(F.col(path).alias(target)), target, "left_semi")
 
 
-def read_captures(spark: SparkSession, folder: str) -> DataFrame:
-    """parse_captures of every file below a folder; the exports are latin-1. One file is one row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return parse_captures(files.select("path", F.decode("content", "ISO-8859-1").alias("text")))
+def read_captures(spark: SparkSession, folder: str, **options: object) -> DataFrame:
+    """parse_captures of every file below a folder (latin-1, one file is one row), with the path below it and error: why a file has no samples, if it hasn't."""
+    files = read_files(spark, folder, "path string, text string, error string", **options)
+    parsed = parse_captures(files.withColumn("text", F.coalesce("text", F.lit(""))), keep=["error"])
+    return parsed.withColumn("error", F.coalesce("error", F.when(F.size("samples") == 0, "no samples")))
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

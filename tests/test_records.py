@@ -111,3 +111,21 @@ def test_curves(spark):
     found = {r.id: r for r in waveform.shot_metrics(rows, ["id"], dt=0.0005, window=False, anyway=True).collect()}
     assert (found[2].triggered, found[2].leq_start, found[2].leq_stop, found[2].error) == (False, 0, 199, None)
     assert found[2].peak_leq_pa == max(got[2].running) and found[2].leq_index == int(np.argmax(got[2].running)) and found[1].triggered
+
+
+def test_files_as_rows(spark, tmp_path):
+    """Partitions by bytes, pruned columns, other encodings, unreadable files as rows, an empty folder."""
+    from sonamark.sources import captures, files
+
+    rows = spark.createDataFrame([(f"run {i}/a.txt", "\u00b5" * 100 * i) for i in range(1, 9)] + [("x/_skipped.txt", "no"), ("x/b.csv", "no")], "path string, text string")
+    files.write_files(rows, f"file://{tmp_path}")
+    got = files.read_files(spark, str(tmp_path), suffix=".txt", partitionBytes=1000, maxBytes=750)
+    assert {r.path: (r.bytes, len(r.text or ""), r.error) for r in got.collect()} == {f"run {i}/a.txt": (100 * i, 100 * i if i < 8 else 0, None if i < 8 else "ValueError: 800 bytes are more than 750") for i in range(1, 9)}
+    assert got.withColumn("p", F.spark_partition_id()).select("p").distinct().count() == 5
+    (tmp_path / "run 1" / "a.txt").write_bytes(b"\xff\xfe")
+    assert {r.path: r.error is None for r in files.read_files(spark, str(tmp_path), encoding="ascii", suffix="a.txt").collect()} == {f"run {i}/a.txt": False for i in range(1, 9)}
+    assert files.read_files(spark, str(tmp_path), "path string, bytes long", encoding="ascii").columns == ["path", "bytes"]
+    (tmp_path / "none").mkdir()
+    assert captures.read_captures(spark, str(tmp_path / "none")).count() == 0
+    bad = {r.path: (r.error, r.header) for r in captures.read_captures(spark, str(tmp_path), suffix=".csv").collect()}
+    assert bad == {"x/b.csv": ("no samples", {})}
