@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -176,18 +176,20 @@ def caveat_mask(shots: DataFrame, caveats: DataFrame) -> DataFrame:
 
 
 def host_tiers(rows: DataFrame, host: str, year: str, is_baseline: str, labels: DataFrame, first_year: int, rankable: int = 4) -> DataFrame:
-    """For each host with a run that is no baseline: runs, years, label (labels: host, label; the host's own name where there is none), its tier
-    (`regular` if tested in several years, `first` if only in first_year, else `other`), whether it has enough runs to rank, its place in
-    the tier (most runs first, then by label), and for a regular host the earlier host of first_year that is the same setup: the one with its label and the
-    year in brackets behind it."""
+    """For each host with a run that is no baseline: runs, years, and from labels (host, label, and further columns such as description and kind) its label (the host's own name
+    where there is none) and the rest; its tier (`regular` if tested in several years, `first` if only in first_year, else `other`), whether it has enough runs
+    to rank, its place in the tier (most runs first, then by label, then by host), and for a regular host the earlier host of first_year that is the same
+    setup: the one with its label and the year in brackets behind it."""
     own = rows.where(~F.col(is_baseline)).groupBy(host).agg(F.count("*").alias("runs"), F.array_sort(F.collect_set(year)).alias("years"))
-    named = own.join(F.broadcast(labels), host, "left").withColumn("label", F.coalesce("label", F.col(host).cast("string")))
+    named = own.join(labels, host, "left").withColumn("label", F.coalesce("label", F.col(host).cast("string")))
     tier = F.when(F.size("years") > 1, "regular").when(F.get("years", F.lit(0)) == first_year, "first").otherwise("other")
-    x = named.withColumns({"tier": tier, "rankable": F.col("runs") >= rankable})
+    x = named.withColumns({"tier": tier, "rankable": F.col("runs") >= rankable, "_more": -F.col("runs")})
+    x = numbered(x, ["_more", "label", host], "place", group=["tier"]).drop("_more")
     ending = f" ({first_year})"
     old = x.where((F.col("tier") == "first") & F.col("label").endswith(ending)).select(F.col(host).alias("earlier"), F.col("runs").alias("earlier_runs"), F.expr(f"left(label, length(label) - {len(ending)})").alias("label"), F.lit("regular").alias("tier"))
     old = old.groupBy("label", "tier").agg(F.min_by(F.struct("earlier", "earlier_runs"), "earlier").alias("_o"))
-    return x.join(old, ["label", "tier"], "left").select(host, "label", "runs", "years", "tier", "rankable", F.col("_o.earlier").alias("earlier"), F.col("_o.earlier_runs").alias("earlier_runs"))
+    more = [c for c in labels.columns if c not in (host, "label")]
+    return x.join(old, ["label", "tier"], "left").select(host, "label", *more, "runs", "years", "tier", "place", "rankable", F.col("_o.earlier").alias("earlier"), F.col("_o.earlier_runs").alias("earlier_runs"))
 
 
 def coverage(rows: DataFrame, by: str, distinct: dict[str, list[str]], count: str = "runs") -> DataFrame:
@@ -333,6 +335,36 @@ def dataset_info(rows: DataFrame, year: str, published: Column, value: str) -> D
     return rows.groupBy(year).agg(F.count("*").alias("runs"), F.count_if(published).alias("published"), F.sum(value).alias("total"))
 
 
+def dataset_totals(rows: DataFrame, waves: DataFrame, year: str, run: str, published: Column, samples: str) -> DataFrame:
+    """For each year: runs, published ones, waveforms and their samples. Waveforms are summed by run before they meet the runs."""
+    sums = waves.groupBy(run).agg(F.count("*").alias("_n"), F.sum(samples).alias("_s"))
+    return rows.join(sums, run, "left").groupBy(year).agg(F.count("*").alias("runs"), F.count_if(published).alias("published"), F.coalesce(F.sum("_n"), F.lit(0)).alias("waveforms"), F.coalesce(F.sum("_s"), F.lit(0)).alias("samples"))
+
+
+def attribute_categories(rows: DataFrame, attributes: list[str]) -> DataFrame:
+    """(attribute, category, n, known): how many rows have each value of each attribute, and how many have any, in one pass."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("category")) for a in attributes)))
+    n = rows.select(pairs.alias("x")).select("x.*").where("category is not null").groupBy("attribute", "category").agg(F.count("*").alias("n"))
+    return n.join(n.groupBy("attribute").agg(F.sum("n").alias("known")), "attribute")
+
+
+def ingest_observed(files: DataFrame, path: str, kind: str, samples: str, excluded: Column, mic: str, short: str, truncated: str, defects: str) -> DataFrame:
+    """Writes parsed files and returns the report of the ingest, one row: files, waveforms, samples, set aside (excluded), void and unrecognised ones, short captures
+    and their lengths, truncated and defective ones, channels without a microphone. All but the lengths are counted by the write itself as rows pass; the
+    lengths come from the one column of the written table that has them."""
+    is_wave = F.col(kind) == "capture"
+    seen = Observation()
+    counts = {
+        "files": F.count("*"), "waveforms": F.count_if(is_wave), "samples": F.sum(F.when(is_wave, F.size(samples)).otherwise(0)), "excluded": F.count_if(is_wave & excluded), "void": F.count_if(F.col(kind) == "void"),
+        "warnings": F.count_if(F.col(kind) == "unrecognised"), "short_captures": F.count_if(is_wave & F.col(short)), "truncated": F.count_if(is_wave & F.col(truncated)), "defective": F.count_if(is_wave & (F.size(defects) > 0)), "unknown_signals": F.count_if(is_wave & F.col(mic).isNull()),
+    }
+    files.withColumn("_length", F.when(is_wave & F.col(short), F.size(samples))).observe(seen, *(c.cast("long").alias(k) for k, c in counts.items())).write.mode("overwrite").parquet(path)
+    got = seen.get
+    lengths = files.sparkSession.read.parquet(path).where("_length is not null").groupBy("_length").count()
+    shapes = lengths.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_length", "count"))), lambda x: F.concat_ws(" x ", x["count"], x["_length"])), ", ").alias("short_lengths"))
+    return shapes.select(*(F.lit(got[k] or 0).cast("long").alias(k) for k in counts), "short_lengths")
+
+
 def ingest_report(captures: DataFrame, kind: str, excluded: Column, run: str) -> DataFrame:
     """For each kind of file: how many, how many are set aside, of how many runs."""
     return captures.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(excluded).alias("excluded"), F.countDistinct(run).alias("runs"))
@@ -384,5 +416,7 @@ def unused_rows(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 
 
 def united_bands(traces: DataFrame, keys: list[str], column: Column, lo: str, hi: str) -> DataFrame:
-    """(keys, col, lo, hi) over all traces; a column that no trace has is not there."""
-    return traces.groupBy(*keys, column.alias("col")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    """(keys, col, lo, hi, from_lo, to_hi) over all traces, the last two over all columns of the keys; a column that no trace has is not there. Extents are of united
+    bands, of which there are as many as columns."""
+    bands = traces.groupBy(*keys, column.alias("col")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
+    return same(bands, bands.groupBy(*keys).agg(F.min("lo").alias("from_lo"), F.max("hi").alias("to_hi")), keys)

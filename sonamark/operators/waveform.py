@@ -183,6 +183,27 @@ def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples",
     error, and nulls for what could not be found. `anyway` looks for the running level in the whole record where nothing triggers."""
     rate = rate or 1 / dt
     peak_n, leq_n, tau_n = half_away(peak_s * rate), half_away(leq_s * rate), width_of(tau_s, rate)
+    x = analysis_window(F.col(samples), dt, F.lit(False) if short is None else F.coalesce(short, F.lit(False))) if window else F.col(samples)
+    return with_levels(per_record(records, keys, x, metrics_run(keys, dt, rate, peak_n, leq_n, tau_n, anyway), SHOT_SCHEMA))
+
+
+def with_levels(found: DataFrame) -> DataFrame:
+    level = lambda c: F.when(F.col(c) > 0, 20 * F.log10(F.col(c) / P0))
+    return found.withColumns({"peak_db": level("peak_pa"), "peak_dba": level("peak_a_pa"), "impulse_db_ms": level("impulse_pa_ms"), "peak_leq10ms_dba": level("peak_leq_pa")})
+
+
+def shot_metrics_and_bands(records: DataFrame, keys: list[str], samples: str = "samples", dt: float = DT, lo: int = -16, hi: int = 13, peak_s: float = PEAK_S, leq_s: float = LEQ_SEARCH_S, tau_s: float = TAU_S) -> DataFrame:
+    """shot_metrics and third_octaves of the analysis window in one pass over the samples."""
+    metrics, octaves = metrics_run(keys, dt, 1 / dt, half_away(peak_s / dt), half_away(leq_s / dt), width_of(tau_s, 1 / dt)), octaves_run(keys, dt, lo, hi)
+
+    def run(pdf):
+        for m, b in zip(metrics(pdf), octaves(pdf)):
+            yield pd.concat([m, b["levels"]], axis=1)
+
+    return with_levels(per_record(records, keys, analysis_window(F.col(samples), dt, F.lit(False)), run, f"{SHOT_SCHEMA}, levels array<double>"))
+
+
+def metrics_run(keys: list[str], dt: float, rate: float, peak_n: int, leq_n: int, tau_n: int, anyway: bool = False):
     names = [f.split()[0] for f in SHOT_SCHEMA.split(", ")]
 
     def run(pdf):
@@ -208,10 +229,7 @@ def shot_metrics(records: DataFrame, keys: list[str], samples: str = "samples",
         got["error"] = pd.Series([None if m is None else m.get("error") for m in out], dtype=object)
         yield pd.concat([pdf[keys], got], axis=1)
 
-    x = analysis_window(F.col(samples), dt, F.lit(False) if short is None else F.coalesce(short, F.lit(False))) if window else F.col(samples)
-    found = per_record(records, keys, x, run, SHOT_SCHEMA)
-    level = lambda c: F.when(F.col(c) > 0, 20 * F.log10(F.col(c) / P0))
-    return found.withColumns({"peak_db": level("peak_pa"), "peak_dba": level("peak_a_pa"), "impulse_db_ms": level("impulse_pa_ms"), "peak_leq10ms_dba": level("peak_leq_pa")})
+    return run
 
 
 def width_of(tau_s: float, rate: float) -> int:
@@ -290,6 +308,10 @@ def half_precision(samples: Column) -> Column:
 def third_octaves(records: DataFrame, keys: list[str], samples: str, dt: float, lo: int = -16, hi: int = 13) -> DataFrame:
     """levels (array of float) of the bands around 1000 * 10**(n / 10): sums of FFT power from centre / 2**(1/6) up to, not including,
     centre * 2**(1/6). Neighbouring bands overlap slightly. Null where a band has no power."""
+    return per_record(records, keys, F.col(samples), octaves_run(keys, dt, lo, hi), "levels array<double>")
+
+
+def octaves_run(keys: list[str], dt: float, lo: int, hi: int):
     centre = 1000 * 10 ** (np.arange(lo, hi + 1) / 10)
 
     def run(pdf):
@@ -309,7 +331,7 @@ def third_octaves(records: DataFrame, keys: list[str], samples: str, dt: float,
             out.append([float(10 * np.log10(v / P0**2)) if v > 0 else None for v in p])
         yield pd.concat([pdf[keys], pd.DataFrame({"levels": out})], axis=1)
 
-    return per_record(records, keys, F.col(samples), run, "levels array<double>")
+    return run
 
 
 def lowpass(factor: int = 5, taps: int = 63) -> np.ndarray:

@@ -9,7 +9,8 @@ from ..operators import ranking, statistics, waveform
 from ..operators import views as V
 from ..operators.offsets import prefix_sums
 from ..sources import captures, files, store
-from ..streaming.incremental import incremental
+from ..sources.versions import YearTable
+from ..streaming.incremental import incremental, landed
 from .registry import DEVICES, SHOTS, devices, query, rounded, shots, table
 from .stored import TABLES, VIEW_RUN, stored
 from .waves import DT, LONG, WIDE_DT, curves, db, records
@@ -121,6 +122,16 @@ def s13(s, d):
     return devices(s, d).select(N.file_kind(name, folder).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("A11_observed_report", """with f as (select *, vec_id % 9 k from embeddings) select count(*) files, count(*) filter (k < 7) waveforms, (64 * count(*) filter (k < 7))::bigint samples, count(*) filter (k = 3) excluded, count(*) filter (k = 7) void, count(*) filter (k = 8) warnings,
+    count(*) filter (k < 7 and label = 3) short_captures, 0::bigint truncated, count(*) filter (k < 7 and label = 4) defective, count(*) filter (k = 5) unknown_signals, count(*) filter (k < 7 and label = 3) || ' x 64' short_lengths from f""")
+def a11_observed(s, d):
+    """The report of an ingest, counted while its files are written."""
+    k = F.col("path").cast("long") % 9
+    parsed = captures.parse_captures(exports(s, d)).withColumns({"name": F.when(k == 8, "notes.doc").otherwise(F.concat(F.lit("Time Group_Expanded Time("), F.when(k == 5, "Far Side").otherwise("Mil Left"), F.lit(") - Input."), F.when(k == 3, "x").otherwise("txt"))), "folder": F.when(k == 7, "Day1/a/b/XX Shot 4").otherwise("Day1/a/b/Shot 1")})
+    parsed = parsed.withColumns({"kind": N.file_kind("name", "folder"), **{c: N.capture_file("name")[c] for c in ("mic", "excluded")}})
+    return V.ingest_observed(parsed, store.fresh_folder(s, "ingested"), "kind", "samples", F.col("excluded"), "mic", "short_capture", "truncated", "defects")
+
+
 @query("S14_aliases", f"select run, host || '/Input.txt' target, maker || '/Input.5' alias from {DEVICES} where run % 2 = 0")
 def s14(s, d):
     """A row for each link of a listing, beside the file it stands for; a popular file's aliases are rows, not one cell."""
@@ -131,13 +142,25 @@ def s14(s, d):
 
 @query("S15_load_years", "select year(o_orderdate)::int as year, count(*) n, round(sum(o_totalprice + case when year(o_orderdate) = 1996 then 1 else 0 end), 2) total from orders group by 1")
 def s15(s, d):
-    """Every year is loaded, then one is replaced."""
+    """Every year is loaded, then one is replaced; each load is a version."""
+    from .registry import tests
+
+    stored, rows = YearTable(s, store.fresh_folder(s, "years")), tests(s, d).select("run", "year", "value")
+    stored.load(rows)
+    stored.load(rows.where("year = 1996").withColumn("value", F.col("value") + 1), replace=True)
+    return stored.read().groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("S15_earlier_version", "select year(o_orderdate)::int as year, count(*) n, round(sum(o_totalprice), 2) total from orders where year(o_orderdate) < 1999 group by 1")
+def s15b(s, d):
+    """What the table was before its last two loads."""
     from .registry import tests
 
-    path, rows = store.fresh_folder(s, "years"), tests(s, d).select("run", "year", "value")
-    store.load_years(rows, path)
-    store.load_years(rows.where("year = 1996").withColumn("value", F.col("value") + 1), path, replace=True)
-    return s.read.parquet(path).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    stored, rows = YearTable(s, store.fresh_folder(s, "years")), tests(s, d).select("run", "year", "value")
+    first = stored.load(rows.where("year < 1999"))
+    stored.load(rows.where("year >= 1999"))
+    stored.load(rows.where("year = 1996").withColumn("value", F.lit(0.0)), replace=True)
+    return stored.read(first).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("S16_summary_only_runs", f"select run, run % 3 = 0 in_summary from {DEVICES}")
@@ -176,15 +199,31 @@ def s21(s, d):
     return store.provenance(s, f"{d}/embeddings.parquet")
 
 
+def streamed(s, d):
+    """The records by a stream of one file a batch, run twice: the second run finds nothing new."""
+    raw, target, progress = table(s, d, "embeddings"), store.fresh_folder(s, "landed"), store.fresh_folder(s, "progress")
+    inbox = store.fresh_folder(s, "inbox")
+    raw.repartition(3).write.parquet(inbox)
+    stream = s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(inbox).select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 500).alias("samples"))
+    sinks = {"metrics": ["id", "peak_pa", "peak_db"], "bands": ["id", "levels"]}
+    for _ in range(2):
+        incremental(s, stream, "id", lambda b: waveform.shot_metrics_and_bands(b, ["id"], "samples", WIDE_DT, -20, -6), sinks, target, progress, "inbox")
+    return target
+
+
 @query("R01_incremental_metrics", curves(f"(select * from {LONG} where i < 63)") + f" select id, round(peak_pa, 5) peak_pa, round({db('peak_pa')}, 4) peak_db from m")
 def r01(s, d):
-    raw = table(s, d, "embeddings")
-    source = s.readStream.schema(raw.schema).parquet(f"{d}/embeddings.parquet*")
-    stream = source.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 500).alias("samples"))
-    job = lambda b: waveform.shot_metrics(b, ["id"], "samples", WIDE_DT)
-    target, first, second = (store.fresh_folder(s, x) for x in ("metrics", "progress", "progress"))
-    incremental(s, stream, "id", job, target, first)
-    return incremental(s, stream, "id", job, target, second).select("id", F.round("peak_pa", 5).alias("peak_pa"), F.round("peak_db", 4).alias("peak_db"))  # a second run adds nothing
+    return landed(s, streamed(s, d), "metrics").select("id", F.round("peak_pa", 5).alias("peak_pa"), F.round("peak_db", 4).alias("peak_db"))
+
+
+DFT63 = f"(select id, k, (case when k = 0 then 1 else 2 end) * (pow(sum(p * cos(2 * pi() * k * i / 63)), 2) + pow(sum(p * sin(2 * pi() * k * i / 63)), 2)) / 3969 w from {LONG}, (select unnest(range(0, 32)) k) where i < 63 group by id, k)"
+
+
+@query("R01_incremental_bands", f"""select id, b, round(10 * log10(sum(w) / 4e-10), 4) db from {DFT63} join (select b, 1000 * pow(10.0, b / 10.0) c from (select unnest(range(-20, -5)) b)) on k / (63 * {WIDE_DT}) >= c / pow(2, 1 / 6.0::double) and k / (63 * {WIDE_DT}) < c * pow(2, 1 / 6.0::double) group by id, b having sum(w) > 0""")
+def r01b(s, d):
+    """Third-octave levels, from the same pass and batches as the metrics."""
+    x = landed(s, streamed(s, d), "bands").select("id", F.posexplode("levels").alias("b", "db")).where("db is not null")
+    return x.select("id", (F.col("b") - 20).cast("long").alias("b"), F.round("db", 4).alias("db"))
 
 
 CATALOGUE = f"""with st as (select run, mic, count(value) n, avg(value) mean, stddev_samp(value) / sqrt(count(value)) se from {SHOTS} where not excluded group by all)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from ..functions import levels as L
 from ..functions import names as N
 from ..operators import filters, matching, numbering, offsets, ranking, statistics, views
 from ..sources import store
+from ..sources.versions import YearTable
 from .registry import DEVICES, SHOTS, TESTS, devices, query, rounded, shots, table, tests
 
 
@@ -65,6 +64,29 @@ def a09(s, d):
     return devices(s, d).groupBy("maker").agg(F.countDistinct("model").alias("models"), F.array_sort(F.collect_set("host")).alias("hosts"), F.min("weight").alias("lightest"))
 
 
+@query("A08_hosts_described", f"""with h as (select * from (values ('1-URGENT', 'Urgent', 'goes first', 'rush'), ('5-LOW', 'Low', null, 'slow')) h(host, label, description, kind)), n as (select host, year, count(*) n from {TESTS} group by all)
+    select n.host, n.year, n.n, sum(n.n) over (partition by n.host)::bigint total, coalesce(label, n.host) label, description, kind from n left join h using (host)""")
+def a08_described(s, d):
+    """Runs by host and year under the host's label, with its description and kind."""
+    known = s.createDataFrame([("1-URGENT", "Urgent", "goes first", "rush"), ("5-LOW", "Low", None, "slow")], "host string, label string, description string, kind string")
+    return views.with_hosts(views.counts_by(tests(s, d), "host", "year"), known, "host", "label")
+
+
+@query("A10_dataset_totals", f"""with w as (select l_orderkey run, count(*) n, sum(l_quantity) s from lineitem group by 1) select year, count(*) runs, count(*) filter (not is_baseline) published, coalesce(sum(n), 0)::bigint waveforms, round(coalesce(sum(s), 0), 2) samples from {TESTS} t left join w using (run) group by 1""")
+def a10_totals(s, d):
+    """Runs, published ones, waveforms and their samples of each year."""
+    waves = table(s, d, "lineitem").withColumnRenamed("l_orderkey", "run")
+    return rounded(views.dataset_totals(tests(s, d), waves, "year", "run", ~F.col("is_baseline"), "l_quantity"), "samples", to=2)
+
+
+@query("A22_attribute_categories", f"""with r as (select nullif(host, 'PROMO') host, maker, case when weight > 25 then true when weight > 10 then false end heavy from {DEVICES})
+    {" union all ".join(f"select '{c}' attribute, {c}::varchar category, count(*) n, (select count({c}) from r) known from r where {c} is not null group by {c}" for c in ("host", "maker", "heavy"))}""")
+def a22_categories(s, d):
+    """How many runs know each attribute, and how many are of each of its categories."""
+    rows = devices(s, d).select(F.when(F.col("host") != "PROMO", F.col("host")).alias("host"), "maker", F.when(F.col("weight") > 25, True).when(F.col("weight") > 10, False).alias("heavy"))
+    return views.attribute_categories(rows, ["host", "maker", "heavy"])
+
+
 @query("A10_dataset_info", f"""select year, count(*) runs, count(*) filter (not is_baseline) published, round(sum(value), 2) total from {TESTS} group by 1""")
 def a10(s, d):
     return rounded(views.dataset_info(tests(s, d), "year", ~F.col("is_baseline"), "value"), "total", to=2)
@@ -479,24 +501,22 @@ def k07(s, d):
 
 @query("U01_accumulate_years", f"""select run, year, value from {TESTS}""")
 def u01(s, d):
-    """Years are appended to a stored table one by one, as releases come, and read back."""
-    t, path = tests(s, d).select("run", "year", "value"), store.fresh_folder(s, "years")
-    years = sorted(r.year for r in t.where("year is not null").select("year").distinct().collect())
-    for y in years:
-        store.load_years(t.where(F.col("year") == y), path)
-    return s.read.schema("run long, value double, year int").parquet(path) if years else t.limit(0)
+    """Years come to a stored table in two releases, each of them one write, whatever the number of years."""
+    t, stored = tests(s, d).select("run", "year", "value"), YearTable(s, store.fresh_folder(s, "years"))
+    stored.load(t.where("year % 2 = 0"))
+    stored.load(t.where("year % 2 <> 0"))
+    return stored.read()
 
 
 @query("U01_accumulate_all_years", f"""select run, year, value from {TESTS}""")
 def u01_all(s, d):
-    """Appends each year that is present, undated runs too, in one plan."""
-    t = tests(s, d).select("run", "year", "value")
-    years = [r.year for r in t.select("year").distinct().collect()]
-    parts = [t.where(F.col("year").eqNullSafe(F.lit(y).cast("int"))) for y in sorted(years, key=lambda y: (y is None, y))]
-    return functools.reduce(DataFrame.unionByName, parts, t.limit(0))
+    """All years that are present, undated runs too, in one write."""
+    stored = YearTable(s, store.fresh_folder(s, "years"))
+    stored.load(tests(s, d).select("run", "year", "value"))
+    return stored.read()
 
 
-@query("U02_union_of_bands", f"""select mic, shot % 16 as col, min(value) lo, max(value) hi from {SHOTS} group by all""")
+@query("U02_union_of_bands", f"""with b as (select mic, shot % 16 as col, min(value) lo, max(value) hi from {SHOTS} group by all) select *, min(lo) over (partition by mic) from_lo, max(hi) over (partition by mic) to_hi from b""")
 def u02(s, d):
     return views.united_bands(shots(s, d), ["mic"], F.col("shot") % 16, "value", "value")
 

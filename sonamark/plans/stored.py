@@ -140,11 +140,11 @@ def c08(s, d):
 @query("A15_host_tiers_all", f"""{TABLES}, own as (select cartridge || case when id % 3 = 0 then '' else (id % 40)::varchar end host, year, is_baseline from runs), g as (select host, count(*) runs, list_sort(list(distinct year)) as years from own where not is_baseline group by 1),
     x as (select *, case when starts_with(host, 'BUILDING') and len(years) = 1 then 'BUILDING (2021)' else host end label, case when len(years) > 1 then 'regular' when years[1] = 2021 then 'first' else 'other' end tier from g),
     o as (select regexp_replace(label, ' .2021.$', '') label, min(host) earlier, arg_min(runs, host) earlier_runs from x where tier = 'first' and label like '% (2021)' group by 1)
-    select x.host, x.label, runs, years, tier, runs >= 4 rankable, case when tier = 'regular' then earlier end earlier, case when tier = 'regular' then earlier_runs end earlier_runs from x left join o using (label)""")
+    select x.host, x.label, runs, years, tier, runs >= 4 rankable, row_number() over (partition by tier order by runs desc, label, x.host) place, case when x.label <> x.host then 'one year only' end description, case when tier = 'regular' then earlier end earlier, case when tier = 'regular' then earlier_runs end earlier_runs from x left join o using (label)""")
 def a15(s, d):
     rows = V.runs_by_year(stored(s, d)).withColumn("host", F.concat("cartridge", F.when(F.col("test_run_id") % 3 == 0, "").otherwise((F.col("test_run_id") % 40).cast("string"))))
     single = rows.where("not is_baseline").groupBy("host").agg(F.countDistinct("year").alias("n")).where("n = 1 and startswith(host, 'BUILDING')")
-    return V.host_tiers(rows, "host", "year", "is_baseline", single.select("host", F.lit("BUILDING (2021)").alias("label")), 2021)
+    return V.host_tiers(rows, "host", "year", "is_baseline", single.select("host", F.lit("BUILDING (2021)").alias("label"), F.lit("one year only").alias("description")), 2021)
 
 
 @query("A23_mics_in_order", f"{TABLES} select test_run_id, list(mic order by case mic when 'SE' then 1 when 'ML' then 2 when 'MR' then 3 else 4 end) mics from (select distinct test_run_id, mic from waveform where mic is not null) group by 1")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import read_files
+
 VIEWS = {"v_measurement", "v_run", "v_shot"}
 
 
@@ -24,21 +26,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def load_years(rows: DataFrame, path: str, year: str = "year", replace: bool = False) -> None:
-    """Adds rows, partitioned by year. A year that is there already is an error, unless it is to be replaced."""
-    spark = rows.sparkSession
-    try:
-        old = spark.read.parquet(path).select(year).distinct()
-    except Exception as e:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None and not replace and (clash := old.join(rows.select(year).distinct(), year, "left_semi").take(1)):
-        raise ValueError(f"year {clash[0][0]} is stored already")
-    mode = rows.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
-    mode.partitionBy(year).parquet(path)
-
-
 def with_unmatched(runs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """runs, and published rows that have none, marked in_summary."""
     return runs.withColumn("in_summary", F.lit(False)).unionByName(rows.join(runs.select(key), key, "left_anti").withColumn("in_summary", F.lit(True)), allowMissingColumns=True)
@@ -53,8 +40,9 @@ def export(df: DataFrame, view: str, path: str) -> None:
 
 
 def provenance(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(file, bytes, sha256) of every file below a path. Files of any size are streamed; none is a value."""
+    files = read_files(spark, path, "path string, bytes long, sha256 string")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
 def version(df: DataFrame, columns: list[str]) -> DataFrame:

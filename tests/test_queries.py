@@ -21,10 +21,10 @@ def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, float):
-        return None if math.isnan(v) else f"{v:.6g}" if v else "0"
+        return None if math.isnan(v) else f"{v:.6g}" if v else str(v)  # -0.0 is not 0.0
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
-    return v if v is None else str(v) if isinstance(v, (bool, str)) else f"{float(v):.6g}" if isinstance(v, (int,)) or type(v).__name__ == "Decimal" else str(v)
+    return v if v is None else str(v) if isinstance(v, (bool, str)) else f"{float(v):.6g}" if v and (isinstance(v, int) or type(v).__name__ == "Decimal") else "0.0" if isinstance(v, int) or type(v).__name__ == "Decimal" else str(v)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -249,8 +249,9 @@ def test_sinks_and_stream(spark):
     assert (one.bytes, one.sha256) == (len(data), hashlib.sha256(data).hexdigest())
     got = QUERIES["R01_incremental_metrics"](spark, SF).collect()
     assert len(got) == len({r.id for r in got}) == len(raw)
-    straightly = {r.id: r.peak_pa for r in QUERIES["P01_shot_metrics"](spark, SF).collect()}
-    assert len(straightly) == len(raw)
+    records = spark.read.parquet(f"{SF}/embeddings.parquet").select(L.F.col("vec_id").alias("id"), L.F.transform("embedding", lambda x: x.cast("double") * 500).alias("samples"))
+    straightly = {r.id: round(r.peak_pa, 5) for r in waveform.shot_metrics(records, ["id"], "samples", 0.002).collect()}
+    assert {r.id: r.peak_pa for r in got} == straightly
 
 
 def test_readers(spark, tmp_path):
