@@ -4,10 +4,12 @@
    length and how often it has each of these terms, a vector without the terms that no item of the block asks for, since they add to no score. Document
    frequencies, and with them the terms' weights, come from all documents.
 2. Documents become shards of bounded size, each a ball tree over the vectors of weight times saturated frequency: a node's documents lie within a radius of a
-   centroid. Splits are at the median between two documents far apart. Shards are written as a table, the index.
-3. An item's score of a document is the product of the item's counts with the vector, so that centroid product plus norm times radius bounds the scores of a subtree.
-   Radii and bounds are rounded up by more than what floating point can have lost. Subtrees are visited best-first and dropped once their bound is below what the
-   result needs; leaves are scored in 64-bit integers, exactly.
+   centroid, as a whole and in each coordinate. Splits are at the median between two documents far apart. Shards are written as a table, the index.
+3. An item's score of a document is the product of the item's counts with the vector, so that centroid product plus norm times radius bounds the scores of a subtree;
+   so does the sum over the item's terms of centroid plus radius of the coordinate, which is the largest value below the node and an integer. The smaller of
+   both counts. Radii and bounds are rounded up by more than what floating point can have lost. Subtrees are visited best-first and dropped once their bound is
+   below what the result needs; leaves are scored in 64-bit integers, exactly. The terms of a document that an item doesn't ask for widen the whole radius, so
+   where texts have little in common it is the coordinates that prune.
 4. Best-first across shards too: roots' bounds name the few shards that promise most for an item; the k-th best score in these is a floor that the search of all
    shards starts from. Each shard returns at most k documents for an item, and the best of them are merged by pieces, then by item.
 
@@ -35,7 +37,7 @@ from .common import arrow_rows, discard, written
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Terms of a block of items (more only for a single item); documents of a leaf, of a shard, and vector entries of a shard; cells of a shard's centroids.
-BLOCK_TERMS, LEAF, SHARD, ENTRIES, CELLS = 8192, 32, 4096, 1_000_000, 8_000_000
+BLOCK_TERMS, LEAF, SHARD, ENTRIES, CELLS = 8192, 16, 4096, 1_000_000, 8_000_000
 #: Shards searched first for each item; pieces in which an item's candidates are merged.
 PROBES, PIECES = 4, 64
 
@@ -107,14 +109,27 @@ class BallTree:
         """Centroids of all nodes, a row for each term."""
         return np.ascontiguousarray(np.stack([self.centroid(k) for k in range(len(self.lo))]).T)
 
-    def bounds(self, plane: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def tops(self) -> np.ndarray:
+        """The largest value of each term below each node (centroid plus radius of that coordinate), a row for each term."""
+        out = np.zeros((len(self.lo), len(self.weights)), np.int64)
+        for node in range(len(self.lo) - 1, -1, -1):  # children have higher numbers
+            if (child := self.left[node]) >= 0:
+                np.maximum(out[child], out[child + 1], out=out[node])
+            else:
+                a, b = self.ptr[self.lo[node]], self.ptr[self.hi[node]]
+                np.maximum.at(out[node], self.idx[a:b], self.val[a:b])
+        return np.ascontiguousarray(out.T)
+
+    def bounds(self, plane: np.ndarray, tops: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """No document below a node has a larger score."""
-        size = math.sqrt(float(counts @ counts))
-        return (counts @ plane[terms] + size * self.radius) * (1 + (len(terms) + 16) * 2.0**-50) + 1
+        own = counts.astype(float)
+        whole = (own @ plane[terms] + math.sqrt(float(own @ own)) * self.radius) * (1 + (len(terms) + 16) * 2.0**-50) + 1
+        each = (counts * self.weights[terms]) @ tops[terms]  # integers, exact
+        return np.minimum(whole, each * (1 + 2.0**-50))
 
-    def best(self, plane: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, floor: int, asked: np.ndarray) -> list[tuple[int, bool, int]]:
+    def best(self, plane: np.ndarray, tops: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int, floor: int, asked: np.ndarray) -> list[tuple[int, bool, int]]:
         """At most k of (score, null id, id) with a score of at least floor, and above 0. asked is a buffer of zeros for all terms."""
-        bound = self.bounds(plane, terms, counts.astype(float)).tolist()
+        bound = self.bounds(plane, tops, terms, counts).tolist()
         asked[terms] = counts * self.weights[terms]
         held, todo = [], [(-bound[0], 0)]
         while todo:
@@ -256,10 +271,10 @@ def searched(shards: DataFrame, queries: list, weights: np.ndarray, k: int, floo
         for batch in batches:
             for shard, *parts in zip(*(c.to_pylist() for c in batch.columns)):
                 tree, out = BallTree.unpacked(parts, weights), []
-                plane = tree.plane()
+                plane, tops = tree.plane(), tree.tops()
                 for at in range(len(queries)) if only is None else only.get(shard, ()):
                     q, terms, counts = queries[at]
-                    out += [(q, None if null else i, s) for s, null, i in tree.best(plane, terms, counts, k, floors[at], asked)]
+                    out += [(q, None if null else i, s) for s, null, i in tree.best(plane, tops, terms, counts, k, floors[at], asked)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["q", "id", "score"])
 
     arrow_rows(shards.sparkSession, 1)

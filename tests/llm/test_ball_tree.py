@@ -69,14 +69,16 @@ def test_bounds_hold():
     weights = rng.integers(1, 9000, terms)
     tree = ball_tree.BallTree.grown(np.arange(n), np.zeros(n, bool), ptr, np.concatenate(rows), rng.integers(1, 900_000, ptr[-1]), weights, 8)
     tree = ball_tree.BallTree.unpacked(tree.packed(), weights)
-    plane = tree.plane()
+    plane, tops, visited = tree.plane(), tree.tops(), 0
     for _ in range(50):
         asked, counts = np.sort(rng.choice(terms, 5, replace=False)), rng.integers(1, 4, 5)
         q = np.zeros(terms, np.int64)
         q[asked] = counts * weights[asked]
         scores = np.add.reduceat(q[tree.idx] * tree.val, tree.ptr[:-1])
-        bounds = tree.bounds(plane, asked, counts.astype(float))
+        bounds = tree.bounds(plane, tops, asked, counts)
         assert all(scores[a:b].max() <= u for a, b, u in zip(tree.lo, tree.hi, bounds))
-        got = tree.best(plane, asked, counts, 10, 1, np.zeros(terms, np.int64))
+        got = tree.best(plane, tops, asked, counts, 10, 1, np.zeros(terms, np.int64))
+        visited += (bounds[tree.left < 0] >= min(s for s, _, _ in got)).sum()
         want = sorted(zip(scores.tolist(), (-tree.ids).tolist()), reverse=True)[:10]
         assert sorted(got, key=lambda r: (-r[0], r[2])) == [(s, False, -i) for s, i in want if s > 0]
+    assert visited < 50 * (tree.left < 0).sum() / 2
