@@ -111,11 +111,12 @@ def fresh(df: DataFrame, name: str) -> str:
 PIECES = 2000
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, like: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, like: DataFrame | None = None, sizes: DataFrame | None = None, shuffled: bool = False) -> DataFrame:
     """rows joined with table, which has one row for each key. A key that many rows share is split by a hash of column `by` over as many
     tasks as it has 1/PIECES of the rows; its row of the table goes to each. Split are fewer than PIECES keys, so their list is broadcast, and the
     table gets fewer than 2 * PIECES rows more. Keys are counted in `like` (rows with the same keys, less wide), else in rows, or come with
-    their counts as `sizes` (key, _n); pass written tables."""
+    their counts as `sizes` (key, _n); pass written tables. A table that grows with the input may be small enough to be broadcast all the same; `shuffled` joins it in the
+    same way at every size."""
     keys = like if like is not None else rows
     share = F.col("_n") * PIECES / F.lit(max(1, keys.count()))
     sizes = keys.groupBy(key).agg(F.count("*").alias("_n")) if sizes is None else sizes
@@ -123,7 +124,7 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, by: str, like: DataF
     part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
     left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", part).drop("_parts")
     right = table.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right.hint("merge") if shuffled else right, [key, "_part"]).drop("_part")
 
 
 def row_hash(df: DataFrame, *salt: int) -> Column:

@@ -250,7 +250,7 @@ def across(rest: DataFrame, nodes: DataFrame, sketch: DataFrame, threshold: int,
     firsts = written(other.where(F.col("at") <= read).select(key, (F.col("c") > F.col("o")).alias("larger"), "node", "label"), "firsts")
     main = firsts.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("_n")).where("labels > 1")
     main = written(main.select("key", F.col("top.label").alias("main"), (F.col("top.m") > few).alias("large"), "_n"), "main")
-    placed = written(split_join(firsts, main.drop("_n"), "key", "node", sizes=main.select("key", "_n")).withColumn("is_main", F.col("label") == F.col("main")), "placed")
+    placed = written(split_join(firsts, main.drop("_n"), "key", "node", sizes=main.select("key", "_n"), shuffled=True).withColumn("is_main", F.col("label") == F.col("main")), "placed")
     discard(rarity, firsts)
 
     x = written(placed.where("not is_main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("larger").alias("gx")), "apart")
