@@ -232,7 +232,7 @@ def s19(s, d):
 
 
 @query("S20_spectra_of_runs", f"""{TABLES}, lv as (select vec_id waveform_id, unnest(range(0, 64)) k, unnest(embedding)::double * 100 l from embeddings), pw as (select test_run_id run, mic, k, avg(pow(10.0, l / 10)) p from waveform w join lv on lv.waveform_id = w.id where not excluded and mic is not null group by all)
-    select run, mic, k i, round(10 * log10(p), 1)::double as level from pw""")
+    select run, mic, k i, round(10 * log10(p), 1)::double + 0.0::double as level from pw""")
 def s20(s, d):
     """One object for each run, written as JSON and taken apart again."""
     from ..operators import statistics
