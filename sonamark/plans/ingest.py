@@ -184,6 +184,24 @@ def s18(s, d):
     return rounded(store.sample_rows(records(s, d), "id", "samples", 0.001, DT).withColumn("time_s", F.round("time_s", 9)), "pressure_pa")
 
 
+@query("S18_sample_arrays", f"select id, list(round(0.001 + i * 0.000025, 9)::double order by i) time_s, list(round(p, 6) order by i) pressure_pa from {LONG} group by id")
+def s18b(s, d):
+    out = store.sample_arrays(records(s, d), "id", "samples", 0.001, DT)
+    return out.select("id", F.transform("time_s", lambda t: F.round(t, 9)).alias("time_s"), F.transform("pressure_pa", lambda p: F.round(p, 6)).alias("pressure_pa"))
+
+
+@query("S07_header_fields", """select vec_id::varchar path, case when label % 4 = 0 then 51200.0 when label % 4 < 3 then 40000.0 end::double sample_rate_hz, case when label % 4 = 1 then 1 / 40000.0::double when label % 4 = 0 then 1 / 51200.0::double when label % 4 = 2 then 0.000025 end::double dt_s, -0.5::double t0_s, case when label % 2 = 0 then 316.2 end::double input_range, case when label % 3 = 0 then 0.00002 end::double db_reference, label % 5 = 0 overload,
+    case when label % 4 < 2 then timestamp '2024-03-07 10:11:12.345' end captured_at from embeddings""")
+def s07(s, d):
+    """Rate and step each from the other where one is missing, fields that are not there, dates that are none."""
+    label = F.col("label")
+    rate = F.when(label % 4 == 0, F.lit("InputSampleFrequency:\t51200")).when(label % 4 == 1, F.lit("InputSampleFrequency:\t40000")).otherwise("InputSampleFrequency:\t n/a")
+    step = F.when(label % 4 == 2, F.lit("X-Axis delta:\t2.5e-05")).otherwise("X-Axis delta:\t")
+    lines = F.array(rate, step, F.lit("X-Axis first value:\t-0.5\t "), F.when(label % 2 == 0, F.lit("InputRange:\t316.2")).otherwise("InputRange:\tauto"), F.when(label % 3 == 0, F.lit("dBReference:\t2e-05")).otherwise("Comment:\tnone"), F.when(label % 4 < 2, F.lit("Date:\t3/7/2024")).otherwise("Date:\t31/31/2024"), F.lit("Time:\t10:11:12:345"), F.lit("1\t0\t 1.5"), F.lit("TagsBegin:"), F.when(label % 5 == 0, F.lit("OverLoad:\t \tTrue")).otherwise("OverLoad:\t \tFalse"), F.lit("TagsEnd:"))
+    files_in = table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.array_join(lines, "\r\n").alias("text"))
+    return captures.parse_captures(files_in).select("path", "sample_rate_hz", "dt_s", "t0_s", "input_range", "db_reference", "overload", "captured_at")
+
+
 @query("S19_content_version")
 def s19(s, d):
     return store.version(devices(s, d), ["run", "maker", "price"])

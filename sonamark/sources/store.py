@@ -56,6 +56,12 @@ def sample_rows(records: DataFrame, run: str, samples: str, t0: float, dt: float
     return records.select(run, F.posexplode(samples).alias("i", "pressure_pa")).select(run, (F.lit(t0) + F.col("i") * dt).alias("time_s"), F.col("pressure_pa").cast("double").alias("pressure_pa"))
 
 
+def sample_arrays(records: DataFrame, run: str, samples: str, t0: Column | float, dt: Column | float) -> DataFrame:
+    """(run, time_s, pressure_pa): the times of a record's samples and the samples, as two arrays of one length."""
+    t0, dt = (F.lit(x) if isinstance(x, float) else x for x in (t0, dt))
+    return records.select(run, F.transform(samples, lambda x, i: t0 + i * dt).alias("time_s"), F.transform(samples, lambda x: x.cast("double")).alias("pressure_pa"))
+
+
 def spectra_json(spectrum: Column) -> Column:
     """Levels to a tenth of a decibel, NaN as null, as JSON."""
     return F.to_json(F.transform(spectrum, lambda x: F.when(~F.isnan(x), F.round(x, 1))))
