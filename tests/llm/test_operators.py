@@ -93,9 +93,9 @@ def test_rarest_shingles_lose_nothing(spark):
             rows.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(dict.fromkeys(rows))), "doc_id long, text string")
     sketch = minhash.sketches(df, "doc_id", "text")
-    nodes = sketch.groupBy("node").agg(F.min("uid").alias("uid"))
-    rest = sketch.select("node", F.col("node").alias("label"), F.col("n_shingles").alias("n"))
-    name = {r.node: r.id for r in sketch.select("node", "id").collect()}
+    nodes = sketch.select(F.col("uid").alias("node"), "uid")  # no two sets are equal
+    rest = sketch.select(F.col("uid").alias("node"), F.col("uid").alias("label"), F.col("n_shingles").alias("n"))
+    name = {r.uid: r.id for r in sketch.select("uid", "id").collect()}
     got, none = ({tuple(sorted((name[r.a], name[r.b]))) for r in df.collect()} for df in minhash.across(written(rest, "rest"), nodes, sketch, 75))
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words_of(t) for t in dict.fromkeys(rows))]
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(range(len(sets)), 2)}
@@ -103,7 +103,7 @@ def test_rarest_shingles_lose_nothing(spark):
     assert len(true) > 20 and true <= got and not none
     assert not any(like[p] == 0 or 4 * min(map(len, (sets[p[0]], sets[p[1]]))) < 2.8 * max(map(len, (sets[p[0]], sets[p[1]]))) for p in got)
     same = {p for p in true if p[0] % 3 == p[1] % 3}  # three components: pairs within one are not made
-    thirds = sketch.select("node", F.pmod("id", F.lit(3)).alias("label"), F.col("n_shingles").alias("n"))
+    thirds = sketch.select(F.col("uid").alias("node"), F.pmod("id", F.lit(3)).alias("label"), F.col("n_shingles").alias("n"))
     for few, cell in ((1 << 20, 1), (0, 1 << 20), (1, 400)):  # all in pairs, the largest label in one cell, in several
         got, links = ({tuple(sorted((name[r.a], name[r.b]))) for r in df.collect()} for df in minhash.across(written(thirds, "thirds"), nodes, sketch, 75, few, cell))
         assert true - same <= got | links and not any(a % 3 == b % 3 for a, b in got | links)
