@@ -137,8 +137,8 @@ def a17(s, d):
     li = table(s, d, "lineitem").withColumnsRenamed({"l_partkey": "k", "l_returnflag": "f"})
     found = li.where("l_linenumber <= 5").groupBy("k", "f").agg(*(F.avg(c).alias(n) for n, (c, _) in VERIFIED.items()))
     off = F.when(F.col("k") % 9 == 0, 0.02).otherwise(0.0)
-    published = li.groupBy("k", "f").agg(*(F.round(F.avg(c), r).alias(n) for n, (c, r) in VERIFIED.items())).withColumns({n: F.col(n) + off for n in VERIFIED})
-    return rounded(statistics.verify(found, published, ["k", "f"], list(VERIFIED)), "worst", to=4)
+    published = li.groupBy("k", "f").agg(*(L.to_places(F.avg(c), r).alias(n) for n, (c, r) in VERIFIED.items())).withColumns({n: F.col(n) + off for n in VERIFIED})
+    return statistics.verify(found, published, ["k", "f"], list(VERIFIED)).withColumn("worst", L.to_places("worst", 4))
 
 
 @query("A18_uncertainty", f"""with g as (select stddev_samp(value) sd, count(*) n, min(shot) f, arg_min(value, shot) v, sum(value) t from {SHOTS} where not excluded group by run, mic)
