@@ -34,8 +34,9 @@ def range_of(a: Column, b: Column, lo: Column, hi: Column, step: Column) -> Colu
 
 def years_or_all(asked: DataFrame, present: DataFrame, year: str) -> DataFrame:
     """Asked years that are present; all that are present where none is left."""
-    some = present.join(asked, year, "left_semi").distinct()
-    rest = present.distinct().crossJoin(F.broadcast(some.agg(F.count("*").alias("_n")))).where("_n = 0").drop("_n")
+    years = present.distinct()  # before the join, so that no row but one a year and task is shuffled
+    some = years.join(asked, year, "left_semi")
+    rest = years.crossJoin(F.broadcast(some.agg(F.count("*").alias("_n")))).where("_n = 0").drop("_n")
     return some.unionByName(rest)
 
 

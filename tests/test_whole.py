@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from sonamark.operators import filters
 from sonamark.plans.catalogue import ORACLE_SQL, QUERIES
 from sonamark.plans.relational import CAVEATS
 
@@ -51,3 +52,13 @@ def test_published_halves(spark, tmp_path):
     want = con.sql(ORACLE_SQL["A17_verify"]).fetchall()
     got = [tuple(r) for r in QUERIES["A17_verify"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and ("price", 3, 2, 0.02) in got
+
+
+def test_years_meet_as_distinct_ones(spark):
+    """Asked years meet the distinct years that are present, not all runs: those would come to a few tasks. Where none is left all stay, undated runs too."""
+    plan = QUERIES["F06_active_years"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    semi = [i for i, line in enumerate(plan) if "Join LeftSemi" in line]
+    assert len(semi) == 2 and all("Aggregate" in plan[i + 1] for i in semi)
+    present = spark.createDataFrame([(1996,), (1996,), (None,), (1999,)], "year int")
+    years = lambda *asked: sorted((r.year for r in filters.years_or_all(spark.createDataFrame([(y,) for y in asked], "year int"), present, "year").collect()), key=str)
+    assert years(1996, 1996, 2050) == [1996] and years(None) == years(2050) == years() == [1996, 1999, None]
