@@ -38,8 +38,9 @@ def half_away(x: Column | str) -> Column:
 
 def to_places(x: Column | str, places: int) -> Column:
     """Rounded to decimal places as SQL does it, in doubles: the product with 10^places, its halves away from zero. F.round rounds the printed decimals
-    instead, so it takes 1.005, a double just below that half, up to 1.01."""
-    return F.round(col(x) * 10.0**places) / 10.0**places
+    instead, so it takes 1.005, a double just below that half, up to 1.01. A value whose product is beyond all doubles stays."""
+    scaled = col(x) * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(col(x))
 
 
 def half_even(x: Column | str) -> Column:

@@ -39,9 +39,9 @@ def net_reduction(runs: DataFrame, keys: list[str], value: str, is_baseline: str
 
 
 def verify(found: DataFrame, published: DataFrame, keys: list[str], columns: list[str], tolerance: float = 0.01) -> DataFrame:
-    """For each column: cells compared, cells over the tolerance, worst difference."""
+    """For each column: cells on both sides, those of missing values too, cells over the tolerance, worst difference."""
     both = found.join(published.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns)), keys)
-    cells = both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.abs(F.col(c) - F.col(f"_{c}")).alias("delta")) for c in columns))).alias("x")).select("x.*").where("delta is not null")
+    cells = both.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.abs(F.col(c) - F.col(f"_{c}")).alias("delta")) for c in columns))).alias("x")).select("x.*")
     return cells.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("delta") > tolerance).alias("over"), F.max("delta").alias("worst"))
 
 
